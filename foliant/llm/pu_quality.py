@@ -4,11 +4,13 @@ A linear model over bounded text features is fitted with the non-negative unbias
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-under the sigmoid loss, where R_p averages over trusted positives and R_u over unlabelled web
-text. Whenever the bracket of a batch turns negative the step goes up its gradient instead, which
-keeps the model from fitting the unlabelled sample. The class prior is estimated from the same
-two samples: a positive-against-unlabelled model is fitted, and the least ratio of the shares of
-unlabelled and positive texts above a score bounds the share of positives from above.
+under the logistic loss, where R_p averages over trusted positives and R_u over unlabelled web
+text. Whenever the bracket of a batch falls below -SLACK the step goes up its gradient instead,
+which keeps the model from fitting the unlabelled sample; SLACK allows for the error of the
+estimated prior. The class prior is estimated from the same two samples: on halves of them a
+positive-against-unlabelled model is fitted, and on the other halves the least ratio of the shares
+of unlabelled and positive texts above a score bounds the share of positives from above; the
+median over several splits is taken.
 
 The model is fitted on bounded samples (MOST_POSITIVES, MOST_UNLABELLED); every text is scored.
 
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 #: Bounds of the samples on which the model is fitted, picked by hash of doc_id.
 MOST_POSITIVES = 5000
 MOST_UNLABELLED = 10000
+#: How far the risk on the negative side may fall below zero.
+SLACK = 0.04
 #: Classes of characters: lower, upper, other letter, digit, blank, line end, full stop, comma, !?, quotes, symbols, bar, other punctuation, rest.
 CLASSES = 14
 
@@ -88,29 +92,32 @@ def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, seed: int
     rng = np.random.default_rng(seed)
     d = xp.shape[1]
     w, m, v = np.zeros(d), np.zeros(d), np.zeros(d)
-    loss_slope = lambda z: -(s := 1 / (1 + np.exp(-np.clip(z, -30, 30)))) * (1 - s)  # noqa: E731  of 1 - sigmoid(z)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
         p, u = xp[rng.integers(0, len(xp), 512)], xu[rng.integers(0, len(xu), 1024)]
         zp, zu = p @ w, u @ w
-        minus = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # noqa: E731  loss of the label -1
-        bracket = minus(zu).mean() - prior * minus(zp).mean()
-        gp = loss_slope(zp) @ p / len(p)
-        g_minus = -(loss_slope(zu) @ u) / len(u) + prior * (loss_slope(zp) @ p) / len(p)
-        g = (prior * gp + g_minus if bracket >= 0 else -g_minus) + 1e-5 * w
+        bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        g_plus = -prior * (sigmoid(-zp) @ p) / len(p)
+        g_minus = (sigmoid(zu) @ u) / len(u) - prior * (sigmoid(zp) @ p) / len(p)
+        g = (g_plus + g_minus if bracket >= -SLACK else -g_minus) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (1 - step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w
 
 
-def estimate_prior(xp: np.ndarray, xu: np.ndarray) -> float:
+def estimate_prior(xp: np.ndarray, xu: np.ndarray, splits: int = 5) -> float:
     """Share of positives in xu: least ratio of the tails of a positive-against-unlabelled score."""
-    half_p, half_u = len(xp) // 2, len(xu) // 2
-    w = _descend(xp[:half_p], xu[:half_u], 0.5, 600)
-    sp, su = xp[half_p:] @ w, xu[half_u:] @ w
-    cuts = np.quantile(sp, np.linspace(0.01, 0.7, 60))
-    above = lambda s: 1 - np.searchsorted(np.sort(s), cuts, "left") / len(s)
-    slack = 1 / np.sqrt(max(len(sp), 1))
-    return float(np.clip(np.min((above(su) + slack / 4) / np.maximum(above(sp), 1e-9)), 0.05, 0.98))
+    found = []
+    for k in range(splits):
+        rng = np.random.default_rng(k)
+        p, u = xp[rng.permutation(len(xp))], xu[rng.permutation(len(xu))]
+        half_p, half_u = (len(p) + 1) // 2, (len(u) + 1) // 2
+        w = _descend(p[:half_p], u[:half_u], 0.5, 800, k)
+        sp, su = np.sort((p[half_p:] if half_p < len(p) else p) @ w), np.sort((u[half_u:] if half_u < len(u) else u) @ w)
+        cuts = np.quantile(sp, np.linspace(0.002, 0.3, 40))
+        above = lambda s: 1 - np.searchsorted(s, cuts, "left") / len(s)  # noqa: B023, E731
+        found.append(np.min(above(su) / np.maximum(above(sp), 1e-9)))
+    return float(np.clip(np.median(found), 0.05, 0.98))
 
 
 def fit(xp: np.ndarray, xu: np.ndarray, steps: int = 3000) -> dict:
