@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .packing import op7_packing
 from .pu_quality import op2_pu_quality
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .sharding import op9_sharding
@@ -10,6 +11,7 @@ from .simhash import op1_simhash
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pu_quality": op2_pu_quality,
+    "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
 }
