@@ -7,10 +7,12 @@ from .pu_quality import op2_pu_quality
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .sharding import op9_sharding
 from .simhash import op1_simhash
+from .suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pu_quality": op2_pu_quality,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
