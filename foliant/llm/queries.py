@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .packing import op7_packing
 from .pu_quality import op2_pu_quality
 from .quality_rules import OP8_SQL, op8_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {"op8_quality_rules": OP8_SQL}
