@@ -31,6 +31,9 @@ MOST_PIECES = 200_000
 LONG_PIECE = 400
 #: Bytes of text that go through one round of queries.
 ROUND_BYTES = 3_000_000
+#: Ids decoded in one query, and at most so many of them as one ordered group.
+ROUND_IDS = 1_000_000
+SLICE_IDS = 200_000
 
 ENCODE = """
 WITH RECURSIVE state(piece, pos, token, round) AS (
@@ -124,12 +127,18 @@ class Coder:
             else:
                 todo.append(p)
                 raw.append(b)
-        if todo:
-            piece, pos = self.rows(np.array([len(b) for b in raw]))
-            fresh = pd.DataFrame({"piece": piece, "pos": pos, "token": self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]})  # noqa: F841  read by the query
+        at = 0
+        while at < len(todo):
+            size, end = 0, at
+            while end < len(todo) and size < ROUND_BYTES:
+                size += len(raw[end])
+                end += 1
+            piece, pos = self.rows(np.array([len(b) for b in raw[at:end]]))
+            fresh = pd.DataFrame({"piece": piece, "pos": pos, "token": self.of_byte[np.frombuffer(b"".join(raw[at:end]), np.uint8)]})  # noqa: F841  read by the query
             found = self.db.execute(ENCODE).fetchnumpy()
             for k, ids in zip(found["piece"].tolist(), found["ids"], strict=True):
-                self.known[todo[k]] = np.asarray(ids, "<u4").tobytes()
+                self.known[todo[at + k]] = np.asarray(ids, "<u4").tobytes()
+            at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -138,12 +147,26 @@ class Coder:
         return [b"".join([self.known[p] for p in pieces]) for pieces in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        text, pos = self.rows(np.array([len(x) // 4 for x in ids], np.int64))
-        tokens = pd.DataFrame({"text": text, "pos": pos, "id": np.frombuffer(b"".join(ids), "<u4").astype(np.int32)})  # noqa: F841  read by the query
-        out = [b""] * len(ids)
-        for k, b in self.db.execute(DECODE).fetchall():
-            out[k] = bytes(b)
-        return out
+        """Bytes of each sequence of ids; long sequences are aggregated in slices."""
+        parts: list[list[bytes]] = [[] for _ in ids]
+        some: list[tuple[int, bytes]] = []
+        size = 0
+        for k, x in enumerate(ids):
+            for at in range(0, len(x), 4 * SLICE_IDS):
+                some.append((k, x[at : at + 4 * SLICE_IDS]))
+                size += len(some[-1][1]) // 4
+                if size >= ROUND_IDS:
+                    self._aggregate(some, parts)
+                    some, size = [], 0
+        self._aggregate(some, parts)
+        return [b"".join(p) for p in parts]
+
+    def _aggregate(self, some: list[tuple[int, bytes]], parts: list[list[bytes]]) -> None:
+        text, pos = self.rows(np.array([len(x) // 4 for _, x in some], np.int64))
+        tokens = pd.DataFrame({"text": text, "pos": pos, "id": np.frombuffer(b"".join([x for _, x in some]), "<u4").astype(np.int32)})  # noqa: F841  read by the query
+        found = dict(self.db.execute(DECODE).fetchall())
+        for i, (k, _) in enumerate(some):
+            parts[k].append(bytes(found[i]))
 
 
 def rounds(texts: list[str]) -> Iterator[list[str]]:
