@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_ann
 from .bpe import op10_bpe
 from .packing import op7_packing
 from .pu_quality import op2_pu_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pu_quality": op2_pu_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_ann": op6_ann,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
