@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from .ann import op6_ann
 from .bpe import op10_bpe
+from .license_scan import op3_license_scan
 from .packing import op7_packing
 from .pu_quality import op2_pu_quality
 from .quality_rules import OP8_SQL, op8_quality_rules
 from .sharding import op9_sharding
 from .simhash import op1_simhash
 from .suffix_dedup import op4_suffix_dedup
+from .url_filter import op5_url_filter
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pu_quality": op2_pu_quality,
+    "op3_license_scan": op3_license_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_ann": op6_ann,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
