@@ -1 +1,4 @@
-"""See the package docstring."""
+"""Registered queries; importing the modules fills the registry."""
+
+from . import q_filters  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
