@@ -19,7 +19,10 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,45 +39,73 @@ WINDOW_TOKENS = 64 * LENGTH
 #: Windows summed together before their prefix sum, so that few rows reach one task.
 WINDOWS_PER_BLOCK = 1024
 #: Words whose ids a worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 500_000
 END_ID = 1
+#: Blanks to Python alone, letters whose lower case depends on the context or falls apart.
+ODD = re.compile("[\x1c-\x1f\u03a3\u0130]")
+#: A stop or comma after another sign, which belong together.
+STOPS = re.compile(r"(?:[^\w\s]|_)[.,]\s")
 
 
 class WordIds:
-    """Ids of texts under a tokenizer whose tokens never span ASCII white space.
+    """Ids of texts under a word tokenizer whose tokens never span white space.
 
     A text's ids are its words' ids in order, so each distinct word is encoded once and remembered,
-    MOST_WORDS at most. Words that end in a full stop or comma are put together from both parts.
+    MOST_WORDS at most. Texts are lower-cased whole, as the tokenizer does with each, and stops and
+    commas after a word are set apart, where it splits too. A run of letters then goes to the
+    tokenizer's merges directly; other words are split into the tokenizer's parts first. Texts for
+    which that could differ (not composed, contextual lower case, odd blanks) are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
-        self.known: dict[bytes, bytes] = {}
-
-    def of_word(self, word: bytes) -> bytes:
-        if (ids := self.known.get(word)) is None:
-            if len(word) > 1 and word[-1] in b".," and word[:-1].isalpha() and word[:-1].isascii():
-                ids = self.of_word(word[:-1]) + self.of_word(word[-1:])
-            elif word.isascii() and word != word.lower():
-                ids = self.of_word(word.lower())
+        self.merges = self.tokenizer.model
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
+        #: How the tokenizer splits ASCII words; fixed with the vocabulary.
+        self.parts = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
+        #: Characters that stand for bytes in the vocabulary: printable ones for themselves.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.of_byte = {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def of_run(self, run: str) -> bytes:
+        """Ids of one part as the tokenizer splits it."""
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.of_byte)
+        return array(self.kind, [t.id for t in self.merges.tokenize(shown)]).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Encode the words not yet known and remember them."""
+        known = self.known
+        if len(known) + len(words) > MOST_WORDS:
+            known = self.known = {}
+        for w in words.difference(known):
+            if w.isalpha():
+                known[w] = self.of_run(w)
+            elif w.isascii():
+                known[w] = b"".join([known.get(p) or known.setdefault(p, self.of_run(p)) for p in self.parts(w)])
             else:
-                ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-            if len(self.known) >= MOST_WORDS:
-                self.known.clear()
-            if len(word) <= 64:
-                self.known[word] = ids
-        return ids
-
-    def of_text(self, text: str | None) -> bytes:
+                known[w] = self.whole(w)
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        split: list[list[str] | None] = []
+        for t in texts:
+            if ODD.search(t) or not unicodedata.is_normalized("NFC", t):
+                split.append(None)
+                continue
+            t = t.lower()
+            if not STOPS.search(t):
+                t = t.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n")
+            split.append(t.split())
+        self.learn(set().union(*[x for x in split if x]))
         known = self.known
-        return b"".join([known.get(w) or self.of_word(w) for w in (text or "").encode("utf-8", "replace").split()])
-
-
-_READY: dict[str, WordIds] = {}
+        return [self.whole(texts[k]) if ws is None else b"".join([known[w] for w in ws]) for k, ws in enumerate(split)]
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -84,12 +115,17 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     this partition up to and including this row.
     """
 
+    with open(tokenizer, encoding="utf-8") as f:
+        definition = f.read()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _READY.get(tokenizer) or _READY.setdefault(tokenizer, WordIds(tokenizer))
-        end, width = np.array([END_ID], words.kind).tobytes(), np.dtype(words.kind).itemsize
+        words = WordIds(definition)
+        end = array(words.kind, [END_ID]).tobytes()
+        width = len(end)
         part, row, queued = TaskContext.get().partitionId(), 0, {}
         for b in batches:
-            ids = [words.of_text(t) + end for t in b["text"]]
+            texts = [t or "" for t in b["text"]]
+            ids = [x + end for at in range(0, len(texts), 1000) for x in words.of_texts(texts[at : at + 1000])]
             n = [len(x) // width for x in ids]
             done = []
             for s, k in zip(b["source"], n, strict=True):
