@@ -1,4 +1,4 @@
 """Registered queries; importing the modules fills the registry."""
 
-from . import q_classify, q_dedup, q_filters, q_reports  # noqa: F401
+from . import q_classify, q_dedup, q_extract, q_filters, q_reports  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
