@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-MOST_PIECES = 200_000
+MOST_PIECES = 700_000
 LONG_PIECE = 400
 #: Bytes of text that go through one round of queries.
 ROUND_BYTES = 3_000_000
@@ -39,16 +39,14 @@ ENCODE = """
 WITH RECURSIVE state(piece, pos, token, round) AS (
   SELECT piece, pos, token, 0 FROM fresh
   UNION ALL
-  SELECT s.piece, s.pos, CASE WHEN s.pos = best.pos THEN best.merged ELSE s.token END, s.round + 1
+  SELECT s.piece, s.pos - (s.pos > best.place)::INT, CASE WHEN s.pos = best.place THEN best.merged ELSE s.token END, s.round + 1
   FROM state s JOIN (
-    SELECT piece, min(merged) AS merged, arg_min(pos, merged * 65536::BIGINT + pos) AS pos, arg_min(next_pos, merged * 65536::BIGINT + pos) AS next_pos
-    FROM (SELECT p.piece, p.pos, p.next_pos, m.merged
-          FROM (SELECT piece, pos, token, lead(token) OVER w AS next_token, lead(pos) OVER w AS next_pos FROM state WINDOW w AS (PARTITION BY piece ORDER BY pos)) p
-          JOIN merges m ON m.first = p.token AND m.second = p.next_token)
-    GROUP BY piece) best ON s.piece = best.piece
-  WHERE s.pos <> best.next_pos)
+    SELECT l.piece, min(merged) AS merged, arg_min(l.pos, merged * 65536::BIGINT + l.pos) AS place
+    FROM state l JOIN state r ON r.piece = l.piece AND r.pos = l.pos + 1 JOIN merges m ON m.first = l.token AND m.second = r.token
+    GROUP BY l.piece) best ON s.piece = best.piece
+  WHERE s.pos <> best.place + 1)
 SELECT piece, list(token ORDER BY pos) AS ids
-FROM (SELECT *, max(round) OVER (PARTITION BY piece) AS last FROM state) WHERE round = last
+FROM state JOIN (SELECT piece, max(round) AS round FROM state GROUP BY piece) USING (piece, round)
 GROUP BY piece
 """
 
