@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of BOOKS full-dimensional codewords, one from each codebook. Codebooks
-are fitted on a bounded sample: each by k-means on what the ones before leave over, then all of
-them together by least squares on beam-searched codes. Every vector is encoded by beam search,
+are fitted on a bounded sample: each by k-means on what the ones before leave over, then by
+least squares on beam-searched codes, one book at a time with the others held. Every vector is encoded by beam search,
 keeping the BEAM best partial sums at each book, and stored as its codes and the ratio of its own
 norm to its reconstruction's.
 
@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from .common import staged
 
 #: Most vectors on which codebooks are fitted, picked by hash of the id.
-SAMPLE = 16384
+SAMPLE = 8192
 BOOKS = 24
 WORDS = 256
 BEAM = 8
@@ -87,15 +87,17 @@ def fit_books(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int =
         found.append(c)
     c = np.stack(found)
     for _ in range(refine):
-        codes = beam_encode(x, c, 4).astype(np.int64) + np.arange(books) * words
-        gram, right = np.zeros((books * words, books * words)), np.zeros((books * words, x.shape[1]))
-        for i in range(books):
-            np.add.at(right, codes[:, i], x)
-            for j in range(books):
-                np.add.at(gram, (codes[:, i], codes[:, j]), 1.0)
-        gram[np.diag_indices_from(gram)] += 0.1
-        # Towards the present words where a word is little used.
-        c = np.linalg.solve(gram, right + 0.1 * c.reshape(-1, x.shape[1])).reshape(c.shape)
+        codes = beam_encode(x, c, 4)
+        error = x - c[np.arange(books), codes].sum(1)
+        for _ in range(3):
+            for i in range(books):
+                # The least-squares words of one book with the others held: means of what they leave.
+                own = error + c[i][codes[:, i]]
+                n = np.bincount(codes[:, i], minlength=words)
+                sums = np.zeros_like(c[i])
+                np.add.at(sums, codes[:, i], own)
+                c[i] = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c[i])
+                error = own - c[i][codes[:, i]]
     return c
 
 
