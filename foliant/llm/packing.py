@@ -77,7 +77,7 @@ class WordIds:
 
     def of_run(self, run: str) -> bytes:
         """Ids of one part as the tokenizer splits it."""
-        shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.of_byte)
+        shown = run if run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(self.of_byte)
         return array(self.kind, [t.id for t in self.merges.tokenize(shown)]).tobytes()
 
     def learn(self, words: set[str]) -> None:
