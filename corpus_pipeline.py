@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.llm.common import staged
 from foliant.llm.packing import pack, word_tokenizer
 from foliant.llm.pu_quality import keep_good
-from foliant.llm.quality_rules import judge
+from foliant.llm.quality_rules import keep_passing
 from foliant.llm.simhash import keep_one
 from foliant.llm.suffix_dedup import remove_repeats
 
@@ -23,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the cascade rejects."""
-    return judge(docs, docs.columns).where("kept").select(docs.columns)
+    return keep_passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,7 +184,14 @@ def score_texts(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the classifier accepts, all columns."""
-    return score_texts(docs, train(docs, labels), docs.columns).where(F.col("score") >= threshold).drop("score")
+    model, table = train(docs, labels), class_table()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = np.array([features(t, table) for t in b["text"]], np.float64).reshape(len(b), -1)
+            yield b[score(x, model) >= threshold]
+
+    return docs.mapInPandas(run, docs.schema)
 
 
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,12 @@ def judge(docs: DataFrame, keep: list[str], tests: dict[str, Column] | None = No
     return found.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(tests, order).isNull()))
 
 
+def keep_passing(docs: DataFrame, tests: dict[str, Column] | None = None) -> DataFrame:
+    """The rows of docs that are kept, all columns, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return judge(rows, ["_row"], tests).where("kept").select("_row.*")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -34,6 +34,8 @@ from .components import connected_components
 BITS = 64
 #: Most fingerprints at one signature that are paired; beyond, the neighbour keys take over.
 HOT = 64
+#: Beside whatever columns a table has.
+KEY = "_foliant_key"
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -224,15 +226,15 @@ def keep_one(docs: DataFrame, tau: int = 2) -> DataFrame:
 
     A null doc_id comes last. Of repeated rows one stays.
     """
-    key = F.xxhash64("doc_id", "text").alias("_key")
-    found = staged(fingerprints(docs.select("doc_id", "text", key), ["doc_id", "_key"]), "simhash")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key"))
+    key = F.xxhash64("doc_id", "text").alias(KEY)
+    found = staged(fingerprints(docs.select("doc_id", "text", key), ["doc_id", KEY]), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY))
     fps = staged(found.groupBy("fp").agg(first.alias("first")), "fingerprints")
     roots = connected_components(links(fps.select("fp"), tau)).select(F.col("node").alias("fp"), "root")
     stay = fps.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    stay = stay.select(F.col("first._key").alias("_key")).distinct()
+    stay = stay.select(F.col(f"first.{KEY}").alias(KEY)).distinct()
     # Rows of equal key are in one partition after the join, so dropping repeats shuffles no more.
-    return docs.select("*", key).join(stay, "_key", "left_semi").dropDuplicates().drop("_key")
+    return docs.select("*", key).join(stay, KEY, "left_semi").dropDuplicates().drop(KEY)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,20 +236,20 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     All columns of docs are kept; n_chars, if there, follows the new text. Of rows equal in
     doc_id and text, all are treated alike.
     """
-    cuts = passages(docs, min_words).where("removed").groupBy("rkey").agg(F.collect_list(F.struct("start_word", "n_words")).alias("_cuts"))
+    own = ["_foliant_key", "_foliant_cuts"]  # beside whatever columns docs has
+    cuts = passages(docs, min_words).where("removed").groupBy(F.col("rkey").alias(own[0])).agg(F.collect_list(F.struct("start_word", "n_words")).alias(own[1]))
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text = [t if c is None else cut_words(t, [(x["start_word"], x["n_words"]) for x in c]) for t, c in zip(b["text"], b["_cuts"], strict=True)]
-            emptied = np.array([c is not None and not t.strip() for t, c in zip(text, b["_cuts"], strict=True)], bool)
-            yield b.drop(columns="_cuts").assign(text=text)[~emptied]
+            text = [cut_words(t, [(x["start_word"], x["n_words"]) for x in c]) for t, c in zip(b["text"], b[own[1]], strict=True)]
+            emptied = np.array([not t.strip() for t in text], bool)
+            yield b.drop(columns=own[1]).assign(text=text)[~emptied]
 
-    keyed = docs.withColumn("_rkey", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(cuts, keyed["_rkey"] == cuts["rkey"], "left").drop("rkey", "_rkey")
+    joined = docs.withColumn(own[0], F.xxhash64("doc_id", "text")).join(cuts, own[0], "left").drop(own[0])
     # Rows without cuts needn't pass through Python.
-    plain = joined.where("_cuts is null").select(docs.columns)
-    edited = joined.where("_cuts is not null").mapInPandas(run, ", ".join(f"`{k}` {v}" for k, v in kinds.items()))
+    plain = joined.where(F.col(own[1]).isNull()).drop(own[1])
+    edited = joined.where(F.col(own[1]).isNotNull()).mapInPandas(run, docs.schema)
     if "n_chars" in kinds:
         edited = edited.withColumn("n_chars", F.char_length("text").cast(kinds["n_chars"]))
     return plain.unionByName(edited)
