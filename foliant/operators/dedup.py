@@ -33,20 +33,19 @@ def mark_duplicates(files: DataFrame, hash_col: str = "hash", priority: str = "p
     return out.withColumn("is_duplicate", copy).withColumn("duplicate_of", F.when(copy, F.col("first_path"))).drop("first_path")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.95, chars: int = 1000, bands: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.95, chars: int = 1000, keys: int = 20, gram: int = 8) -> DataFrame:
     """(doc_id, duplicate_of, similarity): earlier document whose first characters are that similar.
 
-    Similarity is one minus the edit distance over the longer length. Heads over ``threshold``
-    similar with at most (1 - threshold) * chars edits leave one of the bands of shingle minima
-    equal with high probability; only those are compared, each with the least id of its bucket, so
-    a bucket of n documents gives n comparisons.
+    Similarity is one minus the edit distance over the longer length. A head's keys are the least
+    hashes of its character grams; heads over ``threshold`` similar share most grams and so, with high
+    probability, several keys. A head is compared with the least id of each of its keys, so a key
+    of n documents gives n comparisons.
     """
     heads = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("head")).where(F.length("head") > 0)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("head") - 7, F.lit(1))), lambda i: F.substring("head", i, F.lit(8)))
-    mins = F.array(*[F.struct(F.lit(b).alias("band"), F.array_min(F.transform("grams", lambda g, b=b: F.xxhash64(g, F.lit(b)))).alias("key")) for b in range(bands)])
-    keyed = heads.withColumn("grams", grams).select("doc_id", "head", F.explode(mins).alias("k")).select("doc_id", "head", "k.band", "k.key")
-    least = keyed.groupBy("band", "key").agg(F.min(F.struct("doc_id", "head")).alias("f"), F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("f.doc_id").alias("first_id"), F.col("f.head").alias("first_head"))
-    pairs = keyed.join(least, ["band", "key"]).where("first_id < doc_id").select("doc_id", "head", "first_id", "first_head").dropDuplicates(["doc_id", "first_id"])
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("head") - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.substring("head", i, F.lit(gram))))
+    keyed = heads.select("doc_id", "head", F.explode(F.slice(F.sort_array(F.array_distinct(hashes)), 1, keys)).alias("key"))
+    least = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "head")).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", F.col("f.doc_id").alias("first_id"), F.col("f.head").alias("first_head"))
+    pairs = keyed.join(least, "key").where("first_id < doc_id").select("doc_id", "head", "first_id", "first_head").dropDuplicates(["doc_id", "first_id"])
     longest = F.greatest(F.length("head"), F.length("first_head"))
     most = F.floor(longest * (1 - threshold)).cast("int")
     edits = F.levenshtein("head", "first_head", int(chars * (1 - threshold)) + 1)
