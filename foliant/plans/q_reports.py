@@ -58,7 +58,7 @@ def _(s, d):
     return table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("a8_failure_taxonomy", WITH + "SELECT unnest(list_filter([CASE WHEN ocr_confidence < 0.2 THEN 'ocr' END, CASE WHEN ai_confidence IS NULL THEN 'classification' END, CASE WHEN doc_id % 6 = 0 THEN 'no_extraction' END], lambda x: x IS NOT NULL)) AS failure, count(*) AS n FROM archive GROUP BY ALL")
+@query("a8_failure_taxonomy", WITH + "SELECT failure, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN ocr_confidence < 0.2 THEN 'ocr' END, CASE WHEN ai_confidence IS NULL THEN 'classification' END, CASE WHEN doc_id % 6 = 0 THEN 'no_extraction' END], lambda x: x IS NOT NULL)) AS failure FROM archive) GROUP BY failure")
 def _(s, d):
     return O.failure_taxonomy(archive(s, d), {"ocr": F.col("ocr_confidence") < 0.2, "classification": F.col("ai_confidence").isNull(), "no_extraction": F.col("doc_id") % 6 == 0})
 
