@@ -37,7 +37,7 @@ def _(s, d):
 
 @query(
     "c4_regex_counts",
-    f"""WITH {RULES_SQL}, n AS (SELECT doc_id, label, ord, least(95, 10 * sum(len(regexp_extract_all(lower(text), pattern)))) AS score FROM documents, rules GROUP BY ALL)
+    f"""WITH {RULES_SQL}, n AS (SELECT doc_id, label, ord, least(95, 10 * sum(len(regexp_extract_all(lower(text), pattern))))::INT AS score FROM documents, rules GROUP BY ALL)
     SELECT doc_id, CASE WHEN score >= 30 THEN label ELSE 'other' END AS label, CASE WHEN score = 0 THEN 50 ELSE score END AS score FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1""",
 )
 def _(s, d):

@@ -198,7 +198,7 @@ def _(s, d):
 
 @query("o11_vat_breakdown", LINE + "SELECT doc_id, rate, sum(net) AS base, sum(vat) AS vat FROM v GROUP BY doc_id, rate")
 def _(s, d):
-    return O.vat_breakdown(O.line_amounts(items(s, d)))
+    return O.vat_breakdown(O.line_amounts(items(s, d))).withColumn("rate", F.col("rate").cast("int"))
 
 
 @query("o12_processing_stats", "SELECT count(*) AS orders, count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus <> 'F') AS failed, sum(2)::BIGINT AS n_rows, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS amount FROM orders")
