@@ -18,7 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(
+    return archive_of(table(spark, sf_dir, "orders"))
+
+
+def archive_of(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(
         "o_orderkey AS doc_id",
         "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPES.items()) + " END AS document_type",
         "CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderkey * 37 % 101 AS DOUBLE) / 100 END AS ai_confidence",
