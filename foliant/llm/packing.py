@@ -44,7 +44,7 @@ END_ID = 1
 #: Blanks to Python alone, letters whose lower case depends on the context or falls apart.
 ODD = re.compile("[\x1c-\x1f\u03a3\u0130]")
 #: A stop or comma after another sign, which belong together.
-STOPS = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+STOPS = re.compile(r"[.,](?<=(?:[^\w\s]|_)[.,])\s")
 
 
 class WordIds:
@@ -96,7 +96,7 @@ class WordIds:
     def of_texts(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
         for t in texts:
-            if ODD.search(t) or not unicodedata.is_normalized("NFC", t):
+            if ODD.search(t) or not (t.isascii() or unicodedata.is_normalized("NFC", t)):
                 split.append(None)
                 continue
             t = t.lower()
