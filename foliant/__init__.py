@@ -5,4 +5,12 @@
 ``sources``     readers and writers
 ``plans``       registered queries with the SQL that checks them
 ``streaming``   Structured Streaming forms
+
+Functions that run in Python workers are pickled by value, so executors need no copy of the package.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
