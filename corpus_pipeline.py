@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.common import staged
+from foliant.llm.near_copies import keep_first
 from foliant.llm.packing import pack, word_tokenizer
 from foliant.llm.pu_quality import keep_good
 from foliant.llm.quality_rules import keep_passing
-from foliant.llm.simhash import keep_one
 from foliant.llm.suffix_dedup import remove_repeats
 
 
@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
-    return keep_one(docs)
+    """The first document of each group that shares 4/5 or more of its five-word shingles."""
+    return keep_first(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import ann, bpe, common, components, license_scan, packing, pu_quality, quality_rules, sharding, simhash, suffix_dedup, url_filter
+from foliant.llm import ann, bpe, common, components, license_scan, near_copies, packing, pu_quality, quality_rules, sharding, simhash, suffix_dedup, url_filter
 from foliant.llm.queries import ORACLE_SQL, QUERIES
 from oracle import assert_equal, connect
 
@@ -143,6 +143,67 @@ def test_keep_one(odd, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def shingles(text):
+    w = tokens(text)
+    return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def first_copies(rows):
+    """Ids that stay when every pair of distinct shingle sets is compared."""
+    least = {}
+    for i, t in rows:
+        s = shingles(t)
+        least[s] = min(least.get(s, i), i)
+    sets = sorted(least, key=least.get)
+    root = {s: s for s in sets}
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    for k, a in enumerate(sets):
+        for b in sets[:k]:
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and len(a & b) * 9 >= 4 * (len(a) + len(b)) and a:
+                x, y = sorted((find(a), find(b)), key=least.get)
+                root[y] = x
+    return sorted(least[s] for s in sets if find(s) is s)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 64])
+def test_keep_first_is_brute_force(spark, odd, empty, hot):
+    rng = np.random.default_rng(3)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 120)] for _ in range(4)]
+    rows = []
+    for k in range(90):  # copies with some words changed, common beginnings and lone texts
+        w = list(base[k % 4]) if k % 3 else base[0][:40] + [f"w{x}" for x in rng.integers(0, 5000, 80)]
+        for at in rng.integers(0, 120, k % 9):
+            w[at] = f"new{k}"
+        rows.append((k, " ".join(w)))
+    want = first_copies(rows)
+    assert len(want) < 85
+    got = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), hot)
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+    if hot == 64:
+        kept = near_copies.keep_first(odd)
+        assert kept.columns == odd.columns
+        ids = Counter(r["doc_id"] for r in kept.collect())
+        assert ids[1] + ids[2] == 1 and ids[3] == 1 and ids[4] == ids[5] == 0 and ids[8] == 1 and ids[9] == ids[10] == 0
+        assert near_copies.keep_first(empty).count() == 0
+
+
+def test_pipeline_reaches_copies_beyond_two_bits(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = [f"term{k}" for k in range(96)]
+    pair = [(900001, " ".join(words), "en", "s", 1), (900002, " ".join([*words[:50], "other", *words[51:]]), "en", "s", 1)]
+    kept = corpus_pipeline.near_dedup(spark, docs.unionByName(spark.createDataFrame(pair, docs.schema)), sf).select("doc_id", "text").collect()
+    rows = docs.select("doc_id", "text").collect()
+    assert sorted(r["doc_id"] for r in kept) == [*first_copies([tuple(r) for r in rows]), 900001]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (5, 5)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
