@@ -5,7 +5,9 @@ Every such pair is found (prefix filter): with all shingles in any one order, se
 a shingle in common among the first n - ceil(4n/5) + 1 of each. The order is by hash, with shingles
 that over HOT sets show in their prefixes moved to the end, by that count; sets that showed one get
 new prefixes. So boilerplate and shared passages are keys only of sets that have little else.
-Pairs that meet at a key are verified by their whole sets.
+Of two prefixes, the one that ends first lies wholly within what both
+show, so two sets have at most their common prefix shingles and the rest of that set in common:
+pairs that fall short by this are dropped, the others verified by their whole sets.
 
 Keys still shared by over HOT sets belong to groups of copies. Their members are compared with the
 key's least node first. One minus the similarity is a metric: members linked to that node need no
@@ -38,6 +40,8 @@ MOVES = 2
 LINKED = "9 * both >= 4 * (n_u + n_v)"
 #: Sets whose sizes differ by more can't be linked.
 SIZES = "5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)"
+#: What a pair with c common prefix shingles can have in common at most still links it.
+WITHIN_REACH = "9 * (c + greatest((4 * n_u + 4) div 5, (4 * n_v + 4) div 5) - 1) >= 4 * (n_u + n_v)"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -122,8 +126,14 @@ def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT) -> DataFrame:
         return left.join(right, "key").where(SIZES)
 
     paired = met.where(F.col("m") <= hot)
-    plain = staged(pairs_of(paired, paired).where("u > v").select("u", "v").distinct(), "pairs")
     crowd = met.where(F.col("m") > hot)
+    counted = pairs_of(paired, paired).where("u > v").groupBy("u", "v", "n_u", "n_v").agg(F.count("*").alias("c"))
+    # Crowded keys aren't paired here; each that both have may be in common.
+    crowded = staged(crowd.groupBy("node").agg(F.count("*").alias("h")), "crowded")
+    for x in "uv":
+        counted = counted.join(crowded.select(F.col("node").alias(x), F.col("h").alias(f"h_{x}")), x, "left")
+    counted = counted.withColumn("c", F.col("c") + F.least(F.coalesce("h_u", F.lit(0)), F.coalesce("h_v", F.lit(0))))
+    plain = staged(counted.where(WITHIN_REACH).select("u", "v"), "pairs")
     sets = plain.select(F.col("u").alias("node")).unionByName(plain.select(F.col("v").alias("node"))).unionByName(crowd.select("node"))
     sets = staged(whole_sets(texts, nodes, sets), "shingle-sets")
     found = verified(plain, sets).where(LINKED).select("u", "v")
