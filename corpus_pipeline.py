@@ -38,7 +38,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens, with their ids."""
-    return pack(docs, word_tokenizer())
+    return pack(docs, word_tokenizer(), added=True)
 
 
 STAGES = [

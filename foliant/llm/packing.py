@@ -55,12 +55,18 @@ class WordIds:
     commas after a word are set apart, where it splits too. A run of letters then goes to the
     tokenizer's merges directly; other words are split into the tokenizer's parts first. Texts for
     which that could differ (not composed, contextual lower case, odd blanks) are encoded whole.
+    With ``added``, literals of the tokenizer's added tokens have those tokens' ids, as in its plain
+    encode(); texts that hold one are encoded whole.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        #: For whole texts. Words are lower-cased already and must not become added tokens by that.
+        self.plain = Tokenizer.from_str(definition)
+        self.plain.encode_special_tokens = not added
+        self.literals = [t.content for t in self.plain.get_added_tokens_decoder().values()] if added else []
         self.tokenizer.encode_special_tokens = True
         self.merges = self.tokenizer.model
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
@@ -73,7 +79,10 @@ class WordIds:
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.kind, self.plain.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def of_word(self, word: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def of_run(self, run: str) -> bytes:
         """Ids of one part as the tokenizer splits it."""
@@ -91,12 +100,12 @@ class WordIds:
             elif w.isascii():
                 known[w] = b"".join([known.get(p) or known.setdefault(p, self.of_run(p)) for p in self.parts(w)])
             else:
-                known[w] = self.whole(w)
+                known[w] = self.of_word(w)
 
     def of_texts(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
         for t in texts:
-            if ODD.search(t) or not (t.isascii() or unicodedata.is_normalized("NFC", t)):
+            if any(x in t for x in self.literals) or ODD.search(t) or not (t.isascii() or unicodedata.is_normalized("NFC", t)):
                 split.append(None)
                 continue
             t = t.lower()
@@ -108,7 +117,7 @@ class WordIds:
         return [self.whole(texts[k]) if ws is None else b"".join([known[w] for w in ws]) for k, ws in enumerate(split)]
 
 
-def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, added: bool = False) -> DataFrame:
     """Rows of docs (doc_id, source, text) as (_part, _row, doc_id, source, ids, n, _queued).
 
     ids holds the text's ids and END_ID, n their number, _queued the tokens of the same source in
@@ -119,7 +128,7 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
         definition = f.read()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(definition)
+        words = WordIds(definition, added)
         end = array(words.kind, [END_ID]).tobytes()
         width = len(end)
         part, row, queued = TaskContext.get().partitionId(), 0, {}
@@ -181,14 +190,14 @@ def placed(tokens: DataFrame, mixture: dict[str, float] | None, length: int) ->
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, mixture: dict[str, float] | None = None, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, mixture: dict[str, float] | None = None, length: int = LENGTH, with_ids: bool = True, added: bool = False) -> DataFrame:
     """The pieces of all rows of docs (doc_id, source, text), each with its place in a sequence.
 
     Columns: doc_id, source, start, length, doc_tokens, sequence_id, offset, ids_crc32 and, if
-    with_ids, ids (array<int>). Tokenized rows are written to the shared folder, once; only their
+    with_ids, ids (array<int>). added is as in WordIds. Tokenized rows are written to the shared folder, once; only their
     numbers are sorted into windows, and each row of ids moves once, to be cut.
     """
-    tokens = staged(tokenized(docs, tokenizer), "tokens")
+    tokens = staged(tokenized(docs, tokenizer, added), "tokens")
     rows = tokens.select("_part", "_row", "doc_id", "source", "ids", "n").join(placed(tokens, mixture, length), ["_part", "_row"])
     kinds = dict(docs.dtypes)
 
@@ -219,5 +228,5 @@ def word_tokenizer() -> str:
 def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """All documents in sequences of 2048 tokens, sources in the corpus's own proportions."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    pieces = pack(docs, tokenizer or word_tokenizer(), with_ids=False)
+    pieces = pack(docs, tokenizer or word_tokenizer(), with_ids=False, added=True)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")

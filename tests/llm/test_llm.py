@@ -458,6 +458,16 @@ def test_word_ids_equal_the_tokenizer():
     same()
 
 
+def test_word_ids_of_added_tokens():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.word_tokenizer())
+    with open(packing.word_tokenizer(), encoding="utf-8") as f:
+        words = packing.WordIds(f.read(), added=True)
+    for text in ("a <|endoftext|> b", "x<|startoftext|>É. y", "É<|ENDOFTEXT|>", "<|EndOfText|> z, <|endoftext|", "Σ <|endoftext|>", "plain. text"):
+        assert np.frombuffer(words.of_texts([text])[0], "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 # Rules
 
 
