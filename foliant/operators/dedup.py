@@ -33,24 +33,47 @@ def mark_duplicates(files: DataFrame, hash_col: str = "hash", priority: str = "p
     return out.withColumn("is_duplicate", copy).withColumn("duplicate_of", F.when(copy, F.col("first_path"))).drop("first_path")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.95, chars: int = 1000, keys: int = 20, gram: int = 8) -> DataFrame:
-    """(doc_id, duplicate_of, similarity): earlier document whose first characters are that similar.
+def _head_pairs(keyed: DataFrame, most: int) -> DataFrame:
+    """(u, v), u < v: first ids of heads that meet at a key; keyed has first_id, head, keys.
 
-    Similarity is one minus the edit distance over the longer length. A head's keys are the least
-    hashes of its character grams; heads over ``threshold`` similar share most grams and so, with high
-    probability, several keys. A head is compared with the least id of each of its keys, so a key
-    of n documents gives n comparisons.
+    Members of a key of over ``most`` heads meet if they share a second key too.
+    """
+    single = keyed.select("first_id", "keys", F.explode("keys").alias("key"))
+    counts = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = single.join(counts, "key")
+    few = met.where(F.col("n") <= most).select("first_id", "key", F.lit(None).cast("long").alias("second"))
+    others = F.when(F.size("keys") > 1, F.filter("keys", lambda k: k != F.col("key"))).otherwise(F.col("keys"))
+    over = met.where(F.col("n") > most).select("first_id", "key", F.explode(others).alias("second"))
+    rows = few.unionByName(over)
+    u, v = (rows.select("key", "second", F.col("first_id").alias(x)) for x in "uv")
+    same = (u["key"] == v["key"]) & u["second"].eqNullSafe(v["second"]) & (F.col("u") < F.col("v"))
+    return u.join(v, same).select("u", "v").distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.95, chars: int = 1000, keys: int = 20, gram: int = 8, most: int = 64) -> DataFrame:
+    """(doc_id, duplicate_of, similarity): earliest document whose first characters are that similar.
+
+    Similarity is one minus the edit distance over the longer length. Equal heads are compared once.
+    A head's keys are the least hashes of its character grams; heads over ``threshold`` similar share
+    most grams and so, with high probability, several keys. All heads that share a key are compared;
+    of a key that over ``most`` heads have, those that share another key as well.
     """
     heads = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("head")).where(F.length("head") > 0)
+    firsts = heads.groupBy("head").agg(F.min("doc_id").alias("first_id"))
     hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("head") - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.substring("head", i, F.lit(gram))))
-    keyed = heads.select("doc_id", "head", F.explode(F.slice(F.sort_array(F.array_distinct(hashes)), 1, keys)).alias("key"))
-    least = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "head")).alias("f"), F.count("*").alias("n")).where("n > 1").select("key", F.col("f.doc_id").alias("first_id"), F.col("f.head").alias("first_head"))
-    pairs = keyed.join(least, "key").where("first_id < doc_id").select("doc_id", "head", "first_id", "first_head").dropDuplicates(["doc_id", "first_id"])
-    longest = F.greatest(F.length("head"), F.length("first_head"))
-    most = F.floor(longest * (1 - threshold)).cast("int")
-    edits = F.levenshtein("head", "first_head", int(chars * (1 - threshold)) + 1)
-    close = pairs.select("doc_id", "first_id", (1 - edits / longest).alias("similarity"), ((edits >= 0) & (edits <= most)).alias("ok")).where("ok")
-    return close.groupBy("doc_id").agg(F.min("first_id").alias("duplicate_of"), F.max_by("similarity", F.negative("first_id")).alias("similarity"))
+    pairs = _head_pairs(firsts.select("first_id", F.slice(F.sort_array(F.array_distinct(hashes)), 1, keys).alias("keys")), most)
+    u, v = (firsts.select(F.col("first_id").alias(x), F.col("head").alias(f"head_{x}")) for x in "uv")
+    longest = F.greatest(F.length("head_u"), F.length("head_v"))
+    bound = F.floor(longest * (1 - threshold)).cast("int")
+    sized = pairs.join(u, "u").join(v, "v").where(F.abs(F.length("head_u") - F.length("head_v")) <= bound)
+    edits = F.levenshtein("head_u", "head_v", int(chars * (1 - threshold)) + 1)
+    close = sized.select("u", "v", (1 - edits / longest).alias("similarity"), ((edits >= 0) & (edits <= bound)).alias("ok")).where("ok")
+    # A later copy of the earlier head follows the first of the later one as well: heads look both ways.
+    both = close.select(F.col("u").alias("first_id"), F.col("v").alias("other"), "similarity").unionByName(close.select(F.col("v").alias("first_id"), F.col("u").alias("other"), "similarity"))
+    near = both.unionByName(firsts.select("first_id", F.col("first_id").alias("other"), F.lit(1.0).alias("similarity")))
+    best = near.groupBy("first_id").agg(F.min_by(F.struct("other", "similarity"), "other").alias("b"))
+    out = heads.join(firsts, "head").select("doc_id", "first_id").join(best, "first_id").where("b.other < doc_id")
+    return out.select("doc_id", F.col("b.other").alias("duplicate_of"), F.col("b.similarity").alias("similarity"))
 
 
 def dedup_cascade(docs: DataFrame, threshold: float = 0.95) -> DataFrame:

@@ -1,5 +1,6 @@
 """Literal fixtures for operators whose cases the corpus doesn't hold."""
 
+import random
 from datetime import date
 from decimal import Decimal
 
@@ -57,6 +58,16 @@ def test_near_duplicates_by_head(spark):
     assert got == [(2, 1)]
 
 
+@pytest.mark.parametrize("most", [2, 64])
+def test_near_duplicates_need_not_share_the_first_of_a_key(spark, most):
+    rng = random.Random(4)
+    lead, body, other, more = ("".join(rng.choices("abcdefghijklmnopqrst ", k=500)) for _ in range(4))
+    head = lead + body
+    rows = list(enumerate([lead + other, more + body, head, head[:700] + "!" + head[701:], head[:620] + "?" + head[620:], head, lead + more[::-1]]))
+    got = {r["doc_id"]: (r["duplicate_of"], r["similarity"]) for r in D.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()}
+    assert got == {3: (2, 0.999), 4: (2, 0.998), 5: (2, 1.0)}
+
+
 def test_chain_members_are_unique_per_slot(spark):
     rows = [(1, "order", "P1", None, None), (2, "invoice", "P1", "F1", "V1"), (3, "invoice", "P1", "F2", None), (4, "payment", None, "F1", "V1"), (5, "receipt", None, None, None)]
     meta = spark.createDataFrame(rows, "doc_id long, document_type string, order_number string, invoice_number string, variable_symbol string").withColumns({"created_at": F.lit("2024-01-01").cast("timestamp"), "amount": F.lit(1.0), "vendor": F.lit("x")})
