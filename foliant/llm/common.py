@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +48,17 @@ def clear_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def per_worker(kind: str, key: str, make: Callable[[], Any]) -> Any:
+    """make(), once for each Python worker and key; a worker keeps the last object of each kind.
+
+    For what is costly to build and doesn't change, such as a tokenizer and the words it has seen.
+    """
+    kept = sys.modules.setdefault("foliant_worker", types.ModuleType("foliant_worker")).__dict__
+    if kept.get(kind, (None,))[0] != key:
+        kept[kind] = (key, make())
+    return kept[kind][1]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once for a row however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

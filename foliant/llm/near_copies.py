@@ -1,47 +1,55 @@
-"""Near copies by exact similarity of word shingles: one document kept of each group.
-
-Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 4/5.
-Every such pair is found (prefix filter): with all shingles in any one order, sets that similar have
-a shingle in common among the first n - ceil(4n/5) + 1 of each. The order is by hash, with shingles
-that over HOT sets show in their prefixes moved to the end, by that count; sets that showed one get
-new prefixes. So boilerplate and shared passages are keys only of sets that have little else.
-Of two prefixes, the one that ends first lies wholly within what both
-show, so two sets have at most their common prefix shingles and the rest of that set in common:
-pairs that fall short by this are dropped, the others verified by their whole sets.
-
-Keys still shared by over HOT sets belong to groups of copies. Their members are compared with the
-key's least node first. One minus the similarity is a metric: members linked to that node need no
-links among each other, and others only to members whose distance to it is within 1/5 of theirs.
+"""Near copies by wide SimHash fingerprints: one document kept of each group.
+
+Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 4/5. At
+that similarity about 15 % of a SimHash's bits differ, so 64 bits and a few flips can't find such
+pairs. The same search is done with WORDS * 64 bits: they are put into groups, correlated bits
+together, dynamic programming leaves out the groups that cost most in candidates (threshold -1) and
+searches the rest for equality (threshold 0), so that fingerprints within tau bits agree in some
+group. Further groupings of the same bits, dealt at random, find those that lie farther apart:
+groups are about log2(nodes) + SPARE bits wide, and there are so many that a pair at 4/5 is missed
+with probability MISS (a more similar one with less). Candidates are probed by an equi-join on (group, bits), sifted by
+their distance in one word and then in all, and verified by their whole shingle sets.
+
+Keys that over HOT sets share belong to groups of copies and aren't paired. Their members are
+compared with the key's hub first, the member with most such keys. One minus the similarity is a
+metric: members linked to the hub need no links among each other, and others only to members whose
+distance to the hub is within 1/5 of theirs.
 
 Defined results: equal sets are one node; null and blank texts are copies of each other; texts of
-fewer words than a shingle hash whole.
+fewer words than a shingle hash whole; of a group the least doc_id stays, null last, and repeated
+rows once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import staged
 from .components import connected_components
-from .simhash import KEY
+from .simhash import bit_groups, keyed_rows, rows_of
 
 SHINGLE = 5
+#: Words of 64 bits of a fingerprint.
+WORDS = 8
+#: Bits of a group beyond the logarithm of the number of nodes.
+SPARE = 2
+#: Share of bits in which a pair at 4/5 differs, and with what probability it may be missed.
+APART = 0.152
+MISS = 0.02
+#: Most differing bits of a candidate, in one word and in all: the mean at 4/5 and 4.5 deviations.
+NEAR_WORD, NEAR_ALL = 23, 115
 #: Most sets at one key that are paired.
 HOT = 64
-#: Times that common shingles are moved to the end of the order.
-MOVES = 2
+#: Most fingerprints, picked by hash, from which bits are grouped and candidates estimated.
+SAMPLE = 2048
 #: A similarity of 4/5, in whole numbers: 5 * both >= 4 * (a + b - both).
 LINKED = "9 * both >= 4 * (n_u + n_v)"
-#: Sets whose sizes differ by more can't be linked.
-SIZES = "5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)"
-#: What a pair with c common prefix shingles can have in common at most still links it.
-WITHIN_REACH = "9 * (c + greatest((4 * n_u + 4) div 5, (4 * n_v + 4) div 5) - 1) >= 4 * (n_u + n_v)"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -56,12 +64,24 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(h, np.uint64).view(np.int64))
 
 
-def prefix_length(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1 if n else 0
+def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """SimHash of a set of 64-bit hashes, each mixed anew for every word of the fingerprint."""
+    ones = np.zeros((words, 64), np.int64)
+    for at in range(0, len(hashes), 16384):
+        for k in range(words):
+            x = hashes[at : at + 16384].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.int64).ravel()
+
+
+FP = [f"f{k}" for k in range(WORDS)]
 
 
-def shingled(docs: DataFrame, keep: list[str], whole: bool = False) -> DataFrame:
-    """keep, node (names the set), n (its size) and keys (its first by hash, or all) of rows of docs (keep, text)."""
+def fingerprinted(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, node (names the shingle set), n (its size) and f0, f1, ... (its fingerprint) of docs (keep, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -71,38 +91,92 @@ def shingled(docs: DataFrame, keep: list[str], whole: bool = False) -> DataFrame
                 part = b.iloc[at : at + 1000]
                 sets = [shingle_set(t) for t in part["text"]]
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                keys = sets if whole else [s[: prefix_length(len(s))] for s in sets]
-                yield part[keep].assign(node=nodes, n=[len(s) for s in sets], keys=keys)
+                fps = np.array([wide_fingerprint(s) for s in sets], np.int64).reshape(len(part), WORDS)
+                yield part[keep].assign(node=nodes, n=[len(s) for s in sets], **dict(zip(FP, fps.T, strict=True)))
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "node long, n int, keys array<long>"]))
+    return docs.select(*keep, "text").mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "node long, n int", *(f"{f} long" for f in FP)]))
+
+
+def unpacked(fps: np.ndarray) -> np.ndarray:
+    """Bits of the rows of fps (rows, WORDS)."""
+    return np.unpackbits(np.ascontiguousarray(fps, "<i8").view(np.uint8).reshape(len(fps), 8 * WORDS), axis=1, bitorder="little")
+
+
+def groupings(nodes: int, sample: np.ndarray, miss: float = MISS) -> list[list[int]]:
+    """The groups of bits to search, by how many nodes there are and the bits of a sample of them.
+
+    The first grouping is by correlation. Of its groups those are searched whose candidates and
+    signatures are fewest; as many bits may differ as there are others, less one, and one such group
+    still agrees. The choice is by dynamic programming over thresholds -1 and 0.
+    """
+    bits = 64 * WORDS
+    width = min(48, max(8, ceil(log2(nodes + 1)) + SPARE))
+    m = bits // width
+    rng = np.random.default_rng(1)
+    # All groups are of the same bits, so that a pair's own share of differing bits counts.
+    alone = 1 - (1 - rng.binomial(bits, APART, 4000) / bits) ** width
+    wanted = 1
+    while (alone**wanted).mean() > miss:
+        wanted += 1
+    x = sample.astype(np.float32)
+    pairs = rng.integers(0, len(x), (20000, 2))
+    differ = sample[pairs[:, 0]] != sample[pairs[:, 1]]
+    out: list[list[int]] = []
+    for r in range(ceil(wanted / m)):
+        groups = bit_groups(len(x), x.T @ x, m) if r == 0 else [sorted(g.tolist()) for g in np.array_split(rng.permutation(bits), m)]
+        share = [np.prod(1 - differ[:, g].mean(0)) for g in groups]
+        cost = [nodes + nodes * nodes / 2 * max(s, (~differ[:, g].any(1)).mean()) for g, s in zip(groups, share, strict=True)]
+        #: best[k]: least cost of k groups searched among those so far, and which.
+        most = min(m, wanted - len(out))
+        best: list[tuple[float, tuple[int, ...]]] = [(0.0, ())] + [(float("inf"), ())] * most
+        for i, c in enumerate(cost):
+            for k in range(most, 0, -1):
+                if best[k - 1][0] + c < best[k][0]:
+                    best[k] = (best[k - 1][0] + c, (*best[k - 1][1], i))
+        out += [groups[i] for i in best[most][1]]
+    return out
+
+
+def signatures(nodes: DataFrame, groups: list[list[int]]) -> DataFrame:
+    """(key, node, f0) for each node and group: the group's number and the node's bits in it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                part = b.iloc[at : at + 2000]
+                bits = unpacked(part[FP].to_numpy(np.int64)).astype(np.int64)
+                keys = np.stack([bits[:, g] @ (1 << np.arange(len(g), dtype=np.int64)) | (k << 49) for k, g in enumerate(groups)], 1)
+                yield pd.DataFrame({"node": part["node"], "f0": part["f0"], "keys": list(keys)})
+
+    found = nodes.select("node", *FP).mapInPandas(run, "node long, f0 long, keys array<long>")
+    return found.select("node", "f0", F.explode("keys").alias("key"))
+
+
+def apart(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct pairs (u, v) whose sizes and whole fingerprints allow a similarity of 4/5."""
+    u, v = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(f).alias(f"{f}_{x}") for f in FP]) for x in "uv")
+    both = pairs.select("u", "v").distinct().join(u, "u").join(v, "v").where("5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)")
+    return both.where(sum((apart(F.col(f"{f}_u"), F.col(f"{f}_v")) for f in FP), F.lit(0)) <= NEAR_ALL).select("u", "v")
 
 
 def whole_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, keys) with all shingles of the wanted nodes; texts has KEY and text, nodes node and KEY."""
-    rows = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select(KEY)
-    return shingled(texts.join(rows, KEY, "left_semi").dropDuplicates([KEY]), [], whole=True)
-
-
-def prefixes(texts: DataFrame, nodes: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(node, n, key) of the prefixes of all nodes, and (key, m) of the keys of m > 1 nodes."""
-    now = nodes.where("n > 0").select("node", "n", "keys")
-    common = None
-    for left in range(MOVES, -1, -1):
-        keyed = now.select("node", "n", F.explode("keys").alias("key"))
-        shared = staged(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared-shingles")
-        over = shared.where(F.col("m") > hot)
-        over = over.join(common.select("key"), "key", "left_anti") if common is not None else over
-        if not left or over.isEmpty():
-            return keyed, shared
-        moved = staged(keyed.join(over.select("key"), "key", "left_semi").select("node").distinct(), "moved")
-        common = staged(over if common is None else common.unionByName(over), "common-shingles")
-        every = whole_sets(texts, nodes, moved).select("node", "n", F.explode("keys").alias("key")).join(common, "key", "left")
-        order = Window.partitionBy("node", "n").orderBy(F.coalesce("m", F.lit(0)), "key")
-        few = every.withColumn("_n", F.row_number().over(order)).where("_n <= n - (4 * n + 4) div 5 + 1")
-        again = few.groupBy("node", "n").agg(F.collect_list("key").alias("keys"))
-        now = staged(now.join(moved, "node", "left_anti").unionByName(again), "prefixes")
-    raise AssertionError
+    """(node, n, keys) with all shingles of the wanted nodes; texts has key and text, nodes node and key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at : at + 1000]
+                sets = [shingle_set(t) for t in part["text"]]
+                yield pd.DataFrame({"node": part["node"], "n": [len(s) for s in sets], "keys": sets})
+
+    rows = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "key")
+    one = texts.join(rows, "key").dropDuplicates(["node"])
+    return one.select("node", "text").mapInPandas(run, "node long, n int, keys array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -112,55 +186,62 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.withColumn("both", F.size(F.array_intersect("keys_u", "keys_v"))).drop("keys_u", "keys_v")
 
 
-def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """Links (u, v) that connect all nodes of similarity 4/5 or more; each link is itself that similar.
+def pairs_at(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(u, v, ...) of the rows of a and b (key, node, f0) that meet at a key and are near in one word."""
+    left, right = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in x.columns if c != "key"]) for x, s in ((a, "u"), (b, "v")))
+    met = left.join(right, "key").where("node_u <> node_v").where(apart(F.col("f0_u"), F.col("f0_v")) <= NEAR_WORD)
+    return met.withColumnsRenamed({"node_u": "u", "node_v": "v"})
 
-    texts has KEY and text, nodes node, n, keys and the KEY of one text of each node.
-    """
-    keyed, shared = prefixes(texts, nodes, hot)
-    met = staged(keyed.join(shared, "key"), "met")
-
-    def pairs_of(a: DataFrame, b: DataFrame) -> DataFrame:
-        left = a.select("key", F.col("node").alias("u"), F.col("n").alias("n_u"), *[F.col(c).alias(f"{c}_u") for c in a.columns if c == "far"])
-        right = b.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), *[F.col(c).alias(f"{c}_v") for c in b.columns if c == "far"])
-        return left.join(right, "key").where(SIZES)
-
-    paired = met.where(F.col("m") <= hot)
-    crowd = met.where(F.col("m") > hot)
-    counted = pairs_of(paired, paired).where("u > v").groupBy("u", "v", "n_u", "n_v").agg(F.count("*").alias("c"))
-    # Crowded keys aren't paired here; each that both have may be in common.
-    crowded = staged(crowd.groupBy("node").agg(F.count("*").alias("h")), "crowded")
-    for x in "uv":
-        counted = counted.join(crowded.select(F.col("node").alias(x), F.col("h").alias(f"h_{x}")), x, "left")
-    counted = counted.withColumn("c", F.col("c") + F.least(F.coalesce("h_u", F.lit(0)), F.coalesce("h_v", F.lit(0))))
-    plain = staged(counted.where(WITHIN_REACH).select("u", "v"), "pairs")
-    sets = plain.select(F.col("u").alias("node")).unionByName(plain.select(F.col("v").alias("node"))).unionByName(crowd.select("node"))
-    sets = staged(whole_sets(texts, nodes, sets), "shingle-sets")
-    found = verified(plain, sets).where(LINKED).select("u", "v")
 
-    crowd = crowd.select("key", "node", "n").join(crowd.groupBy("key").agg(F.min("node").alias("v")), "key").where("node > v")
-    to_least = staged(verified(crowd.select(F.col("node").alias("u"), "v").distinct(), sets), "to-least")
-    near = to_least.where(LINKED).select("u", "v")
-    away = to_least.select(F.col("u").alias("node"), "v", (1 - F.col("both") / (F.col("n_u") + F.col("n_v") - F.col("both"))).alias("far"), F.expr(LINKED).alias("linked"))
-    placed = crowd.join(away, ["node", "v"])
-    rest = pairs_of(placed.where("not linked"), placed).where("u <> v and far_v >= far_u - 0.2 - 1e-9")
-    rest = rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    return found.unionByName(near).unionByName(verified(rest, sets).where(LINKED).select("u", "v"))
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """The row with the least doc_id (then the least text hash) of each group of near copies; all columns of docs.
+def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT, miss: float = MISS) -> DataFrame:
+    """Links (u, v) among nodes; each is of similarity 4/5 or more.
 
-    A null doc_id comes last. Of repeated rows one stays.
+    texts has key and text; nodes has node, n, f0, f1, ... and the key of one text of each node.
     """
-    key = F.xxhash64("doc_id", "text").alias(KEY)
-    texts = docs.select("text", key)
-    found = staged(shingled(docs.select("doc_id", "text", key), ["doc_id", KEY]), "shingles")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY))
-    nodes = staged(found.groupBy("node").agg(first.alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    nodes = nodes.withColumn(KEY, F.col(f"first.{KEY}"))
-    roots = connected_components(copy_links(texts, nodes, hot)).select("node", "root")
+    some = nodes.where("n > 0")
+    total = some.count()
+    picked = some.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30)) + 1)
+    sample = picked.select(*FP).limit(2 * SAMPLE).collect()  # bounded
+    if not sample:
+        return nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    keyed = signatures(some, groupings(total, unpacked(np.array(sample, np.int64)), miss))
+    # The two nodes of most keys that are shared at all stand in the aggregate itself.
+    one = F.struct("node", "f0")
+    shared = staged(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(one).alias("a"), F.max(one).alias("b")).where("m > 1"), "shared-signatures")
+    two = shared.where("m = 2").where(apart(F.col("a.f0"), F.col("b.f0")) <= NEAR_WORD).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    met = staged(keyed.join(shared.where("m > 2").select("key", "m"), "key"), "met")
+    few, crowd = met.where(F.col("m") <= hot).drop("m"), met.where(F.col("m") > hot).drop("m")
+    plain = ordered(two.unionByName(pairs_at(few, few).where("u > v").select("u", "v")))
+    plain = staged(near(plain, some), "pairs")
+
+    # Hubs of crowded keys: the member with most of them, which lies in the middle of its copies.
+    often = crowd.groupBy("node").agg(F.count("*").alias("h"))
+    crowd = staged(crowd.join(often, "node"), "crowd")
+    hubs = crowd.groupBy("key").agg(F.max(F.struct("h", "node")).alias("hub")).select("key", F.col("hub.node").alias("v"))
+    crowd = crowd.select("key", "node", "f0").join(hubs, "key")
+    to_hub = crowd.where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    ends = [plain.select(F.col(x).alias("node")) for x in "uv"] + [crowd.select("node")]
+    sets = staged(whole_sets(texts, nodes, ends[0].unionByName(ends[1]).unionByName(ends[2])), "shingle-sets")
+    found = verified(plain, sets).where(LINKED).select("u", "v")
+    to_hub = staged(verified(to_hub, sets), "to-hub")
+    linked = to_hub.where(LINKED).select("u", "v")
+    away = to_hub.select(F.col("u").alias("node"), "v", (1 - F.col("both") / (F.col("n_u") + F.col("n_v") - F.col("both"))).alias("far"), F.expr(LINKED).alias("linked"))
+    placed = crowd.join(away, ["node", "v"]).select("key", "node", "f0", "far", "linked")
+    rest = pairs_at(placed.where("not linked"), placed).where("far_v >= far_u - 0.2 - 1e-9 and far_v <= far_u + 0.2 + 1e-9")
+    rest = staged(near(ordered(rest), some), "rest")
+    return found.unionByName(linked).unionByName(verified(rest, sets).where(LINKED).select("u", "v"))
+
+
+def keep_first(docs: DataFrame, hot: int = HOT, miss: float = MISS) -> DataFrame:
+    """The row with the least doc_id (then the least text hash) of each group of near copies; all columns of docs."""
+    rows = keyed_rows(docs)
+    found = staged(fingerprinted(rows.select("doc_id", "text", "key"), ["doc_id", "key"]), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    nodes = staged(found.groupBy("node").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("n", *FP)]).withColumn("key", F.col("first.key")), "nodes")
+    roots = connected_components(copy_links(rows.select("key", "text"), nodes, hot, miss)).select("node", "root")
     stay = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    stay = stay.select(F.col(f"first.{KEY}").alias(KEY)).distinct()
-    # Rows of equal key are in one partition after the join, so dropping repeats shuffles no more.
-    return docs.select("*", key).join(stay, KEY, "left_semi").dropDuplicates().drop(KEY)
+    return rows_of(rows, stay.select("first.key"))

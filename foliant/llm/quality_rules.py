@@ -118,7 +118,7 @@ def judge(docs: DataFrame, keep: list[str], tests: dict[str, Column] | None = No
 
 def keep_passing(docs: DataFrame, tests: dict[str, Column] | None = None) -> DataFrame:
     """The rows of docs that are kept, all columns, whatever their names."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rows = docs.select(F.struct("*").alias("_row"), "text")
     return judge(rows, ["_row"], tests).where("kept").select("_row.*")
 
 

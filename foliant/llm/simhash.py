@@ -32,10 +32,10 @@ from .common import staged
 from .components import connected_components
 
 BITS = 64
+#: Most fingerprints, picked by hash, whose pairs show how far apart fingerprints are within a group.
+SAMPLE = 2048
 #: Most fingerprints at one signature that are paired; beyond, the neighbour keys take over.
 HOT = 64
-#: Beside whatever columns a table has.
-KEY = "_foliant_key"
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -95,23 +95,41 @@ def bit_groups(rows: int, both: np.ndarray, groups: int) -> list[list[int]]:
     spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
     tie = np.abs((p - np.outer(mean, mean)) / np.outer(spread, spread))
     np.fill_diagonal(tie, 0)
-    free, out = set(range(BITS)), []
+    free, out = np.ones(len(p), bool), []
     for g in range(groups):
-        width = len(free) // (groups - g)
-        own = [max(sorted(free), key=lambda b: tie[b, sorted(free)].sum())]
-        free.discard(own[0])
+        width = int(free.sum()) // (groups - g)
+        own = [int(np.where(free, tie @ free, -1).argmax())]
+        free[own[0]] = False
+        near = tie[own[0]].copy()
         while len(own) < width:
-            nearest = max(sorted(free), key=lambda b: tie[b, own].sum())
-            own.append(nearest)
-            free.discard(nearest)
+            own.append(int(np.where(free, near, -1).argmax()))
+            free[own[-1]] = False
+            near += tie[own[-1]]
         out.append(sorted(own))
     return out
 
 
-def expected_cost(rows: int, differ: np.ndarray, threshold: int) -> float:
+def sampled(fps: DataFrame, rows: int, size: int = SAMPLE) -> np.ndarray:
+    """Bits (fingerprints, 64) of about size of fps (fp), at most twice as many; picked by hash."""
+    picked = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, size / max(rows, 1)) * (1 << 30)) + 1)
+    found = np.array([r["fp"] for r in picked.limit(2 * size).collect()], np.int64)  # bounded
+    return np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def shares_within(bits: np.ndarray, most: int) -> np.ndarray:
+    """Share of the pairs of rows of bits that differ in at most 0, 1, ..., most places."""
+    x = bits.astype(np.float32)
+    ones = x.sum(1)
+    apart = (ones[:, None] + ones[None, :] - 2 * x @ x.T)[np.triu_indices(len(x), 1)]
+    return np.array([(apart <= t + 0.5).mean() if len(apart) else 0.0 for t in range(most + 1)])
+
+
+def expected_cost(rows: int, differ: np.ndarray, seen: np.ndarray, threshold: int) -> float:
     """Signatures written plus candidates expected for a group at a threshold.
 
-    differ: for each bit of the group, the share of pairs that differ in it.
+    differ: for each bit of the group, the share of pairs that differ in it; seen: shares_within of
+    the sample's pairs. Bits of a group are correlated, so that the first, taken for independent,
+    give too few near pairs; they serve where the sample has none.
     """
     if threshold < 0:
         return 0.0
@@ -119,10 +137,10 @@ def expected_cost(rows: int, differ: np.ndarray, threshold: int) -> float:
     for d in differ:
         at = np.convolve(at, [1 - d, d])
     signatures = rows * (1 + sum(comb(len(differ), k) for k in range(threshold + 1)))
-    return signatures + rows * rows / 2 * at[: threshold + 1].sum()
+    return signatures + rows * rows / 2 * max(at[: threshold + 1].sum(), seen[threshold])
 
 
-def allocate(rows: int, both: np.ndarray, tau: int, most_groups: int = 5) -> list[tuple[list[int], int]]:
+def allocate(rows: int, both: np.ndarray, sample: np.ndarray, tau: int, most_groups: int = 5) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the groups to search, with the least expected cost."""
     mean = np.diag(both) / max(rows, 1)
     differ = 2 * mean * (1 - mean)
@@ -132,7 +150,8 @@ def allocate(rows: int, both: np.ndarray, tau: int, most_groups: int = 5) -> lis
         #: states[s] = least cost and thresholds of the groups so far whose thresholds sum to s.
         states: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for bits in groups:
-            cost = {t: expected_cost(rows, differ[bits], t) for t in range(-1, tau + 1)}
+            seen = shares_within(sample[:, bits], tau)
+            cost = {t: expected_cost(rows, differ[bits], seen, t) for t in range(-1, tau + 1)}
             after: dict[int, tuple[float, tuple[int, ...]]] = {}
             for s, (c, ts) in states.items():
                 for t, more in cost.items():
@@ -169,7 +188,7 @@ def links(fps: DataFrame, tau: int = 2, hot: int = HOT) -> DataFrame:
     if not 0 <= tau <= 2:
         raise ValueError("hot signatures are resolved for thresholds up to 2 bits")
     rows, both = bit_statistics(fps)
-    plan = allocate(rows, both, tau)
+    plan = allocate(rows, both, sampled(fps, rows), tau)
     parts = []
     for g, (bits, t) in enumerate(plan):
         own = F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in bits))).cast("long"))
@@ -226,15 +245,25 @@ def keep_one(docs: DataFrame, tau: int = 2) -> DataFrame:
 
     A null doc_id comes last. Of repeated rows one stays.
     """
-    key = F.xxhash64("doc_id", "text").alias(KEY)
-    found = staged(fingerprints(docs.select("doc_id", "text", key), ["doc_id", KEY]), "simhash")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", KEY))
+    rows = keyed_rows(docs)
+    found = staged(fingerprints(rows.select("doc_id", "text", "key"), ["doc_id", "key"]), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
     fps = staged(found.groupBy("fp").agg(first.alias("first")), "fingerprints")
     roots = connected_components(links(fps.select("fp"), tau)).select(F.col("node").alias("fp"), "root")
     stay = fps.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    stay = stay.select(F.col(f"first.{KEY}").alias(KEY)).distinct()
+    return rows_of(rows, stay.select("first.key"))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, key) of docs: row holds all columns, whatever their names, key hashes id and text."""
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+
+
+def rows_of(rows: DataFrame, stay: DataFrame) -> DataFrame:
+    """The columns of rows (row, key) whose key is in stay (key), repeats once."""
     # Rows of equal key are in one partition after the join, so dropping repeats shuffles no more.
-    return docs.select("*", key).join(stay, KEY, "left_semi").dropDuplicates().drop(KEY)
+    kept = rows.select("row", "key").join(stay.distinct(), "key", "left_semi").dropDuplicates(["key", "row"])
+    return kept.select("row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

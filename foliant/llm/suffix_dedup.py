@@ -34,7 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import BLANKS, staged
+from .simhash import keyed_rows
 
 MIN_WORDS = 50
 PREFIX = 20
@@ -236,23 +237,21 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     All columns of docs are kept; n_chars, if there, follows the new text. Of rows equal in
     doc_id and text, all are treated alike.
     """
-    own = ["_foliant_key", "_foliant_cuts"]  # beside whatever columns docs has
-    cuts = passages(docs, min_words).where("removed").groupBy(F.col("rkey").alias(own[0])).agg(F.collect_list(F.struct("start_word", "n_words")).alias(own[1]))
-    kinds = dict(docs.dtypes)
+    rows = keyed_rows(docs)
+    cuts = passages(docs, min_words).where("removed").groupBy(F.col("rkey").alias("key")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("cuts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text = [cut_words(t, [(x["start_word"], x["n_words"]) for x in c]) for t, c in zip(b["text"], b[own[1]], strict=True)]
-            emptied = np.array([not t.strip() for t in text], bool)
-            yield b.drop(columns=own[1]).assign(text=text)[~emptied]
-
-    joined = docs.withColumn(own[0], F.xxhash64("doc_id", "text")).join(cuts, own[0], "left").drop(own[0])
-    # Rows without cuts needn't pass through Python.
-    plain = joined.where(F.col(own[1]).isNull()).drop(own[1])
-    edited = joined.where(F.col(own[1]).isNotNull()).mapInPandas(run, docs.schema)
-    if "n_chars" in kinds:
-        edited = edited.withColumn("n_chars", F.char_length("text").cast(kinds["n_chars"]))
-    return plain.unionByName(edited)
+            text = [cut_words(t, [(x["start_word"], x["n_words"]) for x in c]) for t, c in zip(b["text"], b["cuts"], strict=True)]
+            yield pd.DataFrame({"key": b["key"], "text": text})
+
+    joined = rows.join(cuts, "key", "left")
+    # Texts without cuts needn't pass through Python; of equal rows' texts one does.
+    edited = joined.where("cuts is not null").dropDuplicates(["key"]).select("key", "text", "cuts").mapInPandas(run, "key long, text string").withColumnRenamed("text", "cut")
+    changed = rows.join(edited, "key").where(F.btrim("cut", F.lit(BLANKS)) != "").withColumn("row", F.col("row").withField("text", F.col("cut")))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("row", F.col("row").withField("n_chars", F.char_length("cut").cast(dict(docs.dtypes)["n_chars"])))
+    return joined.where("cuts is null").select("row.*").unionByName(changed.select("row.*"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

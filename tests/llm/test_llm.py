@@ -128,13 +128,24 @@ def test_thresholds_cover_the_distance():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 2, (500, 64)).astype(float)
     for rows in (500, 10**9):
-        plan = simhash.allocate(rows, x.T @ x * rows / 500, 2)
+        plan = simhash.allocate(rows, x.T @ x * rows / 500, x.astype(np.uint8), 2)
         whole = 5 if not plan else max(1, round(64 / min(len(b) for b, _ in plan)))
         assert plan and sum(t + 1 for _, t in plan) >= 3 and whole >= 1
         bits = [b for g, _ in plan for b in g]
         assert len(bits) == len(set(bits))
 
 
+def test_cost_sees_correlated_bits():
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 2, (400, 1))
+    tied = np.hstack([np.repeat(one, 8, 1), rng.integers(0, 2, (400, 8))]).astype(np.uint8)
+    differ = np.full(8, 0.5)
+    assert simhash.shares_within(tied[:, :8], 1)[0] > 0.4 and simhash.shares_within(tied[:, 8:], 1)[0] < 0.02
+    costs = [simhash.expected_cost(10**6, differ, simhash.shares_within(tied[:, g], 1), 0) for g in (range(8), range(8, 16))]
+    assert costs[0] > 50 * costs[1]
+    assert simhash.shares_within(tied[:0], 2).tolist() == [0, 0, 0]
+
+
 def test_keep_one(odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
@@ -182,7 +193,7 @@ def test_keep_first_is_brute_force(spark, odd, empty, hot):
         rows.append((k, " ".join(w)))
     want = first_copies(rows)
     assert len(want) < 85
-    got = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), hot)
+    got = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string"), hot, 1e-9)
     assert sorted(r["doc_id"] for r in got.collect()) == want
     if hot == 64:
         kept = near_copies.keep_first(odd)
@@ -204,6 +215,35 @@ def test_pipeline_reaches_copies_beyond_two_bits(spark):
     assert sorted(r["doc_id"] for r in kept) == [*first_copies([tuple(r) for r in rows]), 900001]
 
 
+def test_groupings_miss_few_pairs():
+    rng = np.random.default_rng(6)
+    sample = rng.integers(0, 2, (300, 64 * near_copies.WORDS), np.uint8)
+    for nodes in (10, 50_000, 10**7):
+        groups = near_copies.groupings(nodes, sample)
+        flips = rng.random((4000, 64 * near_copies.WORDS)) < near_copies.APART
+        met = np.zeros(4000, bool)
+        for g in groups:
+            assert len(set(g)) == len(g) <= 48
+            met |= ~flips[:, g].any(1)
+        assert met.mean() > 0.94
+        assert len({tuple(g) for g in groups}) == len(groups)
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_near_copies_of_documents(spark, name):
+    df = spark.read.parquet(f"/root/testdata/{name}/documents.parquet")
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    assert sorted(r["doc_id"] for r in near_copies.keep_first(df).select("doc_id").collect()) == first_copies(rows)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_foliant_key", "key", "row", "a.b", "node", "_foliant_cuts", "at", "first"]
+    df = spark.createDataFrame([(k, PASSAGE + (" x" if k == 2 else ""), *[f"{k}"] * len(names)) for k in range(4)], ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    for got in (simhash.keep_one(df), near_copies.keep_first(df), suffix_dedup.remove_repeats(df), quality_rules.keep_passing(df)):
+        assert got.columns == df.columns
+        assert got.where("doc_id = 0").count() == 1 and got.first()["a.b"] is not None
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (5, 5)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
@@ -532,6 +572,34 @@ def test_bpe(odd, empty, docs):
     assert bpe.digests(empty, ["doc_id"], path, public_tokenizers.PATTERN).count() == 0
 
 
+def hard_texts():
+    import random
+
+    rng = random.Random(1)
+    letters, signs = "etaoinshrdlucmfwypvbgkqjxz", [chr(c) for c in range(0x4E00, 0x9FA5)]
+    made = lambda n, k, of: " ".join("".join(rng.choice(of) for _ in range(k)) for _ in range(n))
+    yield made(240_000, 12, letters)
+    yield made(80_000, 12, signs)
+    yield made(2_600, 390, letters)
+    yield "x" * 300_000 + "-" * 777 + "=" * 5000 + "-=" * 900 + " " * 4000 + "xy" * 5000 + "na" * 3000 + "x"
+    yield "".join(rng.choice("ab") for _ in range(20_000)) + " " + "".join(rng.choice("0123456789") for _ in range(20_000)) + "".join(rng.choice(signs[:300]) for _ in range(20_000))
+    yield (made(40_000, 6, letters) + "\n") * 70
+
+
+def test_bpe_of_many_distinct_and_long_pieces():
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    coder = bpe.Coder(*bpe.coder_parts(path, public_tokenizers.PATTERN))
+    for text in hard_texts():
+        got = [i for some in bpe.rounds([text, "", text[:1000]]) for i in coder.encode(some)]
+        assert np.frombuffer(got[0], "<u4").tolist() == enc.encode_ordinary(text)
+        assert got[1] == b"" and np.frombuffer(got[2], "<u4").tolist() == enc.encode_ordinary(text[:1000])
+        assert coder.decode(got)[0].decode() == text
+
+
 # Pipeline
 
 
