@@ -1,7 +1,12 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes what the stage before kept, written as Parquet and read again; all but the last
-return the columns of documents.
+return the columns of documents, and further columns of any name if docs has them.
+
+Defined results: a null or empty text is rejected by the quality rules; where it reaches later
+stages, null and blank texts are copies of each other, have no passages and pack as their end token.
+Repeated rows are judged alike and one of them passes near-dedup; ties go to the least doc_id, null
+last, then the least text hash; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that shares 4/5 or more of its five-word shingles."""
+    """The first document of each group that shares 4/5 or more of its five-word shingles (SimHash, verified)."""
     return keep_first(docs)
 
 
@@ -38,7 +43,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens, with their ids."""
-    return pack(docs, word_tokenizer(), added=True)
+    return pack(docs, word_tokenizer())
 
 
 STAGES = [
