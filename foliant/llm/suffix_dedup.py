@@ -12,17 +12,19 @@ another text, and its first occurrence (least doc_id, then least position) stays
    suffix whose neighbour shares the prefix is a candidate; so are the ends of a partition, whose
    neighbours lie elsewhere. A prefix that a third of all texts share is spread over partitions,
    since occurrence is part of the sort key, and is never paired.
-3. Extend. Around each candidate the windows that have their minimiser there are hashed whole:
-   every possible extension left and right of it to MIN_WORDS words. Their hashes are aggregated to first
-   and last occurrence, combined before the shuffle, and joined back; overlapping repeated windows
-   of a text merge into passages.
+3. Extend. Candidates of one prefix are compared with the one that occurs first, word by word, to
+   the left and to the right as far as windows with this minimiser reach. The windows within such a
+   match are repeated there. That is one comparison a candidate, whatever the size of the group.
+4. The rest. Windows with their minimiser at the candidate that the match does not cover are not in
+   the first suffix's text, yet may occur in others of the group: these few are compared with each
+   other by two independent 64-bit hashes.
 
-Texts equal to the byte are one text in all of this. The first document of such a group stands
-for it, the others are repeated as a whole if they have MIN_WORDS words.
+Texts of equal hash are one text in all of this. The first document of such a group stands for it,
+the others are repeated as a whole if they have MIN_WORDS words and a second hash agrees too.
 
 Defined results: null and short texts have no passages; rows equal in doc_id and text count as
 one document; a null doc_id sorts last; an empty table gives an empty result; other columns are
-ignored. Two different passages are taken for equal only if both their 64-bit hashes agree.
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,13 +42,14 @@ from .simhash import keyed_rows
 MIN_WORDS = 50
 PREFIX = 20
 GRAM = 8
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 class Roller:
     """Hashes of word ranges of a text by prefix sums modulo 2**64."""
 
-    def __init__(self) -> None:
-        rng = np.random.default_rng(20240229)
+    def __init__(self, seed: int = 20240229) -> None:
+        rng = np.random.default_rng(seed)
         self.of_byte = rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         for c in range(65, 91):
             self.of_byte[c] = self.of_byte[c + 32]
@@ -76,13 +79,20 @@ class Roller:
 
     def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The text's bytes and where its words begin and end there."""
-        raw = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+        return self.spans_of((text or "").encode("utf-8", "replace"))
+
+    def spans_of(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = np.frombuffer(data, np.uint8)
         inside = np.concatenate([[False], ~self.blank[raw], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         return raw, edges[::2], edges[1::2]
 
     def words(self, text: str | None) -> np.ndarray:
-        raw, start, end = self.spans(text)
+        return self.words_of((text or "").encode("utf-8", "replace"))
+
+    def words_of(self, data: bytes) -> np.ndarray:
+        """A hash of each word of data."""
+        raw, start, end = self.spans_of(data)
         return self.ranges(self.of_byte[raw], start, end) if len(start) else np.zeros(0, np.uint64)
 
     def grams(self, words: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -101,7 +111,7 @@ def anchors(roll: Roller, words: np.ndarray, min_words: int, prefix: int, gram:
     return np.arange(windows) + np.lib.stride_tricks.sliding_window_view(g, reach).argmin(1)
 
 
-ROWS = "key long, tkey long, pos int, doc_id long, rkey long"
+ROWS = "key long, tkey long, pos int, doc_id long, rkey long, check long"
 
 
 def sparse_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, gram: int = GRAM) -> DataFrame:
@@ -124,15 +134,15 @@ def sparse_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = P
                         parts.append(pd.DataFrame({"key": roll.grams(w, prefix, at).view(np.int64), "tkey": np.int64(tkey), "pos": at.astype(np.int32)}))
                 n.append(seen[tkey])
             if parts:
-                yield pd.concat(parts).assign(doc_id=None, rkey=None)
-            yield pd.DataFrame({"key": None, "tkey": b["tkey"], "pos": n, "doc_id": b["doc_id"], "rkey": b["rkey"]})
+                yield pd.concat(parts).assign(doc_id=None, rkey=None, check=None)
+            yield pd.DataFrame({"key": None, "tkey": b["tkey"], "pos": n, "doc_id": b["doc_id"], "rkey": b["rkey"], "check": b["check"]})
 
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tkey"), F.xxhash64("doc_id", "text").alias("rkey"))
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tkey"), F.xxhash64("doc_id", "text").alias("rkey"), F.xxhash64(F.lit(1), "text").alias("check"))
     return keyed.mapInPandas(run, ROWS)
 
 
 def candidates(suffixes: DataFrame) -> DataFrame:
-    """(tkey, pos) of suffixes whose sorted neighbour has the same prefix in another place."""
+    """(key, tkey, pos) of suffixes whose sorted neighbour has the same prefix in another place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, sure = None, False  # the row before, and whether it is given out already
@@ -145,57 +155,119 @@ def candidates(suffixes: DataFrame) -> DataFrame:
             hit = np.append(same, False) | np.insert(same, 0, last is None)
             if last is not None and sure:
                 hit[0] = False
-            yield b[hit][["tkey", "pos"]]
+            yield b[hit][["key", "tkey", "pos"]]
             sure = bool(hit[-1]) or (len(b) == 1 and sure)
             last = b.iloc[-1:]
         if last is not None and not sure:
-            yield last[["tkey", "pos"]]
+            yield last[["key", "tkey", "pos"]]
 
     n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = suffixes.repartitionByRange(n, "key", "tkey", "pos").sortWithinPartitions("key", "tkey", "pos")
-    return dealt.mapInPandas(run, "tkey long, pos int")
+    return dealt.mapInPandas(run, "key long, tkey long, pos int")
 
 
-def windows_around(texts: DataFrame, min_words: int, prefix: int, gram: int) -> DataFrame:
-    """Hashes of the windows that have their minimiser at a candidate.
+def surroundings(texts: DataFrame, min_words: int, prefix: int, gram: int) -> DataFrame:
+    """(key, no_id, doc_id, tkey, pos, start, words) of the candidates.
 
-    texts: doc_id, tkey, text, at (array of candidate positions), one row for each distinct text.
+    start is where the first window with its minimiser at the candidate begins, words the words
+    from there to the end of the last such window, in lower case. texts: doc_id, tkey, text, at (the
+    candidates' key and pos), one row for each distinct text.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roll = Roller()
         for b in batches:
-            parts = []
-            for doc_id, tkey, text, at in zip(b["doc_id"], b["tkey"], b["text"], b["at"], strict=True):
-                w = roll.words(text)
-                anchor = anchors(roll, w, min_words, prefix, gram)
-                s = np.flatnonzero(np.isin(anchor, at))
-                if len(s):
-                    parts.append(pd.DataFrame({"h": roll.grams(w, min_words, s).view(np.int64), "doc_id": doc_id, "tkey": tkey, "s": s.astype(np.int32)}))
-            if parts:
-                yield pd.concat(parts)
+            for low in range(0, len(b), 200):
+                out = []
+                for doc_id, tkey, text, at in zip(*(b[c].iloc[low : low + 200] for c in ("doc_id", "tkey", "text", "at")), strict=True):
+                    raw, start, end = roll.spans(text)
+                    anchor = anchors(roll, roll.ranges(roll.of_byte[raw], start, end) if len(start) else np.zeros(0, np.uint64), min_words, prefix, gram)
+                    lower = raw.tobytes().translate(LOWER)
+                    # Minimisers never move back, so a candidate's windows are neighbours.
+                    places = np.array([x["pos"] for x in at])
+                    firsts, ends = np.searchsorted(anchor, places, "left"), np.searchsorted(anchor, places, "right")
+                    for x, one, two in zip(at, firsts.tolist(), ends.tolist(), strict=True):
+                        if one < two:
+                            out.append((x["key"], pd.isna(doc_id), None if pd.isna(doc_id) else int(doc_id), tkey, x["pos"], one, b" ".join(lower[start[one] : end[two + min_words - 2]].split())))
+                yield pd.DataFrame(out, columns=["key", "no_id", "doc_id", "tkey", "pos", "start", "words"]).astype({"doc_id": "Int64"})
+
+    return texts.select("doc_id", "tkey", "text", "at").mapInPandas(run, "key long, no_id boolean, doc_id long, tkey long, pos int, start int, words binary")
+
+
+def common(a: list[bytes], b: list[bytes]) -> int:
+    """How many words the two begin with in common."""
+    n = min(len(a), len(b))
+    return n if a[:n] == b[:n] else next(k for k in range(n) if a[k] != b[k])
+
+
+def extended(pairs: DataFrame, min_words: int) -> DataFrame:
+    """What a candidate's comparison with the first suffix of its prefix gives.
+
+    pairs: (tkey, pos, start, words, ftkey, fpos, fstart, fwords). Rows (tkey, lo, hi, removed, h,
+    g): windows from lo to hi are repeated, removed for the candidate and not for the first; with
+    hashes h and g, a single window that is still to be compared with others.
+    """
 
-    return texts.select("doc_id", "tkey", "text", "at").mapInPandas(run, "h long, doc_id long, tkey long, s int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roll, other = Roller(), Roller(20250311)
+        for b in batches:
+            out, rest = [], []
+            for tkey, pos, start, words, ftkey, fpos, fstart, fwords in zip(*(b[c] for c in ("tkey", "pos", "start", "words", "ftkey", "fpos", "fstart", "fwords")), strict=True):
+                w, f = words.split(b" "), fwords.split(b" ")
+                right = common(w[pos - start :], f[fpos - fstart :])
+                left = common(w[: pos - start][::-1], f[: fpos - fstart][::-1])
+                lo, hi = pos - left, pos + right - min_words  # the first and last window within the match
+                if lo <= hi:
+                    out.append((tkey, lo, hi, True))
+                    out.append((ftkey, lo - pos + fpos, hi - pos + fpos, False))
+                else:
+                    lo, hi = pos, pos - 1
+                last = start + len(w) - min_words
+                if start < lo or hi < last:
+                    s = np.array([k - start for k in range(start, last + 1) if not lo <= k <= hi])
+                    h, g = (r.grams(r.words_of(words), min_words, s).view(np.int64) for r in (roll, other))
+                    rest.append(pd.DataFrame({"tkey": tkey, "lo": s + start, "hi": s + start, "removed": True, "h": h, "g": g}))
+            yield pd.concat([pd.DataFrame(out, columns=["tkey", "lo", "hi", "removed"]).assign(h=None, g=None), *rest])
+
+    return pairs.mapInPandas(run, "tkey long, lo int, hi int, removed boolean, h long, g long")
 
 
 def merged(found: DataFrame, min_words: int) -> DataFrame:
-    """(tkey, start_word, n_words, removed): runs of overlapping windows; found has tkey, s, removed."""
+    """(tkey, start_word, n_words, removed): runs of overlapping windows; found has tkey, lo, hi, removed, each once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             parts = []
             for tkey, removed, at in zip(b["tkey"], b["removed"], b["at"], strict=True):
-                s = np.unique(at)
-                new = np.flatnonzero(np.diff(s) > min_words)
-                start, end = s[np.insert(new + 1, 0, 0)], s[np.append(new, len(s) - 1)] + min_words
+                lo, hi = np.array(sorted((x["lo"], x["hi"]) for x in at)).T
+                reach = np.maximum.accumulate(hi)
+                new = np.flatnonzero(lo[1:] - reach[:-1] > min_words)
+                start, end = lo[np.insert(new + 1, 0, 0)], reach[np.append(new, len(lo) - 1)] + min_words
                 parts.append(pd.DataFrame({"tkey": tkey, "start_word": start, "n_words": end - start, "removed": removed}))
             if parts:
                 yield pd.concat(parts)
 
-    by_text = found.groupBy("tkey", "removed").agg(F.collect_list("s").alias("at"))
+    by_text = found.groupBy("tkey", "removed").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
     return by_text.mapInPandas(run, "tkey long, start_word int, n_words int, removed boolean")
 
 
+def repeated_windows(around: DataFrame, min_words: int) -> DataFrame:
+    """(tkey, lo, hi, removed), distinct, of the candidates around."""
+    # Rows of a prefix meet its first one; both sides lie in files, so that a common prefix can be split.
+    first = around.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("no_id", "doc_id", "tkey", "pos", "start", "words")).alias("f")).where("n > 1")
+    first = staged(first.select("key", *[F.col(f"f.{c}").alias(f"f{c}") for c in ("no_id", "doc_id", "tkey", "pos", "start", "words")]), "first-suffixes")
+    pairs = around.join(first, "key").where((F.col("tkey") != F.col("ftkey")) | (F.col("pos") != F.col("fpos")))
+    texts = around.groupBy("tkey").agg(F.first("no_id").alias("no_id"), F.first("doc_id").alias("doc_id"))
+    found = staged(extended(pairs, min_words), "extended")
+    whole = found.where("h is null").select("tkey", "lo", "hi", "removed").distinct()
+    rest = found.where("h is not null").join(texts, "tkey").select("h", "g", "no_id", "doc_id", "tkey", F.col("lo").alias("s"))
+    rest = staged(rest, "rest")
+    place = F.struct("no_id", "doc_id", "tkey", "s")
+    ends = staged(rest.groupBy("h", "g").agg(F.min(place).alias("one"), F.max(place).alias("last")).where("one <> last").select("h", "g", "one"), "rest-ends")
+    single = rest.join(ends, ["h", "g"]).select("tkey", F.col("s").alias("lo"), F.col("s").alias("hi"), (place != F.col("one")).alias("removed")).distinct()
+    return whole.unionByName(single)
+
+
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX, gram: int = GRAM) -> DataFrame:
     """(doc_id, rkey, start_word, n_words, removed) of all repeated passages of docs (doc_id, text).
 
@@ -203,22 +275,21 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX,
     """
     rows = staged(sparse_suffixes(docs, min_words, prefix, gram), "suffixes")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rkey")
-    of_text = rows.where("key is null").groupBy("tkey").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.max("pos").alias("n_words"))
-    of_text = staged(of_text.select("tkey", "first.doc_id", "first.rkey", (F.col("first") != F.col("last")).alias("copied"), "n_words"), "texts")
-    at = candidates(rows.where("key is not null").select("key", "tkey", "pos")).groupBy("tkey").agg(F.collect_set("pos").alias("at"))
+    own = rows.where("key is null")
+    of_text = own.groupBy("tkey").agg(F.min_by(F.struct("doc_id", "rkey", "check"), order).alias("f"), (F.min(order) != F.max(order)).alias("copied"), F.max("pos").alias("n_words"))
+    of_text = staged(of_text.select("tkey", "f.*", "copied", "n_words"), "texts")
+    at = candidates(rows.where("key is not null").select("key", "tkey", "pos")).distinct().groupBy("tkey").agg(F.collect_list(F.struct("key", "pos")).alias("at"))
     # One row for each candidate text: its first document's.
-    wanted = of_text.join(at, "tkey").select("tkey", "rkey", "at")
-    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("rkey")).join(wanted, "rkey")
-    found = staged(windows_around(texts, min_words, prefix, gram), "windows")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", "s")
-    ends = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
-    repeated = found.join(ends, "h").select("tkey", "s", (place != F.col("first")).alias("removed"))
+    wanted = of_text.join(at, "tkey").select("tkey", F.col("rkey").alias("rkey"), "at")
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("rkey")).join(wanted, "rkey").dropDuplicates(["tkey"])
+    around = staged(surroundings(texts, min_words, prefix, gram), "surroundings")
     # A text with copies repeats as a whole; where it has windows removed, those stay removed.
     whole = of_text.where(F.col("copied") & (F.col("n_words") >= min_words))
-    spans = merged(repeated, min_words).join(of_text.select("tkey", "doc_id", "rkey", "copied"), "tkey")
+    spans = merged(repeated_windows(around, min_words), min_words).join(of_text.select("tkey", "doc_id", "rkey", "copied"), "tkey")
     firsts = spans.where("removed or not copied").select("doc_id", "rkey", "start_word", "n_words", "removed")
     firsts = firsts.unionByName(whole.select("doc_id", "rkey", F.lit(0).alias("start_word"), "n_words", F.lit(False).alias("removed")))
-    others = rows.where("key is null").select("tkey", F.col("doc_id").alias("own_id"), F.col("rkey").alias("own_key")).distinct().join(whole, "tkey").where("own_key <> rkey")
+    copies = own.select("tkey", F.col("doc_id").alias("own_id"), F.col("rkey").alias("own_key"), F.col("check").alias("own_check")).distinct()
+    others = copies.join(whole, "tkey").where("own_key <> rkey and own_check = check")
     return firsts.unionByName(others.select(F.col("own_id").alias("doc_id"), F.col("own_key").alias("rkey"), F.lit(0).alias("start_word"), "n_words", F.lit(True).alias("removed")))
 
 

@@ -349,6 +349,18 @@ def test_passages(odd, empty, docs):
     assert suffix_dedup.passages(empty).count() == 0
 
 
+def test_passages_of_a_larger_corpus(spark):
+    check_passages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_passages_that_the_first_suffix_lacks(spark):
+    p = [f"w{k}" for k in range(70)]
+    rows = [(1, " ".join(["a"] * 9 + p[:45] + ["b"] * 9)), (2, " ".join(["c"] * 70 + p[:44] + ["d"] + p[20:])), (3, " ".join([f"e{k}" for k in range(60)] + p)), (4, " ".join(p[3:] + ["F"])), (5, " ".join(p[:62] + p[5:])), (6, " ".join(w.upper() for w in p))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_passages(df)
+    check_passages(df.repartition(6))
+
+
 def test_remove_repeats(odd, empty):
     kept = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_repeats(odd).collect()}
     assert kept[8].startswith("start word0") and 9 not in kept and 10 not in kept
