@@ -297,20 +297,67 @@ def test_licences(spark, odd, empty):
     assert license_scan.own_licences(named.limit(0)).count() == 0
 
 
+def slow_licence(text, shares, whole=False):
+    """Best (cosine, name) over all windows of all blocks and templates."""
+    weight = lambda t: 1 - math.log(min(1, max(shares.get(t, 0), license_scan.LEAST_SHARE)))
+    vec = lambda ws: {t: c * weight(t) for t, c in Counter(ws).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    blocks, own = [], []
+    for line in [*(text or "").split("\n"), ""]:
+        own += license_scan.terms(line)
+        if not line.strip():
+            blocks.append(own)
+            own = []
+    if whole:
+        blocks.append([w for b in blocks for w in b])
+    best, key = (0.0, None), (0.0, 0)
+    for name in sorted(license_scan.TEMPLATES):
+        for t in license_scan.TEMPLATES[name]:
+            words = license_scan.terms(t)
+            want = vec(words)
+            for b in blocks:
+                n = min(len(words), len(b))
+                for k in range(len(b) - n + 1 if n else 0):
+                    if want.keys() & set(b[k : k + n]):
+                        v = vec(b[k : k + n])
+                        c = sum(w * v.get(x, 0) for x, w in want.items()) / norm(want) / norm(v)
+                        if (round(c, 9), len(words)) > key:
+                            best, key = (c, name), (round(c, 9), len(words))
+    return best
+
+
 def test_licence_cosine_is_brute_force(spark, docs):
-    files = docs.select(F.col("doc_id").alias("file_id"), "text", F.lit(False).alias("is_licence"))
+    files = docs.select(F.col("doc_id").alias("file_id"), "text", (F.col("doc_id") % 3 == 0).alias("is_licence"))
     got = {r["file_id"]: (r["licence"], r["cosine"]) for r in license_scan.own_licences(files).collect()}
-    rows, vocab = docs.select("doc_id", "text").collect(), {t for x in license_scan.TEMPLATES.values() for t in license_scan.terms(x)}
+    rows, vocab = files.collect(), {t for xs in license_scan.TEMPLATES.values() for x in xs for t in license_scan.terms(x)}
     df, n = Counter(t for r in rows for t in set(license_scan.terms(r["text"])) & vocab), len(rows)
-    idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1
-    vec = lambda x: {t: c * idf(t) for t, c in Counter(license_scan.terms(x)).items()}
-    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    want = {}
-    for r in rows:
-        best = max(((sum(w * vec(t).get(k, 0) for k, w in vec(line).items()) / (norm(vec(line)) * norm(vec(t))), name) for line in (r["text"] or "").split("\n") if license_scan.terms(line) for name, t in license_scan.TEMPLATES.items()), default=(0, None))
-        if best[0] >= license_scan.THRESHOLD:
-            want[r["doc_id"]] = best
-    assert set(got) == set(want) and all(abs(got[i][1] - want[i][0]) < 1e-9 and got[i][0] == want[i][1] for i in got)
+    want = {r["file_id"]: x for r in rows if (x := slow_licence(r["text"], {t: c / n for t, c in df.items()}, r["is_licence"]))[0] >= license_scan.THRESHOLD}
+    assert set(got) == set(want) and all(abs(got[i][1] - want[i][0]) < 1e-8 and got[i][0] == want[i][1] for i in got)
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_licence_statements_of_many_forms(common):
+    """Found among common and uncommon words alike, whatever stands beside them."""
+    vocab = {t for xs in license_scan.TEMPLATES.values() for x in xs for t in license_scan.terms(x)}
+    usual = {"the": 0.9, "of": 0.85, "and": 0.9, "to": 0.85, "in": 0.8, "is": 0.7, "this": 0.6, "for": 0.7, "under": 0.3, "any": 0.3, "version": 0.1, "released": 0.05, "license": 0.02, "public": 0.1, "general": 0.1, "software": 0.05, "mit": 0.005}
+    shares = {t: usual.get(t, 0.001) if common else 0.0 for t in vocab}
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, shares, license_scan.THRESHOLD)
+    forms = {
+        "# Copyright (c) 2021 Acme Corp. Released under the MIT License.": "MIT", "MIT License": "MIT", "The MIT License": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "Copyright 2021 Jane Doe. Licensed under the Apache License,\n# Version 2.0.": "Apache-2.0", "GNU General Public License, version 3 or later, see COPYING": "GPL-3.0", "Apache License\nVersion 2.0, January 2004": "Apache-2.0",
+        "MIT License\n\nCopyright (c) 2020 X\n\n" + license_scan.MIT.replace(" to ", " to\n"): "MIT", "words " * 50 + "\n * Licensed under CC BY-NC 4.0.\n" + "other words " * 40: "CC-BY-NC-4.0", license_scan.BSD_3: "BSD-3-Clause", license_scan.BSD_2: "BSD-2-Clause",
+        "It was the best of times, and in this the public is under any version of the law.": None, "a b c": None, "": None,
+    }
+    for text, name in forms.items():
+        found = scanner.licence(text, False)
+        assert (found and found[0]) == name, text
+        best = slow_licence(text, shares)
+        assert found is None or abs(found[1] - best[0]) < 1e-8
+
+
+def test_licence_files_by_name(spark):
+    df = spark.createDataFrame([(p,) for p in ("LICENSE", "a/COPYING.txt", "x/UNLICENSE", "licence.md", "a/LICENSE/b", "src/license_check.py", "a/readme", None)], "path string")
+    assert [r[0] for r in df.select(license_scan.licence_name(F.col("path"))).collect()] == [True, True, True, True, False, True, False, False]
 
 
 # Suffix array
