@@ -14,7 +14,9 @@ Equal vectors are coded once. A group of them carries its MEMBERS = k + 1 least
 nearest can need, so copies don't crowd out other candidates.
 
 The scan is exhaustive: its work is queries times vectors over BOOKS additions, without random
-access; what moves is each block of codes once for each block of queries.
+access. What moves is each block of codes once for each block of queries, and CANDIDATES of every
+query for each block of codes; so both blocks are as large as a task's memory allows, and the
+queries are divided further only while there would be fewer pairs of blocks than TASKS.
 
 Defined results: vectors null, zero, of another length than most, or with null or non-finite
 components take no part, nor do null ids; rows of equal id count once, with the least vector;
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import hash_sample, staged
 
 #: Most vectors on which codebooks are fitted, picked by hash of the id.
 SAMPLE = 8192
@@ -40,8 +42,11 @@ BOOKS = 24
 WORDS = 256
 BEAM = 8
 CANDIDATES = 256
-QUERY_BLOCK = 512
-CODE_BLOCK = 65536
+#: Most queries and codes that meet in a task, and queries whose tables it holds at once.
+QUERY_BLOCK = 16384
+CODE_BLOCK = 262144
+TABLES = 256
+TASKS = 32
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -132,9 +137,9 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, candidates: int = CA
     groups = staged(least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).select(F.get("members", F.lit(0)).alias("gid"), "v", "members"), "groups")
     asked = staged(rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries")
     n, n_asked = groups.count(), asked.count()
-    sample = groups.orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).select("v").collect()  # at most SAMPLE vectors
     if not n or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = hash_sample(groups.select("gid", "v"), "gid", SAMPLE, n).collect()  # at most SAMPLE vectors
     books = fit_books(np.array([r["v"] for r in sample], np.float64))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +151,8 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, candidates: int = CA
             yield pd.DataFrame({"gid": b["gid"], "code": [c.tobytes() for c in codes], "ratio": ratio})
 
     codes = staged(groups.select("gid", "v").mapInPandas(encode, "gid long, code binary, ratio double"), "codes")
-    n_code, n_query = ceil(n / CODE_BLOCK), ceil(n_asked / QUERY_BLOCK)
+    n_code = ceil(n / CODE_BLOCK)
+    n_query = max(ceil(n_asked / QUERY_BLOCK), min(ceil(TASKS / n_code), ceil(n_asked / TABLES)))
     block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
     left = asked.select("query_id", "q", block("query_id", n_query).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_code - 1).cast("long"))).alias("b"))
     right = codes.select("gid", "code", "ratio", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("a"), block("gid", n_code).alias("b"))
@@ -157,16 +163,18 @@ def nearest(table: DataFrame, queries: Column, k: int = 20, candidates: int = CA
         cs = cs.sort_values("gid")
         gid, ratio = cs["gid"].to_numpy(), cs["ratio"].to_numpy(np.float32)
         code = np.frombuffer(b"".join(cs["code"]), np.uint8).reshape(len(cs), -1)
-        tables = np.einsum("qd,mwd->qmw", matrix(qs["q"], dims), books).astype(np.float32)
-        keep, out = min(candidates, len(cs)), []
-        for query_id, table in zip(qs["query_id"].to_numpy(), tables, strict=True):
-            near = table[0][code[:, 0]]
-            for m in range(1, code.shape[1]):
-                near += table[m][code[:, m]]
-            near *= ratio
-            top = np.argpartition(-near, keep - 1)[:keep] if keep < len(cs) else np.arange(len(cs))
-            out.append(pd.DataFrame({"query_id": query_id, "gid": gid[top], "near": near[top].astype(np.float64)}))
-        return pd.concat(out)
+        columns = [np.ascontiguousarray(code[:, m]) for m in range(code.shape[1])]
+        keep, ids, tops, nears = min(candidates, len(cs)), qs["query_id"].to_numpy(), [], []
+        for at in range(0, len(qs), TABLES):
+            for table in np.einsum("qd,mwd->qmw", matrix(qs["q"].iloc[at : at + TABLES], dims), books).astype(np.float32):
+                near = table[0][columns[0]]
+                for m in range(1, len(columns)):
+                    near += table[m][columns[m]]
+                near *= ratio
+                top = np.argpartition(-near, keep - 1)[:keep] if keep < len(cs) else np.arange(len(cs))
+                tops.append(top.astype(np.int32))
+                nears.append(near[top])
+        return pd.DataFrame({"query_id": np.repeat(ids, keep), "gid": gid[np.concatenate(tops)], "near": np.concatenate(nears).astype(np.float64)})
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(scan, "query_id long, gid long, near double")
     first = Window.partitionBy("query_id").orderBy(F.desc("near"), "gid")

@@ -48,6 +48,17 @@ def clear_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_sample(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The n rows of df, which has total, whose hash of key is least.
+
+    Rows are dropped by the hash before they are ordered, so few reach the one task that counts them
+    out; a handful may be missing at the end.
+    """
+    h = F.xxhash64(key)
+    share = min(1.0, (n + 6 * n**0.5 + 20) / max(total, 1))
+    return df.where(F.pmod(h, F.lit(1 << 40)) <= int(share * (1 << 40))).orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(n)
+
+
 def per_worker(kind: str, key: str, make: Callable[[], Any]) -> Any:
     """make(), once for each Python worker and key; a worker keeps the last object of each kind.
 

@@ -12,7 +12,9 @@ positive-against-unlabelled model is fitted, and on the other halves the least r
 of unlabelled and positive texts above a score bounds the share of positives from above; the
 median over several splits is taken.
 
-The model is fitted on bounded samples (MOST_POSITIVES, MOST_UNLABELLED); every text is scored.
+Features are shares of character classes and their pairs, how much words and lines repeat, and
+hashed words and pairs of words. The model is fitted on bounded samples (MOST_POSITIVES,
+MOST_UNLABELLED), neither of them from the held-out third; every text is scored.
 
 Defined results: null and blank texts have the same features, all zero but the bias, and get a
 score like any other; a null doc_id is not held out; labels with a null id or quality are unused
@@ -24,6 +26,7 @@ the input are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 #: Bounds of the samples on which the model is fitted, picked by hash of doc_id.
 MOST_POSITIVES = 5000
 MOST_UNLABELLED = 10000
@@ -38,6 +43,12 @@ MOST_UNLABELLED = 10000
 SLACK = 0.04
 #: Classes of characters: lower, upper, other letter, digit, blank, line end, full stop, comma, !?, quotes, symbols, bar, other punctuation, rest.
 CLASSES = 14
+#: Buckets of hashed words and of hashed pairs of words.
+BUCKETS = 256
+SHAPE = CLASSES + CLASSES * CLASSES
+FEATURES = SHAPE + 2 * BUCKETS + 12
+#: Scale of the hashed features beside the others; small, since they are many and each says little.
+WORD_WEIGHT = 0.1
 
 
 def class_table() -> np.ndarray:
@@ -53,17 +64,20 @@ def class_table() -> np.ndarray:
 
 
 def features(text: str | None, table: np.ndarray) -> np.ndarray:
-    """Shares of character classes and of their pairs, and how much words and lines repeat."""
-    out = np.zeros(CLASSES + CLASSES * CLASSES + 12, np.float32)
+    """Shares of character classes and of their pairs, of hashed words and pairs, and how much words and lines repeat."""
+    out = np.zeros(FEATURES, np.float32)
     text = text or ""
     w = text.split()
     if not w:
         return out
     c = table[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), "<u4"), 65536)]
     out[:CLASSES] = np.sqrt(np.bincount(c, minlength=CLASSES) / len(c))
-    out[CLASSES : CLASSES + CLASSES * CLASSES] = np.sqrt(np.bincount(c[:-1].astype(np.int64) * CLASSES + c[1:], minlength=CLASSES * CLASSES) / len(c))
+    out[CLASSES:SHAPE] = np.sqrt(np.bincount(c[:-1].astype(np.int64) * CLASSES + c[1:], minlength=CLASSES * CLASSES) / len(c))
     n = len(w)
-    h = np.fromiter(map(hash, w), np.int64, n)
+    hashes = {x: zlib.crc32(x.encode("utf-8", "replace")) for x in set(w)}
+    h = np.fromiter(map(hashes.__getitem__, w), np.int64, n) * 0x9E3779B97F4A7C1
+    out[SHAPE : SHAPE + BUCKETS] = np.sqrt(np.bincount((h >> 20) % BUCKETS, minlength=BUCKETS) / n)
+    out[SHAPE + BUCKETS : -12] = np.sqrt(np.bincount((h[:-1] * 31 + h[1:] >> 20) % BUCKETS, minlength=BUCKETS) / n)
     _, times = np.unique(h, return_counts=True)
     windows = h
     if n >= 5:
@@ -125,7 +139,8 @@ def fit(xp: np.ndarray, xu: np.ndarray, steps: int = 3000) -> dict:
     if not len(xp) or not len(xu):
         return {"prior": 0.5, "weights": None}
     centre, scale = xu.mean(0), np.maximum(xu.std(0), 1e-3)
-    scaled = lambda x: np.hstack([np.clip((x - centre) / scale, -8, 8), np.ones((len(x), 1))])
+    scale[SHAPE : SHAPE + 2 * BUCKETS] /= max(WORD_WEIGHT, 1e-9)
+    scaled = lambda x: np.hstack([np.clip((x - centre) / scale, -8, 8), np.ones((len(x), 1), np.float32)])
     xp, xu = scaled(xp), scaled(xu)
     prior = estimate_prior(xp, xu)
     return {"prior": prior, "weights": _descend(xp, xu, prior, steps), "centre": centre, "scale": scale}
@@ -146,14 +161,14 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVES, unlabelled: int = MOST_UNLABELLED) -> dict:
     """Model from docs (doc_id, text) and labels (doc_id, quality).
 
-    Positives are the ids whose labels all say 1, outside the held-out third; unlabelled are ids
-    without a label. Both are picked by the order of a hash of the id, at most so many, so that the
-    samples of features on the driver have a fixed bound.
+    Positives are the ids whose labels all say 1, unlabelled the ids without a label; both without
+    the held-out third, whose labels are never looked at. Both are picked by the order of a hash of
+    the id, at most so many, so that the samples of features on the driver have a fixed bound.
     """
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    by_hash = F.xxhash64("doc_id")
-    pos = known.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).orderBy(by_hash, "doc_id").limit(positives)
-    free = docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left_anti").orderBy(by_hash, "doc_id").limit(unlabelled)
+    known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    trusted = known.where("quality = 1").select("doc_id")
+    free = docs.select("doc_id").where("doc_id is not null").where(~held_out(F.col("doc_id"))).distinct().join(known, "doc_id", "left_anti")
+    pos, free = (hash_sample(x, "doc_id", n, x.count()) for x, n in ((trusted, positives), (free, unlabelled)))
     ids = pos.select("doc_id", F.lit(1).alias("positive")).unionByName(free.select("doc_id", F.lit(0).alias("positive")))
     table = class_table()
 
@@ -164,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVES, u
     # At most positives + unlabelled ids, so this side has a fixed bound; repeated rows count once.
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(run, "doc_id long, positive int, x binary")
     rows = rows.groupBy("doc_id", "positive").agg(F.min("x").alias("x")).orderBy("positive", "doc_id").collect()
-    of = lambda k: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["positive"] == k], np.float64)
+    of = lambda k: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["positive"] == k], np.float32)
     mixed = lambda x: x[np.random.default_rng(3).permutation(len(x))] if len(x) else x
     return fit(mixed(of(1)), mixed(of(0)))
 
@@ -176,7 +191,7 @@ def score_texts(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array([features(t, table) for t in b["text"]], np.float64).reshape(len(b), -1)
+            x = np.array([features(t, table) for t in b["text"]], np.float32).reshape(len(b), FEATURES)
             yield b[keep].assign(score=score(x, model) if len(b) else np.zeros(0))
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
@@ -188,7 +203,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array([features(t, table) for t in b["text"]], np.float64).reshape(len(b), -1)
+            x = np.array([features(t, table) for t in b["text"]], np.float32).reshape(len(b), FEATURES)
             yield b[score(x, model) >= threshold]
 
     return docs.mapInPandas(run, docs.schema)

@@ -11,7 +11,7 @@ from .quality_rules import OP8_SQL, op8_quality_rules
 from .sharding import op9_sharding
 from .simhash import op1_simhash
 from .suffix_dedup import op4_suffix_dedup
-from .url_filter import op5_url_filter
+from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL = {"op8_quality_rules": OP8_SQL}
+ORACLE_SQL = {"op5_url_filter": OP5_SQL, "op8_quality_rules": OP8_SQL}

@@ -270,6 +270,21 @@ def test_classifier(spark, odd, empty):
     assert [r["s"] for r in pu_quality.score_texts(odd, {"prior": 0.5, "weights": None}, ["doc_id"]).select(F.min("score").alias("s")).collect()] == [0.5]
 
 
+def test_held_out_labels_change_nothing(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    out = pu_quality.held_out(F.col("doc_id"))
+    one, other = (pu_quality.train(docs, x) for x in (labels, labels.where(~out).unionByName(labels.where(out).withColumn("quality", 1 - F.col("quality")).limit(60))))
+    assert one["prior"] == other["prior"] and np.array_equal(one["weights"], other["weights"])
+
+
+def test_features_see_words():
+    table = pu_quality.class_table()
+    a, b = (pu_quality.features(t, table) for t in ("good words here", "dogo drows erhe"))
+    assert len(a) == pu_quality.FEATURES and np.array_equal(a[: pu_quality.SHAPE], b[: pu_quality.SHAPE]) and not np.array_equal(a, b)
+    assert not pu_quality.features(None, table).any()
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(2, 1, (4000, 3)), rng.normal(-2, 1, (4000, 3))
@@ -445,6 +460,30 @@ def test_url_filter(spark):
     assert url_filter.judge(df).count() == len(pages) and url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_filter_is_its_sql(spark):
+    """The query's SQL over pages of a made-up host graph."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    hosts = [*(f"h{k}.example.{z}" for k in range(12) for z in ("com", "net", "org")), "www.Shop.com:8080", "user:pw@h1.example.com", "com", "x"]
+    paths = ["/en/7a", "/en/1", "/de/9", "/de/8", "/es/", "/fr/x", "", "?q=/en/", "#f"]
+    link = lambda: f'<a HREF="{rng.choice(["http:", "https:", ""])}//{rng.choice(hosts)}/p">'
+    rows = [(k, f"http://{rng.choice(hosts)}{rng.choice(paths)}", "".join(link() for _ in range(rng.integers(0, 6)))) for k in range(300)] + [(300, None, None), (301, "no scheme", link()), (302, "://", ""), (303, "http://bad.org:80/es/1", ""), (304, "http://farm.biz/1", '<a href="http://u:p@bad.org/x"><a href=//bad.org:80>')]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).drop("trust", "distrust")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [tuple(map(lambda x: x if x is None or isinstance(x, int) else str(x), r)) for r in rows])
+    assert_equal(got, con, ORACLE_SQL["op5_url_filter"])
+    assert got.where("rule is null and verdict = 'block'").count() > 0
+
+
+def test_scores_that_do_not_settle_are_an_error(spark):
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 0.0)], "host string, t double, b double")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, share double")
+    with pytest.raises(RuntimeError, match="settled"):
+        url_filter.propagate(seeds, edges, tolerance=1e-12, most_rounds=3)
+
+
 def test_rank_is_power_iteration(spark):
     rng = np.random.default_rng(3)
     a = rng.random((8, 8)) * (rng.random((8, 8)) < 0.4)
@@ -599,11 +638,15 @@ def test_rules(odd, empty):
 
 
 def test_cascade_order_never_changes_the_verdict(docs):
-    tests = quality_rules.rules()
+    tests = quality_rules.rules(quality_rules.from_columns())
     found = quality_rules.with_statistics(docs, ["doc_id", "text"])
     a, b = (found.select("doc_id", quality_rules.cascade(tests, o).isNull().alias("k")).collect() for o in (list(tests), list(tests)[::-1]))
     assert Counter(map(tuple, a)) == Counter(map(tuple, b))
-    assert {x[0] for x in quality_rules.cascade_order(docs, tests)} == set(tests)
+    order = quality_rules.cascade_order(docs)
+    assert {x[0] for x in order} == set(tests) and all(x[1] > 0 for x in order)
+    assert [x[2] / x[1] for x in order] == sorted([x[2] / x[1] for x in order], reverse=True)
+    kept = quality_rules.keep_passing(docs)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, k in a if k) == Counter(r["doc_id"] for r in quality_rules.judge(docs, ["doc_id"]).where("kept").collect())
 
 
 # Shards
@@ -626,6 +669,16 @@ def test_sharding(spark, odd, empty, sf):
     assert abs(share[1] - 0.75) < 0.02 and 2 not in share
     q = QUERIES["op9_sharding"](spark, sf).collect()
     assert all(r["law"] == "key" and 0 <= r["shard"] < 8 for r in q)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in q) == Counter((i, len(t) + 1, zlib.crc32(t)) for i, t in texts.items())
+
+
+def test_rendezvous_is_the_least_draw(spark):
+    shards = [("a", 1.0), ("b", 2.5), ("c", 0.5)]
+    rows = spark.range(500).withColumn("s", sharding.rendezvous(F.col("id"), shards)).withColumns({n: F.xxhash64("id", F.lit(n)) for n, _ in shards}).collect()
+    for r in rows:
+        draws = [-math.log(((r[n] % 2**64 >> 11) + 0.5) / 2**53) / w for n, w in shards]
+        assert draws[r["s"]] == min(draws)
 
 
 # BPE
