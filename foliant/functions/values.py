@@ -36,6 +36,17 @@ def all_found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit("(?iu)" + pattern), F.lit(group))
 
 
+def cells(line: Column, sep: Column) -> Column:
+    """Cells of a line of a CSV file; separators within quotes divide nothing, doubled quotes stand for one."""
+    outside = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    parts = F.when(sep == "\t", F.split(line, "\t" + outside, -1)).when(sep == ";", F.split(line, ";" + outside, -1)).otherwise(F.split(line, "," + outside, -1))
+    return F.transform(parts, lambda x: F.trim(F.replace(F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))))
+
+
+def all_but_first(items: Column) -> Column:
+    return F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
+
+
 def normalize_amount(raw: Column) -> Column:
     """Decimal of 1 234,56, 1.234,56 or 1,234.56: the later of comma and stop is the decimal sign; else null."""
     return let(F.regexp_replace(raw, r"[\s\u00a0]+", ""), _amount)

@@ -10,26 +10,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .rules import any_like, count_contained, first_match, folded
+from .rules import any_like, chunks, count_contained, first_match, folded
 
 
-def _labels(rules: DataFrame) -> dict[str, list]:
+def _labels(rows: list) -> dict[str, list]:
     """Label -> its rules, labels in the order of the configuration."""
     out: dict[str, list] = {}
-    for r in folded(rules):
+    for r in rows:
         out.setdefault(r["label"], []).append(r)
     return out
 
 
+SCORE = "array<struct<hits: int, ord: int, label: string, n_rules: int>>"
+
+
+def _scores(labels: dict[str, list]) -> Column:
+    """(hits, -ord, label, n_rules) of the labels with a hit: distinct keywords in the lower-cased text."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    each = [F.struct(count_contained(text, [r["pattern"].lower() for r in own]).alias("hits"), F.lit(-own[0]["ord"]).alias("ord"), F.lit(label).alias("label"), F.lit(len(own)).alias("n_rules")) for label, own in labels.items()]
+    return F.filter(F.array(*each), lambda x: x["hits"] > 0).cast(SCORE)
+
+
+def _all_scores(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, scores) of docs. One projection; with rules for several, what each finds is summed by label."""
+    parts = chunks(rules)
+    found = [docs.select("doc_id", _scores(_labels(p)).alias("scores")) for p in parts]
+    if len(found) == 1:
+        return found[0]
+    each = None
+    for f in found:
+        each = f if each is None else each.unionByName(f)
+    of_label: dict[str, tuple[int, int]] = {}
+    for label, own in _labels([r for p in parts for r in p]).items():
+        of_label[label] = (own[0]["ord"], len(own))
+    lookup = lambda k: F.element_at(F.create_map(*[F.lit(x) for label, v in of_label.items() for x in (label, v[k])]), F.col("label"))
+    sums = each.select("doc_id", F.explode("scores").alias("s")).groupBy("doc_id", F.col("s.label").alias("label")).agg(F.sum("s.hits").cast("int").alias("hits"))
+    score = F.struct("hits", (-lookup(0)).alias("ord"), "label", lookup(1).alias("n_rules"))
+    grouped = sums.groupBy("doc_id").agg(F.collect_list(score).cast(SCORE).alias("scores"))
+    return docs.select("doc_id").join(grouped, "doc_id", "left")
+
+
 def keyword_scores(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, label, ord, n_rules, hits) for labels with a hit: distinct keywords in the lower-cased text."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    found = []
-    for label, own in _labels(rules).items():
-        hits = count_contained(text, [r["pattern"].lower() for r in own])
-        found.append(F.struct(F.lit(label).alias("label"), F.lit(own[0]["ord"]).alias("ord"), F.lit(len(own)).alias("n_rules"), hits.alias("hits")))
-    each = docs.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x["hits"] > 0)).alias("s"))
-    return each.select("doc_id", "s.*")
+    each = _all_scores(docs, rules).select("doc_id", F.explode("scores").alias("s"))
+    return each.select("doc_id", "s.label", F.negative("s.ord").alias("ord"), "s.n_rules", "s.hits")
 
 
 def _best(docs: DataFrame, scores: DataFrame, *order: Column) -> DataFrame:
@@ -44,12 +68,13 @@ def classify_keywords(docs: DataFrame, rules: DataFrame, mode: str = "ratio", de
     ratio: hits over the label's keywords, 0.3 for none. tiered: 0.85, 0.70, 0.50 for three, two
     or one keyword, 0.2 for none.
     """
-    best = _best(docs, keyword_scores(docs, rules), F.desc("hits"), F.asc("ord"))
+    best = _all_scores(docs, rules).select("doc_id", F.array_max("scores").alias("b"))
+    hits = F.col("b.hits")
     if mode == "ratio":
-        conf = F.when(F.col("hits").isNull(), 0.3).otherwise(F.least(F.lit(1.0), F.col("hits") / F.col("n_rules")))
+        conf = F.when(hits.isNull(), 0.3).otherwise(F.least(F.lit(1.0), hits / F.col("b.n_rules")))
     else:
-        conf = F.when(F.col("hits") >= 3, 0.85).when(F.col("hits") == 2, 0.70).when(F.col("hits") == 1, 0.50).otherwise(0.2)
-    return best.select("doc_id", F.coalesce("label", F.lit(default)).alias("label"), conf.alias("confidence"))
+        conf = F.when(hits >= 3, 0.85).when(hits == 2, 0.70).when(hits == 1, 0.50).otherwise(0.2)
+    return best.select("doc_id", F.coalesce("b.label", F.lit(default)).alias("label"), conf.alias("confidence"))
 
 
 def matched_keywords(docs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -63,7 +88,7 @@ def classify_regex_counts(docs: DataFrame, rules: DataFrame, default: str = "oth
     """(doc_id, label, score): ten points for each occurrence, 95 at most; below 30 the default."""
     text = F.coalesce("text", F.lit(""))
     scores = []
-    for k, (label, own) in enumerate(_labels(rules).items()):
+    for k, (label, own) in enumerate(_labels(folded(rules)).items()):
         total = sum((F.regexp_count(text, F.lit("(?iu)" + r["pattern"])) for r in own), F.lit(0))
         scores.append(F.struct(F.least(F.lit(95), total * 10).alias("score"), F.lit(-k).alias("ord"), F.lit(label).alias("label")))
     best = docs.select("doc_id", F.array_max(F.array(*scores)).alias("b"))
@@ -111,7 +136,7 @@ def detect_ads(text: Column, keywords: list[str], patterns: list[str]) -> Column
 def ad_features(text: Column, unsubscribe: list[str], discount: list[str], call: list[str]) -> list[Column]:
     low = F.lower(F.coalesce(text, F.lit("")))
     some = lambda ws: count_contained(low, ws) > 0
-    percent = F.regexp_extract(low, r"(\d{1,2})\s*%", 1)
+    percent = F.regexp_extract(low, r"(\d{1,3})\s*%", 1)
     return [some(unsubscribe).alias("has_unsubscribe"), some(discount).alias("has_discount"), some(call).alias("has_call"), F.when(percent != "", percent.cast("int")).alias("percent")]
 
 
@@ -184,15 +209,26 @@ def sender_shares(senders: DataFrame) -> DataFrame:
     return senders.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("sender")))
 
 
-def apply_context(docs: DataFrame, senders: DataFrame, subjects: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(doc_id, boosted, below): confidence raised by context and whether it misses its threshold."""
+#: Words of a subject that hint at a type; fixed values.
+SUBJECT_WORDS = {"invoice": ["faktura", "invoice", "rechnung"], "receipt": ["receipt", "stvrzenka", "pokladní"], "payment_reminder": ["upomínka", "reminder", "zaplatit"], "advert": ["newsletter", "akce", "sleva", "sale"]}
+
+
+def apply_context(docs: DataFrame, senders: DataFrame, subjects: DataFrame, thresholds: DataFrame, subject_words: dict[str, list[str]] = SUBJECT_WORDS) -> DataFrame:
+    """(doc_id, boosted, below): confidence raised by context; whether the confidence before misses its type's threshold.
+
+    A type's share of its sender's documents raises by 0.05 to 0.15; a subject known for the type by
+    0.10, else one with a word that hints at it by 0.05.
+    """
     shares = sender_shares(senders).select("sender", "document_type", "share")
     known = subjects.select("subject", "document_type", F.lit(True).alias("known_subject"))
     out = docs.join(shares, ["sender", "document_type"], "left").join(known, ["subject", "document_type"], "left").join(thresholds, "document_type", "left")
     boost = F.when(F.col("share") > 0.8, 0.15).when(F.col("share") > 0.5, 0.10).when(F.col("share") > 0.3, 0.05).otherwise(0.0)
-    boost = boost + F.when(F.coalesce("known_subject", F.lit(False)), 0.10).otherwise(0.0)
-    boosted = F.least(F.lit(1.0), F.coalesce("ai_confidence", F.lit(0.0)) + boost)
-    return out.select("doc_id", boosted.alias("boosted"), (boosted < F.coalesce("threshold", F.lit(0.6))).alias("below"))
+    low, hint = F.lower(F.coalesce("subject", F.lit(""))), F.lit(False)
+    for label, ws in subject_words.items():
+        hint = hint | ((F.col("document_type") == label) & (count_contained(low, ws) > 0))
+    boost = boost + F.when(F.coalesce("known_subject", F.lit(False)), 0.10).when(hint, 0.05).otherwise(0.0)
+    base = F.coalesce("ai_confidence", F.lit(0.0))
+    return out.select("doc_id", F.least(F.lit(1.0), base + boost).alias("boosted"), (base < F.coalesce("threshold", F.lit(0.6))).alias("below"))
 
 
 def suggest_alternative(docs: DataFrame, senders: DataFrame, limit: float = 0.7) -> DataFrame:
@@ -206,11 +242,11 @@ def context_stats(senders: DataFrame, subjects: DataFrame) -> DataFrame:
     return senders.agg(F.countDistinct("sender").alias("senders")).crossJoin(subjects.agg(F.countDistinct("subject").alias("subjects")))  # one row each
 
 
-def method_weights(docs: DataFrame) -> DataFrame:
-    """(document_type, ml, llm, keyword): weight triple by the mean of its high confidences."""
-    mean = docs.groupBy("document_type").agg(F.avg(F.when(F.col("ai_confidence") >= 0.9, F.col("ai_confidence"))).alias("m"))
-    pick = lambda a, b, c, d: F.when(F.col("m") >= 0.98, a).when(F.col("m") >= 0.95, b).when(F.col("m") >= 0.9, c).otherwise(d)
-    return mean.select("document_type", pick(0.9, 0.7, 0.5, 0.7).alias("ml"), pick(0.05, 0.2, 0.3, 0.2).alias("llm"), pick(0.05, 0.1, 0.2, 0.1).alias("keyword"))
+def method_weights(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """(document_type, ai, keywords, ml): weights by how well the model does on a type, the mean of its confidences over ``least``; the middle ones without any."""
+    mean = docs.groupBy("document_type").agg(F.avg(F.when(F.col("ai_confidence") >= least, F.col("ai_confidence"))).alias("m"))
+    pick = lambda high, mid, low: F.when(F.col("m") > 0.95, high).when(F.col("m").isNull() | (F.col("m") > 0.85), mid).otherwise(low)
+    return mean.select("document_type", pick(0.9, 0.7, 0.5).alias("ai"), pick(0.05, 0.2, 0.3).alias("keywords"), pick(0.05, 0.1, 0.2).alias("ml"))
 
 
 def vote_consensus(docs: DataFrame, votes: DataFrame, threshold: int = 2) -> DataFrame:
@@ -262,7 +298,7 @@ def overall_item_type(docs: DataFrame, items: DataFrame) -> DataFrame:
 def direction(text: Column, sender: Column, income: list[str], expense: list[str], own_domains: list[str]) -> Column:
     """Indicators of either side; own senders count two for income, others one for expense."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    own = F.coalesce(any_like(F.lower(sender), [d.replace(".", r"\.") + "$" for d in own_domains]), F.lit(False))
+    own = F.coalesce(any_like(F.lower(sender), [d.replace(".", r"\.") + "$" for d in own_domains]), F.lit(False)) if own_domains else F.lit(False)
     plus = count_contained(low, income) + F.when(own, 2).otherwise(0)
     minus = count_contained(low, expense) + F.when(own, 0).otherwise(1)
     return F.when(plus > minus, "income").when(minus > plus, "expense").otherwise("unknown")
@@ -285,12 +321,25 @@ def expense_category(text: Column, categories: dict[str, list[str]], default: st
     return F.when(best["n"] > 0, best["name"]).otherwise(default)
 
 
+#: Parts of names that tell companies and institutions, and endings of women's names; fixed values.
+COMPANY_MARKS = ["s.r.o.", "a.s.", "spol.", "gmbh", "inc", "ltd", "corp", "@"]
+INSTITUTION_MARKS = ["ministerstvo", "úřad", "soud", "policie", "čssz", "vfp", "ossz"]
+FEMALE_ENDINGS = ["ová", "á", "ice", "ka"]
+
+
 def recipient_type(name: Column, text: Column) -> Column:
-    """A data label from name and salutation: company, institution, or the form of address used."""
-    low, name_low = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
-    company = name_low.rlike(r"(?U)\b(s\.?r\.?o|a\.s|gmbh|ltd|inc|ag|llc)\b")
-    institution = name_low.rlike(r"(?U)\b(úřad|ministerstvo|magistrát|soud|škola|university|office)\b")
-    return F.when(company, "company").when(institution, "institution").when(low.contains("vážená paní") | name_low.rlike("ová$"), "paní").otherwise("pan")
+    """company or institution by the name; else person_female or person_male by how the text addresses it, then by its ending."""
+    low, who = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
+    addressed = lambda *forms: F.greatest(*[low.contains(F.concat(F.lit(f"{f} "), who)) for f in forms])
+    female = F.greatest(*[who.endswith(e) for e in FEMALE_ENDINGS])
+    return (
+        F.when(count_contained(who, COMPANY_MARKS) > 0, "company")
+        .when(count_contained(who, INSTITUTION_MARKS) > 0, "institution")
+        .when(addressed("paní", "pani"), "person_female")
+        .when(addressed("pan", "pane"), "person_male")
+        .when(female, "person_female")
+        .otherwise("person_male")
+    )
 
 
 def detect_language(text: Column, stop_words: dict[str, list[str]], marks: list[tuple[str, str]] = (), least: int = 3, default: str = "en") -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.names import name_penalty, normalize_name, text_fingerprint
+from foliant.sources.staging import once
 
 
 def _first_ids(df: DataFrame, by: Column | str, order: list, id_col: str) -> DataFrame:
@@ -59,9 +60,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.95, chars: int = 1000,
     of a key that over ``most`` heads have, those that share another key as well.
     """
     heads = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("head")).where(F.length("head") > 0)
-    firsts = heads.groupBy("head").agg(F.min("doc_id").alias("first_id"))
     hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("head") - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.substring("head", i, F.lit(gram))))
-    pairs = _head_pairs(firsts.select("first_id", F.slice(F.sort_array(F.array_distinct(hashes)), 1, keys).alias("keys")), most)
+    firsts = heads.groupBy("head").agg(F.min("doc_id").alias("first_id"))
+    # Keys are costly, and both they and heads are read several times.
+    firsts = once(firsts.select("head", "first_id", F.slice(F.sort_array(F.array_distinct(hashes)), 1, keys).alias("keys")))
+    pairs = _head_pairs(firsts.select("first_id", "keys"), most)
+    firsts = firsts.drop("keys")
     u, v = (firsts.select(F.col("first_id").alias(x), F.col("head").alias(f"head_{x}")) for x in "uv")
     longest = F.greatest(F.length("head_u"), F.length("head_v"))
     bound = F.floor(longest * (1 - threshold)).cast("int")
@@ -83,7 +87,7 @@ def dedup_cascade(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
     """
     by_hash = docs.where("file_hash is not null").groupBy("file_hash").agg(F.min("doc_id").alias("matched"))
     first = docs.join(by_hash, "file_hash").where("matched < doc_id").select("doc_id", F.lit("file_hash").alias("reason"), "matched")
-    rest = docs.join(first, "doc_id", "left_anti").withColumn("fp", text_fingerprint(F.col("text")))
+    rest = once(docs.select("doc_id", "text").join(first, "doc_id", "left_anti").withColumn("fp", text_fingerprint(F.col("text"))))
     by_text = rest.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("matched"))
     second = rest.join(by_text, "fp").where("matched < doc_id").select("doc_id", F.lit("text_hash").alias("reason"), "matched")
     last = rest.join(second, "doc_id", "left_anti")

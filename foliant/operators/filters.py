@@ -92,8 +92,10 @@ def update_lists(classified: DataFrame, deny: DataFrame, allow: DataFrame) -> Da
 
 
 #: Senders and subjects of machine-made notifications.
-NOTIFIERS = [r"no-?reply@", r"notifications?@", r"alerts?@", r"mailer-daemon@", r"postmaster@", r"monitoring@", r"system@"]
-NOTICES = [r"^alert:", r"^notification", r"delivery status", r"out of office", r"automatic reply", r"password reset"]
+#: Senders and subjects of system notifications, and words of marketing; fixed values.
+NOTIFIERS = [r"noreply@.*loxone", r"no-reply@", r"noreply@", r"donotreply@", r"notification@", r"alert@", r"system@", r"automat.*@", r"robot@", r"synology", r"diskstation"]
+NOTICES = [r"^statistic", r"^alert:", r"^notification:", r"automatick[áé]", r"systémov[áé]", r"loxone", r"miniserver", r"^\[192\.168\."]
+MARKETING = ["unsubscribe", "newsletter", "marketing", "promo", "discount", "sale", "offer", "sleva", "akce", "odhlásit", "reklama"]
 
 
 def is_system_notification(sender: Column, subject: Column, senders: list[str] = NOTIFIERS, subjects: list[str] = NOTICES) -> Column:
@@ -101,7 +103,7 @@ def is_system_notification(sender: Column, subject: Column, senders: list[str] =
     return any_of(sender, senders) | any_of(subject, subjects)
 
 
-def is_marketing(*texts: Column, keywords: list[str] = ("newsletter", "unsubscribe", "discount", "special offer", "% off", "sale")) -> Column:
+def is_marketing(*texts: Column, keywords: list[str] = MARKETING) -> Column:
     joined = F.lower(F.concat_ws(" ", *texts))
     out = F.lit(False)
     for k in keywords:

@@ -6,37 +6,48 @@ meet. The either-of conditions of point lookups become unions of equi joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Key, its rank among keys, and the types of documents it finds.
+#: Key, its rank among keys, and the slots that it fills.
 KEYS = [("order_number", 1, ["order", "invoice", "delivery_note"]), ("invoice_number", 2, ["invoice", "delivery_note", "payment"]), ("variable_symbol", 3, ["invoice", "payment"])]
+#: Types of documents that fill a slot not named after them.
+FILLS = {"bank_statement": "payment"}
 SLOTS = ["order", "invoice", "delivery_note", "payment"]
 
 
-def match_by(meta: DataFrame, key: str, rank: int, types: list[str]) -> DataFrame:
-    """(doc_id, slot, match_id, key_rank, created_at): other documents with the same key value."""
-    left = meta.where(F.col(key).isNotNull()).select("doc_id", key)
-    right = meta.where(F.col(key).isNotNull() & F.col("document_type").isin(types)).select(F.col("doc_id").alias("match_id"), F.col("document_type").alias("slot"), "created_at", key)
-    return left.join(right, key).where("doc_id <> match_id").select("doc_id", "slot", "match_id", F.lit(rank).alias("key_rank"), "created_at")
+def slot_of(document_type: Column) -> Column:
+    out = document_type
+    for kind, slot in FILLS.items():
+        out = F.when(document_type == kind, slot).otherwise(out)
+    return out
 
 
-def pick_matches(meta: DataFrame) -> DataFrame:
-    """(doc_id, slot, match_id): one match a slot, by key, then newest, then least id.
+def match_by(meta: DataFrame, key: str, rank: int, slots: list[str]) -> DataFrame:
+    """(doc_id, slot, match_id, key_rank, created_at): for each slot the newest other document with the same key value, then least id.
 
-    Each key is first reduced to the two best documents of a value and slot, one of which may be
-    the document itself; values that many documents share are never paired.
+    A value's documents are first reduced to the two best of each slot, one of which may be the
+    document itself; values that many documents share are never paired.
     """
+    right = meta.where(F.col(key).isNotNull()).select(F.col(key).alias("value"), slot_of(F.col("document_type")).alias("slot"), F.col("doc_id").alias("match_id"), "created_at").where(F.col("slot").isin(slots))
+    place = Window.partitionBy("value", "slot").orderBy(F.desc("created_at"), "match_id")
+    best = right.withColumn("_n", F.row_number().over(place)).where("_n <= 2")
+    best = best.groupBy("value", "slot").agg(F.array_sort(F.collect_list(F.struct("_n", "match_id", "created_at"))).alias("best"))
+    left = meta.where(F.col(key).isNotNull()).select("doc_id", F.col(key).alias("value"))
+    first = F.get(F.filter("best", lambda b: b["match_id"] != F.col("doc_id")), F.lit(0))
+    return left.join(best, "value").select("doc_id", "slot", first["match_id"].alias("match_id"), F.lit(rank).alias("key_rank"), first["created_at"].alias("created_at")).where("match_id is not null")
+
+
+def pick_matches(meta: DataFrame) -> DataFrame:
+    """(doc_id, slot, match_id): one match a slot, by key, then newest, then least id."""
     found = None
-    for key, rank, types in KEYS:
-        right = meta.where(F.col(key).isNotNull() & F.col("document_type").isin(types)).select(F.col(key).alias("value"), F.col("document_type").alias("slot"), F.col("doc_id").alias("match_id"), "created_at")
-        best = right.withColumn("_n", F.row_number().over(Window.partitionBy("value", "slot").orderBy(F.desc("created_at"), "match_id"))).where("_n <= 2").drop("_n")
-        left = meta.where(F.col(key).isNotNull()).select("doc_id", F.col(key).alias("value"))
-        one = left.join(best, "value").where("doc_id <> match_id").select("doc_id", "slot", "match_id", F.lit(rank).alias("key_rank"), "created_at")
+    for key, rank, slots in KEYS:
+        one = match_by(meta, key, rank, slots)
         found = one if found is None else found.unionByName(one)
-    order = F.struct("key_rank", F.negative(F.unix_micros(F.col("created_at").cast("timestamp"))), "match_id")
-    return found.groupBy("doc_id", "slot").agg(F.min_by("match_id", order).alias("match_id"))
+    return found.groupBy("doc_id", "slot").agg(F.min_by("match_id", "key_rank").alias("match_id"))
 
 
 def build_chains(meta: DataFrame) -> DataFrame:
@@ -130,7 +141,12 @@ def to_create(resolved: DataFrame, name: str) -> DataFrame:
 
 
 def type_paths(nodes: DataFrame) -> DataFrame:
-    """(id, path) of nodes (id, parent_id, name): names from the root down, joined by ' > '."""
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("foliant_nodes")
-    return spark.sql("WITH RECURSIVE p(id, path) AS (SELECT id, name FROM foliant_nodes WHERE parent_id IS NULL UNION ALL SELECT n.id, concat(p.path, ' > ', n.name) FROM foliant_nodes n JOIN p ON n.parent_id = p.id) SELECT id, path FROM p")
+    """(id, path) of nodes (id, parent_id, name): names from the root down, joined by ' > '.
+
+    For trees of types as catalogs have them, within Spark's limits of recursion (100 levels).
+    """
+    spark, name = nodes.sparkSession, f"foliant_{uuid.uuid4().hex}"
+    nodes.createOrReplaceTempView(name)
+    found = spark.sql(f"WITH RECURSIVE p(id, path) AS (SELECT id, name FROM {name} WHERE parent_id IS NULL UNION ALL SELECT n.id, concat(p.path, ' > ', n.name) FROM {name} n JOIN p ON n.parent_id = p.id) SELECT id, path FROM p")
+    spark.catalog.dropTempView(name)
+    return found

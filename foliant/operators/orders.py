@@ -7,7 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.values import normalize_amount, normalize_date
+from foliant.functions.values import all_but_first, cells, normalize_amount, normalize_date
+from foliant.sources.staging import once
 
 NAME_PATTERN = r"(?i)(?:bestellungen|invoices|orders|objednavky)[_-](?:von|from|od)[_-]|amazon.*(?:invoice|order)"
 #: Column names of exports by language and canonical field; fixed values.
@@ -30,10 +31,6 @@ def detect_delimiter(header: Column) -> Column:
     return F.when((n("\t") > n(";")) & (n("\t") > n(",")), "\t").when(n(";") > n(","), ";").otherwise(",")
 
 
-def _cells(line: Column, sep: Column) -> Column:
-    return F.transform(F.when(sep == "\t", F.split(line, "\t", -1)).when(sep == ";", F.split(line, ";", -1)).otherwise(F.split(line, ",", -1)), lambda x: F.trim(F.translate(x, '"', "")))
-
-
 def detect_header_language(heads: Column) -> Column:
     """Language with most header names, earlier ones first of equals; unknown for none."""
     scores = [F.struct(F.size(F.array_intersect(heads, F.array(*[F.lit(c) for c in cols]))).alias("n"), F.lit(-k).alias("ord"), F.lit(lang).alias("lang")) for k, (lang, cols) in enumerate(COLUMNS.items())]
@@ -45,11 +42,13 @@ def read_orders(files: DataFrame) -> DataFrame:
     """(path, row, fields...) of order export files (path, content): cells by canonical name, N/A and - null."""
     lines = F.filter(F.split(F.regexp_replace("content", "^\ufeff", ""), r"\r?\n"), lambda x: F.trim(x) != "")
     found = files.select("path", lines.alias("lines")).withColumn("sep", detect_delimiter(F.get("lines", F.lit(0))))
-    found = found.withColumn("heads", _cells(F.get("lines", F.lit(0)), F.col("sep")))
+    found = found.withColumn("heads", cells(F.get("lines", F.lit(0)), F.col("sep")))
     every = {h: c for cols in COLUMNS.values() for h, c in cols.items()}
     named = F.transform("heads", lambda h: F.element_at(F.create_map(*[F.lit(x) for kv in every.items() for x in kv]), h))
-    rows = found.select("path", "sep", named.alias("names"), detect_header_language(F.col("heads")).alias("language"), F.posexplode(F.slice("lines", 2, 10_000_000)).alias("k", "line"))
-    rows = rows.withColumn("cells", _cells(F.col("line"), F.col("sep"))).where(F.size("cells") >= 5)
+    # Language and names are a file's, so they are found before its rows are taken apart.
+    found = once(found.select("path", "sep", named.alias("names"), detect_header_language(F.col("heads")).alias("language"), all_but_first(F.col("lines")).alias("lines")))
+    rows = found.select("path", "sep", "names", "language", F.posexplode("lines").alias("k", "line"))
+    rows = rows.withColumn("cells", cells(F.col("line"), F.col("sep"))).where(F.size("cells") >= 5)
 
     def cell(name: str) -> Column:
         at = F.nullif(F.array_position("names", F.lit(name)), F.lit(0))

@@ -192,14 +192,19 @@ def retry_counts(attempts: DataFrame, key: str, order: list) -> DataFrame:
     return attempts.withColumn("retry_count", F.sum(F.col("failed").cast("int")).over(own))
 
 
-def balanced_ranges(counts: DataFrame, key: str, workers: int) -> DataFrame:
+def balanced_ranges(counts: DataFrame, key: str, workers: int, blocks: int = 256) -> DataFrame:
     """(worker, first, last, n) of contiguous ranges of key, the remainder to the last worker.
 
-    counts is key and n rows of it, already aggregated; ranges fall on key boundaries of the
-    running count, so only one row a key reaches the window.
+    counts is key (a number or date) and n rows of it, already aggregated; ranges fall on key
+    boundaries of the running count. Keys are put in blocks by approximate quantiles; the running
+    count is that over the blocks before, so that no task sees all keys.
     """
-    total = counts.agg(F.sum("n").alias("total"))
-    run = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cuts = counts.agg(F.percentile_approx(key, [k / blocks for k in range(1, blocks)], 10_000).alias("cuts"), F.sum("n").alias("total"))
+    at = counts.crossJoin(F.broadcast(cuts)).withColumn("block", F.size(F.filter("cuts", lambda c: c < F.col(key)))).drop("cuts")  # cuts is one row
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = at.groupBy("block").agg(F.sum("n").alias("of_block"))
+    starts = sums.select("block", F.coalesce(F.sum("of_block").over(earlier(Window.orderBy("block"))), F.lit(0)).alias("start"))  # at most ``blocks`` rows
+    run = at.join(F.broadcast(starts), "block").withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(earlier(Window.partitionBy("block").orderBy(key))), F.lit(0)))
     size = F.greatest(F.floor(F.col("total") / workers), F.lit(1))
-    at = run.crossJoin(F.broadcast(total)).withColumn("worker", F.least(F.floor(F.col("before") / size), F.lit(workers - 1)).cast("int"))  # total is one row
-    return at.groupBy("worker").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.sum("n").alias("n"))
+    placed = run.withColumn("worker", F.least(F.floor(F.col("before") / size), F.lit(workers - 1)).cast("int"))
+    return placed.groupBy("worker").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.sum("n").alias("n"))

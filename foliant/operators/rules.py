@@ -1,7 +1,7 @@
 """Rule tables: keyword and pattern configuration as small DataFrames (kind, label, ord, pattern, weight).
 
 ``ord`` keeps the order of the configuration, which breaks ties. Rule tables come from configuration
-and are bounded by it, so they may be broadcast; ``folded`` checks their size.
+and are bounded by it, so the driver holds them and they may be broadcast.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "kind string, label string, ord int, pattern string, weight double"
-#: Rules folded into one expression; larger tables are joined.
+#: Rules folded into one expression; larger tables take several.
 MOST_FOLDED = 400
 
 
@@ -26,11 +26,14 @@ def append_rules(rules: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def folded(rules: DataFrame) -> list:
-    """The rules in order, for folding into one expression; refuses tables over MOST_FOLDED."""
-    rows = rules.orderBy("ord", "label", "pattern").limit(MOST_FOLDED + 1).collect()
-    if len(rows) > MOST_FOLDED:
-        raise ValueError(f"over {MOST_FOLDED} rules: join the rule table instead")
-    return rows
+    """The rules in order; configuration, so the driver holds them."""
+    return rules.orderBy("ord", "label", "pattern").collect()
+
+
+def chunks(rules: DataFrame) -> list[list]:
+    """The rules in order, MOST_FOLDED at a time for one expression each; one empty list for no rules."""
+    rows = folded(rules)
+    return [rows[k : k + MOST_FOLDED] for k in range(0, len(rows), MOST_FOLDED)] or [[]]
 
 
 def first_match(text: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.values import MONEY, found, normalize_amount, normalize_date
+from foliant.functions.values import MONEY, all_but_first, cells, found, normalize_amount, normalize_date
+from foliant.sources.staging import once
 
 #: Codes of national banks; fixed values.
 BANKS = {"0100": "Komerční banka", "0300": "ČSOB", "0600": "Moneta Money Bank", "0800": "Česká spořitelna", "2010": "Fio banka", "2700": "UniCredit Bank", "3030": "Air Bank", "5500": "Raiffeisenbank"}
@@ -45,7 +46,7 @@ def _symbol(raw: Column) -> Column:
 
 def mt940_transactions(files: DataFrame) -> DataFrame:
     """:61:/:86: pairs; the sign from C or D, symbols from the narrative, currency from :60F:."""
-    parts = F.slice(F.split("content", r"(?s)(?=:61:)"), 2, 1_000_000)
+    parts = all_but_first(F.split("content", r"(?s)(?=:61:)"))
     rows = files.select("path", found(F.col("content"), r":60F:[CD]\d{6}([A-Z]{3})").alias("currency"), F.posexplode(parts).alias("k", "t"))
     line = r"^:61:(\d{6})(?:\d{4})?([CD])([\d,]+)"
     raw = normalize_amount(F.regexp_replace(F.regexp_extract("t", line, 3), ",$", ""))
@@ -65,7 +66,7 @@ def mt940_balances(files: DataFrame) -> DataFrame:
     return files.select("path", found(F.col("content"), r":20:([^\n\r]+)").alias("statement_id"), found(F.col("content"), r":25:([^\n\r]+)").alias("account"), *side("60F", "opening"), *side("62F", "closing"))
 
 
-CAMT = "STRUCT<BkToCstmrStmt: STRUCT<Stmt: STRUCT<Id: STRING, Ntry: ARRAY<STRUCT<Amt: STRUCT<_Ccy: STRING, _VALUE: STRING>, CdtDbtInd: STRING, BookgDt: STRUCT<Dt: STRING>, AddtlNtryInf: STRING>>>>>"
+CAMT = "STRUCT<BkToCstmrStmt: STRUCT<Stmt: STRUCT<Id: STRING, Acct: STRUCT<Id: STRUCT<IBAN: STRING>, Ccy: STRING>, Bal: ARRAY<STRUCT<Tp: STRUCT<CdOrPrtry: STRUCT<Cd: STRING>>, Amt: STRING, CdtDbtInd: STRING, Dt: STRUCT<Dt: STRING>>>, Ntry: ARRAY<STRUCT<Amt: STRUCT<_Ccy: STRING, _VALUE: STRING>, CdtDbtInd: STRING, BookgDt: STRUCT<Dt: STRING>, AddtlNtryInf: STRING>>>>>"
 
 
 def camt_transactions(files: DataFrame) -> DataFrame:
@@ -79,6 +80,30 @@ def camt_transactions(files: DataFrame) -> DataFrame:
     return rows.select("path", (F.col("k") + 1).alias("n"), F.try_to_date(F.col("e.BookgDt.Dt"), "yyyy-MM-dd").alias("date"), amount.alias("amount"), _kind(amount).alias("type"), F.col("e.Amt._Ccy").alias("currency"), F.lit(None).cast("string").alias("account"), sym("VS").alias("variable_symbol"), sym("KS").alias("constant_symbol"), sym("SS").alias("specific_symbol"), text.alias("description"))
 
 
+def camt_balances(files: DataFrame) -> DataFrame:
+    """(path, statement_id, iban, bank_code, account, currency, opening, opening_date, closing, closing_date) of CAMT.053 files.
+
+    The bank's code and the account are read from Czech IBANs.
+    """
+    bare = F.regexp_replace("content", r'^\s*<\?xml[^>]*\?>\s*|\sxmlns="[^"]*"', "")
+    s = files.select("path", F.from_xml(bare, CAMT, {"mode": "PERMISSIVE"}).alias("x")).select("path", "x.BkToCstmrStmt.Stmt.*")
+
+    def side(code: str, name: str) -> list[Column]:
+        b = F.get(F.filter("Bal", lambda b: b["Tp"]["CdOrPrtry"]["Cd"] == code), F.lit(0))
+        raw = b["Amt"].try_cast(MONEY)
+        return [F.when(b["CdtDbtInd"] == "DBIT", -raw).otherwise(raw).cast(MONEY).alias(name), F.try_to_date(F.substring(b["Dt"]["Dt"], 1, 10), "yyyy-MM-dd").alias(f"{name}_date")]
+
+    iban = F.col("Acct.Id.IBAN")
+    czech = iban.startswith("CZ")
+    return s.select("path", F.col("Id").alias("statement_id"), iban.alias("iban"), F.when(czech, F.substring(iban, 5, 4)).alias("bank_code"), F.when(czech, F.substring(iban, 9, 100)).alias("account"), F.col("Acct.Ccy").alias("currency"), *side("OPBD", "opening"), *side("CLBD", "closing"))
+
+
+def with_balances(totals: DataFrame, balances: DataFrame) -> DataFrame:
+    """totals (path, net_change, ...) with opening and closing; a closing balance that isn't stated is the opening one and the change."""
+    out = totals.join(balances.select("path", "opening", "closing"), "path", "left")
+    return out.withColumn("closing", F.coalesce("closing", (F.col("opening") + F.col("net_change")).cast(MONEY)))
+
+
 def abo_transactions(files: DataFrame) -> DataFrame:
     """075 records of fixed width; amounts in hundredths, 1 at place 61 for debit."""
     lines = F.filter(F.split("content", r"\r?\n"), lambda x: x.startswith("075"))
@@ -97,16 +122,17 @@ def csv_transactions(files: DataFrame) -> DataFrame:
     """Rows of CSV statements by the header's names in any of the languages; delimiter by the header."""
     lines = F.filter(F.split(F.regexp_replace("content", "^\ufeff", ""), r"\r?\n"), lambda x: F.trim(x) != "")
     sep = F.when(F.get("lines", F.lit(0)).contains(";"), ";").otherwise(",")
-    heads = F.transform(F.split(F.lower(F.get("lines", F.lit(0))), "[;,]"), lambda x: F.trim(F.translate(x, '"', "")))
-    rows = files.select("path", lines.alias("lines")).select("path", sep.alias("sep"), heads.alias("heads"), F.posexplode(F.slice("lines", 2, 10_000_000)).alias("k", "l"))
-    cells = rows.withColumn("cells", F.transform(F.when(F.col("sep") == ";", F.split("l", ";", -1)).otherwise(F.split("l", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)), lambda x: F.trim(F.translate(x, '"', ""))))
+    found = files.select("path", lines.alias("lines")).withColumn("sep", sep)
+    found = found.withColumn("heads", cells(F.lower(F.get("lines", F.lit(0))), F.col("sep")))
+    rows = found.select("path", "sep", "heads", F.posexplode(all_but_first(F.col("lines"))).alias("k", "l"))
+    rows = rows.withColumn("cells", cells(F.col("l"), F.col("sep")))
 
     def cell(field: str) -> Column:
         at = F.coalesce(*[F.nullif(F.array_position("heads", F.lit(n)), F.lit(0)) for n in CSV_NAMES[field]])
         return F.nullif(F.get("cells", (at - 1).cast("int")), F.lit(""))
 
     amount = normalize_amount(cell("amount"))
-    return cells.select("path", (F.col("k") + 1).alias("n"), normalize_date(cell("date")).alias("date"), amount.alias("amount"), _kind(amount).alias("type"), F.coalesce(cell("currency"), F.lit("CZK")).alias("currency"), F.lit(None).cast("string").alias("account"), *[cell(c).alias(c) for c in ("variable_symbol", "constant_symbol", "specific_symbol", "description")])
+    return rows.select("path", (F.col("k") + 1).alias("n"), normalize_date(cell("date")).alias("date"), amount.alias("amount"), _kind(amount).alias("type"), F.coalesce(cell("currency"), F.lit("CZK")).alias("currency"), F.lit(None).cast("string").alias("account"), *[cell(c).alias(c) for c in ("variable_symbol", "constant_symbol", "specific_symbol", "description")])
 
 
 FINSTA = "STRUCT<FINSTA03: STRUCT<S28_CISLO_VYPISU: STRING, SHORTNAME: STRING, FINSTA05: ARRAY<STRUCT<S61_DATUM: STRING, S61_CASTKA: STRING, S61_CD_INDIK: STRING, PART_ACCNO: STRING, PART_BANK_ID: STRING, S86_VARSYMOUR: STRING, S86_KONSTSYM: STRING, S86_SPECSYMOUR: STRING, PART_ID1_1: STRING>>>>"
@@ -125,7 +151,7 @@ READERS = {"MT940": mt940_transactions, "CAMT053": camt_transactions, "ABO": abo
 
 def read_transactions(files: DataFrame) -> DataFrame:
     """Transactions of files of all formats; each reader gets the files of its own."""
-    kinds = files.withColumn("format", detect_format(F.col("content")))
+    kinds = once(files.withColumn("format", detect_format(F.col("content"))))  # read by five
     parts = [f(kinds.where(F.col("format") == k)).select(*TX).withColumn("format", F.lit(k)) for k, f in READERS.items()]
     out = parts[0]
     for p in parts[1:]:

@@ -77,16 +77,16 @@ ADS, AD_PATTERNS = ["worthless", "stupid", "token", "!!", "the ", "que "], [r"\$
 @query(
     "c7_detect_ads",
     r"""WITH p AS (SELECT doc_id, lower(text) AS t FROM documents), q AS (SELECT doc_id, least(1.0, (0.6 * (contains(t, 'worthless')::INT + contains(t, 'stupid')::INT + contains(t, 'token')::INT + contains(t, '!!')::INT + contains(t, 'the ')::INT + contains(t, 'que ')::INT)
-    + 0.4 * (contains(t, '$$$')::INT + regexp_matches(t, '!!\s')::INT + regexp_matches(t, '[0-9]{4}')::INT)) / 5) AS score FROM p) SELECT doc_id, round(score, 6)::DOUBLE AS score, score > 0.3 AS likely FROM q""",
+    + 0.4 * (contains(t, '$$$')::INT + regexp_matches(t, '!!\s')::INT + regexp_matches(t, '[0-9]{4}')::INT)) / 5) AS score FROM p) SELECT doc_id, round(score, 6)::DOUBLE AS score, score > 0.5 AS is_ad FROM q""",
 )
 def _(s, d):
     found = texts(s, d).select("doc_id", O.detect_ads(F.col("text"), ADS, AD_PATTERNS).alias("a"))
-    return found.select("doc_id", F.round("a.score", 6).alias("score"), (F.col("a.score") > 0.3).alias("likely"))
+    return found.select("doc_id", F.round("a.score", 6).alias("score"), "a.is_ad")
 
 
 @query(
     "c8_ad_features",
-    r"SELECT doc_id, contains(lower(text), 'stupid') AS has_unsubscribe, contains(lower(text), '%%%') AS has_discount, contains(lower(text), '!!') AS has_call, try_cast(nullif(regexp_extract(lower(text), '([0-9]{1,2})\s*%', 1), '') AS INT) AS percent FROM documents",
+    r"SELECT doc_id, contains(lower(text), 'stupid') AS has_unsubscribe, contains(lower(text), '%%%') AS has_discount, contains(lower(text), '!!') AS has_call, try_cast(nullif(regexp_extract(lower(text), '([0-9]{1,3})\s*%', 1), '') AS INT) AS percent FROM documents",
 )
 def _(s, d):
     return texts(s, d).select("doc_id", *O.ad_features(F.col("text"), ["stupid"], ["%%%"], ["!!"]))
@@ -182,12 +182,12 @@ def _(s, d):
 
 @query(
     "c20_apply_context",
-    CONTEXT + """, b AS (SELECT doc_id, round(least(1.0, coalesce(ai_confidence, 0) + CASE WHEN share > 0.8 THEN 0.15 WHEN share > 0.5 THEN 0.1 WHEN share > 0.3 THEN 0.05 ELSE 0 END + CASE WHEN sb.n IS NOT NULL THEN 0.1 ELSE 0 END), 6)::DOUBLE AS boosted, coalesce(threshold, 0.6) AS t
-    FROM archive LEFT JOIN sh USING (sender, document_type) LEFT JOIN sb USING (subject, document_type) LEFT JOIN th USING (document_type)) SELECT doc_id, boosted FROM b""",
+    CONTEXT + """, b AS (SELECT doc_id, round(least(1.0, coalesce(ai_confidence, 0) + CASE WHEN share > 0.8 THEN 0.15 WHEN share > 0.5 THEN 0.1 WHEN share > 0.3 THEN 0.05 ELSE 0 END + CASE WHEN sb.n IS NOT NULL THEN 0.1 ELSE 0 END), 6)::DOUBLE AS boosted, coalesce(ai_confidence, 0) < coalesce(threshold, 0.6) AS below
+    FROM archive LEFT JOIN sh USING (sender, document_type) LEFT JOIN sb USING (subject, document_type) LEFT JOIN th USING (document_type)) SELECT doc_id, boosted, below FROM b""",
 )
 def _(s, d):
     a = archive(s, d)
-    return O.apply_context(a, *O.learn_context(a)).select("doc_id", F.round("boosted", 6).alias("boosted"))
+    return O.apply_context(a, *O.learn_context(a)).select("doc_id", F.round("boosted", 6).alias("boosted"), "below")
 
 
 @query("c21_suggest_alternative", CONTEXT + "SELECT doc_id, t.document_type AS suggestion, round(share, 6) AS share FROM archive JOIN (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY sender ORDER BY n DESC, document_type) = 1) t USING (sender) WHERE coalesce(ai_confidence, 0) < 0.7")
@@ -202,9 +202,9 @@ def _(s, d):
     return O.context_stats(senders, subjects)
 
 
-@query("c23_method_weights", WITH + ", m AS (SELECT document_type, avg(CASE WHEN ai_confidence >= 0.9 THEN ai_confidence END) AS m FROM archive GROUP BY ALL) SELECT document_type, CASE WHEN m >= 0.98 THEN 0.9 WHEN m >= 0.95 THEN 0.7 WHEN m >= 0.9 THEN 0.5 ELSE 0.7 END::DOUBLE AS ml, CASE WHEN m >= 0.98 THEN 0.05 WHEN m >= 0.95 THEN 0.2 WHEN m >= 0.9 THEN 0.3 ELSE 0.2 END::DOUBLE AS llm, CASE WHEN m >= 0.98 THEN 0.05 WHEN m >= 0.95 THEN 0.1 WHEN m >= 0.9 THEN 0.2 ELSE 0.1 END::DOUBLE AS keyword FROM m")
+@query("c23_method_weights", WITH + ", m AS (SELECT document_type, avg(CASE WHEN ai_confidence >= 0.9 THEN ai_confidence END) AS m FROM archive GROUP BY ALL) SELECT document_type, CASE WHEN m > 0.95 THEN 0.9 WHEN m > 0.85 OR m IS NULL THEN 0.7 ELSE 0.5 END::DOUBLE AS ai, CASE WHEN m > 0.95 THEN 0.05 WHEN m > 0.85 OR m IS NULL THEN 0.2 ELSE 0.3 END::DOUBLE AS keywords, CASE WHEN m > 0.95 THEN 0.05 WHEN m > 0.85 OR m IS NULL THEN 0.1 ELSE 0.2 END::DOUBLE AS ml FROM m")
 def _(s, d):
-    return O.method_weights(archive(s, d))
+    return O.method_weights(archive(s, d), 0.9)
 
 
 @query(
@@ -261,10 +261,10 @@ def _(s, d):
     return texts(s, d).select("doc_id", O.expense_category(F.col("text"), {"fun": ["stupid", "worthless"], "it": ["token", "@mail"]}).alias("category"))
 
 
-@query("c32_recipient_type", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'company' WHEN 1 THEN 'institution' WHEN 2 THEN 'paní' ELSE 'pan' END AS recipient FROM customer")
+@query("c32_recipient_type", "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'company' WHEN 1 THEN 'institution' WHEN 2 THEN 'person_female' WHEN 3 THEN 'person_male' WHEN 4 THEN 'person_female' ELSE 'person_male' END AS recipient FROM customer")
 def _(s, d):
-    name = F.expr("CASE c_custkey % 4 WHEN 0 THEN concat(c_name, ' s.r.o.') WHEN 1 THEN concat('Úřad ', c_name) ELSE c_name END")
-    text = F.expr("if(c_custkey % 4 = 2, 'Vážená paní,', 'Vážený pane,')")
+    name = F.expr("CASE c_custkey % 6 WHEN 0 THEN concat(c_name, ' s.r.o.') WHEN 1 THEN concat('Úřad ', c_name) WHEN 3 THEN concat(c_name, ' Svoboda-Hrůza á') WHEN 4 THEN concat(c_name, ' Nováková') ELSE c_name END")
+    text = F.expr("CASE c_custkey % 6 WHEN 2 THEN concat('Pro paní ', c_name, ',') WHEN 3 THEN concat('Vážený pane ', c_name, ' Svoboda-Hrůza á,') ELSE 'Vážená paní, vážený pane,' END")
     return table(s, d, "customer").select("c_custkey", O.recipient_type(name, text).alias("recipient"))
 
 

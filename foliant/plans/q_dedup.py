@@ -120,22 +120,22 @@ def _(s, d):
     return O.apply_merge(docs, O.merge_plan(correspondents(s, d))).select("doc_id", "correspondent_id", "moved")
 
 
-META = f"""WITH {ARCHIVE}, meta AS (SELECT doc_id, document_type, created_at, CASE WHEN doc_id % 5 <> 0 THEN 'PO' || doc_id // 4 END AS order_number, CASE WHEN doc_id % 3 <> 0 THEN 'F' || doc_id // 3 END AS invoice_number,
+META = f"""WITH {ARCHIVE}, meta AS (SELECT doc_id, CASE WHEN document_type = 'receipt' AND doc_id % 2 = 0 THEN 'bank_statement' ELSE document_type END AS document_type, created_at, CASE WHEN doc_id % 5 <> 0 THEN 'PO' || doc_id // 4 END AS order_number, CASE WHEN doc_id % 3 <> 0 THEN 'F' || doc_id // 3 END AS invoice_number,
   CASE WHEN doc_id % 7 < 3 THEN CAST(doc_id // 6 AS VARCHAR) END AS variable_symbol, CASE WHEN doc_id % 4 <> 0 THEN amount END AS amount, CASE WHEN doc_id % 3 <> 1 THEN sender END AS vendor FROM archive) """
 
 
 def meta(s, d):
-    return archive(s, d).selectExpr("doc_id", "document_type", "created_at", "if(doc_id % 5 <> 0, concat('PO', doc_id div 4), null) AS order_number", "if(doc_id % 3 <> 0, concat('F', doc_id div 3), null) AS invoice_number", "if(doc_id % 7 < 3, cast(doc_id div 6 AS string), null) AS variable_symbol", "if(doc_id % 4 <> 0, amount, null) AS amount", "if(doc_id % 3 <> 1, sender, null) AS vendor")
+    return archive(s, d).selectExpr("doc_id", "if(document_type = 'receipt' and doc_id % 2 = 0, 'bank_statement', document_type) AS document_type", "created_at", "if(doc_id % 5 <> 0, concat('PO', doc_id div 4), null) AS order_number", "if(doc_id % 3 <> 0, concat('F', doc_id div 3), null) AS invoice_number", "if(doc_id % 7 < 3, cast(doc_id div 6 AS string), null) AS variable_symbol", "if(doc_id % 4 <> 0, amount, null) AS amount", "if(doc_id % 3 <> 1, sender, null) AS vendor")
 
 
-CAND = META + """, cand AS (SELECT a.doc_id, b.document_type AS slot, b.doc_id AS match_id, 1 AS key_rank, b.created_at FROM meta a JOIN meta b USING (order_number) WHERE a.doc_id <> b.doc_id AND b.document_type IN ('order', 'invoice', 'delivery_note')
-  UNION ALL SELECT a.doc_id, b.document_type, b.doc_id, 2, b.created_at FROM meta a JOIN meta b USING (invoice_number) WHERE a.doc_id <> b.doc_id AND b.document_type IN ('invoice', 'delivery_note', 'payment')
-  UNION ALL SELECT a.doc_id, b.document_type, b.doc_id, 3, b.created_at FROM meta a JOIN meta b USING (variable_symbol) WHERE a.doc_id <> b.doc_id AND b.document_type IN ('invoice', 'payment')),
+CAND = META + """, fill AS (SELECT *, CASE document_type WHEN 'bank_statement' THEN 'payment' ELSE document_type END AS slot FROM meta), cand AS (SELECT a.doc_id, b.slot, b.doc_id AS match_id, 1 AS key_rank, b.created_at FROM meta a JOIN fill b USING (order_number) WHERE a.doc_id <> b.doc_id AND b.slot IN ('order', 'invoice', 'delivery_note')
+  UNION ALL SELECT a.doc_id, b.slot, b.doc_id, 2, b.created_at FROM meta a JOIN fill b USING (invoice_number) WHERE a.doc_id <> b.doc_id AND b.slot IN ('invoice', 'delivery_note', 'payment')
+  UNION ALL SELECT a.doc_id, b.slot, b.doc_id, 3, b.created_at FROM meta a JOIN fill b USING (variable_symbol) WHERE a.doc_id <> b.doc_id AND b.slot IN ('invoice', 'payment')),
   picked AS (SELECT doc_id, slot, match_id FROM cand QUALIFY row_number() OVER (PARTITION BY doc_id, slot ORDER BY key_rank, created_at DESC, match_id) = 1) """
 
 for _k, (_key, _rank, _types) in enumerate(M.KEYS, 1):
 
-    @query(f"j{_k}_match_by_{_key}", CAND + f"SELECT doc_id, slot, match_id FROM cand WHERE key_rank = {_rank}")
+    @query(f"j{_k}_match_by_{_key}", CAND + f"SELECT doc_id, slot, match_id FROM cand WHERE key_rank = {_rank} QUALIFY row_number() OVER (PARTITION BY doc_id, slot ORDER BY created_at DESC, match_id) = 1")
     def _(s, d, key=_key, rank=_rank, types=_types):
         return M.match_by(meta(s, d), key, rank, types).select("doc_id", "slot", "match_id")
 

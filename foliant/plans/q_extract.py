@@ -26,13 +26,13 @@ def letters(s, d):
 
 @query("e1_identifiers", WITH + "SELECT doc_id, CASE WHEN document_type IN ('order', 'invoice', 'delivery_note') THEN 'PO-' || o_custkey END AS order_number, CASE WHEN document_type = 'invoice' THEN 'F' || doc_id END AS invoice_number, CASE WHEN document_type = 'delivery_note' THEN 'DL' || doc_id END AS delivery_note_number, CASE WHEN document_type IN ('invoice', 'payment') THEN lpad(doc_id::VARCHAR, 8, '0') END AS variable_symbol FROM archive")
 def _(s, d):
-    fixed = letters(s, d).withColumn("text", F.regexp_replace("text", "^OBJEDNÁVKA\n", ""))
+    fixed = letters(s, d)
     return O.extract_identifiers(fixed)
 
 
 @query("e2_references", WITH + "SELECT doc_id, concat_ws(',', 'PO-' || o_custkey, CASE document_type WHEN 'invoice' THEN 'F' || doc_id WHEN 'delivery_note' THEN 'DL' || doc_id END, lpad(doc_id::VARCHAR, 8, '0')) AS refs FROM archive")
 def _(s, d):
-    fixed = letters(s, d).withColumn("text", F.regexp_replace("text", "^OBJEDNÁVKA\n", ""))
+    fixed = letters(s, d)
     return fixed.select("doc_id", F.array_join(O.extract_references(F.col("text")), ",").alias("refs"))
 
 
@@ -60,16 +60,27 @@ def _(s, d):
     return letters(s, d).select("doc_id", *O.extract_dates(F.col("text")))
 
 
-@query("e7_amounts", "SELECT o_orderkey AS doc_id, round(o_totalprice, 2)::DECIMAL(18,2) AS total, 21 AS vat_rate FROM orders")
+@query("e7_amounts", "SELECT o_orderkey AS doc_id, round(o_totalprice, 2)::DECIMAL(18,2) AS total, 21 AS vat_rate, round(round(o_totalprice, 2) * 21 / 121, 2)::DECIMAL(18,2) AS vat, (round(o_totalprice, 2)::DECIMAL(18,2) - round(round(o_totalprice, 2) * 21 / 121, 2)::DECIMAL(18,2))::DECIMAL(18,2) AS base FROM orders")
 def _(s, d):
-    return letters(s, d).select("doc_id", *O.extract_amounts(F.col("text"))[:2])
+    return letters(s, d).select("doc_id", *O.extract_amounts(F.col("text")))
 
 
-@query("e8_fields31", WITH + "SELECT doc_id, CASE WHEN sender IS NOT NULL THEN 'user' || o_custkey % 97 END AS sender_name, year(created_at) AS year, quarter(created_at) AS quarter, 'PO-' || o_custkey AS order_number, lpad(o_custkey::VARCHAR, 8, '0') AS company_id, created_at::DATE AS issue_date, round(amount, 2)::DECIMAL(18,2) AS total, 'CZK' AS currency, '19-2000145399/0800' AS account FROM archive")
+TOTAL = "round(amount, 2)::DECIMAL(18,2)"
+VAT = "round(round(amount, 2) * 21 / 121, 2)::DECIMAL(18,2)"
+FIELDS = {
+    "document_type": "document_type", "sender_name": "CASE WHEN sender IS NOT NULL THEN 'user' || o_custkey % 97 END", "sender_address": "sender", "sender_domain": "CASE WHEN sender IS NOT NULL THEN 'd' || o_custkey % 13 || '.example.com' END",
+    "recipient_name": "'Jan'", "subject": "subject", "year": "year(created_at)", "month": "month(created_at)", "quarter": "quarter(created_at)",
+    "order_number": "'PO-' || o_custkey", "invoice_number": "CASE document_type WHEN 'invoice' THEN 'F' || doc_id END", "delivery_note_number": "CASE document_type WHEN 'delivery_note' THEN 'DL' || doc_id END", "variable_symbol": "lpad(doc_id::VARCHAR, 8, '0')",
+    "company_id": "lpad(o_custkey::VARCHAR, 8, '0')", "vat_id": "'CZ' || lpad(o_custkey::VARCHAR, 8, '0')", "vendor": "'Firma ' || o_custkey || ' s.r.o.'",
+    "issue_date": "created_at::DATE", "due_date": "(created_at + INTERVAL 14 DAY)::DATE", "delivery_date": "NULL::DATE", "payment_date": "NULL::DATE",
+    "total": TOTAL, "vat_rate": "21", "vat": VAT, "base": f"({TOTAL} - {VAT})::DECIMAL(18,2)", "currency": "'CZK'", "payment_status": "NULL::VARCHAR", "direction": "'expense'", "account": "'19-2000145399/0800'", "period": "NULL::VARCHAR",
+}
+
+
+@query("e8_fields31", WITH + "SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in FIELDS.items()) + " FROM archive")
 def _(s, d):
-    fixed = letters(s, d).withColumn("text", F.regexp_replace("text", "^OBJEDNÁVKA\n", ""))
-    wide = fixed.select("doc_id", *O.fields31(F.col("text"), F.col("document_type"), F.col("sender"), F.lit("Jan <jan@x.cz>"), F.col("subject"), F.col("created_at")))
-    return wide.select("doc_id", "sender_name", "year", "quarter", "order_number", "company_id", "issue_date", "total", "currency", "account")
+    wide = letters(s, d).select("doc_id", *O.fields31(F.col("text"), F.col("document_type"), F.col("sender"), F.lit("Jan <jan@x.cz>"), F.col("subject"), F.col("created_at")))
+    return wide.select("doc_id", *FIELDS)
 
 
 BASIC = WITH + ", a AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN subject END AS subject, 'x' AS category FROM archive), b AS (SELECT doc_id, 'enhanced' AS subject, document_type AS category, amount FROM archive WHERE doc_id % 3 = 0) "
@@ -81,9 +92,10 @@ def _(s, d):
     return O.merge_fields(a.selectExpr("doc_id", "if(doc_id % 2 = 0, subject, null) AS subject", "'x' AS category"), a.where("doc_id % 3 = 0").selectExpr("doc_id", "'enhanced' AS subject", "document_type AS category", "amount"))
 
 
-@query("e10_extraction_confidence", WITH + "SELECT doc_id, ((CASE WHEN sender IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN ai_confidence IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN ocr_confidence IS NOT NULL THEN 5 ELSE 0 END) / 10)::DOUBLE AS confidence FROM archive")
+@query("e10_extraction_confidence", WITH + "SELECT doc_id, ((CASE WHEN sender IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN ai_confidence IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN ocr_confidence IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END) / 12)::DOUBLE AS confidence FROM archive")
 def _(s, d):
-    return archive(s, d).select("doc_id", O.extraction_confidence({"sender": 3, "ai_confidence": 2, "ocr_confidence": 5}).alias("confidence"))
+    found = archive(s, d).withColumn("direction", F.when(F.col("doc_id") % 2 == 0, "income").otherwise("unknown"))
+    return found.select("doc_id", O.extraction_confidence({"sender": 3, "ai_confidence": 2, "ocr_confidence": 5, "direction": 2}).alias("confidence"))
 
 
 @query("e11_provenance", WITH + "SELECT doc_id, 'sender' AS field, sender AS value, 0.9::DOUBLE AS confidence, 'regex' AS source FROM archive WHERE sender IS NOT NULL UNION ALL SELECT doc_id, 'subject', subject, 0.85, 'regex' FROM archive")
@@ -96,10 +108,19 @@ def _(s, d):
     return O.missing_fields(archive(s, d), ["sender", "ai_confidence"])
 
 
-@query("e12_quick_facts", "SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%-d.%-m.%Y') AS dates, CASE WHEN o_orderpriority = '5-LOW' THEN '1AB ' END AS plate FROM orders")
+#: cents as 1 234,56 in DuckDB
+CZECH_SQL = "(CASE WHEN {c} >= 100000 THEN {c} // 100000 || ' ' || lpad(({c} // 100 % 1000)::VARCHAR, 3, '0') ELSE ({c} // 100)::VARCHAR END || ',' || lpad(({c} % 100)::VARCHAR, 2, '0'))"
+PLATE = "concat({k} % 9 + 1, 'A', {k} % 10, ' ', lpad({n}, 4, '0'))"
+
+
+@query("e12_quick_facts", f"""WITH o AS (SELECT *, round(o_totalprice * 100)::BIGINT AS c, 1000 + o_orderkey % 9000 AS l FROM orders)
+SELECT o_orderkey AS doc_id, {CZECH_SQL.format(c='l')} || ';' || {CZECH_SQL.format(c='c')} AS amounts, strftime(o_orderdate, '%-d/%-m/%Y') AS dates,
+  CASE WHEN o_orderpriority = '5-LOW' THEN {PLATE.format(k='o_orderkey', n='(o_orderkey % 10000)::VARCHAR')} END AS plate, CASE WHEN o_orderpriority = '5-LOW' THEN (l / 100)::DECIMAL(18,2) END AS litres FROM o""")
 def _(s, d):
-    facts = letters(s, d).select("doc_id", *O.quick_facts(F.col("text"), F.col("document_type")), "document_type")
-    return facts.select("doc_id", F.regexp_extract("dates", r"^([^;]*)", 1).alias("dates"), F.when(F.col("document_type") == "receipt", "1AB ").alias("plate"))
+    litres = "(1000 + o_orderkey % 9000)"
+    text = f"concat('Datum ', date_format(o_orderdate, 'd/M/yyyy'), '\\nSPZ ', {PLATE.format(k='o_orderkey', n='cast(o_orderkey % 10000 as string)')}, '\\nNatankováno ', {CZECH.format(c=litres)}, ' l\\nCelkem: ', {CZECH.format(c=CENTS)}, ' Kč\\n')"
+    docs = archive(s, d).join(table(s, d, "orders").selectExpr("o_orderkey AS doc_id", f"{text} AS text"), "doc_id")
+    return docs.select("doc_id", *O.quick_facts(F.col("text"), F.col("document_type")))
 
 
 def invoices(s, d):
@@ -114,9 +135,9 @@ def invoices(s, d):
 LINES = "WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_number, 'Part ' || l_partkey AS part, l_quantity::DOUBLE AS quantity, (2 * round(l_extendedprice, 2))::DECIMAL(18,2) AS net, round(l_extendedprice, 2)::DECIMAL(18,2) AS vat, (3 * round(l_extendedprice, 2))::DECIMAL(18,2) AS gross FROM lineitem) "
 
 
-@query("e13_invoice_lines", LINES + "SELECT doc_id, line_number, quantity, 21 AS vat_rate, vat AS unit_price, net, vat, gross FROM l")
+@query("e13_invoice_lines", LINES + "SELECT doc_id, line_number, part AS description, quantity, 21 AS vat_rate, vat AS unit_price, net, vat, gross FROM l")
 def _(s, d):
-    return O.invoice_lines(invoices(s, d)).select("doc_id", "line_number", "quantity", "vat_rate", "unit_price", "net", "vat", "gross")
+    return O.invoice_lines(invoices(s, d))
 
 
 @query("e14_invoice_summary", LINES + "SELECT o_orderkey AS doc_id, coalesce(n, 0) AS n_lines, coalesce(net, 0)::DECIMAL(18,2) AS net, coalesce(vat, 0)::DECIMAL(18,2) AS vat, coalesce(gross, 0)::DECIMAL(18,2) AS gross FROM orders LEFT JOIN (SELECT doc_id, count(*) AS n, sum(net) AS net, sum(vat) AS vat, sum(gross) AS gross FROM l GROUP BY doc_id) ON doc_id = o_orderkey")
@@ -150,9 +171,9 @@ def statements(s, d):
     return body.select("doc_id", F.concat(F.lit("Výpis\nPočáteční zůstatek: 1 000,00\nDatum Popis Částka\n"), "body", F.lit("\nCelkem\n")).alias("text"))
 
 
-@query("e18_statement_lines", "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, l_shipdate::DATE AS date, (round(l_extendedprice, 2) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END)::DECIMAL(18,2) AS amount, CASE WHEN l_returnflag = 'R' THEN 'outgoing' ELSE 'incoming' END AS direction, '123456/0800' AS account, l_partkey::VARCHAR AS vs, '0308' AS ks FROM lineitem")
+@query("e18_statement_lines", "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, l_shipdate::DATE AS date, (round(l_extendedprice, 2) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END)::DECIMAL(18,2) AS amount, CASE WHEN l_returnflag = 'R' THEN 'outgoing' ELSE 'incoming' END AS direction, '123456/0800' AS account, l_partkey::VARCHAR AS vs, '0308' AS ks, NULL::VARCHAR AS ss FROM lineitem")
 def _(s, d):
-    return O.statement_lines(statements(s, d)).drop("ss")
+    return O.statement_lines(statements(s, d))
 
 
 @query("e19_statement_summary", "SELECT l_orderkey AS doc_id, coalesce(sum(round(l_extendedprice, 2)::DECIMAL(18,2)) FILTER (l_returnflag <> 'R'), 0)::DECIMAL(18,2) AS incoming, coalesce(sum(round(l_extendedprice, 2)::DECIMAL(18,2)) FILTER (l_returnflag = 'R'), 0)::DECIMAL(18,2) AS outgoing, 1000::DECIMAL(18,2) AS opening, (1000 + sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * round(l_extendedprice, 2)::DECIMAL(18,2)))::DECIMAL(18,2) AS closing, count(*) AS n, least(100, 40 + least(3 * count(*), 30) + least(2 * count(*), 20) + least(count(*), 10))::INT AS confidence FROM lineitem GROUP BY ALL")
@@ -170,15 +191,15 @@ def receipts(s, d):
     return body.select("doc_id", F.concat(F.lit("Obchod\nÚčtenka\n"), "body", F.lit("\nCelkem: "), total, F.lit("\nFIK: 0123456789abcdef-01\n")).alias("text"))
 
 
-@query("e20_receipt_lines", "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_number, 'Zboží' || l_partkey AS description, l_quantity::DOUBLE AS quantity, round(l_extendedprice, 2)::DECIMAL(18,2) AS total FROM lineitem")
+@query("e20_receipt_lines", "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_number, 'Zboží' || l_partkey AS description, l_quantity::DOUBLE AS quantity, (((2 * round(l_extendedprice * 100)::BIGINT + l_quantity::BIGINT) // (2 * l_quantity::BIGINT)) / 100)::DECIMAL(18,2) AS price, round(l_extendedprice, 2)::DECIMAL(18,2) AS total FROM lineitem")
 def _(s, d):
-    return O.receipt_lines(receipts(s, d)).drop("price")
+    return O.receipt_lines(receipts(s, d))
 
 
-@query("e21_receipt_summary", "SELECT l_orderkey AS doc_id, sum(round(l_extendedprice, 2)::DECIMAL(18,2))::DECIMAL(18,2) AS total, '0123456789ABCDEF-01' AS fik, least(100, 50 + least(5 * count(*), 30) + 20)::INT AS confidence FROM lineitem GROUP BY ALL")
+@query("e21_receipt_summary", "SELECT l_orderkey AS doc_id, sum(round(l_extendedprice, 2)::DECIMAL(18,2))::DECIMAL(18,2) AS total, 0::DECIMAL(18,2) AS vat_12, round(sum(round(l_extendedprice, 2)::DECIMAL(18,2))::DOUBLE * 21 / 121, 2)::DECIMAL(18,2) AS vat_21, '0123456789ABCDEF-01' AS fik, NULL::VARCHAR AS bkp, least(100, 50 + least(5 * count(*), 30) + 20)::INT AS confidence FROM lineitem GROUP BY ALL")
 def _(s, d):
     docs = receipts(s, d)
-    return O.receipt_summary(docs, O.receipt_lines(docs)).select("doc_id", "total", "fik", "confidence")
+    return O.receipt_summary(docs, O.receipt_lines(docs))
 
 
 HTML = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<nav\b.*?</nav\s*>', ' ', 'g'), '(?is)<footer\b.*?</footer\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))"
@@ -216,6 +237,6 @@ def _(s, d):
     return archive(s, d).where("sender is not null").select("doc_id", person_of(header).alias("person"))
 
 
-@query("e28_einvoice_data", "SELECT o_orderkey AS doc_id, md5(o_orderkey::VARCHAR) AS uuid, 'F' || o_orderkey AS number, lpad(o_orderkey::VARCHAR, 8, '0') AS symbol, '19-2000145399/0800' AS account FROM orders WHERE o_orderpriority = '1-URGENT'")
+@query("e28_einvoice_data", "SELECT o_orderkey AS doc_id, md5(o_orderkey::VARCHAR) AS uuid, 'F' || o_orderkey AS number, lpad(o_orderkey::VARCHAR, 8, '0') AS symbol, '19-2000145399/0800' AS account, round(round(o_totalprice, 2) * 0.21::DOUBLE / 1.21::DOUBLE, 2)::DECIMAL(18,2) AS vat, (round(o_totalprice, 2)::DECIMAL(18,2) - round(round(o_totalprice, 2) * 0.21::DOUBLE / 1.21::DOUBLE, 2)::DECIMAL(18,2))::DECIMAL(18,2) AS net FROM orders WHERE o_orderpriority = '1-URGENT'")
 def _(s, d):
-    return letters(s, d).where("document_type = 'invoice'").select("doc_id", *O.einvoice_data(F.col("text"), F.col("doc_id"))[:4])
+    return letters(s, d).where("document_type = 'invoice'").select("doc_id", *O.einvoice_data(F.col("text"), F.col("doc_id")))

@@ -43,10 +43,10 @@ def _(s, d):
     return K.append_training(corrections(s, d))[1]
 
 
-@query("k6_archive_payload", WITH + "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN subject ELSE 'Document ' || doc_id END AS title, sender AS correspondent, CASE document_type WHEN 'invoice' THEN 'Invoice' WHEN 'order' THEN 'Order' ELSE 'Other' END AS type_name, concat_ws(',', CASE document_type WHEN 'invoice' THEN 'Invoice' WHEN 'order' THEN 'Order' END, CASE WHEN ai_confidence < 0.7 THEN 'check' END) AS tags FROM archive")
+@query("k6_archive_payload", WITH + "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN subject ELSE 'Document ' || doc_id END AS title, sender AS correspondent, CASE document_type WHEN 'invoice' THEN 'Invoice' WHEN 'order' THEN 'Order' ELSE 'Other' END AS type_name, concat_ws(',', CASE document_type WHEN 'invoice' THEN 'Invoice' WHEN 'order' THEN 'Order' END, CASE WHEN ai_confidence < 0.7 THEN 'check' END) AS tags, CAST(amount AS VARCHAR) AS amount_field, sender AS sender_field FROM archive")
 def _(s, d):
     r = archive(s, d).withColumns({"subject": F.when(F.col("doc_id") % 2 == 0, F.col("subject")), "summary": F.lit(" "), "confidence": F.col("ai_confidence")})
-    return K.archive_payload(r, {"invoice": "Invoice", "order": "Order"}, ["amount"]).select("doc_id", "title", "correspondent", "type_name", F.array_join("tags", ",").alias("tags"))
+    return K.archive_payload(r, {"invoice": "Invoice", "order": "Order"}, ["amount", "sender"]).select("doc_id", "title", "correspondent", "type_name", F.array_join("tags", ",").alias("tags"), *[F.try_element_at("custom_fields", F.lit(c)).alias(f"{c}_field") for c in ("amount", "sender")])
 
 
 @query("c14_text_model")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import classify
+from foliant.sources.staging import shared_folder as scratch
 from foliant.streaming import jobs
 from .base import ARCHIVE, archive_of, table
 from .q_classify import STOP
@@ -17,16 +15,6 @@ from .registry import SQL, query
 NOW = {"availableNow": True}
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder where driver and executors can write: in spark.checkpoint.dir, or temporary if Spark is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not (spark.sparkContext.master or "").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream of files; a glob, since a stream's plain path must be a folder."""
     return jobs.stream_documents(spark, f"{sf_dir}/{name}.parque[t]", table(spark, sf_dir, name).schema)
@@ -84,7 +72,7 @@ def _(s, d):
     counts = jobs.stream_sender_context(archive_of(source(s, d, "orders")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(jobs.batch_folder(batch, f"{folder}/out", batch_id)[1])
 
     counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(**NOW).start().awaitTermination()
     return jobs.current(s, f"{folder}/out", ["sender", "document_type"], "batch").select("sender", "document_type", "n")

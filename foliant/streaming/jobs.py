@@ -1,8 +1,9 @@
 """Structured Streaming forms of document processing.
 
 Sources are folders read as file streams; state is bounded by watermarks; sinks that replace rows
-write per-batch folders through foreachBatch, named by batch id so that a replayed batch overwrites
-itself.
+write per-batch folders through foreachBatch, named by the query's id, which lives in its checkpoint,
+and the batch's. So a replayed batch overwrites itself and nothing else: another query on the same
+sink, or one whose checkpoint was lost, has another id.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from foliant.sources.staging import holds_files
+
 MAIL_DELAY = "1 day"
 RUN_DELAY = "10 minutes"
 
@@ -29,19 +32,26 @@ def stream_dedup(docs: DataFrame, key: str, ts: str, delay: str = MAIL_DELAY) ->
     return docs.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def batch_folder(batch: DataFrame, sink: str, batch_id: int) -> tuple[str, str]:
+    """The id of the query whose batch this is, and the batch's folder in the sink."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not query:
+        raise RuntimeError("not within a streaming query")
+    return query, f"{sink.rstrip('/')}/stream={query}/batch={batch_id}"
+
+
 def stream_new_only(docs: DataFrame, sink: str, checkpoint: str, hash_col: str, trigger: dict) -> StreamingQuery:
     """Archive-wide dedup: each batch drops what the archive at sink already holds, then appends the rest."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([hash_col])
-        try:
-            known = spark.read.parquet(sink).where(F.col("batch") != batch_id).select(hash_col)
-            fresh = fresh.join(known, hash_col, "left_anti")
-        except Exception as e:  # noqa: BLE001  the first batch finds no archive
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={batch_id}")
+        stream, folder = batch_folder(batch, sink, batch_id)
+        if holds_files(spark, f"{sink.rstrip('/')}/stream=*/batch=*/*.parquet"):
+            schema = batch.schema.add("stream", "string").add("batch", "long")
+            known = spark.read.schema(schema).parquet(sink).where((F.col("stream") != stream) | (F.col("batch") != batch_id))
+            fresh = fresh.join(known.select(hash_col), hash_col, "left_anti")
+        fresh.write.mode("overwrite").parquet(folder)
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
@@ -57,16 +67,17 @@ def stream_upsert(updates: DataFrame, sink: str, checkpoint: str, keys: list[str
     def write(batch: DataFrame, batch_id: int) -> None:
         from foliant.sources.writers import upsert
 
-        upsert(batch, batch.limit(0), keys, version).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={batch_id}")
+        upsert(batch, batch.limit(0), keys, version).write.mode("overwrite").parquet(batch_folder(batch, sink, batch_id)[1])
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def current(spark: SparkSession, sink: str, keys: list[str], version: str) -> DataFrame:
-    """The newest record of each key among all batches of stream_upsert."""
+    """The newest record of each key among all batches of stream_upsert; of equal versions the latest batch's."""
     rows = spark.read.parquet(sink)
     values = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(version, "batch")).alias("v")).select(*keys, *[f"v.{c}" for c in values if c != "batch"])
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(version, "batch", "stream")).alias("v"))
+    return newest.select(*keys, *[f"v.{c}" for c in values if c not in ("batch", "stream")])
 
 
 def stream_timeline(rows: DataFrame, ts: str, width: str = "1 hour", delay: str = RUN_DELAY) -> DataFrame:
@@ -133,7 +144,7 @@ def stream_stale_claims(claims: DataFrame, minutes: int = 10, delay: str = "1 mi
 
 
 class RetryCounter(StatefulProcessor):
-    """Counts failures of each key and gives it up at the limit."""
+    """Counts failures of each key and gives it up at the limit; only keys that have failed are kept."""
 
     def __init__(self, most: int = 3):
         self.most = most
@@ -145,7 +156,8 @@ class RetryCounter(StatefulProcessor):
         n = self.failures.get()[0] if self.failures.exists() else 0
         for b in rows:
             n += int((b["status"] == "failed").sum())
-        self.failures.update((n,))
+        if n:
+            self.failures.update((n,))
         yield pd.DataFrame({"file_hash": [key[0]], "retry_count": [n], "retry": [0 < n < self.most]})
 
     def close(self) -> None:

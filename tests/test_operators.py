@@ -38,6 +38,63 @@ def test_names(spark, raw, want):
     assert one(spark, N.normalize_name(F.lit(raw).cast("string"))) == want
 
 
+@pytest.mark.parametrize("raw, want", [("Firma spol. s r.o.", "firma"), ("Acme Pty Ltd", "acme"), ("Firma sp. z o.o.", "firma"), ("Shop.com Newsletter", "shop"), ("Deals Team GmbH", "deals"), ("Věstník č. 12 jaro", "věstník"), ("a_b-c (x)", "a_b-c x")])
+def test_names_lose_all_endings(spark, raw, want):
+    assert one(spark, N.normalize_name(F.lit(raw))) == want
+
+
+def test_numbers_hold_a_digit(spark):
+    docs = spark.createDataFrame([(1, "order", "OBJEDNÁVKA\nObjednávka č. PO-5"), (2, "order", "obj. 77/A"), (3, "invoice", "Daňový doklad: 2024001\nPO: X-9"), (4, "delivery_note", "DL: 55, objednávka zboží")], "doc_id long, document_type string, text string")
+    got = {r["doc_id"]: r for r in E.extract_identifiers(docs).collect()}
+    assert got[1]["order_number"] == "PO-5" and got[2]["order_number"] == "77/A"
+    assert got[3]["invoice_number"] == "2024001" and got[3]["order_number"] == "X-9" and got[4]["delivery_note_number"] == "55" and got[4]["order_number"] is None
+
+
+def test_context_boosts_and_thresholds(spark):
+    docs = spark.createDataFrame([(1, "s", "Vaše faktura", "invoice", 0.55), (2, "s", "Re: x", "invoice", 0.55), (3, None, "SLEVA 50 %", "advert", 0.97)], "doc_id long, sender string, subject string, document_type string, ai_confidence double")
+    none = spark.createDataFrame([], "sender string, subject string, document_type string, n long, threshold double")
+    got = {r["doc_id"]: (round(r["boosted"], 6), r["below"]) for r in C.apply_context(docs, none.select("sender", "document_type", "n"), none.select("subject", "document_type", "n"), none.select("document_type", "threshold")).collect()}
+    assert got == {1: (0.6, True), 2: (0.55, True), 3: (1.0, False)}
+
+
+def test_many_rules_take_several_expressions(spark, monkeypatch):
+    from foliant.operators import rules as R
+
+    table = R.rules_table(spark, [("keyword", f"l{k % 7}", k, f"word{k:02d}", 1.0) for k in range(40)])
+    docs = spark.createDataFrame([(1, "word01 word08 word15 word02"), (2, "word03 word10"), (3, "none"), (4, None)], "doc_id long, text string")
+    want = {m: sorted(map(tuple, C.classify_keywords(docs, table, m).collect())) for m in ("ratio", "tiered")}
+    assert want["tiered"] == [(1, "l1", 0.85), (2, "l3", 0.7), (3, "other", 0.2), (4, "other", 0.2)]
+    monkeypatch.setattr(R, "MOST_FOLDED", 9)
+    assert {m: sorted(map(tuple, C.classify_keywords(docs, table, m).collect())) for m in want} == want
+
+
+def test_quoted_cells(spark):
+    from foliant.operators import orders as O
+
+    text = 'Order Number,Order Date,Title,ASIN,Quantity,Item Price\nA-1,5.3.2024,"Cable, black ""2 m""",B01,2,"1,234.50"\n'
+    got = O.locale_values(O.read_orders(spark.createDataFrame([("f", text)], "path string, content string"))).collect()[0]
+    assert (got["title"], got["asin"], got["quantity"], got["price"]) == ('Cable, black "2 m"', "B01", 2, Decimal("1234.50"))
+    text = 'Datum;Částka;Popis\n5.3.2024;-3,50;"a; b"\n'
+    got = B.csv_transactions(spark.createDataFrame([("f", text)], "path string, content string")).collect()[0]
+    assert (got["description"], got["amount"]) == ("a; b", Decimal("-3.50"))
+
+
+def test_camt_balances(spark):
+    bal = lambda code, amt, kind: f"<Bal><Tp><CdOrPrtry><Cd>{code}</Cd></CdOrPrtry></Tp><Amt Ccy='CZK'>{amt}</Amt><CdtDbtInd>{kind}</CdtDbtInd><Dt><Dt>2024-01-05T00:00:00</Dt></Dt></Bal>"
+    xml = "<Document xmlns=\"urn:camt.053\"><BkToCstmrStmt><Stmt><Id>S1</Id><Acct><Id><IBAN>CZ6508000000192000145399</IBAN></Id><Ccy>CZK</Ccy></Acct>" + bal("OPBD", "10.00", "CRDT") + bal("CLBD", "4.50", "DBIT") + "</Stmt></BkToCstmrStmt></Document>"
+    got = B.camt_balances(spark.createDataFrame([("f", xml)], "path string, content string")).collect()[0]
+    assert (got["bank_code"], got["account"], got["opening"], got["closing"], got["opening_date"]) == ("0800", "0000192000145399", Decimal("10.00"), Decimal("-4.50"), date(2024, 1, 5))
+    totals = spark.createDataFrame([("f", Decimal("1.00")), ("g", Decimal("2.00"))], "path string, net_change decimal(18,2)")
+    known = spark.createDataFrame([("f", Decimal("10.00"), None), ("g", Decimal("1.00"), Decimal("9.00"))], "path string, opening decimal(18,2), closing decimal(18,2)")
+    assert {r["path"]: r["closing"] for r in B.with_balances(totals, known).collect()} == {"f": Decimal("11.00"), "g": Decimal("9.00")}
+
+
+def test_statements_are_payments(spark):
+    rows = [(1, "invoice", None, "F1", None), (2, "bank_statement", None, "F1", None), (3, "receipt", None, "F1", None)]
+    meta = spark.createDataFrame(rows, "doc_id long, document_type string, order_number string, invoice_number string, variable_symbol string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    assert (1, "payment", 2) in {tuple(r) for r in M.pick_matches(meta).collect()}
+
+
 def test_unpaid_before_paid(spark):
     assert one(spark, C.payment_status(F.lit("Faktura NEZAPLACENO"))) == "unpaid"
     assert one(spark, C.payment_status(F.lit("zaplaceno"))) == "paid"

@@ -16,6 +16,22 @@ def test_query_matches_sql(spark, sf, con, name):
     assert_equal(plans.QUERIES[name](spark, sf), con, plans.SQL[name])
 
 
+def test_entry_without_the_training_data_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for name in ("foliant", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).is_dir():
+            shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    check = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and 'pipeline' not in q and not any(k.startswith('op') for k in q)"
+    subprocess.run([sys.executable, "-c", check], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 

@@ -39,12 +39,20 @@ def test_dedup_and_upsert(spark, tmp_path):
     assert {(r["key"], r["value"]) for r in jobs.current(spark, str(tmp_path / "out"), ["key"], "version").collect()} == {("a", "y"), ("b", "z")}
 
 
-def test_new_only_is_idempotent(spark, tmp_path):
-    rows = spark.createDataFrame([("h1", 1), ("h1", 2), ("h2", 3)], "hash string, id int")
-    for k in range(2):
-        q = jobs.stream_new_only(source(spark, rows, tmp_path / f"in{k}", 1), str(tmp_path / "sink"), str(tmp_path / f"c{k}"), "hash", NOW)
-        q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "sink")).count() <= 2
+def test_new_only_of_several_queries(spark, tmp_path):
+    sink = str(tmp_path / "sink")
+    for k, hashes in enumerate((["h1", "h1", "h2"], ["h1", "h2"], ["h2", "h3", "h3"])):  # each with a checkpoint of its own
+        rows = spark.createDataFrame([(h, k) for h in hashes], "hash string, id int")
+        jobs.stream_new_only(source(spark, rows, tmp_path / f"in{k}", 1), sink, str(tmp_path / f"c{k}"), "hash", NOW).awaitTermination()
+    assert sorted((r["hash"], r["id"]) for r in spark.read.parquet(sink).collect()) == [("h1", 0), ("h2", 0), ("h3", 2)]
+
+
+def test_upserts_of_two_queries(spark, tmp_path):
+    for k, rows in enumerate(([("a", 1, "x"), ("b", 5, "y")], [("a", 2, "z"), ("b", 4, "w"), ("c", 1, "v")])):
+        df = spark.createDataFrame(rows, "key string, version int, value string")
+        jobs.stream_upsert(source(spark, df, tmp_path / f"in{k}", 1), str(tmp_path / "out"), str(tmp_path / f"c{k}"), ["key"], "version", NOW).awaitTermination()
+    got = jobs.current(spark, str(tmp_path / "out"), ["key"], "version")
+    assert got.columns == ["key", "version", "value"] and sorted(map(tuple, got.collect())) == [("a", 2, "z"), ("b", 5, "y"), ("c", 1, "v")]
 
 
 def test_sender_context(spark, tmp_path):
