@@ -126,9 +126,9 @@ def _(s, d):
     return O.list_documents(archive(s, d).where("sender is not null"), limit=25, offset=50).select("doc_id", "sender", "created_at")
 
 
-@query("l2_multi_key_order", WITH + "SELECT doc_id, sender, created_at FROM archive ORDER BY sender NULLS FIRST, created_at DESC, doc_id LIMIT 100")
+@query("l2_multi_key_order", WITH + "SELECT doc_id, sender, created_at FROM archive ORDER BY sender NULLS FIRST, created_at DESC, doc_id")
 def _(s, d):
-    return archive(s, d).orderBy("sender", F.desc("created_at"), "doc_id").limit(100).select("doc_id", "sender", "created_at")
+    return archive(s, d).orderBy("sender", F.desc("created_at"), "doc_id").select("doc_id", "sender", "created_at")
 
 
 @query("l3_deterministic_sample", WITH + "SELECT doc_id FROM archive ORDER BY md5('7:' || doc_id), doc_id LIMIT 50")

@@ -115,6 +115,17 @@ def test_near_duplicates_by_head(spark):
     assert got == [(2, 1)]
 
 
+def test_near_duplicates_find_what_all_pairs_give(spark, sf):
+    from oracle import connect
+
+    sql = """WITH h AS (SELECT doc_id, substr(text, 1, 1000) AS head FROM documents WHERE length(text) > 0),
+      p AS (SELECT a.doc_id AS u, b.doc_id AS v, greatest(length(a.head), length(b.head)) AS n, a.head AS x, b.head AS y FROM h a JOIN h b ON a.doc_id < b.doc_id AND abs(length(a.head) - length(b.head)) <= 50)
+      SELECT v, min(u) FROM p WHERE levenshtein(x, y) <= floor(n * 0.05 + 1e-9) GROUP BY v"""
+    want = sorted(connect(sf).execute(sql).fetchall())
+    found = D.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    assert want and sorted((r["doc_id"], r["duplicate_of"]) for r in found.collect()) == want
+
+
 @pytest.mark.parametrize("most", [2, 64])
 def test_near_duplicates_need_not_share_the_first_of_a_key(spark, most):
     rng = random.Random(4)
