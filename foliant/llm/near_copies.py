@@ -226,9 +226,14 @@ def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT, miss: float =
     to_hub = crowd.where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     ends = [plain.select(F.col(x).alias("node")) for x in "uv"] + [crowd.select("node")]
     sets = staged(whole_sets(texts, nodes, ends[0].unionByName(ends[1]).unionByName(ends[2])), "shingle-sets")
-    found = verified(plain, sets).where(LINKED).select("u", "v")
     to_hub = staged(verified(to_hub, sets), "to-hub")
     linked = to_hub.where(LINKED).select("u", "v")
+    # Pairs whose two are linked to one hub are connected already; in a large group that is most of them.
+    hub_of = linked.unionByName(linked.select(F.col("v").alias("u"), "v")).groupBy("u").agg(F.min("v").alias("hub"))
+    for x in "uv":
+        plain = plain.join(hub_of.select(F.col("u").alias(x), F.col("hub").alias(f"hub_{x}")), x, "left")
+    plain = plain.where("hub_u is null or hub_v is null or hub_u <> hub_v")
+    found = verified(plain, sets).where(LINKED).select("u", "v")
     away = to_hub.select(F.col("u").alias("node"), "v", (1 - F.col("both") / (F.col("n_u") + F.col("n_v") - F.col("both"))).alias("far"), F.expr(LINKED).alias("linked"))
     placed = crowd.join(away, ["node", "v"]).select("key", "node", "f0", "far", "linked")
     rest = pairs_at(placed.where("not linked"), placed).where("far_v >= far_u - 0.2 - 1e-9 and far_v <= far_u + 0.2 + 1e-9")
