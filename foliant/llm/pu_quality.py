@@ -44,7 +44,7 @@ SLACK = 0.04
 #: Classes of characters: lower, upper, other letter, digit, blank, line end, full stop, comma, !?, quotes, symbols, bar, other punctuation, rest.
 CLASSES = 14
 #: Buckets of hashed words and of hashed pairs of words.
-BUCKETS = 256
+BUCKETS = 128
 SHAPE = CLASSES + CLASSES * CLASSES
 FEATURES = SHAPE + 2 * BUCKETS + 12
 #: Scale of the hashed features beside the others; small, since they are many and each says little.
@@ -181,7 +181,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVES, u
     rows = rows.groupBy("doc_id", "positive").agg(F.min("x").alias("x")).orderBy("positive", "doc_id").collect()
     of = lambda k: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["positive"] == k], np.float32)
     mixed = lambda x: x[np.random.default_rng(3).permutation(len(x))] if len(x) else x
-    return fit(mixed(of(1)), mixed(of(0)))
+    pos, free = mixed(of(1)), mixed(of(0))
+    del rows
+    return fit(pos, free)
 
 
 def score_texts(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
