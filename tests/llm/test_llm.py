@@ -468,7 +468,7 @@ def test_url_filter_is_its_sql(spark):
     hosts = [*(f"h{k}.example.{z}" for k in range(12) for z in ("com", "net", "org")), "www.Shop.com:8080", "user:pw@h1.example.com", "com", "x"]
     paths = ["/en/7a", "/en/1", "/de/9", "/de/8", "/es/", "/fr/x", "", "?q=/en/", "#f"]
     link = lambda: f'<a HREF="{rng.choice(["http:", "https:", ""])}//{rng.choice(hosts)}/p">'
-    rows = [(k, f"http://{rng.choice(hosts)}{rng.choice(paths)}", "".join(link() for _ in range(rng.integers(0, 6)))) for k in range(300)] + [(300, None, None), (301, "no scheme", link()), (302, "://", ""), (303, "http://bad.org:80/es/1", ""), (304, "http://farm.biz/1", '<a href="http://u:p@bad.org/x"><a href=//bad.org:80>')]
+    rows = [(k, f"http://{rng.choice(hosts)}{rng.choice(paths)}", "".join(link() for _ in range(rng.integers(0, 6)))) for k in range(300)] + [(300, None, None), (301, "no scheme", link()), (302, "://", ""), (303, "http://bad.org/es/1", ""), (304, "http://farm.biz/1", '<a href="http://u:p@bad.org/x"><a href=//bad.org:80>')]
     got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).drop("trust", "distrust")
     con = duckdb.connect()
     con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
