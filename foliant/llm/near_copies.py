@@ -11,9 +11,10 @@ with probability MISS (a more similar one with less). Candidates are probed by a
 their distance in one word and then in all, and verified by their whole shingle sets.
 
 Keys that over HOT sets share belong to groups of copies and aren't paired. Their members are
-compared with the key's hub first, the member with most such keys. One minus the similarity is a
-metric: members linked to the hub need no links among each other, and others only to members whose
-distance to the hub is within 1/5 of theirs.
+compared with the key's hub first, the member with most such keys. Pairs which the links found so
+far connect need no link of their own: what hubs link is put into components before other pairs are
+verified, and again before crowded keys are searched for links between components. One minus the
+similarity is a metric: there a pair's distances to the hub may differ by 1/5 at most.
 
 Defined results: equal sets are one node; null and blank texts are copies of each other; texts of
 fewer words than a shingle hash whole; of a group the least doc_id stays, null last, and repeated
@@ -193,6 +194,17 @@ def pairs_at(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.withColumnsRenamed({"node_u": "u", "node_v": "v"})
 
 
+def with_root(rows: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+    """rows with root_<column>: the root of the node in column, which is its own if it has no link."""
+    found = rows.join(roots.select(F.col("node").alias(column), F.col("root").alias("_root")), column, "left")
+    return found.withColumn(f"root_{column}", F.coalesce("_root", column)).drop("_root")
+
+
+def parted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose two are not of one component."""
+    return with_root(with_root(pairs, "u", roots), "v", roots).where("root_u <> root_v").select("u", "v")
+
+
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
@@ -228,17 +240,17 @@ def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT, miss: float =
     sets = staged(whole_sets(texts, nodes, ends[0].unionByName(ends[1]).unionByName(ends[2])), "shingle-sets")
     to_hub = staged(verified(to_hub, sets), "to-hub")
     linked = to_hub.where(LINKED).select("u", "v")
-    # Pairs whose two are linked to one hub are connected already; in a large group that is most of them.
-    hub_of = linked.unionByName(linked.select(F.col("v").alias("u"), "v")).groupBy("u").agg(F.min("v").alias("hub"))
-    for x in "uv":
-        plain = plain.join(hub_of.select(F.col("u").alias(x), F.col("hub").alias(f"hub_{x}")), x, "left")
-    plain = plain.where("hub_u is null or hub_v is null or hub_u <> hub_v")
-    found = verified(plain, sets).where(LINKED).select("u", "v")
-    away = to_hub.select(F.col("u").alias("node"), "v", (1 - F.col("both") / (F.col("n_u") + F.col("n_v") - F.col("both"))).alias("far"), F.expr(LINKED).alias("linked"))
-    placed = crowd.join(away, ["node", "v"]).select("key", "node", "f0", "far", "linked")
-    rest = pairs_at(placed.where("not linked"), placed).where("far_v >= far_u - 0.2 - 1e-9 and far_v <= far_u + 0.2 + 1e-9")
+    # Pairs of one component are connected already; in a large group that is most of them.
+    roots = connected_components(linked).select("node", "root")
+    linked = linked.unionByName(staged(verified(parted(plain, roots), sets).where(LINKED).select("u", "v"), "found"))
+    roots = connected_components(linked).select("node", "root")
+    away = to_hub.select(F.col("u").alias("node"), "v", (1 - F.col("both") / (F.col("n_u") + F.col("n_v") - F.col("both"))).alias("far"))
+    placed = with_root(with_root(crowd.join(away, ["node", "v"]), "node", roots), "v", roots)
+    placed = placed.select("key", "node", "f0", "far", F.col("root_node").alias("root"), (F.col("root_node") == F.col("root_v")).alias("inside"))
+    rest = pairs_at(placed.where("not inside"), placed).where("root_u <> root_v and (inside_v or u > v)")
+    rest = rest.where("far_v >= far_u - 0.2 - 1e-9 and far_v <= far_u + 0.2 + 1e-9")
     rest = staged(near(ordered(rest), some), "rest")
-    return found.unionByName(linked).unionByName(verified(rest, sets).where(LINKED).select("u", "v"))
+    return linked.unionByName(verified(rest, sets).where(LINKED).select("u", "v"))
 
 
 def keep_first(docs: DataFrame, hot: int = HOT, miss: float = MISS) -> DataFrame:
