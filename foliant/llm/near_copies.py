@@ -158,11 +158,16 @@ def apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def possible() -> Column:
+    """Whether the sizes and whole fingerprints of u and v allow a similarity of 4/5."""
+    differ = sum((apart(F.col(f"{f}_u"), F.col(f"{f}_v")) for f in FP), F.lit(0))
+    return F.expr("5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)") & (differ <= NEAR_ALL)
+
+
 def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The distinct pairs (u, v) whose sizes and whole fingerprints allow a similarity of 4/5."""
     u, v = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(f).alias(f"{f}_{x}") for f in FP]) for x in "uv")
-    both = pairs.select("u", "v").distinct().join(u, "u").join(v, "v").where("5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)")
-    return both.where(sum((apart(F.col(f"{f}_u"), F.col(f"{f}_v")) for f in FP), F.lit(0)) <= NEAR_ALL).select("u", "v")
+    return pairs.select("u", "v").distinct().join(u, "u").join(v, "v").where(possible()).select("u", "v")
 
 
 def whole_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -246,10 +251,12 @@ def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT, miss: float =
     roots = connected_components(linked).select("node", "root")
     away = to_hub.select(F.col("u").alias("node"), "v", (1 - F.col("both") / (F.col("n_u") + F.col("n_v") - F.col("both"))).alias("far"))
     placed = with_root(with_root(crowd.join(away, ["node", "v"]), "node", roots), "v", roots)
-    placed = placed.select("key", "node", "f0", "far", F.col("root_node").alias("root"), (F.col("root_node") == F.col("root_v")).alias("inside"))
+    placed = placed.select("key", "node", "far", F.col("root_node").alias("root"), (F.col("root_node") == F.col("root_v")).alias("inside"))
+    # With sizes and whole fingerprints in the rows, only possible pairs leave the join.
+    placed = placed.join(some.select("node", "n", *FP), "node")
     rest = pairs_at(placed.where("not inside"), placed).where("root_u <> root_v and (inside_v or u > v)")
     rest = rest.where("far_v >= far_u - 0.2 - 1e-9 and far_v <= far_u + 0.2 + 1e-9")
-    rest = staged(near(ordered(rest), some), "rest")
+    rest = staged(ordered(rest.where(possible())).distinct(), "rest")
     return linked.unionByName(verified(rest, sets).where(LINKED).select("u", "v"))
 
 
