@@ -6,6 +6,10 @@ where only the first row matters, an aggregate with map-side combining and a joi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +17,8 @@ from pyspark.sql.window import Window
 from foliant.functions.names import name_penalty, normalize_name, text_fingerprint
 from foliant.sources.staging import once
 
+from .forest import roots
+
 
 def _first_ids(df: DataFrame, by: Column | str, order: list, id_col: str) -> DataFrame:
     """(key, first): id of the first row of each key, combined before the shuffle."""
@@ -34,44 +40,124 @@ def mark_duplicates(files: DataFrame, hash_col: str = "hash", priority: str = "p
     return out.withColumn("is_duplicate", copy).withColumn("duplicate_of", F.when(copy, F.col("first_path"))).drop("first_path")
 
 
-def _head_pairs(keyed: DataFrame, most: int) -> DataFrame:
-    """(u, v), u < v: first ids of heads that meet at a key; keyed has first_id, head, keys.
+#: Classes of characters whose counts are kept of a head.
+CLASSES = 16
+#: Length from which heads have longer grams.
+LONG_HEAD = 100
+
+
+def most_edits(length: int, threshold: float) -> int:
+    """Edits by which the longer of two similar heads, of this length, may differ from the other."""
+    return int(length * (1 - threshold))
+
+
+def gram_sizes(threshold: float, chars: int) -> list[tuple[int, int, int, int]]:
+    """(least length, most length, gram, window) of the classes of heads.
+
+    Of a head of n characters with t edits the unchanged ones lie in t + 1 runs at most, so one run
+    has (n - t) / (t + 1) or more; where gram + window - 1 is that long, its least-hashed gram is the
+    same in both heads. A pair belongs to the class of its longer head, so classes overlap by the edits.
+    """
+    out = []
+    for low, high in ((1, min(LONG_HEAD, chars + 1) - 1), (LONG_HEAD, chars)):
+        runs = [-(-(n - t) // (t + 1)) for n in range(low, high + 1) if (t := most_edits(n, threshold))]
+        if runs:
+            gram = max(1, min(runs) * 3 // 4)
+            out.append((low - most_edits(low, threshold), high, gram, min(runs) - gram + 1))
+    return out
+
 
-    Members of a key of over ``most`` heads meet if they share a second key too.
+def _minimisers(codes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the least-hashed grams of all windows, in order."""
+    n = len(codes) - gram + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for k in range(gram):
+        h = (h + codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    window = min(window, n)
+    at = np.unique(np.arange(n - window + 1) + np.lib.stride_tricks.sliding_window_view(h, window).argmin(1))
+    return h[at].view(np.int64), at
+
+
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into as many partitions as shuffles have: few bytes, much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+COUNTS = [f"c{k}" for k in range(CLASSES)]
+
+
+def _keyed_heads(firsts: DataFrame, threshold: float, chars: int) -> DataFrame:
+    """(first_id, n, edits, c0, c1, ..., keys) of firsts (first_id, head): length, edits allowed, counts of characters by class, and each key with its place and the key before it."""
+    classes = gram_sizes(threshold, chars)
+    keys_type = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32()), ("before", pa.int64()), ("gap", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                some = b.slice(at, 1000)
+                lengths, counts, keys = [], [], []
+                for head in some.column("head").to_pylist():
+                    codes = np.frombuffer(head.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+                    lengths.append(len(codes))
+                    counts.append(np.bincount((codes % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES))
+                    own = []
+                    for k, (low, high, gram, window) in enumerate(classes):
+                        if low <= len(codes) <= high:
+                            found, places = _minimisers(codes, gram, window)
+                            found, places = ((found & -2) | k).tolist(), places.tolist()
+                            own += [{"key": x, "at": p, "before": y, "gap": p - q} for x, p, y, q in zip(found, places, [None, *found], [0, *places], strict=False)]
+                    keys.append(own)
+                columns = np.array(counts, np.int32).reshape(len(lengths), CLASSES).T
+                yield pa.RecordBatch.from_arrays([some.column("first_id"), pa.array(lengths, pa.int32()), pa.array([most_edits(n, threshold) for n in lengths], pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(keys, keys_type)], names=["first_id", "n", "edits", *COUNTS, "keys"])
+
+    kind = dict(firsts.dtypes)["first_id"]
+    return firsts.select("first_id", "head").mapInArrow(run, f"first_id {kind}, n int, edits int, " + ", ".join(f"{c} int" for c in COUNTS) + ", keys array<struct<key: bigint, at: int, before: bigint, gap: int>>")
+
+
+def _head_pairs(heads: DataFrame, hot: int) -> DataFrame:
+    """(u, v), u < v: first ids of heads that may be similar; every similar pair is among them.
+
+    Two heads meet at each key that they have at places as far apart as edits can move them, unless the
+    keys before do so too, as far before, and stay together if their counts of characters allow it: an edit adds one to a class at most, and takes one away. Members
+    of a key of over ``hot`` heads have their counts beside them, so that there only such pairs leave the join.
     """
-    single = keyed.select("first_id", "keys", F.explode("keys").alias("key"))
-    counts = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = single.join(counts, "key")
-    few = met.where(F.col("n") <= most).select("first_id", "key", F.lit(None).cast("long").alias("second"))
-    others = F.when(F.size("keys") > 1, F.filter("keys", lambda k: k != F.col("key"))).otherwise(F.col("keys"))
-    over = met.where(F.col("n") > most).select("first_id", "key", F.explode(others).alias("second"))
-    rows = few.unionByName(over)
-    u, v = (rows.select("key", "second", F.col("first_id").alias(x)) for x in "uv")
-    same = (u["key"] == v["key"]) & u["second"].eqNullSafe(v["second"]) & (F.col("u") < F.col("v"))
-    return u.join(v, same).select("u", "v").distinct()
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.95, chars: int = 1000, keys: int = 20, gram: int = 8, most: int = 64) -> DataFrame:
+    single = heads.select("first_id", "n", "edits", F.explode("keys").alias("k")).select("first_id", "n", "edits", "k.*")
+    counts = single.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    met = once(single.join(counts, "key"))
+    edits = "greatest(edits_u, edits_v)"
+    sized = f"u < v and abs(at_u - at_v) <= {edits} and abs(n_u - n_v) <= {edits} and coalesce(before_u <> before_v or gap_u <> gap_v, true)"
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        u, v = (rows.select("key", *[F.col(c).alias("u" if c == "first_id" and x == "u" else "v" if c == "first_id" else f"{c}_{x}") for c in rows.columns if c not in ("key", "m")]) for x in "uv")
+        return _spread(u, "key").join(_spread(v, "key"), "key").where(sized)
+
+    more = sum((F.greatest(F.col(f"{c}_u") - F.col(f"{c}_v"), F.lit(0)) for c in COUNTS), F.lit(0))
+    allowed = F.greatest(more, more - F.col("n_u") + F.col("n_v")) <= F.greatest("edits_u", "edits_v")
+    crowd = pairs(met.where(F.col("m") > hot).join(heads.drop("n", "edits", "keys"), "first_id")).where(allowed).select("u", "v")
+    few = pairs(met.where(F.col("m") <= hot)).select("u", "v").distinct()
+    u, v = (heads.select(F.col("first_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "edits", *COUNTS)]) for x in "uv")
+    return _spread(few, "u").join(u, "u").join(v, "v").where(allowed).select("u", "v").unionByName(crowd).distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.95, chars: int = 1000, hot: int = 64) -> DataFrame:
     """(doc_id, duplicate_of, similarity): earliest document whose first characters are that similar.
 
     Similarity is one minus the edit distance over the longer length. Equal heads are compared once.
-    A head's keys are the least hashes of its character grams; heads over ``threshold`` similar share
-    most grams and so, with high probability, several keys. All heads that share a key are compared;
-    of a key that over ``most`` heads have, those that share another key as well.
+    Heads that share no least-hashed gram of a window can't be similar (gram_sizes), so no pair is
+    lost. Null and empty texts are similar to none.
     """
-    heads = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("head")).where(F.length("head") > 0)
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("head") - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.substring("head", i, F.lit(gram))))
-    firsts = heads.groupBy("head").agg(F.min("doc_id").alias("first_id"))
-    # Keys are costly, and both they and heads are read several times.
-    firsts = once(firsts.select("head", "first_id", F.slice(F.sort_array(F.array_distinct(hashes)), 1, keys).alias("keys")))
-    pairs = _head_pairs(firsts.select("first_id", "keys"), most)
-    firsts = firsts.drop("keys")
+    heads = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("head")).where("doc_id is not null").where(F.length("head") > 0)
+    firsts = once(heads.groupBy("head").agg(F.min("doc_id").alias("first_id")))
+    pairs = _spread(_head_pairs(once(_keyed_heads(firsts, threshold, chars)), hot), "u", "v")
     u, v = (firsts.select(F.col("first_id").alias(x), F.col("head").alias(f"head_{x}")) for x in "uv")
     longest = F.greatest(F.length("head_u"), F.length("head_v"))
     bound = F.floor(longest * (1 - threshold)).cast("int")
-    sized = pairs.join(u, "u").join(v, "v").where(F.abs(F.length("head_u") - F.length("head_v")) <= bound)
-    edits = F.levenshtein("head_u", "head_v", int(chars * (1 - threshold)) + 1)
-    close = sized.select("u", "v", (1 - edits / longest).alias("similarity"), ((edits >= 0) & (edits <= bound)).alias("ok")).where("ok")
+    edits = F.levenshtein("head_u", "head_v", most_edits(chars, threshold) + 1)
+    met = pairs.join(u, "u").join(v, "v").select("u", "v", edits.alias("edits"), longest.alias("longest"), bound.alias("bound"))
+    close = met.where("edits between 0 and bound").select("u", "v", (1 - F.col("edits") / F.col("longest")).alias("similarity"))
     # A later copy of the earlier head follows the first of the later one as well: heads look both ways.
     both = close.select(F.col("u").alias("first_id"), F.col("v").alias("other"), "similarity").unionByName(close.select(F.col("v").alias("first_id"), F.col("u").alias("other"), "similarity"))
     near = both.unionByName(firsts.select("first_id", F.col("first_id").alias("other"), F.lit(1.0).alias("similarity")))
@@ -95,6 +181,17 @@ def dedup_cascade(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
     return first.unionByName(second).unionByName(third)
 
 
+def duplicate_clusters(found: DataFrame) -> DataFrame:
+    """(doc_id, cluster_id, reason, matched) of everything in the cascade's rows (doc_id, reason, matched), a row a document.
+
+    Each duplicate has one earlier match, so matches are a forest; a cluster is a tree, named by its
+    first document, which has no reason and no match itself.
+    """
+    found = once(found)
+    tops = roots(found.select(F.col("doc_id").alias("id"), F.col("matched").alias("parent"))).withColumnsRenamed({"id": "doc_id", "root": "cluster_id"})
+    return tops.join(found, "doc_id", "left").select("doc_id", "cluster_id", "reason", "matched")
+
+
 def cross_location(files: DataFrame, primary: str) -> DataFrame:
     """(hash, primary_path, location, path): copies elsewhere of what the primary location holds."""
     own = files.where(F.col("location") == primary).groupBy("hash").agg(F.min("path").alias("primary_path"))

@@ -6,12 +6,12 @@ meet. The either-of conditions of point lookups become unions of equi joins.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .forest import paths
+
 #: Key, its rank among keys, and the slots that it fills.
 KEYS = [("order_number", 1, ["order", "invoice", "delivery_note"]), ("invoice_number", 2, ["invoice", "delivery_note", "payment"]), ("variable_symbol", 3, ["invoice", "payment"])]
 #: Types of documents that fill a slot not named after them.
@@ -143,10 +143,7 @@ def to_create(resolved: DataFrame, name: str) -> DataFrame:
 def type_paths(nodes: DataFrame) -> DataFrame:
     """(id, path) of nodes (id, parent_id, name): names from the root down, joined by ' > '.
 
-    For trees of types as catalogs have them, within Spark's limits of recursion (100 levels).
+    Of any depth and number. Nodes on or below a cycle, or below a parent that isn't there, have no path
+    and are left out. The rounds run when this is called.
     """
-    spark, name = nodes.sparkSession, f"foliant_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(name)
-    found = spark.sql(f"WITH RECURSIVE p(id, path) AS (SELECT id, name FROM {name} WHERE parent_id IS NULL UNION ALL SELECT n.id, concat(p.path, ' > ', n.name) FROM {name} n JOIN p ON n.parent_id = p.id) SELECT id, path FROM p")
-    spark.catalog.dropTempView(name)
-    return found
+    return paths(nodes)

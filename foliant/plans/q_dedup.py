@@ -40,16 +40,43 @@ def _(s, d):
     return texts(s, d).select("doc_id", N.text_fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@query("d4_near_duplicates")
+#: Letters beyond ASCII that occur in the corpus; DuckDB counts edits in bytes, so they become control characters.
+ACCENTED = "éóèñçüêäößíÉÈÑÓÇÊÜÄÖÍ"
+PLAIN = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 27)])
+#: Differences of letter counts bound the edits from below; of the pairs left the edits are counted.
+COUNTS = "[" + ", ".join(f"length(head) - length(replace(head, '{c}', ''))" for c in "etaoinshrdlucmfwypvbgk .,") + "]"
+SIMILAR = f"""h AS (SELECT head, min(doc_id) AS first_id FROM (SELECT doc_id, substr(translate(text, '{ACCENTED}', {PLAIN}), 1, 1000) AS head FROM rest WHERE length(text) > 0) GROUP BY head),
+  c AS (SELECT *, {COUNTS} AS counts FROM h),
+  p AS (SELECT a.head AS x, b.head AS y, a.first_id AS u, b.first_id AS v, greatest(length(a.head), length(b.head)) AS n FROM c a JOIN c b ON a.first_id < b.first_id AND abs(length(a.head) - length(b.head)) <= 50
+    WHERE greatest(list_sum(list_transform(list_zip(a.counts, b.counts), lambda z: greatest(z[1] - z[2], 0))), list_sum(list_transform(list_zip(a.counts, b.counts), lambda z: greatest(z[2] - z[1], 0)))) <= n * 0.05 + 1e-9),
+  e AS MATERIALIZED (SELECT u, v, n, levenshtein(x, y) AS edits FROM p), close AS (SELECT u, v, 1 - edits / n AS similarity FROM e WHERE edits <= floor(n * 0.05 + 1e-9)),
+  near AS (SELECT u AS first_id, v AS other, similarity FROM close UNION ALL SELECT v, u, similarity FROM close UNION ALL SELECT first_id, first_id, 1.0 FROM h),
+  best AS (SELECT first_id, min(other) AS other, arg_min(similarity, other) AS similarity FROM near GROUP BY first_id),
+  matches AS (SELECT doc_id, other AS duplicate_of, similarity FROM rest JOIN h ON substr(translate(text, '{ACCENTED}', {PLAIN}), 1, 1000) = h.head JOIN best USING (first_id) WHERE other < doc_id)"""
+
+
+@query("d4_near_duplicates", f"WITH rest AS (SELECT doc_id, text FROM documents), {SIMILAR} SELECT * FROM matches")
 def _(s, d):
     return O.near_duplicates(texts(s, d))
 
 
-@query("d5_dedup_cascade")
+CASCADE = r"""WITH hashed AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS same, CASE WHEN length(text) > 100 THEN md5(substr(regexp_replace(lower(text), '[\x20\x09-\x0D]+', '', 'g'), 1, 2000)) END AS fp FROM documents),
+  unlike AS (SELECT *, min(doc_id) OVER (PARTITION BY fp) AS alike FROM hashed WHERE same = doc_id),
+  rest AS (SELECT doc_id, text FROM unlike WHERE fp IS NULL OR alike = doc_id), """ + SIMILAR + """,
+  found AS (SELECT doc_id, 'file_hash' AS reason, same AS matched FROM hashed WHERE same < doc_id UNION ALL SELECT doc_id, 'text_hash', alike FROM unlike WHERE fp IS NOT NULL AND alike < doc_id UNION ALL SELECT doc_id, 'similarity', duplicate_of FROM matches) """
+
+
+@query("d5_dedup_cascade", CASCADE + "SELECT * FROM found")
 def _(s, d):
     return O.dedup_cascade(texts(s, d).withColumn("file_hash", F.md5("text")))
 
 
+@query("d5_duplicate_clusters", CASCADE.replace("WITH ", "WITH RECURSIVE ", 1) + """, tree(doc_id, cluster_id) AS (SELECT matched, matched FROM found WHERE matched NOT IN (SELECT doc_id FROM found) UNION SELECT f.doc_id, t.cluster_id FROM found f JOIN tree t ON f.matched = t.doc_id)
+  SELECT doc_id, cluster_id, reason, matched FROM tree LEFT JOIN found USING (doc_id)""")
+def _(s, d):
+    return O.duplicate_clusters(O.dedup_cascade(texts(s, d).withColumn("file_hash", F.md5("text"))))
+
+
 @query("d6_cross_location", FILES + "SELECT f.hash, p.path AS primary_path, location, f.path FROM files f JOIN (SELECT hash, min(path) AS path FROM files WHERE location = 'local' GROUP BY hash) p USING (hash) WHERE location <> 'local'")
 def _(s, d):
     return O.cross_location(files(s, d), "local")

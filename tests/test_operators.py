@@ -126,13 +126,13 @@ def test_near_duplicates_find_what_all_pairs_give(spark, sf):
     assert want and sorted((r["doc_id"], r["duplicate_of"]) for r in found.collect()) == want
 
 
-@pytest.mark.parametrize("most", [2, 64])
-def test_near_duplicates_need_not_share_the_first_of_a_key(spark, most):
+@pytest.mark.parametrize("hot", [2, 64])
+def test_near_duplicates_need_not_share_the_first_of_a_key(spark, hot):
     rng = random.Random(4)
     lead, body, other, more = ("".join(rng.choices("abcdefghijklmnopqrst ", k=500)) for _ in range(4))
     head = lead + body
     rows = list(enumerate([lead + other, more + body, head, head[:700] + "!" + head[701:], head[:620] + "?" + head[620:], head, lead + more[::-1]]))
-    got = {r["doc_id"]: (r["duplicate_of"], r["similarity"]) for r in D.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()}
+    got = {r["doc_id"]: (r["duplicate_of"], r["similarity"]) for r in D.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
     assert got == {3: (2, 0.999), 4: (2, 0.998), 5: (2, 1.0)}
 
 
