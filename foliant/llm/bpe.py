@@ -24,14 +24,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import per_worker
+from .common import per_worker, with_values
 
 #: Pieces that a worker remembers, and of which it splits a text at a time.
 MOST_PIECES = 700_000
@@ -242,10 +243,11 @@ class Coder:
             parts[k].append(bytes(found[i]))
 
 
-def rounds(texts: list[str]) -> Iterator[list[str]]:
-    """Consecutive texts, about ROUND_BYTES of UTF-8 at a time."""
+def rounds(texts: list[str | None]) -> Iterator[list[str]]:
+    """Consecutive texts (null: empty), about ROUND_BYTES of UTF-8 at a time."""
     some, size = [], 0
     for t in texts:
+        t = t or ""
         some.append(t)
         size += len(t) if t.isascii() else len(t.encode())
         if size >= ROUND_BYTES:
@@ -268,48 +270,44 @@ def coder_of(parts: tuple) -> Coder:
 
 def encode(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str) -> DataFrame:
     """keep and ids (array<int>) of every row of docs, which has text."""
-    parts, kinds = coder_parts(ranks_path, pattern), dict(docs.dtypes)
+    parts = coder_parts(ranks_path, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], list[pa.Array]]:
         coder = coder_of(parts)
-        for b in batches:
-            at = 0
-            for texts in rounds([t or "" for t in b["text"]]):
-                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in coder.encode(texts)]
-                yield b[keep].iloc[at : at + len(texts)].assign(ids=ids)
-                at += len(texts)
+        return lambda texts: [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for some in rounds(texts) for x in coder.encode(some)], pa.list_(pa.int32()))]
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", ids array<int>")
+    return with_values(docs, keep, start, "ids array<int>")
 
 
 def decode(rows: DataFrame, keep: list[str], ranks_path: str, pattern: str) -> DataFrame:
     """keep and bytes (binary) of every row of rows, which has ids (array<int>; null: none)."""
-    parts, kinds = coder_parts(ranks_path, pattern), dict(rows.dtypes)
+    parts = coder_parts(ranks_path, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], list[pa.Array]]:
         coder = coder_of(parts)
-        for b in batches:
-            for at in range(0, len(b), 500):
-                some = b.iloc[at : at + 500]
-                yield some[keep].assign(bytes=coder.decode([b"" if x is None else np.asarray(x, "<u4").tobytes() for x in some["ids"]]))
+        return lambda ids: [pa.array(coder.decode([np.array(x or [], "<u4").tobytes() for x in ids]), pa.binary())]
 
-    return rows.select(*dict.fromkeys([*keep, "ids"])).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", bytes binary")
+    return with_values(rows, keep, start, "bytes binary", "ids")
 
 
 def digests(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str) -> DataFrame:
     """keep, n_tokens and digests of the ids and of the bytes decoded from them, in one pass."""
-    parts, kinds = coder_parts(ranks_path, pattern), dict(docs.dtypes)
+    parts = coder_parts(ranks_path, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], list[pa.Array]]:
         coder = coder_of(parts)
-        for b in batches:
-            at = 0
-            for texts in rounds([t or "" for t in b["text"]]):
-                ids = coder.encode(texts)
-                yield b[keep].iloc[at : at + len(texts)].assign(n_tokens=[len(x) // 4 for x in ids], ids_sha256=[hashlib.sha256(x).hexdigest() for x in ids], decoded_sha256=[hashlib.sha256(x).hexdigest() for x in coder.decode(ids)])
-                at += len(texts)
-
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+        def make(texts: list) -> list[pa.Array]:
+            out = []
+            for some in rounds(texts):
+                ids = coder.encode(some)
+                out += [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(y).hexdigest()) for x, y in zip(ids, coder.decode(ids), strict=True)]
+            n, encoded, decoded = zip(*out, strict=True)
+            return [pa.array(n, pa.int64()), pa.array(encoded), pa.array(decoded)]
+
+        return make
+
+    return with_values(docs, keep, start, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:

@@ -6,13 +6,18 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+#: Rows of a batch whose values are computed together.
+STEP = 1000
+
 #: White space between words, as in the class [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -70,6 +75,25 @@ def per_worker(kind: str, key: str, make: Callable[[], Any]) -> Any:
     return kept[kind][1]
 
 
+def with_values(rows: DataFrame, keep: list[str], start: Callable[[], Callable[[list], list[pa.Array]]], added: str, source: str = "text") -> DataFrame:
+    """keep of every row and the columns declared in added: what start()'s function makes of a list of source.
+
+    start() is called once a task. The columns of keep pass by as Arrow arrays, so ids that are null
+    or beyond 2^53, decimals, timestamps, structs and maps come back as they were.
+    """
+    new = StructType.fromDDL(added)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for b in batches:
+            for at in range(0, b.num_rows, STEP):
+                some = b.slice(at, STEP)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), *make(some.column(source).to_pylist())], names=[*keep, *new.names])
+
+    schema = StructType([*(rows.schema[c] for c in keep), *new])
+    return rows.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, source]))).mapInArrow(run, schema)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once for a row however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -19,23 +19,25 @@ that of the licence file in its nearest ancestor directory: distinct directories
 their ancestors, joined with the directories that have a licence file, and the deepest wins.
 
 Defined results: null and empty texts state no licence; ties go to the longer template, then
-the first licence by name, then the first line; a null path has no directory and inherits nothing; repeated rows are all returned;
-other columns are ignored; an empty table gives an empty result.
+the first licence by name, then the first line; a null path has no directory and inherits nothing; rows
+of one id are one file, rows of a null id one for each text; repeated rows are all returned; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import staged, with_values
 
 #: Short licence texts, as their authors publish them; fixed values.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -125,11 +127,14 @@ class Scanner:
                 lines += [k] * len(own)
             if words and not line.strip():
                 yield words, lines
-                every, places, words, lines = every + words, places + lines, [], []
+                if whole:
+                    every += words
+                    places += lines
+                words, lines = [], []
         if words:
             yield words, lines
-        if whole and every:
-            yield every + words, places + lines
+        if every:
+            yield [*every, *words], [*places, *lines]
 
     def best_window(self, words: list[str], size: int, vector: dict[str, float]) -> tuple[float, int]:
         """Highest product with vector over the norm of a window of so many words, and where it begins."""
@@ -171,22 +176,32 @@ class Scanner:
 
 
 def own_licences(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(file_id, licence, cosine, line) of the files (file_id, text, is_licence) that state one."""
+    """(file_id, file_key, licence, cosine, line) of the files (file_id, text, is_licence) that state one; file_key is as in file_key()."""
     words = sorted({t for texts in templates.values() for x in texts for t in terms(x)})
     shares = document_counts(files, words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], list[pa.Array]]:
         scanner = Scanner(templates, shares, threshold)
-        for b in batches:
-            found = [(i, *x) for i, t, whole in zip(b["file_id"], b["text"], b["is_licence"], strict=True) if (x := scanner.licence(t, bool(whole)))]
-            yield pd.DataFrame(found, columns=["file_id", "licence", "cosine", "line"])
 
-    found = files.select("file_id", "text", F.coalesce("is_licence", F.lit(False)).alias("is_licence")).mapInPandas(run, "file_id long, licence string, cosine double, line int")
-    # Rows of one file_id state one licence together.
-    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("cosine"), "licence", "line")))
+        def make(texts: list) -> list[pa.Array]:
+            found = [scanner.licence(x["text"], x["whole"]) or (None, None, None) for x in texts]
+            return [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.int32()), strict=True)]
+
+        return make
+
+    given = files.select("file_id", file_key(files).alias("file_key"), F.struct("text", F.coalesce("is_licence", F.lit(False)).alias("whole")).alias("given"))
+    found = with_values(given, ["file_id", "file_key"], start, "licence string, cosine double, line int", "given").where("licence is not null")
+    # Rows of one file state one licence together.
+    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("file_key").orderBy(F.desc("cosine"), "licence", "line")))
     return ranked.where("_n = 1").drop("_n")
 
 
+def file_key(files: DataFrame) -> Column:
+    """What tells files apart: their id; if that is null, their text."""
+    by_id = F.col("file_id").cast("string")
+    return F.coalesce(by_id, F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256))) if "text" in files.columns else by_id
+
+
 def licence_name(path: Column) -> Column:
     """Whether a file's name says that it holds the licence of its directory."""
     return F.coalesce(path.rlike(LICENCE_NAME), F.lit(False))
@@ -212,16 +227,16 @@ def inherit(folders: DataFrame, licensed: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, own: DataFrame, licensed: DataFrame) -> DataFrame:
     """files (file_id, path) with their own licence, else the inherited one."""
-    placed = files.select("file_id", "path", directory(F.col("path")).alias("folder"))
+    placed = files.select("file_id", file_key(files).alias("file_key"), "path", directory(F.col("path")).alias("folder"))
     inherited = inherit(placed.where("folder is not null").select("folder").distinct(), licensed)
-    out = placed.join(own, "file_id", "left").join(inherited, "folder", "left")
+    out = placed.join(own.drop("file_id"), "file_key", "left").join(inherited, "folder", "left")
     kind = F.when(F.col("licence").isNotNull(), "own").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
     return out.select("file_id", "path", F.coalesce("licence", "inherited").alias("licence"), kind.alias("basis"), "cosine", F.when(F.col("licence").isNull(), F.col("inherited_from")).alias("inherited_from"))
 
 
 def licence_files(files: DataFrame, own: DataFrame) -> DataFrame:
     """(folder, licence) of licence files; files has file_id, path and is_licence. Least path wins."""
-    stated = files.where("is_licence and path is not null").join(own, "file_id")
+    stated = files.where("is_licence and path is not null").withColumn("file_key", file_key(files)).join(own.drop("file_id"), "file_key")
     return stated.groupBy(directory(F.col("path")).alias("folder")).agg(F.min_by("licence", "path").alias("licence"))
 
 
@@ -240,4 +255,4 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.select(F.col("doc_id").alias("file_id"), F.concat(folder, F.lit("/"), name).alias("path"), "text")
     files = files.withColumn("is_licence", licence_name(F.col("path")))
     own = staged(own_licences(files), "licences")
-    return scan(files.select("file_id", "path"), own, licence_files(files.select("file_id", "path", "is_licence"), own)).withColumnRenamed("file_id", "doc_id")
+    return scan(files, own, licence_files(files, own)).withColumnRenamed("file_id", "doc_id")

@@ -2,19 +2,25 @@
 
 Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 4/5. At
 that similarity about 15 % of a SimHash's bits differ, so 64 bits and a few flips can't find such
-pairs. The same search is done with WORDS * 64 bits: they are put into groups, correlated bits
+pairs. For sets of more than SMALL shingles the same search is done with WORDS * 64 bits: they are put into groups, correlated bits
 together, dynamic programming leaves out the groups that cost most in candidates (threshold -1) and
 searches the rest for equality (threshold 0), so that fingerprints within tau bits agree in some
 group. Further groupings of the same bits, dealt at random, find those that lie farther apart:
 groups are about log2(nodes) + SPARE bits wide, and there are so many that a pair at 4/5 is missed
 with probability MISS (a more similar one with less). Candidates are probed by an equi-join on (group, bits), sifted by
-their distance in one word and then in all, and verified by their whole shingle sets.
+their distance in one word and then in all, and verified by their whole shingle sets. The bits of small
+sets differ too unevenly for that; sets of up to SMALL * 5/4 shingles are found by prefix filtering
+instead, which misses none: in the order of their hashes, two sets at 4/5 share one of the first
+n - 4/5 n + 1 shingles.
 
 Keys that over HOT sets share belong to groups of copies and aren't paired. Their members are
 compared with the key's hub first, the member with most such keys. Pairs which the links found so
 far connect need no link of their own: what hubs link is put into components before other pairs are
-verified, and again before crowded keys are searched for links between components. One minus the
-similarity is a metric: there a pair's distances to the hub may differ by 1/5 at most.
+verified, and again before crowded keys are searched for links between components. What leaves that
+join is sifted in it, without loss: one minus the similarity is a metric, so a pair's distances to
+the hub differ by 1/5 at most; and the odd sketches of two sets (a bit for each of ODD_WORDS * 64
+classes of hashes: whether the set has an odd number of them) differ in no more bits than the sets
+in shingles, since what they share cancels out.
 
 Defined results: equal sets are one node; null and blank texts are copies of each other; texts of
 fewer words than a shingle hash whole; of a group the least doc_id stays, null last, and repeated
@@ -23,15 +29,15 @@ rows once; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from math import ceil, log2
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, with_values
 from .components import connected_components
 from .simhash import bit_groups, keyed_rows, rows_of
 
@@ -49,6 +55,11 @@ NEAR_WORD, NEAR_ALL = 23, 115
 HOT = 64
 #: Most fingerprints, picked by hash, from which bits are grouped and candidates estimated.
 SAMPLE = 2048
+#: Most shingles of a set that is found by prefix filtering alone; a partner at 4/5 has 5/4 as many.
+SMALL = 32
+SMALL_PARTNER = SMALL * 5 // 4
+#: Words of 64 bits of an odd sketch.
+ODD_WORDS = 16
 #: A similarity of 4/5, in whole numbers: 5 * both >= 4 * (a + b - both).
 LINKED = "9 * both >= 4 * (n_u + n_v)"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -78,25 +89,38 @@ def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.int64).ravel()
 
 
+def odd_sketch(hashes: np.ndarray, words: int = ODD_WORDS) -> np.ndarray:
+    """Parities of the numbers of hashes in each of words * 64 classes."""
+    counts = np.bincount((hashes.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * words), minlength=64 * words)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def prefix_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of a small set: negative, of the shingles of which a set at 4/5 has one; none for a large set."""
+    n = len(hashes)
+    return (hashes[: n - -(-4 * n // 5) + 1] | np.int64(-(2**63))).tolist() if 0 < n <= SMALL_PARTNER else []
+
+
 FP = [f"f{k}" for k in range(WORDS)]
+ODD = [f"odd{k}" for k in range(ODD_WORDS)]
 
 
 def fingerprinted(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, node (names the shingle set), n (its size) and f0, f1, ... (its fingerprint) of docs (keep, text)."""
+    """keep, node (names the shingle set), n (its size), f0, f1, ... (its fingerprint), and for small sets odd (a short odd sketch) and prefix (keys), of docs (keep, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], list[pa.Array]]:
         import xxhash
 
-        for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.iloc[at : at + 1000]
-                sets = [shingle_set(t) for t in part["text"]]
-                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                fps = np.array([wide_fingerprint(s) for s in sets], np.int64).reshape(len(part), WORDS)
-                yield part[keep].assign(node=nodes, n=[len(s) for s in sets], **dict(zip(FP, fps.T, strict=True)))
+        def make(texts: list) -> list[pa.Array]:
+            sets = [shingle_set(t) for t in texts]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            fps = np.array([wide_fingerprint(s) for s in sets], np.int64).reshape(len(sets), WORDS)
+            small = [int(odd_sketch(s, 1)[0]) if len(s) <= SMALL_PARTNER else 0 for s in sets]
+            return [pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(f)) for f in fps.T), pa.array(small, pa.int64()), pa.array([prefix_keys(s) for s in sets], pa.list_(pa.int64()))]
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "node long, n int", *(f"{f} long" for f in FP)]))
+        return make
+
+    return with_values(docs, keep, start, ", ".join(["node long, n int", *(f"{f} long" for f in FP), "odd long, prefix array<long>"]))
 
 
 def unpacked(fps: np.ndarray) -> np.ndarray:
@@ -140,28 +164,47 @@ def groupings(nodes: int, sample: np.ndarray, miss: float = MISS) -> list[list[i
 
 
 def signatures(nodes: DataFrame, groups: list[list[int]]) -> DataFrame:
-    """(key, node, f0) for each node and group: the group's number and the node's bits in it."""
+    """(key, node, f0) of each node: its bits in each group with the group's number, and the keys of a small set.
+
+    With a negative key, one of a small set, f0 holds the short odd sketch instead of a word of the fingerprint.
+    """
+
+    def start() -> Callable[[list], list[pa.Array]]:
+        powers = [1 << np.arange(len(g), dtype=np.int64) for g in groups]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 2000):
-                part = b.iloc[at : at + 2000]
-                bits = unpacked(part[FP].to_numpy(np.int64)).astype(np.int64)
-                keys = np.stack([bits[:, g] @ (1 << np.arange(len(g), dtype=np.int64)) | (k << 49) for k, g in enumerate(groups)], 1)
-                yield pd.DataFrame({"node": part["node"], "f0": part["f0"], "keys": list(keys)})
+        def make(given: list) -> list[pa.Array]:
+            bits = unpacked(np.array([[x[f] for f in FP] for x in given], np.int64)).astype(np.int64)
+            keys = np.stack([bits[:, g] @ p | (k << 49) for k, (g, p) in enumerate(zip(groups, powers, strict=True))], 1)
+            return [pa.array([k if x["n"] > SMALL else [] for x, k in zip(given, keys, strict=True)], pa.list_(pa.int64()))]
 
-    found = nodes.select("node", *FP).mapInPandas(run, "node long, f0 long, keys array<long>")
-    return found.select("node", "f0", F.explode("keys").alias("key"))
+        return make
+
+    rows = nodes.select("node", "odd", "prefix", "f0", F.struct("n", *FP).alias("given"))
+    found = with_values(rows, ["node", "odd", "prefix", "f0"], start, "keys array<long>", "given")
+    found = found.select("node", "odd", "f0", F.explode(F.concat("keys", "prefix")).alias("key"))
+    return found.select("node", F.when(F.col("key") < 0, F.col("odd")).otherwise(F.col("f0")).alias("f0"), "key")
 
 
 def apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def near_at(key: Column, u: Column, v: Column) -> Column:
+    """Whether what two rows carry beside a key allows a similarity of 4/5: sets at 4/5 differ in a ninth of their shingles."""
+    return apart(u, v) <= F.when(key < 0, 2 * SMALL_PARTNER // 9).otherwise(NEAR_WORD)
+
+
+def differing(words: list[str]) -> Column:
+    return sum((apart(F.col(f"{f}_u"), F.col(f"{f}_v")) for f in words), F.lit(0))
+
+
+def sized() -> Column:
+    return F.expr("5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)")
+
+
 def possible() -> Column:
-    """Whether the sizes and whole fingerprints of u and v allow a similarity of 4/5."""
-    differ = sum((apart(F.col(f"{f}_u"), F.col(f"{f}_v")) for f in FP), F.lit(0))
-    return F.expr("5 * least(n_u, n_v) >= 4 * greatest(n_u, n_v)") & (differ <= NEAR_ALL)
+    """Whether the sizes and whole fingerprints of u and v allow a similarity of 4/5; small sets' fingerprints don't count."""
+    return sized() & ((differing(FP) <= NEAR_ALL) | (F.least("n_u", "n_v") <= SMALL))
 
 
 def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -171,18 +214,16 @@ def near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def whole_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, keys) with all shingles of the wanted nodes; texts has key and text, nodes node and key."""
+    """(node, n, keys, odd0, odd1, ...) with all shingles of the wanted nodes and their odd sketches; texts has key and text, nodes node and key."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.iloc[at : at + 1000]
-                sets = [shingle_set(t) for t in part["text"]]
-                yield pd.DataFrame({"node": part["node"], "n": [len(s) for s in sets], "keys": sets})
+    def make(texts: list) -> list[pa.Array]:
+        sets = [shingle_set(t) for t in texts]
+        odd = np.array([odd_sketch(s) for s in sets], np.int64).reshape(len(sets), ODD_WORDS)
+        return [pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(o)) for o in odd.T)]
 
     rows = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "key")
     one = texts.join(rows, "key").dropDuplicates(["node"])
-    return one.select("node", "text").mapInPandas(run, "node long, n int, keys array<long>")
+    return with_values(one, ["node"], lambda: make, ", ".join(["n int, keys array<long>", *(f"{o} long" for o in ODD)]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -195,7 +236,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def pairs_at(a: DataFrame, b: DataFrame) -> DataFrame:
     """(u, v, ...) of the rows of a and b (key, node, f0) that meet at a key and are near in one word."""
     left, right = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in x.columns if c != "key"]) for x, s in ((a, "u"), (b, "v")))
-    met = left.join(right, "key").where("node_u <> node_v").where(apart(F.col("f0_u"), F.col("f0_v")) <= NEAR_WORD)
+    met = left.join(right, "key").where("node_u <> node_v").where(near_at(F.col("key"), F.col("f0_u"), F.col("f0_v")))
     return met.withColumnsRenamed({"node_u": "u", "node_v": "v"})
 
 
@@ -217,7 +258,7 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT, miss: float = MISS) -> DataFrame:
     """Links (u, v) among nodes; each is of similarity 4/5 or more.
 
-    texts has key and text; nodes has node, n, f0, f1, ... and the key of one text of each node.
+    texts has key and text; nodes has node, n, f0, f1, ..., odd, prefix and the key of one text of each node.
     """
     some = nodes.where("n > 0")
     total = some.count()
@@ -229,7 +270,7 @@ def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT, miss: float =
     # The two nodes of most keys that are shared at all stand in the aggregate itself.
     one = F.struct("node", "f0")
     shared = staged(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(one).alias("a"), F.max(one).alias("b")).where("m > 1"), "shared-signatures")
-    two = shared.where("m = 2").where(apart(F.col("a.f0"), F.col("b.f0")) <= NEAR_WORD).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    two = shared.where("m = 2").where(near_at(F.col("key"), F.col("a.f0"), F.col("b.f0"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     met = staged(keyed.join(shared.where("m > 2").select("key", "m"), "key"), "met")
     few, crowd = met.where(F.col("m") <= hot).drop("m"), met.where(F.col("m") > hot).drop("m")
     plain = ordered(two.unionByName(pairs_at(few, few).where("u > v").select("u", "v")))
@@ -252,11 +293,12 @@ def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT, miss: float =
     away = to_hub.select(F.col("u").alias("node"), "v", (1 - F.col("both") / (F.col("n_u") + F.col("n_v") - F.col("both"))).alias("far"))
     placed = with_root(with_root(crowd.join(away, ["node", "v"]), "node", roots), "v", roots)
     placed = placed.select("key", "node", "far", F.col("root_node").alias("root"), (F.col("root_node") == F.col("root_v")).alias("inside"))
-    # With sizes and whole fingerprints in the rows, only possible pairs leave the join.
-    placed = placed.join(some.select("node", "n", *FP), "node")
-    rest = pairs_at(placed.where("not inside"), placed).where("root_u <> root_v and (inside_v or u > v)")
-    rest = rest.where("far_v >= far_u - 0.2 - 1e-9 and far_v <= far_u + 0.2 + 1e-9")
-    rest = staged(ordered(rest.where(possible())).distinct(), "rest")
+    placed = placed.join(sets.select("node", "n", *ODD), "node")
+    outside = placed.where("not inside")
+    left, right = (x.select("key", *[F.col(c).alias(f"{c}_{s}") for c in x.columns if c != "key"]) for x, s in ((outside, "u"), (placed, "v")))
+    rest = left.join(right, "key").where("root_u <> root_v and (inside_v or node_u > node_v)")
+    rest = rest.where("far_v >= far_u - 0.2 - 1e-9 and far_v <= far_u + 0.2 + 1e-9").where(sized()).where(9 * differing(ODD) <= F.col("n_u") + F.col("n_v"))
+    rest = staged(ordered(rest.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))).distinct(), "rest")
     return linked.unionByName(verified(rest, sets).where(LINKED).select("u", "v"))
 
 
@@ -265,7 +307,7 @@ def keep_first(docs: DataFrame, hot: int = HOT, miss: float = MISS) -> DataFrame
     rows = keyed_rows(docs)
     found = staged(fingerprinted(rows.select("doc_id", "text", "key"), ["doc_id", "key"]), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
-    nodes = staged(found.groupBy("node").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("n", *FP)]).withColumn("key", F.col("first.key")), "nodes")
+    nodes = staged(found.groupBy("node").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("n", *FP, "odd", "prefix")]).withColumn("key", F.col("first.key")), "nodes")
     roots = connected_components(copy_links(rows.select("key", "text"), nodes, hot, miss)).select("node", "root")
     stay = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return rows_of(rows, stay.select("first.key"))

@@ -28,13 +28,13 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import block_offsets, per_worker, staged
+from .common import STEP, block_offsets, per_worker, staged
 
 LENGTH = 2048
 WINDOW_TOKENS = 64 * LENGTH
@@ -153,24 +153,29 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
         definition = f.read()
     name = hashlib.md5(definition.encode(), usedforsecurity=False).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = per_worker("word-ids", name, lambda: WordIds(definition))
         end = array(words.kind, [END_ID]).tobytes()
         width = len(end)
         part, row, queued = TaskContext.get().partitionId(), 0, {}
         for b in batches:
-            ids = [words.of_text(t or "") + end for t in b["text"]]
-            n = [len(x) // width for x in ids]
-            done = []
-            for s, k in zip(b["source"], n, strict=True):
-                queued[s] = queued.get(s, 0) + k
-                done.append(queued[s])
-            yield pd.DataFrame({"_part": part, "_row": range(row, row + len(b)), "doc_id": b["doc_id"].array, "source": b["source"].array, "ids": ids, "n": n, "_queued": done})
-            row += len(b)
+            for at in range(0, b.num_rows, STEP):
+                some = b.slice(at, STEP)
+                ids = [words.of_text(t or "") + end for t in some.column("text").to_pylist()]
+                n = [len(x) // width for x in ids]
+                done = []
+                for s, k in zip(some.column("source").to_pylist(), n, strict=True):
+                    queued[s] = queued.get(s, 0) + k
+                    done.append(queued[s])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(n), pa.int32()), pa.array(range(row, row + len(n)), pa.int64()), some.column("doc_id"), some.column("source"), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(done, pa.int64())],
+                    names=["_part", "_row", "doc_id", "source", "ids", "n", "_queued"],
+                )
+                row += len(n)
 
     kinds = dict(docs.dtypes)
     plain = docs.select("doc_id", "source", "text")
-    return plain.mapInPandas(run, f"_part int, _row long, doc_id {kinds['doc_id']}, source {kinds['source']}, ids binary, n long, _queued long")
+    return plain.mapInArrow(run, f"_part int, _row long, doc_id {kinds['doc_id']}, source {kinds['source']}, ids binary, n long, _queued long")
 
 
 def target_shares(sums: DataFrame, mixture: dict[str, float] | None) -> DataFrame:
@@ -223,6 +228,7 @@ def placed(tokens: DataFrame, mixture: dict[str, float] | None, length: int) ->
     return served.join(starts, "window").select("_part", "_row", (F.col("_start") + F.col("inner")).alias("position"))
 
 
+PIECES = ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"]
 PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -238,21 +244,27 @@ def pack(docs: DataFrame, tokenizer: str, mixture: dict[str, float] | None = Non
     rows = tokens.select("_part", "_row", "doc_id", "source", "ids", "n").join(placed(tokens, mixture, length), ["_part", "_row"])
     kinds = dict(docs.dtypes)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc_id, source, raw, n, position in zip(b["doc_id"].array, b["source"].array, b["ids"], b["n"], b["position"], strict=True):
-                ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
-                at = 0
-                while at < n:
-                    seq, offset = divmod(position + at, length)
-                    k = min(length - offset, n - at)
-                    piece = ids[at : at + k]
-                    out.append((doc_id, source, at, k, n, seq, offset, zlib.crc32(piece.tobytes()), piece.astype(np.int32) if with_ids else None))
-                    at += k
-            yield pd.DataFrame(out, columns=["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32", "ids"])
-
-    pieces = rows.mapInPandas(cut, f"doc_id {kinds['doc_id']}, source {kinds['source']}, {PIECE}, ids_crc32 long, ids array<int>")
+            for low in range(0, b.num_rows, STEP):
+                some = b.slice(low, STEP)
+                owner, out = [], []
+                for k, (raw, n, position) in enumerate(zip(*(some.column(c).to_pylist() for c in ("ids", "n", "position")), strict=True)):
+                    ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
+                    at = 0
+                    while at < n:
+                        seq, offset = divmod(position + at, length)
+                        size = min(length - offset, n - at)
+                        piece = ids[at : at + size]
+                        owner.append(k)
+                        out.append((at, size, n, seq, offset, zlib.crc32(piece.tobytes()), piece.astype(np.int32) if with_ids else None))
+                        at += size
+                if out:
+                    *numbers, pieces = zip(*out, strict=True)
+                    own = some.select(["doc_id", "source"]).take(pa.array(owner))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, pa.int64()) for c in numbers), pa.array(pieces, pa.list_(pa.int32()))], names=PIECES)
+
+    pieces = rows.mapInArrow(cut, f"doc_id {kinds['doc_id']}, source {kinds['source']}, {PIECE}, ids_crc32 long, ids array<int>")
     return pieces if with_ids else pieces.drop("ids")
 
 

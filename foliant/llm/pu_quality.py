@@ -27,14 +27,15 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import STEP, hash_sample, with_values
 
 #: Bounds of the samples on which the model is fitted, picked by hash of doc_id.
 MOST_POSITIVES = 5000
@@ -44,7 +45,7 @@ SLACK = 0.04
 #: Classes of characters: lower, upper, other letter, digit, blank, line end, full stop, comma, !?, quotes, symbols, bar, other punctuation, rest.
 CLASSES = 14
 #: Buckets of hashed words and of hashed pairs of words.
-BUCKETS = 128
+BUCKETS = 256
 SHAPE = CLASSES + CLASSES * CLASSES
 FEATURES = SHAPE + 2 * BUCKETS + 12
 #: Scale of the hashed features beside the others; small, since they are many and each says little.
@@ -140,7 +141,13 @@ def fit(xp: np.ndarray, xu: np.ndarray, steps: int = 3000) -> dict:
         return {"prior": 0.5, "weights": None}
     centre, scale = xu.mean(0), np.maximum(xu.std(0), 1e-3)
     scale[SHAPE : SHAPE + 2 * BUCKETS] /= max(WORD_WEIGHT, 1e-9)
-    scaled = lambda x: np.hstack([np.clip((x - centre) / scale, -8, 8), np.ones((len(x), 1), np.float32)])
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        out = np.ones((len(x), x.shape[1] + 1), np.float32)
+        np.subtract(x, centre, out=out[:, :-1])
+        out[:, :-1] /= scale
+        return np.clip(out, -8, 8, out=out)
+
     xp, xu = scaled(xp), scaled(xu)
     prior = estimate_prior(xp, xu)
     return {"prior": prior, "weights": _descend(xp, xu, prior, steps), "centre": centre, "scale": scale}
@@ -178,37 +185,43 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVES, u
 
     # At most positives + unlabelled ids, so this side has a fixed bound; repeated rows count once.
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(run, "doc_id long, positive int, x binary")
-    rows = rows.groupBy("doc_id", "positive").agg(F.min("x").alias("x")).orderBy("positive", "doc_id").collect()
-    of = lambda k: np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["positive"] == k], np.float32)
-    mixed = lambda x: x[np.random.default_rng(3).permutation(len(x))] if len(x) else x
-    pos, free = mixed(of(1)), mixed(of(0))
+    rows = rows.groupBy("doc_id", "positive").agg(F.min("x").alias("x")).orderBy("positive", "doc_id").select("positive", "x").toArrow()
+    positive = rows.column("positive").to_numpy()
+    # One copy of the features, in rows of an array; no Python object for each row.
+    x = np.frombuffer(b"".join(c.as_py() for c in rows.column("x")), np.float32).reshape(len(positive), FEATURES)
     del rows
-    return fit(pos, free)
+    mixed = lambda k: x[np.random.default_rng(3).permutation(np.flatnonzero(positive == k))]
+    return fit(mixed(1), mixed(0))
+
+
+def scorer(model: dict) -> Callable[[list], np.ndarray]:
+    """Scores of a list of texts."""
+    table = class_table()
+    return lambda texts: score(np.array([features(t, table) for t in texts], np.float32).reshape(len(texts), FEATURES), model)
 
 
 def score_texts(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """keep and score of every row of docs, which has text."""
-    table = class_table()
-    kinds = dict(docs.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array([features(t, table) for t in b["text"]], np.float32).reshape(len(b), FEATURES)
-            yield b[keep].assign(score=score(x, model) if len(b) else np.zeros(0))
+    def start() -> Callable[[list], list[pa.Array]]:
+        scores = scorer(model)
+        return lambda texts: [pa.array(scores(texts).astype(np.float64))]
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
+    return with_values(docs, keep, start, "score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that the classifier accepts, all columns."""
-    model, table = train(docs, labels), class_table()
+    """The rows of docs that the classifier accepts, all columns as they are."""
+    model, at = train(docs, labels), docs.columns.index("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = scorer(model)
         for b in batches:
-            x = np.array([features(t, table) for t in b["text"]], np.float32).reshape(len(b), FEATURES)
-            yield b[score(x, model) >= threshold]
+            for low in range(0, b.num_rows, STEP):
+                some = b.slice(low, STEP)
+                yield some.filter(pa.array(scores(some.column(at).to_pylist()) >= threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,11 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, with_values
 from .components import connected_components
 
 BITS = 64
@@ -56,13 +57,7 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep and fp (long) of every row of docs, which has text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[keep].assign(fp=np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64))
-
-    kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", fp long")
+    return with_values(docs, keep, lambda: lambda texts: [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))], "fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -260,9 +255,9 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
 
 
 def rows_of(rows: DataFrame, stay: DataFrame) -> DataFrame:
-    """The columns of rows (row, key) whose key is in stay (key), repeats once."""
+    """The columns of rows (row, key, doc_id, text) whose key is in stay (key); one of rows equal in doc_id and text."""
     # Rows of equal key are in one partition after the join, so dropping repeats shuffles no more.
-    kept = rows.select("row", "key").join(stay.distinct(), "key", "left_semi").dropDuplicates(["key", "row"])
+    kept = rows.select("row", "key", "doc_id", F.md5("text").alias("_text")).join(stay.distinct(), "key", "left_semi").dropDuplicates(["key", "doc_id", "_text"])
     return kept.select("row.*")
 
 

@@ -29,14 +29,15 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, staged
+from .common import BLANKS, staged, with_values
 from .simhash import keyed_rows
 
 MIN_WORDS = 50
@@ -121,24 +122,28 @@ def sparse_suffixes(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = P
     task gives the suffixes of equal texts once.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, seen = Roller(), {}
         for b in batches:
             n, parts = [], []
-            for text, tkey in zip(b["text"], b["tkey"], strict=True):
+            for text, tkey in zip(b.column("text"), b.column("tkey").to_pylist(), strict=True):
                 if tkey not in seen:
-                    w = roll.words(text)
+                    w = roll.words(text.as_py())
                     seen[tkey] = len(w)
                     at = np.unique(anchors(roll, w, min_words, prefix, gram))
                     if len(at):
-                        parts.append(pd.DataFrame({"key": roll.grams(w, prefix, at).view(np.int64), "tkey": np.int64(tkey), "pos": at.astype(np.int32)}))
+                        parts.append((roll.grams(w, prefix, at).view(np.int64), np.full(len(at), tkey, np.int64), at.astype(np.int32)))
                 n.append(seen[tkey])
             if parts:
-                yield pd.concat(parts).assign(doc_id=None, rkey=None, check=None)
-            yield pd.DataFrame({"key": None, "tkey": b["tkey"], "pos": n, "doc_id": b["doc_id"], "rkey": b["rkey"], "check": b["check"]})
+                columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), t) for t in kinds[3:])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), b.column("tkey"), pa.array(n, pa.int32()), *(b.column(c) for c in ("doc_id", "rkey", "check"))], names=names)
 
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tkey"), F.xxhash64("doc_id", "text").alias("rkey"), F.xxhash64(F.lit(1), "text").alias("check"))
-    return keyed.mapInPandas(run, ROWS)
+    return keyed.mapInArrow(run, ROWS)
 
 
 def candidates(suffixes: DataFrame) -> DataFrame:
@@ -174,24 +179,26 @@ def surroundings(texts: DataFrame, min_words: int, prefix: int, gram: int) -> Da
     candidates' key and pos), one row for each distinct text.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], list[pa.Array]]:
         roll = Roller()
-        for b in batches:
-            for low in range(0, len(b), 200):
-                out = []
-                for doc_id, tkey, text, at in zip(*(b[c].iloc[low : low + 200] for c in ("doc_id", "tkey", "text", "at")), strict=True):
-                    raw, start, end = roll.spans(text)
-                    anchor = anchors(roll, roll.ranges(roll.of_byte[raw], start, end) if len(start) else np.zeros(0, np.uint64), min_words, prefix, gram)
-                    lower = raw.tobytes().translate(LOWER)
-                    # Minimisers never move back, so a candidate's windows are neighbours.
-                    places = np.array([x["pos"] for x in at])
-                    firsts, ends = np.searchsorted(anchor, places, "left"), np.searchsorted(anchor, places, "right")
-                    for x, one, two in zip(at, firsts.tolist(), ends.tolist(), strict=True):
-                        if one < two:
-                            out.append((x["key"], pd.isna(doc_id), None if pd.isna(doc_id) else int(doc_id), tkey, x["pos"], one, b" ".join(lower[start[one] : end[two + min_words - 2]].split())))
-                yield pd.DataFrame(out, columns=["key", "no_id", "doc_id", "tkey", "pos", "start", "words"]).astype({"doc_id": "Int64"})
-
-    return texts.select("doc_id", "tkey", "text", "at").mapInPandas(run, "key long, no_id boolean, doc_id long, tkey long, pos int, start int, words binary")
+
+        def make(given: list) -> list[pa.Array]:
+            found = []
+            for x in given:
+                raw, start, end = roll.spans(x["text"])
+                anchor = anchors(roll, roll.ranges(roll.of_byte[raw], start, end) if len(start) else np.zeros(0, np.uint64), min_words, prefix, gram)
+                lower = raw.tobytes().translate(LOWER)
+                # Minimisers never move back, so a candidate's windows are neighbours.
+                places = np.array([y["pos"] for y in x["at"]])
+                firsts, ends = np.searchsorted(anchor, places, "left"), np.searchsorted(anchor, places, "right")
+                found.append([{"key": y["key"], "pos": y["pos"], "start": one, "words": b" ".join(lower[start[one] : end[two + min_words - 2]].split())} for y, one, two in zip(x["at"], firsts.tolist(), ends.tolist(), strict=True) if one < two])
+            return [pa.array(found, pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("words", pa.binary())])))]
+
+        return make
+
+    given = texts.select("doc_id", "tkey", F.struct("text", "at").alias("given"))
+    found = with_values(given, ["doc_id", "tkey"], start, "around array<struct<key: bigint, pos: int, start: int, words: binary>>", "given")
+    return found.select("doc_id", "tkey", F.explode("around").alias("a")).select("a.key", F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", "a.pos", "a.start", "a.words")
 
 
 def common(a: list[bytes], b: list[bytes]) -> int:

@@ -255,3 +255,57 @@ def test_seams_of_one_long_word_need_wider_overlaps(spark):
     assert first.count() == 15 and token_counts.spliced(first).where(F.col("n_tokens").isNull()).count() == 1
     found = token_counts.token_counts(df, ["doc_id"], token_counts.word_tokenizer(), 2000, 100).first()
     assert found["n_tokens"] == library_count("word_bpe_49k.json")(text)
+
+
+# Ids and columns through Python workers
+
+
+def test_ids_and_columns_come_back_unchanged(spark):
+    """64-bit ids beside a null one in the same batch, and columns of every kind."""
+    import corpus_pipeline
+    from foliant.llm import bpe, license_scan, near_copies, packing, pu_quality, simhash, suffix_dedup
+
+    ids = [2**60 + 1, None, 2**60 + 3, 2**63 - 1, -(2**63)]
+    texts = [" ".join(f"word{i}x{k}" for k in range(60)) + " tail. Released under the MIT License." for i in range(len(ids))]
+    rows = [(i, t, "en", "s", 2**61 + 1 if k else None) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    wide = df.select("*", (F.col("n_chars") + 1).alias("big"), F.lit("1.25").cast("decimal(30,10)").alias("d"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("t"), F.struct(F.col("doc_id").alias("x"), F.lit(None).cast("int").alias("y")).alias("st"), F.create_map(F.lit("k"), F.col("doc_id")).alias("m"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    labels = spark.createDataFrame([(i, 1) for i in ids if i], "doc_id long, quality int")
+    model = {"prior": 0.6, "weights": None}
+    some = {
+        "op1": simhash.near_duplicates(df), "op2": pu_quality.score_texts(df, model, ["doc_id"]), "op3": license_scan.own_licences(df.select(F.col("doc_id").alias("file_id"), "text", F.lit(False).alias("is_licence"))).withColumnRenamed("file_id", "doc_id"),
+        "op7": packing.pack(df, path), "op10": bpe.digests(df, ["doc_id"], ranks, public_tokenizers.PATTERN), "op12": token_counts.token_counts(df, ["doc_id"], path), "op4": suffix_dedup.passages(df.unionByName(df.withColumn("text", F.concat("text", F.lit(" end"))))),
+    }
+    for name, found in some.items():
+        assert {r["doc_id"] for r in found.select("doc_id").collect()} == set(ids), name
+    shown = lambda d: sorted(map(str, (tuple(r) for r in d.drop("text").collect())))
+    for stage in (pu_quality.keep_good(wide, labels, 0.0), simhash.keep_one(wide), near_copies.keep_first(wide), suffix_dedup.remove_repeats(wide), corpus_pipeline.quality_rules(spark, wide, "")):
+        assert stage.columns == wide.columns and shown(stage.drop("n_chars")) == shown(wide.drop("n_chars"))
+    licensed = license_scan.scan(df.select(F.col("doc_id").alias("file_id"), F.lit(None).cast("string").alias("path"), "text"), some["op3"].withColumnRenamed("doc_id", "file_id"), spark.createDataFrame([], "folder string, licence string"))
+    assert [r["licence"] for r in licensed.collect()] == ["MIT"] * len(ids)
+
+
+def test_small_near_copies_are_all_found(spark):
+    """Pairs of small sets at exactly 4/5, which wide fingerprints would miss."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(400):
+        n = rng.choice([4, 8, 12, 16, 20, 24])
+        words = [f"t{k}w{j}" for j in range(n + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, *(f"more{k}x{j}" for j in range(n // 4))]))]
+    from foliant.llm import near_copies
+
+    kept = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2 * k for k in range(400)]
+
+
+def test_blocks_of_long_texts_are_read_once():
+    from foliant.llm import license_scan
+
+    text = "some words of a line\n\n" * 200_000
+    scanner = license_scan.Scanner({}, {}, license_scan.THRESHOLD)
+    assert sum(1 for _ in scanner.blocks(text, False)) == 200_000
+    blocks = list(scanner.blocks("a b\n\nc\n", True))
+    assert [len(b[0]) for b in blocks] == [len(license_scan.terms("a b")), len(license_scan.terms("c")), len(license_scan.terms("a b c"))]
