@@ -62,7 +62,7 @@ def _(s, d):
 
 @query("e7_amounts", "SELECT o_orderkey AS doc_id, round(o_totalprice, 2)::DECIMAL(18,2) AS total, 21 AS vat_rate, round(round(o_totalprice, 2) * 21 / 121, 2)::DECIMAL(18,2) AS vat, (round(o_totalprice, 2)::DECIMAL(18,2) - round(round(o_totalprice, 2) * 21 / 121, 2)::DECIMAL(18,2))::DECIMAL(18,2) AS base FROM orders")
 def _(s, d):
-    return letters(s, d).select("doc_id", *O.extract_amounts(F.col("text")))
+    return O.extract_amounts(letters(s, d).select("doc_id", "text")).drop("text")
 
 
 TOTAL = "round(amount, 2)::DECIMAL(18,2)"
@@ -74,12 +74,13 @@ FIELDS = {
     "company_id": "lpad(o_custkey::VARCHAR, 8, '0')", "vat_id": "'CZ' || lpad(o_custkey::VARCHAR, 8, '0')", "vendor": "'Firma ' || o_custkey || ' s.r.o.'",
     "issue_date": "created_at::DATE", "due_date": "(created_at + INTERVAL 14 DAY)::DATE", "delivery_date": "NULL::DATE", "payment_date": "NULL::DATE",
     "total": TOTAL, "vat_rate": "21", "vat": VAT, "base": f"({TOTAL} - {VAT})::DECIMAL(18,2)", "currency": "'CZK'", "payment_status": "NULL::VARCHAR", "direction": "'expense'", "account": "'19-2000145399/0800'", "period": "NULL::VARCHAR",
+    "mail_date": "created_at",
 }
 
 
 @query("e8_fields31", WITH + "SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in FIELDS.items()) + " FROM archive")
 def _(s, d):
-    wide = letters(s, d).select("doc_id", *O.fields31(F.col("text"), F.col("document_type"), F.col("sender"), F.lit("Jan <jan@x.cz>"), F.col("subject"), F.col("created_at")))
+    wide = O.fields31(letters(s, d), F.col("sender"), F.lit("Jan <jan@x.cz>"), F.col("subject"), F.col("created_at"))
     return wide.select("doc_id", *FIELDS)
 
 
