@@ -1,16 +1,22 @@
 """Classification: rule tables and score cards over texts, votes of several classifiers, learned context.
 
-Rules are data. Small rule tables are folded into one expression over the text, so a corpus is
-scanned once and nothing is multiplied; votes are long tables (doc_id, method, label, confidence).
+Rules are data. Small rule tables are folded into one expression over the text, large ones into one
+automaton a task, so a corpus is scanned once and nothing is multiplied; votes are long tables (doc_id, method, label, confidence).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .rules import any_like, chunks, count_contained, first_match, folded
+from .rules import MOST_FOLDED, any_like, count_contained, first_match, folded
 
 
 def _labels(rows: list) -> dict[str, list]:
@@ -31,23 +37,57 @@ def _scores(labels: dict[str, list]) -> Column:
     return F.filter(F.array(*each), lambda x: x["hits"] > 0).cast(SCORE)
 
 
+def _contained(rows: DataFrame, keywords: list[str], make: Callable[[list[int]], Any], out: DataType, name: str) -> DataFrame:
+    """rows (..., _low) with make() of the numbers of the keywords that each _low contains, by one automaton a task.
+
+    For rule tables too large for an expression: one pass over a text, whatever the number of keywords.
+    """
+    places: dict[str, list[int]] = {}
+    for k, w in enumerate(keywords):
+        places.setdefault(w, []).append(k)
+    keep = [c for c in rows.columns if c != "_low"]
+    kind = to_arrow_type(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        always = places.get("", [])
+        automaton = ahocorasick.Automaton()
+        for w, own in places.items():
+            if w:
+                automaton.add_word(w, own)
+        automaton.make_automaton()
+        for b in batches:
+            found = []
+            for text in b.column("_low").to_pylist():
+                hits = {id(own): own for _, own in automaton.iter(text)} if len(automaton) else {}
+                found.append(make(sorted([*always, *(k for own in hits.values() for k in own)])))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, kind)], names=[*keep, name])
+
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in keep), StructField(name, out)]))
+
+
+def _low(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_low"))
+
+
 def _all_scores(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, scores) of docs. One projection; with rules for several, what each finds is summed by label."""
-    parts = chunks(rules)
-    found = [docs.select("doc_id", _scores(_labels(p)).alias("scores")) for p in parts]
-    if len(found) == 1:
-        return found[0]
-    each = None
-    for f in found:
-        each = f if each is None else each.unionByName(f)
-    of_label: dict[str, tuple[int, int]] = {}
-    for label, own in _labels([r for p in parts for r in p]).items():
-        of_label[label] = (own[0]["ord"], len(own))
-    lookup = lambda k: F.element_at(F.create_map(*[F.lit(x) for label, v in of_label.items() for x in (label, v[k])]), F.col("label"))
-    sums = each.select("doc_id", F.explode("scores").alias("s")).groupBy("doc_id", F.col("s.label").alias("label")).agg(F.sum("s.hits").cast("int").alias("hits"))
-    score = F.struct("hits", (-lookup(0)).alias("ord"), "label", lookup(1).alias("n_rules"))
-    grouped = sums.groupBy("doc_id").agg(F.collect_list(score).cast(SCORE).alias("scores"))
-    return docs.select("doc_id").join(grouped, "doc_id", "left")
+    """(doc_id, scores) of every row of docs: one projection, or one automaton for over MOST_FOLDED rules."""
+    rows = folded(rules)
+    labels = _labels(rows)
+    if len(rows) <= MOST_FOLDED:
+        return docs.select("doc_id", _scores(labels).alias("scores"))
+    label_of = [r["label"] for r in rows]
+    heads = {label: (-own[0]["ord"], label, len(own)) for label, own in labels.items()}
+
+    def scores(hits: list[int]) -> list[dict]:
+        n: dict[str, int] = {}
+        for k in hits:
+            n[label_of[k]] = n.get(label_of[k], 0) + 1
+        return [dict(zip(("hits", "ord", "label", "n_rules"), (x, *heads[label]), strict=True)) for label, x in n.items()]
+
+    kind = docs.sparkSession.createDataFrame([], f"scores {SCORE}").schema["scores"].dataType
+    return _contained(_low(docs), [r["pattern"].lower() for r in rows], scores, kind, "scores")
 
 
 def keyword_scores(docs: DataFrame, rules: DataFrame) -> DataFrame:
@@ -79,23 +119,45 @@ def classify_keywords(docs: DataFrame, rules: DataFrame, mode: str = "ratio", de
 
 def matched_keywords(docs: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, keywords): the rules' keywords that the text contains, in rule order."""
+    rows = folded(rules)
+    names = [r["pattern"] for r in rows]
+    if len(rows) > MOST_FOLDED:
+        return _contained(_low(docs), [n.lower() for n in names], lambda hits: [names[k] for k in hits], ArrayType(StringType()), "keywords")
     text = F.lower(F.coalesce("text", F.lit("")))
-    hits = [F.when(text.contains(r["pattern"].lower()), F.lit(r["pattern"])) for r in folded(rules)]
-    return docs.select("doc_id", F.array_compact(F.array(*hits)).alias("keywords"))
+    return docs.select("doc_id", F.array_compact(F.array(*[F.when(text.contains(n.lower()), F.lit(n)) for n in names], F.lit(None).cast("string"))).alias("keywords"))
 
 
 def classify_regex_counts(docs: DataFrame, rules: DataFrame, default: str = "other") -> DataFrame:
-    """(doc_id, label, score): ten points for each occurrence, 95 at most; below 30 the default."""
+    """(doc_id, label, score): ten points for each occurrence, 95 at most; below 30 the default.
+
+    Patterns of a label are a literal array that one expression runs through, so the plan grows with
+    the labels, not with the patterns.
+    """
     text = F.coalesce("text", F.lit(""))
     scores = []
     for k, (label, own) in enumerate(_labels(folded(rules)).items()):
-        total = sum((F.regexp_count(text, F.lit("(?iu)" + r["pattern"])) for r in own), F.lit(0))
+        patterns = F.array(*[F.lit("(?iu)" + r["pattern"]) for r in own])
+        total = F.aggregate(patterns, F.lit(0), lambda n, p: n + F.regexp_count(text, p)) if len(own) > MOST_FOLDED else sum((F.regexp_count(text, F.lit("(?iu)" + r["pattern"])) for r in own), F.lit(0))
         scores.append(F.struct(F.least(F.lit(95), total * 10).alias("score"), F.lit(-k).alias("ord"), F.lit(label).alias("label")))
+    if not scores:
+        return docs.select("doc_id", F.lit(default).alias("label"), F.lit(50).alias("score"))
     best = docs.select("doc_id", F.array_max(F.array(*scores)).alias("b"))
     score = F.when(F.col("b.score") == 0, 50).otherwise(F.col("b.score"))
     return best.select("doc_id", F.when(F.col("b.score") >= 30, F.col("b.label")).otherwise(default).alias("label"), score.alias("score"))
 
 
+def cards_of(rules: DataFrame) -> dict[str, dict]:
+    """Score cards from a rule table: kinds keyword, required, bonus and negative; a label's base is the greatest weight of its keywords."""
+    cards: dict[str, dict] = {}
+    kinds = {"keyword": "keywords", "required": "required", "bonus": "bonus", "negative": "negative"}
+    for r in folded(rules.where(F.col("kind").isin(*kinds))):
+        card = cards.setdefault(r["label"], {"base": 0, "keywords": [], "required": [], "bonus": [], "negative": []})
+        card[kinds[r["kind"]]].append(r["pattern"])
+        if r["kind"] == "keyword":
+            card["base"] = max(card["base"], int(r["weight"] or 0))
+    return cards
+
+
 def scorecard(docs: DataFrame, cards: dict[str, dict], default: str = "unknown") -> DataFrame:
     """(doc_id, label, score, candidates) of score cards.
 
@@ -242,7 +304,7 @@ def context_stats(senders: DataFrame, subjects: DataFrame) -> DataFrame:
     return senders.agg(F.countDistinct("sender").alias("senders")).crossJoin(subjects.agg(F.countDistinct("subject").alias("subjects")))  # one row each
 
 
-def method_weights(docs: DataFrame, least: float = 0.0) -> DataFrame:
+def method_weights(docs: DataFrame, least: float = 0.9) -> DataFrame:
     """(document_type, ai, keywords, ml): weights by how well the model does on a type, the mean of its confidences over ``least``; the middle ones without any."""
     mean = docs.groupBy("document_type").agg(F.avg(F.when(F.col("ai_confidence") >= least, F.col("ai_confidence"))).alias("m"))
     pick = lambda high, mid, low: F.when(F.col("m") > 0.95, high).when(F.col("m").isNull() | (F.col("m") > 0.85), mid).otherwise(low)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "kind string, label string, ord int, pattern string, weight double"
-#: Rules folded into one expression; larger tables take several.
+#: Most rules folded into one expression.
 MOST_FOLDED = 400
 
 
@@ -30,12 +30,6 @@ def folded(rules: DataFrame) -> list:
     return rules.orderBy("ord", "label", "pattern").collect()
 
 
-def chunks(rules: DataFrame) -> list[list]:
-    """The rules in order, MOST_FOLDED at a time for one expression each; one empty list for no rules."""
-    rows = folded(rules)
-    return [rows[k : k + MOST_FOLDED] for k in range(0, len(rows), MOST_FOLDED)] or [[]]
-
-
 def first_match(text: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
     """Label of the first (label, pattern) whose pattern the text contains."""
     out = F.lit(default)

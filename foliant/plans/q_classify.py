@@ -17,6 +17,26 @@ def _(s, d):
     return O.keyword_scores(texts(s, d), word_rules(s)).select("doc_id", "label", "hits")
 
 
+#: More rules than an expression takes: every pair of letters at a word's beginning, by its first letter.
+MANY = "rules AS (SELECT chr(97 + i::INT) AS label, i::INT AS ord, ' ' || chr(97 + i::INT) || chr(97 + j::INT) AS pattern FROM range(26) a(i), range(26) b(j)), hits AS (SELECT doc_id, label, ord, count(*) AS hits FROM documents, rules WHERE contains(lower(text), pattern) GROUP BY ALL) "
+
+
+def many_rules(s):
+    from foliant.operators.rules import rules_table
+
+    return rules_table(s, [("keyword", chr(97 + i), i, f" {chr(97 + i)}{chr(97 + j)}", 1.0) for i in range(26) for j in range(26)])
+
+
+@query("c1_scores_of_many_rules", "WITH " + MANY + "SELECT doc_id, label, ord, 26 AS n_rules, hits FROM hits")
+def _(s, d):
+    return O.keyword_scores(texts(s, d), many_rules(s))
+
+
+@query("c2_ratio_of_many_rules", "WITH " + MANY + ", best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ord) = 1) SELECT doc_id, coalesce(label, 'other') AS label, coalesce(hits / 26.0, 0.3)::DOUBLE AS confidence FROM documents LEFT JOIN best USING (doc_id)")
+def _(s, d):
+    return O.classify_keywords(texts(s, d), many_rules(s), "ratio")
+
+
 @query("c2_classify_ratio", SCORES + "SELECT doc_id, coalesce(label, 'other') AS label, coalesce(hits / 5.0, 0.3)::DOUBLE AS confidence FROM documents LEFT JOIN best USING (doc_id)")
 def _(s, d):
     return O.classify_keywords(texts(s, d), word_rules(s), "ratio")
