@@ -19,7 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def once(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared folder: read however often, computed once, whatever executors are lost."""
+    """df as Parquet in the shared folder: read however often, computed once, whatever executors are lost.
+
+    Runs when it is called, so an operator that stages costs its work where it is built. The folder is the
+    session's: it goes with spark.checkpoint.dir, or, if that is unset, with the temporary folder.
+    """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

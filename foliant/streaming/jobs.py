@@ -8,6 +8,7 @@ sink, or one whose checkpoint was lost, has another id.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from foliant.sources.staging import holds_files
 
@@ -40,22 +42,39 @@ def batch_folder(batch: DataFrame, sink: str, batch_id: int) -> tuple[str, str]:
     return query, f"{sink.rstrip('/')}/stream={query}/batch={batch_id}"
 
 
-def stream_new_only(docs: DataFrame, sink: str, checkpoint: str, hash_col: str, trigger: dict) -> StreamingQuery:
-    """Archive-wide dedup: each batch drops what the archive at sink already holds, then appends the rest."""
+#: Buckets of an archive by hash: a batch reads those that its own hashes fall into.
+BUCKETS = 256
+
+
+def stream_new_only(docs: DataFrame, sink: str, checkpoint: str, hash_col: str, trigger: dict, buckets: int = BUCKETS, order: list[str] | None = None) -> StreamingQuery:
+    """Archive-wide dedup: each batch drops what the archive at sink already holds, then appends the rest.
+
+    The archive is laid out by a bucket of the hash, and a batch reads only the buckets it touches. Of rows
+    with one hash the first in ``order`` stays (all other columns if not given), so a replayed batch
+    writes the same rows. Rows without a hash are copies of each other within a batch and of nothing else.
+    """
+    bucket = F.pmod(F.xxhash64(hash_col), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([hash_col])
+        by = order or [c for c in batch.columns if c != hash_col]
+        first = F.min_by(F.struct(*[c for c in batch.columns if c != hash_col], F.lit(0).alias("_one")), F.struct(*by, F.lit(0).alias("_one")))
+        fresh = batch.groupBy(hash_col).agg(first.alias("_first")).select(hash_col, *[F.col("_first")[c].alias(c) for c in batch.columns if c != hash_col], bucket.alias("bucket"))
         stream, folder = batch_folder(batch, sink, batch_id)
-        if holds_files(spark, f"{sink.rstrip('/')}/stream=*/batch=*/*.parquet"):
-            schema = batch.schema.add("stream", "string").add("batch", "long")
-            known = spark.read.schema(schema).parquet(sink).where((F.col("stream") != stream) | (F.col("batch") != batch_id))
-            fresh = fresh.join(known.select(hash_col), hash_col, "left_anti")
-        fresh.write.mode("overwrite").parquet(folder)
+        if holds_files(spark, f"{sink.rstrip('/')}/stream=*/batch=*/bucket=*/*.parquet"):
+            touched = [r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most so many buckets
+            fresh = fresh.join(archived(spark, sink, batch.schema).where(F.col("bucket").isin(touched)).where((F.col("stream") != stream) | (F.col("batch") != batch_id)).select("bucket", hash_col), ["bucket", hash_col], "left_anti")
+        fresh.select(*batch.columns, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def archived(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
+    """What stream_new_only has written to sink, with stream, batch and bucket as partition columns."""
+    whole = StructType([*schema]).add("stream", "string").add("batch", "long").add("bucket", "integer")
+    return spark.read.schema(whole).parquet(sink)
+
+
 def stream_apply(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A stateless operator (classification, extraction) on the stream."""
     return operator(docs)
@@ -72,14 +91,38 @@ def stream_upsert(updates: DataFrame, sink: str, checkpoint: str, keys: list[str
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def current(spark: SparkSession, sink: str, keys: list[str], version: str) -> DataFrame:
-    """The newest record of each key among all batches of stream_upsert; of equal versions the latest batch's."""
-    rows = spark.read.parquet(sink)
+def current(spark: SparkSession, sink: str, keys: list[str], version: str, folders: list[str] | None = None) -> DataFrame:
+    """The newest record of each key among all batches of stream_upsert, or those in the folders; of equal versions the latest batch's."""
+    rows = spark.read.option("basePath", sink).parquet(*(folders or [sink]))
     values = [c for c in rows.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(version, "batch", "stream")).alias("v"))
     return newest.select(*keys, *[f"v.{c}" for c in values if c not in ("batch", "stream")])
 
 
+def compact(spark: SparkSession, sink: str, keys: list[str], version: str) -> int:
+    """Merge the batches of stream_upsert at sink into one folder; returns how many were merged.
+
+    The merged folder is written beside them under a hidden name and renamed in one step; only then the
+    merged ones are deleted. As the newest version of a key wins wherever it stands, ``current`` gives the
+    same rows before, meanwhile and after; batches that are written meanwhile are left alone.
+    """
+    jvm, root = spark._jvm.org.apache.hadoop.fs, sink.rstrip("/")
+    fs = jvm.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in fs.globStatus(jvm.Path(f"{root}/stream=*/batch=*")) if fs.exists(jvm.Path(x.getPath(), "_SUCCESS"))]
+    if len(old) < 2:
+        return 0
+    last = max(int(p.getName().split("=")[1]) for p in old)
+    rows = current(spark, sink, keys, version, [p.toString() for p in old])
+    name = uuid.uuid4().hex
+    rows.write.parquet(f"{root}/_{name}")
+    fs.mkdirs(jvm.Path(f"{root}/stream=merged-{name}"))
+    if not fs.rename(jvm.Path(f"{root}/_{name}"), jvm.Path(f"{root}/stream=merged-{name}/batch={last}")):
+        raise RuntimeError(f"{root}/_{name} can't be renamed")
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
 def stream_timeline(rows: DataFrame, ts: str, width: str = "1 hour", delay: str = RUN_DELAY) -> DataFrame:
     """(slot, n): counts of each hour, final once the watermark passes it."""
     return rows.withWatermark(ts, delay).groupBy(F.window(ts, width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("slot"), "n")

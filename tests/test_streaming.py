@@ -55,6 +55,32 @@ def test_upserts_of_two_queries(spark, tmp_path):
     assert got.columns == ["key", "version", "value"] and sorted(map(tuple, got.collect())) == [("a", 2, "z"), ("b", 5, "y"), ("c", 1, "v")]
 
 
+def test_new_only_reads_the_buckets_it_touches(spark, tmp_path):
+    sink = str(tmp_path / "sink")
+    rows = spark.createDataFrame([(f"h{k}", k) for k in range(50)], "hash string, id int")
+    jobs.stream_new_only(source(spark, rows, tmp_path / "in", 1), sink, str(tmp_path / "c"), "hash", NOW, 8).awaitTermination()
+    found = jobs.archived(spark, sink, rows.schema)
+    assert found.count() == 50 and {r[0] for r in found.select("bucket").distinct().collect()} == set(range(8))
+    assert "PartitionFilters: [isnotnull(bucket" in found.where("bucket = 3")._jdf.queryExecution().executedPlan().toString()
+    late = spark.createDataFrame([("h1", 0), ("new", 9), ("new", 7)], rows.schema)
+    jobs.stream_new_only(source(spark, late, tmp_path / "in2", 1), sink, str(tmp_path / "c2"), "hash", NOW, 8).awaitTermination()
+    assert sorted((r["hash"], r["id"]) for r in found.sparkSession.read.parquet(sink).where("hash in ('h1', 'new')").collect()) == [("h1", 1), ("new", 7)]
+
+
+def test_compaction_changes_nothing(spark, tmp_path):
+    sink = str(tmp_path / "out")
+    for k in range(3):
+        df = spark.createDataFrame([("a", k, f"x{k}"), (f"b{k}", 1, "y")], "key string, version int, value string")
+        jobs.stream_upsert(source(spark, df, tmp_path / f"in{k}", 1), sink, str(tmp_path / f"c{k}"), ["key"], "version", NOW).awaitTermination()
+    rows = lambda: sorted(map(tuple, jobs.current(spark, sink, ["key"], "version").collect()))
+    before = rows()
+    assert jobs.compact(spark, sink, ["key"], "version") == 3
+    assert rows() == before and jobs.compact(spark, sink, ["key"], "version") == 0
+    df = spark.createDataFrame([("a", 9, "late")], "key string, version int, value string")
+    jobs.stream_upsert(source(spark, df, tmp_path / "in9", 1), sink, str(tmp_path / "c9"), ["key"], "version", NOW).awaitTermination()
+    assert ("a", 9, "late") in rows() and len(rows()) == len(before)
+
+
 def test_sender_context(spark, tmp_path):
     rows = spark.createDataFrame([("a", "invoice"), ("a", "invoice"), (None, "order")], "sender string, document_type string")
     got = run(jobs.stream_sender_context(source(spark, rows, tmp_path / "in", 1)), tmp_path, "context", "update").collect()
