@@ -91,7 +91,6 @@ def update_lists(classified: DataFrame, deny: DataFrame, allow: DataFrame) -> Da
     return old.join(fresh.select("entry"), "entry", "left_anti").unionByName(fresh)
 
 
-#: Senders and subjects of machine-made notifications.
 #: Senders and subjects of system notifications, and words of marketing; fixed values.
 NOTIFIERS = [r"noreply@.*loxone", r"no-reply@", r"noreply@", r"donotreply@", r"notification@", r"alert@", r"system@", r"automat.*@", r"robot@", r"synology", r"diskstation"]
 NOTICES = [r"^statistic", r"^alert:", r"^notification:", r"automatick[áé]", r"systémov[áé]", r"loxone", r"miniserver", r"^\[192\.168\."]

@@ -31,7 +31,7 @@ def train_text_model(labeled: DataFrame, features: int = 5000, min_df: float = 2
 def predict_text(model: PipelineModel, docs: DataFrame) -> DataFrame:
     """(doc_id, label, confidence, probabilities) of docs (doc_id, text)."""
     labels = model.stages[-2].labels
-    scored = model.transform(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(labels[0]).alias("label")).drop("label").withColumn("label", F.lit(labels[0])))
+    scored = model.transform(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(labels[0]).alias("label")))
     p = vector_to_array("probability")
     out = IndexToString(inputCol="prediction", outputCol="predicted", labels=[*labels, "__unknown"]).transform(scored)
     named = F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.slice(p, 1, len(labels)))

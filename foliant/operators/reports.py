@@ -36,6 +36,11 @@ def database_stats(docs: DataFrame, training: DataFrame) -> DataFrame:
     return one.crossJoin(training.agg(F.count("*").alias("training")))  # one row each
 
 
+def documents_by_type(docs: DataFrame) -> DataFrame:
+    """(document_type, n, synced) with untyped documents as a type of their own."""
+    return docs.groupBy("document_type").agg(F.count("*").alias("n"), F.count_if("synced").alias("synced"))
+
+
 def histogram(docs: DataFrame, value: Column, edges: list[float], labels: list[str]) -> DataFrame:
     """(bin, n): bins close at each edge; labels has one entry more than edges; null in no bin."""
     bin_ = F.lit(labels[-1])
@@ -50,8 +55,47 @@ def failure_taxonomy(results: DataFrame, classes: dict[str, Column]) -> DataFram
     return results.select(F.explode(found).alias("failure")).groupBy("failure").agg(F.count("*").alias("n"))
 
 
+def _at_rank(rows: DataFrame, rank: int, bins: int, few: int) -> float:
+    """The value x of rows (x) at this rank from 0, by passes that count in bins and keep the bin of the rank."""
+    while True:
+        finite = F.when(F.abs("x") < float("inf"), F.col("x"))
+        n, least, most, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x"), F.min(finite), F.max(finite)).first()
+        if least == most:
+            return least
+        if n <= few:
+            return sorted(r["x"] for r in rows.collect())[rank]  # at most few
+        bin_ = F.when(F.col("x") <= low, 0).when(F.col("x") >= high, bins - 1).otherwise(F.floor((F.col("x") - low) / (high - low) * bins).cast("int"))
+        bin_ = F.least(F.greatest(bin_, F.lit(0)), F.lit(bins - 1))
+        for b, m in sorted(tuple(r) for r in rows.groupBy(bin_.alias("b")).count().collect()):  # at most bins rows
+            if rank < m:
+                break
+            rank -= m
+        rows = rows.where(bin_ == b)
+
+
+def exact_median(results: DataFrame, value: str, bins: int = 4096, few: int = 10_000) -> float | None:
+    """The middle value, or the mean of the two middle ones; nulls and NaN are left out, null if there is none.
+
+    Each pass counts values in bins and narrows to the middle one, so no task holds all values; passes are
+    as many as it takes to get the middle bin to ``few`` rows, whose values the driver sorts.
+    """
+    rows = results.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n = rows.count()
+    if not n:
+        return None
+    low = _at_rank(rows, (n - 1) // 2, bins, few)
+    return low if n % 2 else (low + _at_rank(rows, n // 2, bins, few)) / 2
+
+
 def time_stats(results: DataFrame, seconds: str, slow: float = 100) -> DataFrame:
-    return results.agg(F.avg(seconds).alias("mean"), F.median(seconds).alias("median"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.count_if(F.col(seconds) > slow).alias("slow"))
+    """One row: mean, exact median, least, most and the number of slow items. The median's passes run when this is called."""
+    median = exact_median(results, seconds)
+    return results.agg(F.avg(seconds).alias("mean"), F.lit(median).cast("double").alias("median"), F.min(seconds).alias("least"), F.max(seconds).alias("most"), F.count_if(F.col(seconds) > slow).alias("slow"))
+
+
+def slow_items(results: DataFrame, seconds: str, slow: float = 100) -> DataFrame:
+    """The items that took longer, slowest first."""
+    return results.where(F.col(seconds) > slow).orderBy(F.desc(seconds))
 
 
 def funnel(results: DataFrame, stages: list[str]) -> DataFrame:
@@ -125,8 +169,16 @@ def classifier_accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return predicted.join(truth, "doc_id").groupBy("expected", "predicted").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
+def accuracy_by_label(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """(expected, n, incorrect, accuracy, confidence) of each expected label, and of all with is_total."""
+    both = predicted.join(truth, "doc_id").withColumn("ok", F.col("expected").eqNullSafe(F.col("predicted")).cast("int"))
+    out = both.rollup("expected").agg(F.grouping("expected").alias("g"), F.count("*").alias("n"), F.sum(1 - F.col("ok")).alias("incorrect"), F.round(F.avg("ok"), 4).alias("accuracy"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    return out.withColumn("is_total", F.col("g") == 1).drop("g")
+
+
 def classifier_throughput(runs: DataFrame) -> DataFrame:
-    g = runs.groupBy("method").agg(F.sum("processed").alias("processed"), F.sum("errors").alias("errors"), F.sum("elapsed").alias("elapsed"))
+    """(method, processed, errors, elapsed, mean, least, most, rate): runs of each method, shortest in all first."""
+    g = runs.groupBy("method").agg(F.sum("processed").alias("processed"), F.sum("errors").alias("errors"), F.sum("elapsed").alias("elapsed"), F.round(F.avg("elapsed"), 4).alias("mean"), F.min("elapsed").alias("least"), F.max("elapsed").alias("most"))
     return g.withColumn("rate", F.round(F.try_divide("processed", "elapsed"), 4)).orderBy("elapsed")
 
 
@@ -170,6 +222,13 @@ def field_completeness(docs: DataFrame, required: list[str]) -> DataFrame:
     return one.unpivot(["n"], required, "field", "filled").select("field", "filled", F.round(F.try_divide("filled", "n"), 4).alias("rate"))
 
 
+def completeness_buckets(docs: DataFrame, required: list[str]) -> DataFrame:
+    """(bucket, n): documents by the share of required fields that they have: none, under half, half or more, all."""
+    share = sum((F.col(c).isNotNull().cast("int") for c in required), F.lit(0)) / len(required)
+    bucket = F.when(share == 0, "none").when(share < 0.5, "under half").when(share < 1, "half or more").otherwise("all")
+    return docs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def least_complete(docs: DataFrame, required: list[str], k: int = 20) -> DataFrame:
     score = sum((F.col(c).isNotNull().cast("int") for c in required), F.lit(0))
     return docs.select("doc_id", score.alias("filled"), F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required])), ",").alias("missing")).orderBy("filled", "doc_id").limit(k)

@@ -43,6 +43,11 @@ def _(s, d):
     return O.database_stats(archive(s, d), table(s, d, "labels"))
 
 
+@query("a6_documents_by_type", WITH + "SELECT document_type, count(*) AS n, count(*) FILTER (synced) AS synced FROM archive GROUP BY ALL")
+def _(s, d):
+    return O.documents_by_type(archive(s, d))
+
+
 @query("a7_confidence_histogram", WITH + "SELECT CASE WHEN ai_confidence <= 0.2 THEN '0-20' WHEN ai_confidence <= 0.4 THEN '21-40' WHEN ai_confidence <= 0.6 THEN '41-60' WHEN ai_confidence <= 0.8 THEN '61-80' ELSE '81-100' END AS bin, count(*) AS n FROM archive WHERE ai_confidence IS NOT NULL GROUP BY ALL")
 def _(s, d):
     return O.histogram(archive(s, d), F.col("ai_confidence"), [0.2, 0.4, 0.6, 0.8], ["0-20", "21-40", "41-60", "61-80", "81-100"])
@@ -68,6 +73,11 @@ def _(s, d):
     return O.time_stats(table(s, d, "events"), "value", 20).withColumns({"mean": F.round("mean", 4), "median": F.round("median", 4)})
 
 
+@query("a9_slow_items", "SELECT event_id, value FROM events WHERE value > 20 ORDER BY value DESC")
+def _(s, d):
+    return O.slow_items(table(s, d, "events"), "value", 20).select("event_id", "value")
+
+
 @query("a10_funnel_by_type", WITH + ", r AS (SELECT document_type, doc_id % 2 = 0 AS extracted, doc_id % 4 = 0 AS validated, doc_id % 8 = 0 AS perfect FROM archive) SELECT document_type, grouping(document_type) = 1 AS is_total, count(*) AS classified, count(*) FILTER (extracted) AS extracted, count(*) FILTER (validated) AS validated, count(*) FILTER (perfect) AS perfect, round(count(*) FILTER (extracted) / count(*), 4) AS extracted_rate, round(count(*) FILTER (validated) / count(*) FILTER (extracted), 4) AS validated_rate, round(count(*) FILTER (perfect) / count(*) FILTER (validated), 4) AS perfect_rate FROM r GROUP BY ROLLUP (document_type)")
 def _(s, d):
     return O.funnel(archive(s, d).selectExpr("document_type", "doc_id % 2 = 0 AS extracted", "doc_id % 4 = 0 AS validated", "doc_id % 8 = 0 AS perfect"), ["extracted", "validated", "perfect"])
@@ -149,7 +159,13 @@ def _(s, d):
     return O.classifier_accuracy(a.selectExpr("doc_id", "if(doc_id % 4 = 0, 'order', document_type) AS predicted", "ai_confidence AS confidence"), a.selectExpr("doc_id", "document_type AS expected"))
 
 
-@query("a22_classifier_throughput", "SELECT event_type AS method, count(*) AS processed, count(*) FILTER (value > 40) AS errors, round(sum(value), 2) AS elapsed, round(count(*) / sum(value), 4) AS rate FROM events GROUP BY ALL")
+@query("a21_accuracy_by_label", WITH + ", p AS (SELECT document_type AS expected, ai_confidence AS confidence, (doc_id % 4 <> 0 OR document_type = 'order')::INT AS ok FROM archive) SELECT expected, count(*) AS n, sum(1 - ok)::BIGINT AS incorrect, round(avg(ok), 4) AS accuracy, round(avg(confidence), 4) AS confidence, grouping(expected) = 1 AS is_total FROM p GROUP BY ROLLUP (expected)")
+def _(s, d):
+    a = archive(s, d)
+    return O.accuracy_by_label(a.selectExpr("doc_id", "if(doc_id % 4 = 0, 'order', document_type) AS predicted", "ai_confidence AS confidence"), a.selectExpr("doc_id", "document_type AS expected"))
+
+
+@query("a22_classifier_throughput", "SELECT event_type AS method, count(*) AS processed, count(*) FILTER (value > 40) AS errors, round(sum(value), 2) AS elapsed, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most, round(count(*) / sum(value), 4) AS rate FROM events GROUP BY ALL")
 def _(s, d):
     r = table(s, d, "events").selectExpr("event_type AS method", "1 AS processed", "if(value > 40, 1, 0) AS errors", "value AS elapsed")
     return O.classifier_throughput(r).withColumn("elapsed", F.round("elapsed", 2))
@@ -196,6 +212,11 @@ def _(s, d):
     return O.field_completeness(archive(s, d), ["ai_confidence", "ocr_confidence", "sender"])
 
 
+@query("a29_completeness_buckets", WITH + ", f AS (SELECT (ai_confidence IS NOT NULL)::INT + (ocr_confidence IS NOT NULL)::INT + (sender IS NOT NULL)::INT AS k FROM archive) SELECT CASE k WHEN 0 THEN 'none' WHEN 1 THEN 'under half' WHEN 2 THEN 'half or more' ELSE 'all' END AS bucket, count(*) AS n FROM f GROUP BY ALL")
+def _(s, d):
+    return O.completeness_buckets(archive(s, d), ["ai_confidence", "ocr_confidence", "sender"])
+
+
 @query("a29_least_complete", WITH + "SELECT doc_id, (ai_confidence IS NOT NULL)::INT + (ocr_confidence IS NOT NULL)::INT + (sender IS NOT NULL)::INT AS filled, concat_ws(',', CASE WHEN ai_confidence IS NULL THEN 'ai_confidence' END, CASE WHEN ocr_confidence IS NULL THEN 'ocr_confidence' END, CASE WHEN sender IS NULL THEN 'sender' END) AS missing FROM archive ORDER BY filled, doc_id LIMIT 20")
 def _(s, d):
     return O.least_complete(archive(s, d), ["ai_confidence", "ocr_confidence", "sender"])

@@ -15,6 +15,7 @@ from foliant.operators import extensions as X
 from foliant.operators import extract as E
 from foliant.operators import learn
 from foliant.operators import matching as M
+from foliant.operators import rules as R
 from foliant.operators import statements as B
 
 
@@ -182,3 +183,62 @@ def test_observed_metrics(spark):
     df, seen = X.observed(spark.range(10), "rows", n=F.count("*"), most=F.max("id"))
     df.collect()
     assert seen.get == {"n": 10, "most": 9}
+
+
+def test_many_keywords_in_one_pass(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 5))) for _ in range(20_000)]
+    rows = [(k, None if k == 3 else "".join(rng.choices("abcdefgh ABC", k=300))) for k in range(40)] + [(None, "abab cdcd"), (None, "hh"), (5, "ab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = R.rules_table(spark, [("keyword", f"label{k % 7}", k % 7, w.upper() if k % 2 else w, 1.0) for k, w in enumerate(words)])
+    found = C._all_scores(docs, rules)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for i, t in rows:
+        hits = [0] * 7
+        for k, w in enumerate(words):
+            hits[k % 7] += w in (t or "").lower()
+        want.append((-1 if i is None else i, sorted((h, f"label{j}") for j, h in enumerate(hits) if h)))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], sorted((x["hits"], x["label"]) for x in r["scores"])) for r in found.collect()) == sorted(want)
+    small = rules.limit(300)
+    one, many = (C.matched_keywords(docs, x) for x in (small, small.unionByName(R.rules_table(spark, [("keyword", "z", 99, f"zz{k}", 1.0) for k in range(200)]))))
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    counts = C.classify_regex_counts(docs, R.rules_table(spark, [("regex", "x", 0, f"a[b-d]{{1,{k % 3 + 1}}}", 1.0) for k in range(500)]))
+    assert {r["label"] for r in counts.collect()} == {"x", "other"}
+
+
+def test_score_cards_from_rules(spark):
+    docs = spark.createDataFrame([(1, "Invoice total 5, paid"), (2, "draft invoice"), (3, None)], "doc_id long, text string")
+    cards = {"invoice": {"base": 60, "keywords": ["invoice"], "required": ["total", "date"], "bonus": ["paid"], "negative": ["draft"]}}
+    rules = R.rules_table(spark, [("keyword", "invoice", 0, "invoice", 60.0), ("required", "invoice", 1, "total", 1.0), ("required", "invoice", 2, "date", 1.0), ("bonus", "invoice", 3, "paid", 5.0), ("negative", "invoice", 4, "draft", -50.0), ("lang", "en", 5, "en", 1.0)])
+    assert C.cards_of(rules) == cards
+    got = {r["doc_id"]: (r["label"], r["score"]) for r in C.scorecard(docs, C.cards_of(rules)).collect()}
+    assert got == {1: ("invoice", 90), 2: ("unknown", 0), 3: ("unknown", 0)}
+
+
+def test_exact_median_by_passes(spark):
+    from foliant.operators import reports
+
+    rng = random.Random(2)
+    for values in ([], [None], [3.0], [1.0, 2.0], [5.0] * 50 + [7.0], [rng.gauss(0, 1e6) for _ in range(999)], [float("-inf"), 1.0, 2.0, float("inf")], [*range(400), 1e300, -1e300]):
+        df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
+        kept = sorted(float(v) for v in values if v is not None)
+        want = None if not kept else (kept[(len(kept) - 1) // 2] + kept[len(kept) // 2]) / 2
+        assert reports.exact_median(df, "x", 16, 5) == want
+
+
+def test_forests_of_any_depth(spark):
+    from foliant.operators import forest
+
+    chain = [(k, k - 1) for k in range(1, 5001)]
+    links = spark.createDataFrame([*chain, (9001, 9002), (9002, 9001), (9003, 9001), (7000, None), (8001, 8000), (8002, 8000)], "id long, parent long")
+    got = {r["id"]: r["root"] for r in forest.roots(links).collect()}
+    assert got == {**{k: 0 for k in range(5001)}, 8000: 8000, 8001: 8000, 8002: 8000}
+    nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 4, "loop"), (5, 99, "orphan"), (None, 1, "x")], "id long, parent_id long, name string")
+    assert {r["id"]: r["path"] for r in M.type_paths(nodes).collect()} == {1: "a", 2: "a > b", 3: "a > b > c"}
+
+
+def test_clusters_of_duplicates(spark):
+    found = spark.createDataFrame([(2, "file_hash", 1), (3, "similarity", 2), (9, "text_hash", 8)], "doc_id long, reason string, matched long")
+    assert sorted((r["doc_id"], r["cluster_id"], r["reason"], r["matched"]) for r in D.duplicate_clusters(found).collect() if r["reason"]) == [(2, 1, "file_hash", 1), (3, 1, "similarity", 2), (9, 8, "text_hash", 8)]
+    assert D.duplicate_clusters(found.limit(0)).count() == 0
