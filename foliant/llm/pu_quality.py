@@ -40,6 +40,8 @@ from .common import STEP, hash_sample, with_values
 #: Bounds of the samples on which the model is fitted, picked by hash of doc_id.
 MOST_POSITIVES = 5000
 MOST_UNLABELLED = 10000
+#: Parts in which the samples' features are fetched.
+FETCHES = 8
 #: How far the risk on the negative side may fall below zero.
 SLACK = 0.04
 #: Classes of characters: lower, upper, other letter, digit, blank, line end, full stop, comma, !?, quotes, symbols, bar, other punctuation, rest.
@@ -102,18 +104,20 @@ def features(text: str | None, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, seed: int = 7) -> np.ndarray:
-    """Weights (bias last) of least non-negative risk, by Adam over batches."""
+def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, seed: int = 7, own: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Weights (bias last) of least non-negative risk, by Adam over batches; own: the rows to be used, all if not given."""
     rng = np.random.default_rng(seed)
+    of_p, of_u = own or (np.arange(len(xp)), np.arange(len(xu)))
     d = xp.shape[1]
     w, m, v = np.zeros(d), np.zeros(d), np.zeros(d)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        p, u = xp[rng.integers(0, len(xp), 512)], xu[rng.integers(0, len(xu), 1024)]
-        zp, zu = p @ w, u @ w
+        p, u = xp[of_p[rng.integers(0, len(of_p), 512)]], xu[of_u[rng.integers(0, len(of_u), 1024)]]
+        single = w.astype(np.float32)  # else every batch is copied as doubles
+        zp, zu = (p @ single).astype(float), (u @ single).astype(float)
         bracket = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_plus = -prior * (sigmoid(-zp) @ p) / len(p)
-        g_minus = (sigmoid(zu) @ u) / len(u) - prior * (sigmoid(zp) @ p) / len(p)
+        g_plus = -prior * (sigmoid(-zp).astype(np.float32) @ p) / len(p)
+        g_minus = (sigmoid(zu).astype(np.float32) @ u) / len(u) - prior * (sigmoid(zp).astype(np.float32) @ p) / len(p)
         g = (g_plus + g_minus if bracket >= -SLACK else -g_minus) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (1 - step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -125,10 +129,10 @@ def estimate_prior(xp: np.ndarray, xu: np.ndarray, splits: int = 5) -> float:
     found = []
     for k in range(splits):
         rng = np.random.default_rng(k)
-        p, u = xp[rng.permutation(len(xp))], xu[rng.permutation(len(xu))]
+        p, u = rng.permutation(len(xp)), rng.permutation(len(xu))
         half_p, half_u = (len(p) + 1) // 2, (len(u) + 1) // 2
-        w = _descend(p[:half_p], u[:half_u], 0.5, 800, k)
-        sp, su = np.sort((p[half_p:] if half_p < len(p) else p) @ w), np.sort((u[half_u:] if half_u < len(u) else u) @ w)
+        w = _descend(xp, xu, 0.5, 800, k, (p[:half_p], u[:half_u])).astype(np.float32)
+        sp, su = np.sort((xp @ w)[p[half_p:] if half_p < len(p) else p]), np.sort((xu @ w)[u[half_u:] if half_u < len(u) else u])
         cuts = np.quantile(sp, np.linspace(0.002, 0.3, 40))
         above = lambda s: 1 - np.searchsorted(s, cuts, "left") / len(s)  # noqa: B023, E731
         found.append(np.min(above(su) / np.maximum(above(sp), 1e-9)))
@@ -136,19 +140,20 @@ def estimate_prior(xp: np.ndarray, xu: np.ndarray, splits: int = 5) -> float:
 
 
 def fit(xp: np.ndarray, xu: np.ndarray, steps: int = 3000) -> dict:
-    """Model of the two samples' features: centre, scale, weights and the estimated prior."""
+    """Model of the two samples' features, the last of which is 1 for the bias: centre, scale, weights and the estimated prior.
+
+    The samples are scaled in place; they are the largest objects that the driver holds.
+    """
     if not len(xp) or not len(xu):
         return {"prior": 0.5, "weights": None}
-    centre, scale = xu.mean(0), np.maximum(xu.std(0), 1e-3)
+    centre = xu[:, :-1].mean(0)
+    square = sum((np.square(xu[at : at + 1000, :-1] - centre).sum(0, dtype=np.float64) for at in range(0, len(xu), 1000)), np.zeros(FEATURES))
+    scale = np.maximum(np.sqrt(square / len(xu)), 1e-3).astype(np.float32)
     scale[SHAPE : SHAPE + 2 * BUCKETS] /= max(WORD_WEIGHT, 1e-9)
-
-    def scaled(x: np.ndarray) -> np.ndarray:
-        out = np.ones((len(x), x.shape[1] + 1), np.float32)
-        np.subtract(x, centre, out=out[:, :-1])
-        out[:, :-1] /= scale
-        return np.clip(out, -8, 8, out=out)
-
-    xp, xu = scaled(xp), scaled(xu)
+    for x in (xp, xu):
+        x[:, :-1] -= centre
+        x[:, :-1] /= scale
+        np.clip(x, -8, 8, out=x)
     prior = estimate_prior(xp, xu)
     return {"prior": prior, "weights": _descend(xp, xu, prior, steps), "centre": centre, "scale": scale}
 
@@ -185,13 +190,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = MOST_POSITIVES, u
 
     # At most positives + unlabelled ids, so this side has a fixed bound; repeated rows count once.
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInPandas(run, "doc_id long, positive int, x binary")
-    rows = rows.groupBy("doc_id", "positive").agg(F.min("x").alias("x")).orderBy("positive", "doc_id").select("positive", "x").toArrow()
-    positive = rows.column("positive").to_numpy()
-    # One copy of the features, in rows of an array; no Python object for each row.
-    x = np.frombuffer(b"".join(c.as_py() for c in rows.column("x")), np.float32).reshape(len(positive), FEATURES)
-    del rows
-    mixed = lambda k: x[np.random.default_rng(3).permutation(np.flatnonzero(positive == k))]
-    return fit(mixed(1), mixed(0))
+    rows = rows.groupBy("doc_id", "positive").agg(F.min("x").alias("x")).coalesce(FETCHES)
+    # Fetched a partition at a time into one array: neither the JVM nor Python holds the sample twice.
+    x, keys = np.ones((positives + unlabelled, FEATURES + 1), np.float32), []
+    for k, r in enumerate(rows.toLocalIterator()):
+        keys.append((r["positive"], r["doc_id"]))
+        x[k, :-1] = np.frombuffer(r["x"], np.float32)
+    order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+    n = sum(1 for positive, _ in keys if not positive)
+    return fit(x[order[n:]], x[order[:n]])
 
 
 def scorer(model: dict) -> Callable[[list], np.ndarray]:
