@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from foliant.operators import extensions as X
 from foliant.operators import learn
+from foliant.operators import statements as B
 from foliant.sources import readers as S
 from foliant.sources import writers as K
+from foliant.sources.staging import shared_folder
 from .base import ARCHIVE, archive, table, texts
+from .q_orders import mixed
 from .registry import query
 
 WITH = f"WITH {ARCHIVE} "
@@ -95,3 +98,73 @@ def _(s, d):
 @query("x2_classifiers", WITH + "SELECT doc_id, 'a' AS method, 0 AS ordinal, document_type AS label, 0.5::DOUBLE AS confidence FROM archive UNION ALL SELECT doc_id, 'b', 1, 'order', ai_confidence FROM archive")
 def _(s, d):
     return X.run_classifiers(archive(s, d), {"a": lambda x: x.select("doc_id", F.col("document_type").alias("label"), F.lit(0.5).alias("confidence")), "b": lambda x: x.select("doc_id", F.lit("order").alias("label"), F.col("ai_confidence").alias("confidence"))})
+
+
+@query("s3_file_inventory", "SELECT strftime(o_orderdate, '%Y-%m') AS month, 'archive' AS location, sum(length(o_orderkey::VARCHAR) + 1)::BIGINT AS size, md5(string_agg(o_orderkey::VARCHAR || chr(10), '' ORDER BY o_orderkey)) AS hash FROM orders GROUP BY ALL HAVING sum(length(o_orderkey::VARCHAR) + 1) >= 64")
+def _(s, d):
+    folder = shared_folder(s)
+    rows = table(s, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey")
+    rows.repartition("month").sortWithinPartitions("month", "o_orderkey").select("month", F.col("o_orderkey").cast("string").alias("value")).write.partitionBy("month").text(folder)
+    return S.file_inventory(s, folder, ["txt"], "archive", 64).select(F.regexp_extract("path", "month=([0-9-]+)/", 1).alias("month"), "location", "size", "hash")
+
+
+@query("s4_read_results", WITH + "SELECT 'i' || (doc_id // 50)::VARCHAR AS instance, doc_id, document_type, ai_confidence IS NOT NULL AS success, ai_confidence AS confidence, sender FROM archive")
+def _(s, d):
+    folder = shared_folder(s)
+    result = F.struct("doc_id", "document_type", F.col("ai_confidence").isNotNull().alias("success"), F.col("ai_confidence").alias("confidence"), F.create_map(F.lit("sender"), "sender").alias("fields"))
+    archive(s, d).groupBy(F.expr("concat('i', doc_id div 50)").alias("instance")).agg(F.collect_list(result).alias("results")).write.json(folder)  # at most 50 orders each
+    return S.read_results(s, folder, whole_files=False).select("instance", "doc_id", "document_type", "success", "confidence", F.col("fields")["sender"].alias("sender"))
+
+
+@query("s5_read_failures", "SELECT event_id::VARCHAR AS email_id, event_type AS reason, date_trunc('second', ts) AS ts, user_id::VARCHAR AS sender FROM events WHERE event_type = 'error'")
+def _(s, d):
+    folder = shared_folder(s)
+    failed = table(s, d, "events").where("event_type = 'error'")
+    failed.select(F.col("event_id").cast("string").alias("email_id"), F.col("event_type").alias("reason"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("metadata")).write.json(folder)
+    return S.read_failures(s, folder).select("email_id", "reason", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("metadata")["user"].alias("sender"))
+
+
+ENCODED = "CASE path::BIGINT % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16' ELSE {} END AS encoding"
+
+
+@query("s7_read_statements", f"WITH f AS (SELECT DISTINCT l_orderkey::VARCHAR AS path, ['MT940', 'CAMT053', 'ABO', 'CSV', 'FINSTA'][(l_orderkey % 6 + 1)::INT] AS format FROM lineitem WHERE l_orderkey % 6 < 5 UNION ALL SELECT o_orderkey::VARCHAR, 'UNKNOWN' FROM orders WHERE o_orderkey % 6 = 5) SELECT path, format, 'Příkaz č. ' || path || ' – žluťoučký kůň' AS remark, {ENCODED.format(repr('windows-1250'))} FROM f")
+def _(s, d):
+    remark = F.concat(F.lit("Příkaz č. "), "path", F.lit(" – žluťoučký kůň"))
+    whole = F.concat("content", F.lit("\n"), remark)
+    single = F.encode(F.translate(whole, S.CP1250, S.LATIN), "ISO-8859-1")
+    k = F.col("path").cast("long") % 3
+    files = mixed(s, d).select("path", F.when(k == 0, whole.cast("binary")).when(k == 1, F.encode(whole, "UTF-16")).otherwise(single).alias("content"))
+    return S.decode_texts(files).select("path", B.detect_format(F.col("content")).alias("format"), F.regexp_extract("content", "([^\n]*)$", 1).alias("remark"), "encoding")
+
+
+@query("s9_catalog_tables", WITH + "SELECT 'documents' AS name, count(*) AS n FROM archive UNION ALL SELECT 'correspondents', count(DISTINCT sender) FROM archive UNION ALL SELECT 'types', count(DISTINCT document_type) FROM archive")
+def _(s, d):
+    folder, a = shared_folder(s), archive(s, d)
+    made = {"documents": a.select("doc_id", "document_type", "sender"), "correspondents": a.select("sender").where("sender is not null").distinct(), "types": a.select("document_type").distinct()}
+    for name, df in made.items():
+        df.write.parquet(f"{folder}/{name}")
+    out = None
+    for name, df in S.catalog_tables(s, folder, tuple(made)).items():
+        part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("k2_write_csv", WITH + "SELECT doc_id, subject, sender, amount FROM archive")
+def _(s, d):
+    folder = shared_folder(s)
+    K.write_csv(archive(s, d), folder, ["doc_id", "subject", "sender", "amount"])
+    return s.read.schema("doc_id long, subject string, sender string, amount double").csv(folder, header=True)
+
+
+@query("k3_write_by_type", WITH + "SELECT document_type, doc_id, amount FROM archive WHERE document_type IN ('invoice', 'receipt')")
+def _(s, d):
+    folder = shared_folder(s)
+    K.write_by_type(archive(s, d).select("document_type", "doc_id", "amount"), folder)
+    return s.read.parquet(folder).where("document_type in ('invoice', 'receipt')").select("document_type", "doc_id", "amount")  # reads two folders
+
+
+@query("x5_sequence_similarity", "SELECT p_partkey, round(2.0 * (length(p_name) // 2) / (length(p_name) + length(p_name) // 2), 9)::DOUBLE AS similarity FROM part")
+def _(s, d):
+    pairs = table(s, d, "part").select("p_partkey", "p_name", F.expr("left(p_name, cast(length(p_name) div 2 as int))").alias("half"))
+    return X.sequence_similarity(pairs, "p_name", "half").select("p_partkey", F.round("similarity", 9).alias("similarity"))

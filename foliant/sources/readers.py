@@ -86,9 +86,12 @@ def file_inventory(spark: SparkSession, path: str, exts: list[str], location: st
 RESULT = "instance string, results array<struct<doc_id: long, document_type: string, success: boolean, confidence: double, fields: map<string,string>>>"
 
 
-def read_results(spark: SparkSession, glob: str) -> DataFrame:
-    """Result files of all instances, their results exploded; the instance from the file if it isn't stated."""
-    files = spark.read.schema(RESULT).json(glob, multiLine=True)
+def read_results(spark: SparkSession, glob: str, whole_files: bool = True) -> DataFrame:
+    """Result files of all instances, their results exploded; the instance from the file's name if it isn't stated.
+
+    A file is one object, or, without whole_files, one object a line.
+    """
+    files = spark.read.schema(RESULT).json(glob, multiLine=whole_files)
     named = F.coalesce("instance", F.regexp_extract(F.col("_metadata.file_path"), r"instance_?(\w+)", 1))
     return files.select(named.alias("instance"), F.explode("results").alias("r")).select("instance", "r.*")
 
@@ -102,6 +105,31 @@ def read_whole_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFra
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+#: Bytes of 128 and above in windows-1250, as characters of ISO 8859-1 and what they stand for.
+_HIGH = [(bytes([k]).decode("latin-1"), bytes([k]).decode("cp1250", "replace")) for k in range(128, 256)]
+LATIN, CP1250 = ("".join(x) for x in zip(*_HIGH, strict=True))
+
+
+def decode_texts(files: DataFrame) -> DataFrame:
+    """(path, content, encoding) of files (path, content binary): UTF-16 by its mark, else UTF-8 if valid, else windows-1250.
+
+    Marks of byte order don't stay in the text; a null content stays null, with a null encoding.
+    """
+    raw = F.col("content")
+    text = raw.cast("string")
+    starts = lambda mark: F.hex(F.substring(raw, 1, len(mark))) == mark.hex().upper()
+    found = files.select("path", "content", F.when(raw.isNull(), None).when(starts(b"\xff\xfe") | starts(b"\xfe\xff"), "utf-16").when(F.is_valid_utf8(text), "utf-8").otherwise("windows-1250").alias("encoding"))
+    utf8 = F.when(starts(b"\xef\xbb\xbf"), F.substring(raw, 4, 2**31 - 1)).otherwise(raw).cast("string")
+    latin = F.translate(F.decode(raw, "ISO-8859-1"), LATIN, CP1250)
+    content = F.when(F.col("encoding") == "utf-16", F.decode(raw, "UTF-16")).when(F.col("encoding") == "utf-8", utf8).when(F.col("encoding").isNotNull(), latin)
+    return found.select("path", content.alias("content"), "encoding")
+
+
+def read_statements(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, content, encoding) of statement files in a folder and those below it, whatever their encoding."""
+    return decode_texts(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path))
+
+
 CATALOG = ("documents", "tags", "correspondents", "types", "custom_fields", "field_instances", "storage_paths", "document_tags")
 
 

@@ -12,12 +12,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from foliant.operators.extensions import observed
 from foliant.sources.staging import holds_files
 
 MAIL_DELAY = "1 day"
@@ -133,13 +134,45 @@ def stream_active_workers(beats: DataFrame, worker: str, ts: str, width: str = "
     return beats.withWatermark(ts, delay).groupBy(F.window(ts, width), worker).agg(F.max(ts).alias("last_beat")).select(F.col("window.start").alias("slot"), worker, "last_beat")
 
 
-def stream_sender_context(docs: DataFrame) -> DataFrame:
-    """(sender, document_type, n) in update mode, for the next batch to join."""
-    return docs.where("sender is not null").groupBy("sender", "document_type").agg(F.count("*").alias("n"))
+def stream_sender_context(docs: DataFrame, ts: str | None = None, period: str = "30 days", delay: str = MAIL_DELAY) -> DataFrame:
+    """(sender, document_type, n) in update mode, for the next batch to join.
+
+    With ts, a time column, counts are those of periods, with the period's start as ``since``: a period's
+    state goes once the watermark is ``delay`` past its end, and documents later than that don't count.
+    A sender's count in all is the sum over periods, which ``current`` reads by sender, type and since.
+    """
+    known = docs.where("sender is not null")
+    if ts is None:
+        return known.groupBy("sender", "document_type").agg(F.count("*").alias("n"))
+    counts = known.withWatermark(ts, delay).groupBy(F.window(ts, period), "sender", "document_type").agg(F.count("*").alias("n"))
+    return counts.select("sender", "document_type", F.col("window.start").alias("since"), "n")
+
+
+def stream_with_statistics(docs: DataFrame, sink: str, checkpoint: str, metrics: dict[str, Column], callback: Callable[[int, dict], None], trigger: dict) -> StreamingQuery:
+    """Appends docs to sink; callback(batch_id, values) gets each batch's metrics once its rows are written.
+
+    Metrics are computed while the rows pass. A replayed batch overwrites its folder and calls again with
+    the same batch_id, so a callback that keeps values by batch counts each once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows, seen = observed(batch, f"batch-{batch_id}-{uuid.uuid4().hex}", **metrics)
+        rows.write.mode("overwrite").parquet(batch_folder(batch, sink, batch_id)[1])
+        callback(batch_id, seen.get)
+
+    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+STALE = "item string, worker string, claimed_at long"
 
 
 class StaleClaims(StatefulProcessor):
-    """Releases a claim whose item hears nothing for ten minutes of event time."""
+    """Releases a claim whose item hears nothing for ten minutes of event time.
+
+    An item's rows of a batch are taken in order of time (at one time, by worker and status), so a claim
+    that went stale between two of them is released as well, however rows fall into batches. The state
+    is an item's last claim and goes when it is done or released.
+    """
 
     def __init__(self, minutes: int = 10):
         self.millis = minutes * 60_000
@@ -149,29 +182,32 @@ class StaleClaims(StatefulProcessor):
         self.claim = handle.getValueState("claim", "worker string, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        b = pd.concat([b[["ts", "worker", "status"]] for b in rows]).dropna(subset=["ts"]).sort_values(["ts", "worker", "status"])
         held = self.claim.get() if self.claim.exists() else None
-        latest, worker, done = (held[1], held[0], False) if held else (-1, None, False)
-        for b in rows:
-            for w, at, status in zip(b["worker"], b["ts"], b["status"], strict=True):
-                at = int(pd.Timestamp(at).timestamp() * 1000)
-                if at >= latest:
-                    latest, worker, done = at, w, status == "done"
-        for timer in self.handle.listTimers():
+        out = []
+        for at, worker, status in zip(b["ts"].astype("datetime64[ms]").astype("int64").tolist(), b["worker"], b["status"], strict=True):
+            if held and at < held[1]:
+                continue  # out of order: what is known of the item is newer
+            if held and at - held[1] >= self.millis:
+                out.append((key[0], *held))
+            held = None if status == "done" else (worker, at)
+        for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if done:
+        if held is None:
             self.claim.clear()
-        elif worker is not None:
-            self.claim.update((worker, latest))
-            self.handle.registerTimer(latest + self.millis)
-        yield pd.DataFrame({"item": [], "worker": [], "claimed_at": []}).astype({"item": str, "worker": str, "claimed_at": "int64"})
+        else:
+            self.claim.update(held)
+            self.handle.registerTimer(held[1] + self.millis)
+        yield self.frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.claim.exists():
-            worker, at = self.claim.get()
-            self.claim.clear()
-            yield pd.DataFrame({"item": [key[0]], "worker": [worker], "claimed_at": [at]})
-        else:
-            yield pd.DataFrame({"item": [], "worker": [], "claimed_at": []}).astype({"item": str, "worker": str, "claimed_at": "int64"})
+        held = [(key[0], *self.claim.get())] if self.claim.exists() else []
+        self.claim.clear()
+        yield self.frame(held)
+
+    @staticmethod
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["item", "worker", "claimed_at"]).astype({"claimed_at": "int64"})
 
     def close(self) -> None:
         pass
@@ -180,33 +216,50 @@ class StaleClaims(StatefulProcessor):
 def stream_stale_claims(claims: DataFrame, minutes: int = 10, delay: str = "1 minute") -> DataFrame:
     """(item, worker, claimed_at in ms) of claims (item, worker, ts, status) gone stale.
 
-    The session's state store must be RocksDB, as for every transformWithState query.
+    Rows without a time are ignored. The session's state store must be RocksDB, as for every
+    transformWithState query.
     """
     watched = claims.withWatermark("ts", delay)
-    return watched.groupBy("item").transformWithStateInPandas(StaleClaims(minutes), "item string, worker string, claimed_at long", "Append", "EventTime")
+    return watched.groupBy("item").transformWithStateInPandas(StaleClaims(minutes), STALE, "Append", "EventTime")
 
 
 class RetryCounter(StatefulProcessor):
-    """Counts failures of each key and gives it up at the limit; only keys that have failed are kept."""
+    """Counts failures of each key and gives it up at the limit; only keys that have failed are kept, for days of event time."""
 
-    def __init__(self, most: int = 3):
-        self.most = most
+    def __init__(self, most: int = 3, days: int | None = None):
+        self.most, self.millis = most, days and days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.failures = handle.getValueState("failures", "n int")
+        self.handle = handle
+        self.failures = handle.getValueState("failures", "n int, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.failures.get()[0] if self.failures.exists() else 0
+        n, last = self.failures.get() if self.failures.exists() else (0, 0)
         for b in rows:
             n += int((b["status"] == "failed").sum())
+            if self.millis and b["ts"].notna().any():
+                last = max(last, int(b["ts"].max().timestamp() * 1000))
         if n:
-            self.failures.update((n,))
+            self.failures.update((n, last))
+            if self.millis:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(last + self.millis)
         yield pd.DataFrame({"file_hash": [key[0]], "retry_count": [n], "retry": [0 < n < self.most]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.failures.clear()
+        yield pd.DataFrame({"file_hash": [], "retry_count": [], "retry": []}).astype({"file_hash": str, "retry_count": "int32", "retry": bool})
+
     def close(self) -> None:
         pass
 
 
-def stream_retry_state(progress: DataFrame, most: int = 3) -> DataFrame:
-    """(file_hash, retry_count, retry) after each batch of progress (file_hash, status)."""
-    return progress.groupBy("file_hash").transformWithStateInPandas(RetryCounter(most), "file_hash string, retry_count int, retry boolean", "Update", "None")
+def stream_retry_state(progress: DataFrame, most: int = 3, days: int | None = None, delay: str = RUN_DELAY) -> DataFrame:
+    """(file_hash, retry_count, retry) after each batch of progress (file_hash, status).
+
+    With days, progress has a time column ts too, and a file that nothing was heard of for so long
+    after its last row is forgotten: its next failure is its first.
+    """
+    rows = progress if days is None else progress.withWatermark("ts", delay)
+    return rows.groupBy("file_hash").transformWithStateInPandas(RetryCounter(most, days), "file_hash string, retry_count int, retry boolean", "Update", "None" if days is None else "EventTime")

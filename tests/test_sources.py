@@ -51,3 +51,12 @@ def test_upsert_keeps_newest(spark):
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "id long, v string, version int")
     new = spark.createDataFrame([(1, "c", 1), (2, "d", 4), (3, "e", 1)], "id long, v string, version int")
     assert sorted((r["id"], r["v"]) for r in W.upsert(base, new, ["id"], "version").collect()) == [(1, "c"), (2, "b"), (3, "e")]
+
+
+def test_statements_in_any_encoding(spark, tmp_path):
+    text = "Příkaz – žluťoučký kůň €"
+    for name, raw in {"a": text.encode(), "b": text.encode("utf-16"), "c": text.encode("cp1250"), "d": b"\xef\xbb\xbf" + text.encode(), "e": b""}.items():
+        (tmp_path / f"{name}.sta").write_bytes(raw)
+    got = {r["path"][-5]: (r["content"], r["encoding"]) for r in R.read_statements(spark, str(tmp_path), "*.sta").collect()}
+    assert got == {"a": (text, "utf-8"), "b": (text, "utf-16"), "c": (text, "windows-1250"), "d": (text, "utf-8"), "e": ("", "utf-8")}
+    assert R.decode_texts(spark.createDataFrame([("x", None)], "path string, content binary")).first()[1:] == (None, None)

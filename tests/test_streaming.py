@@ -98,3 +98,43 @@ def test_stale_claims(spark, tmp_path):
     rows = spark.createDataFrame([("i", "w1", at(0), "claimed"), ("j", "w2", at(1), "claimed"), ("j", "w2", at(2), "done"), ("k", "w3", at(40), "claimed")], "item string, worker string, ts string, status string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = run(jobs.stream_stale_claims(source(spark, rows, tmp_path / "in", 1)), tmp_path, "stale").collect()
     assert [(r["item"], r["worker"]) for r in got] == [("i", "w1")]
+
+
+def test_sender_context_expires(spark, tmp_path):
+    rows = [[("a", "invoice", f"2024-{m:02d}-05")] * 2 for m in (1, 3, 6)]
+    schema = "sender string, document_type string, day string"
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).withColumn("ts", F.col("day").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.stream_documents(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        q = jobs.stream_sender_context(stream, "ts").writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(jobs.batch_folder(b, str(tmp_path / "out"), i)[1])).option("checkpointLocation", str(tmp_path / "c")).trigger(**NOW).start()
+        q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1  # only the last period's count is held
+    counts = jobs.current(spark, str(tmp_path / "out"), ["sender", "document_type", "since"], "batch")
+    assert counts.agg(F.sum("n")).first()[0] == 6
+
+
+def test_retry_state_expires(spark, tmp_path):
+    got = []
+    for k, day in enumerate(("2024-01-01", "2024-01-02", "2024-06-01", "2024-06-02")):
+        spark.createDataFrame([("f" if k != 2 else "other", "failed", day)], "file_hash string, status string, day string").withColumn("ts", F.col("day").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.stream_documents(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        q = jobs.stream_retry_state(stream, days=30).writeStream.outputMode("update").foreachBatch(lambda b, i: got.extend((r["file_hash"], r["retry_count"]) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(**NOW).start()
+        q.awaitTermination()
+    assert got == [("f", 1), ("f", 2), ("other", 1), ("f", 1)]
+
+
+def test_stale_claims_between_rows_of_a_batch(spark, tmp_path):
+    at = lambda m: f"2024-01-01 00:{m:02d}:00"
+    rows = [("i", "w1", at(0), "claimed"), ("i", "w2", at(20), "claimed"), ("i", "w2", at(25), "done"), ("k", "w3", at(25), "claimed"), ("k", "w3", None, "done")]
+    df = spark.createDataFrame(rows, "item string, worker string, ts string, status string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = run(jobs.stream_stale_claims(source(spark, df, tmp_path / "in", 1)), tmp_path, "stale_within").collect()
+    assert [(r["item"], r["worker"]) for r in got] == [("i", "w1")]
+
+
+def test_statistics_of_each_batch(spark, tmp_path):
+    rows, seen = spark.range(10), {}
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = jobs.stream_documents(spark, str(tmp_path / "in"), rows.schema, files_per_batch=1)
+    jobs.stream_with_statistics(stream, str(tmp_path / "out"), str(tmp_path / "c"), {"n": F.count("*"), "most": F.max("id")}, seen.__setitem__, NOW).awaitTermination()
+    assert len(seen) > 1 and sum(v["n"] for v in seen.values()) == 10 and max(v["most"] for v in seen.values()) == 9
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
