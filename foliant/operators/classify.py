@@ -304,6 +304,13 @@ def context_stats(senders: DataFrame, subjects: DataFrame) -> DataFrame:
     return senders.agg(F.countDistinct("sender").alias("senders")).crossJoin(subjects.agg(F.countDistinct("subject").alias("subjects")))  # one row each
 
 
+def sender_types(senders: DataFrame, k: int = 10) -> DataFrame:
+    """(sender, n, types): the k senders of most documents with a map of their types' counts; ties by name."""
+    top = senders.groupBy("sender").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sender").limit(k)
+    own = senders.select("sender", "document_type", F.col("n").alias("of_type")).join(F.broadcast(top), "sender")  # k rows
+    return own.groupBy("sender", "n").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("document_type", "of_type")))).alias("types"))
+
+
 def method_weights(docs: DataFrame, least: float = 0.9) -> DataFrame:
     """(document_type, ai, keywords, ml): weights by how well the model does on a type, the mean of its confidences over ``least``; the middle ones without any."""
     mean = docs.groupBy("document_type").agg(F.avg(F.when(F.col("ai_confidence") >= least, F.col("ai_confidence"))).alias("m"))

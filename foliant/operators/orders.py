@@ -85,6 +85,24 @@ def order_totals(orders: DataFrame) -> DataFrame:
     return orders.select("order_number", F.when(F.col("order_total") > 0, F.col("order_total")).otherwise(own).alias("total"), net.alias("net"), F.size("items").alias("n_items"))
 
 
+def order_summary(orders: DataFrame) -> DataFrame:
+    """(order_number, net, vat, gross, shipping, promotion) of orders with their items and any of subtotal, vat, order_total, shipping, promotion.
+
+    A stated sum over 0 counts, else that of the items; shipping and promotion (negative where it lowers
+    the price) come on top of net, and of gross where that is the items'. Missing columns and nulls are 0.
+    """
+    stated = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(18,2)") if c in orders.columns else F.lit(0).cast("decimal(18,2)")
+    money = lambda f: F.aggregate("items", F.lit(0).cast("decimal(28,4)"), lambda a, x: (a + f(x)).cast("decimal(28,4)"))
+    price = lambda x: F.coalesce(x["price"] * x["quantity"], F.lit(0))
+    gross = F.round(money(price), 2).cast("decimal(18,2)")
+    net = F.round(money(lambda x: price(x) * 100 / (100 + F.coalesce(x["vat_rate"], F.lit(0)))), 2).cast("decimal(18,2)")
+    found = orders.select("order_number", gross.alias("own_gross"), net.alias("own_net"), *[stated(c).alias(f"s_{c}") for c in ("subtotal", "vat", "order_total")], *[stated(c).alias(c) for c in ("shipping", "promotion")])
+    or_own = lambda c, own: F.when(F.col(c) > 0, F.col(c)).otherwise(own)
+    extra = F.col("shipping") + F.col("promotion")
+    sums = {"net": or_own("s_subtotal", F.col("own_net")) + extra, "vat": or_own("s_vat", F.col("own_gross") - F.col("own_net")), "gross": or_own("s_order_total", F.col("own_gross") + extra)}
+    return found.select("order_number", *[v.cast("decimal(18,2)").alias(k) for k, v in sums.items()], "shipping", "promotion")
+
+
 def line_amounts(items: DataFrame) -> DataFrame:
     """net = quantity * price * (1 - discount %), vat = net * rate %, gross; decimals, to cents."""
     cent = F.lit(Decimal("0.01"))

@@ -158,10 +158,28 @@ def session_stats(progress: DataFrame, sessions: DataFrame) -> DataFrame:
     return p.crossJoin(sessions.agg(F.count("*").alias("sessions"), F.count_if(F.col("end_time").isNull()).alias("crashed")))  # one row each
 
 
-def compare_extractions(local: DataFrame, model: DataFrame) -> DataFrame:
-    """Per model the shares of documents whose item count and total (within 0.01) agree with the local ones."""
-    both = local.join(model.select("doc_id", "model", F.col("item_count").alias("m_count"), F.col("total").alias("m_total")), "doc_id")
-    return both.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg((F.col("item_count") == F.col("m_count")).cast("int")), 4).alias("count_accuracy"), F.round(F.avg((F.abs(F.col("total") - F.col("m_total")) <= 0.01).cast("int")), 4).alias("total_accuracy"))
+def last_sessions(sessions: DataFrame, n: int = 10) -> DataFrame:
+    """The n sessions (run_id, start_time, end_time, processed, failed) started last, with their status."""
+    status = F.when(F.col("end_time").isNull(), "running").otherwise("completed")
+    return recent_runs(sessions.select("run_id", "start_time", "end_time", "processed", "failed", status.alias("status")), n)
+
+
+def compare_extractions(local: DataFrame, model: DataFrame, codes: list[str] | None = None) -> DataFrame:
+    """Per model the shares of documents whose item count and total (within 0.01) agree with the local ones.
+
+    With codes, columns of fiscal codes, also code_accuracy: the share of documents all of whose codes agree;
+    codes that both lack agree.
+    """
+    codes = codes or []
+    both = local.join(model.select("doc_id", "model", *[F.col(c).alias(f"m_{c}") for c in ("item_count", "total", *codes)]), "doc_id")
+    share = lambda same, name: F.round(F.avg(same.cast("int")), 4).alias(name)
+    agree = [share(F.col("item_count") == F.col("m_item_count"), "count_accuracy"), share(F.abs(F.col("total") - F.col("m_total")) <= 0.01, "total_accuracy")]
+    if codes:
+        same = F.lit(True)
+        for c in codes:
+            same = same & F.col(c).eqNullSafe(F.col(f"m_{c}"))
+        agree.append(share(same, "code_accuracy"))
+    return both.groupBy("model").agg(F.count("*").alias("n"), *agree)
 
 
 def classifier_accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:

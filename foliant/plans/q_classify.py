@@ -222,6 +222,12 @@ def _(s, d):
     return O.context_stats(senders, subjects)
 
 
+@query("c22_sender_types", CONTEXT + "SELECT sender, sum(n)::BIGINT AS n, string_agg(document_type || ':' || n, ',' ORDER BY document_type) AS types FROM sn GROUP BY sender ORDER BY sum(n) DESC, sender LIMIT 10")
+def _(s, d):
+    top = O.sender_types(O.learn_context(archive(s, d))[0])
+    return top.select("sender", "n", F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("types"))
+
+
 @query("c23_method_weights", WITH + ", m AS (SELECT document_type, avg(CASE WHEN ai_confidence >= 0.9 THEN ai_confidence END) AS m FROM archive GROUP BY ALL) SELECT document_type, CASE WHEN m > 0.95 THEN 0.9 WHEN m > 0.85 OR m IS NULL THEN 0.7 ELSE 0.5 END::DOUBLE AS ai, CASE WHEN m > 0.95 THEN 0.05 WHEN m > 0.85 OR m IS NULL THEN 0.2 ELSE 0.3 END::DOUBLE AS keywords, CASE WHEN m > 0.95 THEN 0.05 WHEN m > 0.85 OR m IS NULL THEN 0.1 ELSE 0.2 END::DOUBLE AS ml FROM m")
 def _(s, d):
     return O.method_weights(archive(s, d), 0.9)

@@ -179,6 +179,13 @@ def _(s, d):
     return O.order_totals(O.group_orders(O.locale_values(O.read_orders(exports(s, d))))).drop("net")
 
 
+@query("o8_order_summary", ITEMS + "SELECT o_orderkey::VARCHAR AS order_number, CASE WHEN o_orderkey % 2 = 1 THEN 123 ELSE coalesce(sum(quantity * price) FILTER (l_partkey % 7 <> 0), 0) + 4.5 - o_orderkey % 3 END::DECIMAL(18,2) AS gross, (100 + 4.5 - o_orderkey % 3)::DECIMAL(18,2) AS net, 19::DECIMAL(18,2) AS vat, 4.5::DECIMAL(18,2) AS shipping, (-(o_orderkey % 3))::DECIMAL(18,2) AS promotion FROM i GROUP BY o_orderkey")
+def _(s, d):
+    g = O.group_orders(O.locale_values(O.read_orders(exports(s, d))))
+    key = F.col("order_number").cast("long")
+    return O.order_summary(g.withColumns({"subtotal": F.lit(100), "vat": F.lit(19), "shipping": F.lit("4.5").cast("decimal(4,2)"), "promotion": -(key % 3)}))
+
+
 def items(s, d):
     return table(s, d, "lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS n", "l_partkey", "l_quantity AS quantity", "l_extendedprice AS price", "round(l_discount * 100) AS discount", "round(l_tax * 100) AS rate")
 

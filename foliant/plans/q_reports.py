@@ -153,6 +153,18 @@ def _(s, d):
     return O.compare_extractions(loc, mod)
 
 
+@query("a19_last_sessions", RUNS + "SELECT run_id, start_time, end_time, processed, failed, CASE WHEN end_time IS NULL THEN 'running' ELSE 'completed' END AS status FROM runs ORDER BY start_time DESC, run_id LIMIT 10")
+def _(s, d):
+    return O.last_sessions(runs(s, d))
+
+
+@query("a20_compare_codes", WITH + "SELECT document_type AS model, count(*) AS n, round(avg((doc_id % 3 <> 0)::INT), 4) AS count_accuracy, round(avg((doc_id % 5 <> 0)::INT), 4) AS total_accuracy, round(avg((doc_id % 7 <> 0 AND (doc_id % 4 <> 0 OR sender IS NULL))::INT), 4) AS code_accuracy FROM archive GROUP BY document_type")
+def _(s, d):
+    loc = archive(s, d).selectExpr("doc_id", "document_type AS model", "1 AS item_count", "amount AS total", "sender AS fik", "file_hash AS bkp")
+    mod = loc.selectExpr("doc_id", "model", "item_count + if(doc_id % 3 = 0, 1, 0) AS item_count", "if(doc_id % 5 = 0, total + 1, total) AS total", "if(doc_id % 4 <> 0, fik, NULL) AS fik", "if(doc_id % 7 = 0, 'x', bkp) AS bkp")
+    return O.compare_extractions(loc.drop("model"), mod, ["fik", "bkp"])
+
+
 @query("a21_classifier_accuracy", WITH + "SELECT document_type AS expected, CASE WHEN doc_id % 4 = 0 THEN 'order' ELSE document_type END AS predicted, count(*) AS n, round(avg(ai_confidence), 4) AS confidence FROM archive GROUP BY ALL")
 def _(s, d):
     a = archive(s, d)

@@ -126,7 +126,7 @@ def decode_texts(files: DataFrame) -> DataFrame:
 
 
 def read_statements(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, content, encoding) of statement files in a folder and those below it, whatever their encoding."""
+    """(path, content, encoding) of statement files in a folder and those below it, whatever their encoding; empty files give no row."""
     return decode_texts(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path))
 
 

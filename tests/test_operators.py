@@ -242,3 +242,16 @@ def test_clusters_of_duplicates(spark):
     found = spark.createDataFrame([(2, "file_hash", 1), (3, "similarity", 2), (9, "text_hash", 8)], "doc_id long, reason string, matched long")
     assert sorted((r["doc_id"], r["cluster_id"], r["reason"], r["matched"]) for r in D.duplicate_clusters(found).collect() if r["reason"]) == [(2, 1, "file_hash", 1), (3, 1, "similarity", 2), (9, 8, "text_hash", 8)]
     assert D.duplicate_clusters(found.limit(0)).count() == 0
+
+
+def test_order_summary_of_items_and_of_stated_sums(spark):
+    from decimal import Decimal
+
+    from foliant.operators import orders
+
+    items = "items array<struct<price: decimal(18,2), quantity: int, vat_rate: decimal(5,2)>>"
+    line = [(Decimal("119.00"), 2, Decimal("19.00")), (None, 1, None)]
+    bare = orders.order_summary(spark.createDataFrame([("a", line), ("b", [])], f"order_number string, {items}"))
+    assert {r["order_number"]: tuple(float(v) for v in r[1:]) for r in bare.collect()} == {"a": (200.0, 38.0, 238.0, 0.0, 0.0), "b": (0.0,) * 5}
+    stated = spark.createDataFrame([("a", line, Decimal("4.50"), Decimal("-10.00"), None)], f"order_number string, {items}, shipping decimal(18,2), promotion decimal(18,2), order_total decimal(18,2)")
+    assert tuple(float(v) for v in orders.order_summary(stated).first()[1:]) == (194.5, 38.0, 232.5, 4.5, -10.0)
