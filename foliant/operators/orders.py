@@ -18,6 +18,18 @@ COLUMNS = {
     "cs": {"Číslo objednávky": "order_number", "Datum objednávky": "order_date", "Název": "title", "ASIN": "asin", "Množství": "quantity", "Cena": "price", "Sazba DPH": "vat_rate", "Celkem": "order_total"},
 }
 
+#: Further names of sums, by canonical field; fixed values.
+SUMS = {
+    "subtotal": {"de": ["Zwischensumme"], "en": ["Subtotal"], "cs": ["Mezisoučet"]},
+    "shipping": {"de": ["Versandkosten (inkl. USt.)", "Versandkosten"], "en": ["Shipping Costs", "Shipping", "Delivery Costs"], "cs": ["Náklady na dopravu", "Doprava"]},
+    "promotion": {"de": ["Aktionen (inkl. USt.)", "Werbeaktion", "Rabatt"], "en": ["Promotion", "Discount", "Promo"], "cs": ["Sleva", "Akce"]},
+    "vat": {"de": ["USt"], "en": ["VAT"], "cs": ["DPH"]},
+    "order_total": {"de": ["Bestellung - Gesamt (inkl. USt.)", "Summe inkl. USt", "Gesamt inkl. USt"], "en": ["Order Total (incl. VAT)", "Total incl. VAT", "Total (incl. VAT)"], "cs": ["Celkem vč. DPH", "Celková objednávka vč. DPH"]},
+}
+for _field, _names in SUMS.items():
+    for _lang, _heads in _names.items():
+        COLUMNS[_lang].update({h: _field for h in _heads})
+
 
 def is_order_export(name: Column, header: Column) -> Column:
     marks = ["ASIN", "Bestellnummer", "Order Number", "Číslo objednávky"]
@@ -61,14 +73,15 @@ def read_orders(files: DataFrame) -> DataFrame:
 def locale_values(rows: DataFrame) -> DataFrame:
     """Typed columns: date, decimals, VAT rate in percent (rates under 1 are shares)."""
     rate = normalize_amount(F.regexp_replace("vat_rate", "%", ""))
-    return rows.withColumns({"order_date": normalize_date(F.col("order_date")), "quantity": F.coalesce(F.col("quantity").try_cast("int"), F.lit(1)), "price": normalize_amount(F.col("price")), "order_total": normalize_amount(F.col("order_total")), "vat_rate": F.when(rate < 1, rate * 100).otherwise(rate).cast("decimal(5,2)")})
+    return rows.withColumns({"order_date": normalize_date(F.col("order_date")), "quantity": F.coalesce(F.col("quantity").try_cast("int"), F.lit(1)), "price": normalize_amount(F.col("price")), **{c: normalize_amount(F.col(c)) for c in SUMS if c in rows.columns}, "vat_rate": F.when(rate < 1, rate * 100).otherwise(rate).cast("decimal(5,2)")})
 
 
 def group_orders(rows: DataFrame) -> DataFrame:
-    """(order_number, order_date, order_total, items): header values from the first row; items in row order, those without id and title dropped."""
+    """(order_number, order_date, sums..., items): header values and sums (those of SUMS that rows has) from the first row; items in row order, those without id and title dropped."""
+    head = ["order_date", *(c for c in SUMS if c in rows.columns)]
     item = F.struct("path", "row", "asin", "title", "quantity", "price", "vat_rate")
-    grouped = rows.where("order_number is not null").groupBy("order_number").agg(F.min_by(F.struct("order_date", "order_total"), F.struct("path", "row")).alias("h"), F.array_sort(F.collect_list(F.when(F.coalesce("asin", "title").isNotNull(), item))).alias("items"))
-    return grouped.select("order_number", "h.order_date", "h.order_total", "items")
+    grouped = rows.where("order_number is not null").groupBy("order_number").agg(F.min_by(F.struct(*head), F.struct("path", "row")).alias("h"), F.array_sort(F.collect_list(F.when(F.coalesce("asin", "title").isNotNull(), item))).alias("items"))
+    return grouped.select("order_number", *[f"h.{c}" for c in head], "items")
 
 
 def row_range(rows: DataFrame, start: int, end: int) -> DataFrame:

@@ -255,3 +255,14 @@ def test_order_summary_of_items_and_of_stated_sums(spark):
     assert {r["order_number"]: tuple(float(v) for v in r[1:]) for r in bare.collect()} == {"a": (200.0, 38.0, 238.0, 0.0, 0.0), "b": (0.0,) * 5}
     stated = spark.createDataFrame([("a", line, Decimal("4.50"), Decimal("-10.00"), None)], f"order_number string, {items}, shipping decimal(18,2), promotion decimal(18,2), order_total decimal(18,2)")
     assert tuple(float(v) for v in orders.order_summary(stated).first()[1:]) == (194.5, 38.0, 232.5, 4.5, -10.0)
+
+
+def test_order_export_with_sums_by_other_names(spark):
+    from foliant.operators import orders
+
+    head = "Bestellnummer;Bestelldatum;ASIN;Titel;Menge;Artikelpreis;USt.-Satz;Versandkosten;Rabatt;Summe inkl. USt;USt;Zwischensumme"
+    files = spark.createDataFrame([("f", f"{head}\n1;01.02.2024;B1;x;2;119,00;19%;4,50;-10,00;-;N/A;200,00")], "path string, content string")
+    rows = orders.read_orders(files)
+    assert rows.first()["language"] == "de"
+    r = orders.order_summary(orders.group_orders(orders.locale_values(rows))).first()
+    assert tuple(float(v) for v in r[1:]) == (194.5, 38.0, 232.5, 4.5, -10.0)
