@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.sources.staging import once
+
 
 def stats_by_type(docs: DataFrame) -> DataFrame:
     return docs.groupBy("document_type").agg(F.count("*").alias("n"), F.round(F.avg("ai_confidence"), 2).alias("confidence")).orderBy(F.desc("n"), "document_type")
@@ -274,9 +276,10 @@ def balanced_ranges(counts: DataFrame, key: str, workers: int, blocks: int = 256
 
     counts is key (a number or date) and n rows of it, already aggregated; ranges fall on key
     boundaries of the running count. Keys are put in blocks by approximate quantiles; the running
-    count is that over the blocks before, so that no task sees all keys.
+    count is that over the blocks before, so that no task sees all keys. The quantiles of many keys
+    depend on the order in which tasks end, so they are computed once and staged.
     """
-    cuts = counts.agg(F.percentile_approx(key, [k / blocks for k in range(1, blocks)], 10_000).alias("cuts"), F.sum("n").alias("total"))
+    cuts = once(counts.agg(F.percentile_approx(key, [k / blocks for k in range(1, blocks)], 10_000).alias("cuts"), F.sum("n").alias("total")))
     at = counts.crossJoin(F.broadcast(cuts)).withColumn("block", F.size(F.filter("cuts", lambda c: c < F.col(key)))).drop("cuts")  # cuts is one row
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     sums = at.groupBy("block").agg(F.sum("n").alias("of_block"))

@@ -266,3 +266,13 @@ def test_order_export_with_sums_by_other_names(spark):
     assert rows.first()["language"] == "de"
     r = orders.order_summary(orders.group_orders(orders.locale_values(rows))).first()
     assert tuple(float(v) for v in r[1:]) == (194.5, 38.0, 232.5, 4.5, -10.0)
+
+
+def test_balanced_ranges_cut_once(spark):
+    """Quantiles of many keys depend on the order of tasks, so both uses must see the same ones."""
+    from foliant.operators.reports import balanced_ranges
+
+    counts = spark.range(0, 1000, numPartitions=4).selectExpr("id AS k", "id % 7 + 1 AS n")
+    got = balanced_ranges(counts, "k", 4)
+    assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r["n"] for r in got.collect()) == sum(k % 7 + 1 for k in range(1000))
