@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.names import name_penalty, normalize_name, text_fingerprint
-from foliant.sources.staging import once
+from foliant.sources.staging import once, spread
 
 from .forest import roots
 
@@ -81,11 +81,6 @@ def _minimisers(codes: np.ndarray, gram: int, window: int) -> tuple[np.ndarray,
     return h[at].view(np.int64), at
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt by keys into as many partitions as shuffles have: few bytes, much work."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 COUNTS = [f"c{k}" for k in range(CLASSES)]
 
 
@@ -132,14 +127,14 @@ def _head_pairs(heads: DataFrame, hot: int) -> DataFrame:
 
     def pairs(rows: DataFrame) -> DataFrame:
         u, v = (rows.select("key", *[F.col(c).alias("u" if c == "first_id" and x == "u" else "v" if c == "first_id" else f"{c}_{x}") for c in rows.columns if c not in ("key", "m")]) for x in "uv")
-        return _spread(u, "key").join(_spread(v, "key"), "key").where(sized)
+        return spread(u, "key").join(spread(v, "key"), "key").where(sized)
 
     more = sum((F.greatest(F.col(f"{c}_u") - F.col(f"{c}_v"), F.lit(0)) for c in COUNTS), F.lit(0))
     allowed = F.greatest(more, more - F.col("n_u") + F.col("n_v")) <= F.greatest("edits_u", "edits_v")
     crowd = pairs(met.where(F.col("m") > hot).join(heads.drop("n", "edits", "keys"), "first_id")).where(allowed).select("u", "v")
     few = pairs(met.where(F.col("m") <= hot)).select("u", "v").distinct()
     u, v = (heads.select(F.col("first_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "edits", *COUNTS)]) for x in "uv")
-    return _spread(few, "u").join(u, "u").join(v, "v").where(allowed).select("u", "v").unionByName(crowd).distinct()
+    return spread(few, "u").join(u, "u").join(v, "v").where(allowed).select("u", "v").unionByName(crowd).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.95, chars: int = 1000, hot: int = 64) -> DataFrame:
@@ -151,7 +146,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.95, chars: int = 1000,
     """
     heads = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("head")).where("doc_id is not null").where(F.length("head") > 0)
     firsts = once(heads.groupBy("head").agg(F.min("doc_id").alias("first_id")))
-    pairs = _spread(_head_pairs(once(_keyed_heads(firsts, threshold, chars)), hot), "u", "v")
+    pairs = spread(_head_pairs(once(_keyed_heads(firsts, threshold, chars)), hot), "u", "v")
     u, v = (firsts.select(F.col("first_id").alias(x), F.col("head").alias(f"head_{x}")) for x in "uv")
     longest = F.greatest(F.length("head_u"), F.length("head_v"))
     bound = F.floor(longest * (1 - threshold)).cast("int")

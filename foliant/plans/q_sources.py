@@ -9,7 +9,7 @@ from foliant.operators import learn
 from foliant.operators import statements as B
 from foliant.sources import readers as S
 from foliant.sources import writers as K
-from foliant.sources.staging import shared_folder
+from foliant.sources.staging import shared_folder, spread
 from .base import ARCHIVE, archive, table, texts
 from .q_orders import mixed
 from .registry import query
@@ -69,7 +69,8 @@ MAIL = "concat('From: Jan <', coalesce(sender, 'none@x.cz'), '>\\r\\nTo: me@x.cz
 
 
 def mails(s, d):
-    return S.parse_messages(archive(s, d).selectExpr("cast(doc_id as string) AS path", f"cast({MAIL} as binary) AS content"))
+    few = archive(s, d).select("doc_id", "sender", "subject")  # orders are few bytes and one task, their messages much work
+    return S.parse_messages(spread(few, "doc_id").selectExpr("cast(doc_id as string) AS path", f"cast({MAIL} as binary) AS content"))
 
 
 @query("s1_parse_messages", WITH + "SELECT doc_id::VARCHAR AS path, 'Jan <' || coalesce(sender, 'none@x.cz') || '>' AS sender, subject, (doc_id % 20 >= 10)::INT AS n_attachments FROM archive")

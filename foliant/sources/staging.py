@@ -29,6 +29,11 @@ def once(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys into as many partitions as shuffles have: few bytes, much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def holds_files(spark: SparkSession, pattern: str) -> bool:
     """Whether any file matches the pattern, in any store that Spark can open."""
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)

@@ -61,3 +61,34 @@ def test_statements_in_any_encoding(spark, tmp_path):
     assert got == {"a": (text, "utf-8"), "b": (text, "utf-16"), "c": (text, "windows-1250"), "d": (text, "utf-8")}  # Spark's reader passes over e, which is empty
     odd = R.decode_texts(spark.createDataFrame([("x", None), ("y", bytearray())], "path string, content binary"))
     assert {r["path"]: (r["content"], r["encoding"]) for r in odd.collect()} == {"x": (None, None), "y": ("", "utf-8")}
+
+
+ODD = [
+    b"From: Jan   <a@x.cz>\r\nSubject: two  blanks\r\n\r\nbody",
+    b'From: "Novak, Jan" <a@x.cz>, b@x.cz\r\nTo: <c@x.cz>\r\nSubject: =?utf-8?q?P=C5=99=C3=ADkaz?= x\r\nDate: Mon, 1 Jan 2024 10:00:00 +0100\r\nMessage-ID: <1@x.cz>\r\n\r\nbody',
+    b"From: a@x.cz\nSubject: folded\n over lines\nContent-Type: text/plain; charset=iso-8859-2\n\n\xf8\xe1d",
+    b"Subject: \r\nFrom: =?utf-8?b?xaA=?= <s@x.cz>\r\n\r\n",
+    b"Content-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: application/pdf; name=\"=?utf-8?q?=C5=99.pdf?=\"\r\nContent-Transfer-Encoding: BASE64\r\n\r\n" + b"eHh4" * 50 + b"\r\n--b\r\nContent-Disposition: attachment; filename*=utf-8''%C5%99.pdf\r\n\r\n" + b"y" * 120 + b"\r\n--b\r\nContent-Disposition: inline; filename=a.b-c.txt\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n" + b"=41" * 130 + b"\r\n--b--",
+    b"Subject: \xc5\x99\xc3\xa1d\r\nFrom: a..b@x.cz\r\nContent-Type: text\r\n\r\nbody",
+]
+
+
+def test_plain_headers_as_by_the_default_policy(monkeypatch):
+    """Plain headers aren't parsed by the default policy, and give what it would give."""
+    from email import policy
+
+    for raw in [MAIL, *ODD]:
+        quick = R._parse("p", raw, R.KEPT, 100)
+        with monkeypatch.context() as m:
+            m.setattr(R, "POLICY", policy.default)
+            assert R._parse("p", raw, R.KEPT, 100) == quick
+    seen = []
+    monkeypatch.setattr(policy.EmailPolicy, "header_fetch_parse", lambda self, name, value: seen.append(name) or value)
+    R._parse("p", MAIL, R.KEPT, 100)
+    assert not seen
+
+
+def test_messages_of_orders_in_many_tasks(spark):
+    from foliant.plans.q_sources import mails
+
+    assert mails(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
