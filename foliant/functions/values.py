@@ -80,8 +80,8 @@ def _any_date(raw: Column) -> Column:
     dmy = r"\b(\d{1,2})\s?[./-]\s?(\d{1,2})\s?[./-]\s?(\d{4}|\d{2})\b"
     named = r"(?iu)\b(\d{1,2})\.?\s+(" + "|".join(MONTHS) + r")\s+(\d{4})"
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(raw, named, 2))).cast("string")
-    return F.coalesce(
+    return F.when(raw.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.try_to_date(raw, "d.M.yyyy")).otherwise(F.coalesce(
         F.when(raw.rlike(iso), _date(part(iso, 3), part(iso, 2), part(iso, 1))),
         F.when(raw.rlike(dmy), _date(part(dmy, 1), part(dmy, 2), part(dmy, 3))),
         F.when(raw.rlike(named), _date(part(named, 1), month, part(named, 3))),
-    )
+    ))

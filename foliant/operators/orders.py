@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.values import all_but_first, cells, normalize_amount, normalize_date
+from foliant.functions.values import all_but_first, cells, let, normalize_amount, normalize_date
 from foliant.sources.staging import once
 
 NAME_PATTERN = r"(?i)(?:bestellungen|invoices|orders|objednavky)[_-](?:von|from|od)[_-]|amazon.*(?:invoice|order)"
@@ -57,17 +57,17 @@ def read_orders(files: DataFrame) -> DataFrame:
     found = found.withColumn("heads", cells(F.get("lines", F.lit(0)), F.col("sep")))
     every = {h: c for cols in COLUMNS.values() for h, c in cols.items()}
     named = F.transform("heads", lambda h: F.element_at(F.create_map(*[F.lit(x) for kv in every.items() for x in kv]), h))
-    # Language and names are a file's, so they are found before its rows are taken apart.
-    found = once(found.select("path", "sep", named.alias("names"), detect_header_language(F.col("heads")).alias("language"), all_but_first(F.col("lines")).alias("lines")))
-    rows = found.select("path", "sep", "names", "language", F.posexplode("lines").alias("k", "line"))
-    rows = rows.withColumn("cells", cells(F.col("line"), F.col("sep"))).where(F.size("cells") >= 5)
-
-    def cell(name: str) -> Column:
-        at = F.nullif(F.array_position("names", F.lit(name)), F.lit(0))
-        v = F.get("cells", (at - 1).cast("int"))
-        return F.when(~v.isin("", "N/A", "-", "n/a"), v)
-
-    return rows.select("path", (F.col("k") + 1).alias("row"), "language", *[cell(c).alias(c) for c in dict.fromkeys(every.values())])
+    names = list(dict.fromkeys(every.values()))
+    places = F.transform(F.array(*[F.lit(c) for c in names]), lambda c: (F.nullif(F.array_position("names", c), F.lit(0)) - 1).cast("int"))
+    # Language and places of the fields are a file's, so they are found before its rows are taken apart.
+    found = found.select("path", "sep", named.alias("names"), detect_header_language(F.col("heads")).alias("language"), all_but_first(F.col("lines")).alias("lines"))
+    found = once(found.select("path", "sep", places.alias("places"), "language", "lines"))
+    known = lambda v: F.when(~v.isin("", "N/A", "-", "n/a"), v)
+    fields = lambda own: F.when(F.size(own) >= 5, F.transform("places", lambda p: known(F.get(own, p))))
+    # A row's cells are found once, within the array; as columns of their own every use would split the line again.
+    whole = F.transform("lines", lambda line, k: F.struct((k + 1).alias("row"), let(cells(line, F.col("sep")), fields).alias("fields")))
+    rows = found.select("path", "language", F.inline(F.filter(whole, lambda x: x["fields"].isNotNull())))
+    return rows.select("path", "row", "language", *[F.get("fields", F.lit(k)).alias(c) for k, c in enumerate(names)])
 
 
 def locale_values(rows: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def group_orders(rows: DataFrame) -> DataFrame:
     """(order_number, order_date, sums..., items): header values and sums (those of SUMS that rows has) from the first row; items in row order, those without id and title dropped."""
     head = ["order_date", *(c for c in SUMS if c in rows.columns)]
     item = F.struct("path", "row", "asin", "title", "quantity", "price", "vat_rate")
-    grouped = rows.where("order_number is not null").groupBy("order_number").agg(F.min_by(F.struct(*head), F.struct("path", "row")).alias("h"), F.array_sort(F.collect_list(F.when(F.coalesce("asin", "title").isNotNull(), item))).alias("items"))
+    grouped = rows.where("order_number is not null").groupBy("order_number").agg(F.min_by(F.struct(*head), F.struct("path", "row")).alias("h"), F.sort_array(F.collect_list(F.when(F.coalesce("asin", "title").isNotNull(), item))).alias("items"))
     return grouped.select("order_number", *[f"h.{c}" for c in head], "items")
 
 
