@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliant.functions import values as V
 from foliant.functions.names import person_of
 from foliant.operators import extract as O
+from foliant.sources.staging import spread
 from .base import ARCHIVE, archive, table
 from .registry import query
 
@@ -128,8 +129,8 @@ def invoices(s, d):
     """Invoice texts with a table of each order's lines."""
     cents = "cast(round(l_extendedprice * 100) as bigint)"
     line = f"concat(l_linenumber, '. Part ', l_partkey, ' ', cast(l_quantity as int), ' ks ', lpad('', 0, ' '), '21 % ', {CZECH.format(c=cents)}, ' ', {CZECH.format(c=f'(2 * {cents})')}, ' ', {CZECH.format(c=f'(3 * {cents})')})"
-    rows = table(s, d, "lineitem").selectExpr("l_orderkey AS doc_id", "struct(l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k", f"{line} AS line")
-    body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    rows = spread(table(s, d, "lineitem").withColumnRenamed("l_orderkey", "doc_id"), "doc_id").selectExpr("doc_id", "struct(l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k", f"{line} AS line")
+    body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
     return body.select("doc_id", F.concat(F.lit("Invoice\nPoložky:\n"), "body", F.lit("\nCelkem: 9 999,00 Kč\n")).alias("text"))
 
 
@@ -167,8 +168,8 @@ def statements(s, d):
     """A statement text for each order, a two-line transaction for each of its lines."""
     cents = "cast(round(l_extendedprice * 100) as bigint)"
     tx = f"concat(date_format(l_shipdate, 'd.M.yyyy'), ' Firma 123456/0800\\n  platba VS: ', l_partkey, ' KS 0308 ', if(l_returnflag = 'R', '-', '+'), {CZECH.format(c=cents)})"
-    rows = table(s, d, "lineitem").selectExpr("l_orderkey AS doc_id", "struct(l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k", f"{tx} AS line")
-    body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    rows = spread(table(s, d, "lineitem").withColumnRenamed("l_orderkey", "doc_id"), "doc_id").selectExpr("doc_id", "struct(l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k", f"{tx} AS line")
+    body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
     return body.select("doc_id", F.concat(F.lit("Výpis\nPočáteční zůstatek: 1 000,00\nDatum Popis Částka\n"), "body", F.lit("\nCelkem\n")).alias("text"))
 
 
@@ -186,8 +187,8 @@ def _(s, d):
 def receipts(s, d):
     cents = "cast(round(l_extendedprice * 100) as bigint)"
     line = f"concat('Zboží', l_partkey, ' ', cast(l_quantity as int), ' ks ', {CZECH.format(c=cents)})"
-    rows = table(s, d, "lineitem").selectExpr("l_orderkey AS doc_id", "struct(l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k", f"{line} AS line", f"{cents} AS c")
-    body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"), F.sum("c").alias("c"))
+    rows = spread(table(s, d, "lineitem").withColumnRenamed("l_orderkey", "doc_id"), "doc_id").selectExpr("doc_id", "struct(l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k", f"{line} AS line", f"{cents} AS c")
+    body = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"), F.sum("c").alias("c"))
     total = F.expr("concat(c div 100, ',', lpad(c % 100, 2, '0'))")
     return body.select("doc_id", F.concat(F.lit("Obchod\nÚčtenka\n"), "body", F.lit("\nCelkem: "), total, F.lit("\nFIK: 0123456789abcdef-01\n")).alias("text"))
 

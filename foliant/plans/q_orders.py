@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import orders as O
 from foliant.operators import statements as B
+from foliant.sources.staging import spread
 from .base import ARCHIVE, archive, table
 from .registry import query
 
@@ -17,9 +18,9 @@ AMOUNT = "(round(l_extendedprice, 2) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE
 
 
 def rendered(s, d, line: str, head: str, foot: str = "", where: str = "true"):
-    """(path, content): a file for each order with a line for each of its lines."""
-    rows = table(s, d, "lineitem").where(where).selectExpr("l_orderkey", f"{KEY} AS k", f"{line} AS line")
-    body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    """(path, content): a file for each order with a line for each of its lines, rendered where they are gathered: lines are few bytes, texts much work."""
+    rows = spread(table(s, d, "lineitem").where(where), "l_orderkey").selectExpr("l_orderkey", f"{KEY} AS k", f"{line} AS line")
+    body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
     return body.select(F.col("l_orderkey").cast("string").alias("path"), F.concat(F.expr(head), "body", F.lit(foot)).alias("content"))
 
 
@@ -126,10 +127,10 @@ def _(s, d):
 def exports(s, d):
     """An order export for each customer in one of three languages and three delimiters."""
     heads = [(",", "Order Number,Order Date,ASIN,Title,Quantity,Item Price,VAT Rate,Order Total"), (";", "Bestellnummer;Bestelldatum;ASIN;Titel;Menge;Artikelpreis;USt.-Satz;Gesamtbetrag"), ("\\t", "Číslo objednávky\\tDatum objednávky\\tASIN\\tNázev\\tMnožství\\tCena\\tSazba DPH\\tCelkem")]
-    rows = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = spread(table(s, d, "lineitem").join(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey")
     cells = "cast(o_orderkey as string), date_format(o_orderdate, 'dd.MM.yyyy'), if(l_partkey % 7 = 0, 'N/A', concat('B', l_partkey)), if(l_partkey % 7 = 0, '-', concat('Part ', l_partkey)), cast(cast(l_quantity as int) as string), replace(concat(CENTS div 100, '.', lpad(CENTS % 100, 2, '0')), '.', if(o_custkey % 3 = 0, '.', ',')), if(o_custkey % 3 = 1, '0,19', '19%'), if(o_orderkey % 2 = 0, '0', '123')".replace("CENTS", CENTS)
     line = "concat_ws(CASE o_custkey % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE '\\t' END, " + cells + ")"
-    body = rows.selectExpr("o_custkey", f"struct(o_orderkey, {KEY[7:-1]}) AS k", f"{line} AS line").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    body = rows.selectExpr("o_custkey", f"struct(o_orderkey, {KEY[7:-1]}) AS k", f"{line} AS line").groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
     head = "CASE o_custkey % 3 " + " ".join(f"WHEN {k} THEN '{h}\\n'" for k, (_, h) in enumerate(heads)) + " END"
     return body.select(F.concat(F.lit("orders_from_"), F.col("o_custkey").cast("string"), F.lit(".csv")).alias("path"), F.concat(F.expr(head), "body").alias("content"))
 

@@ -276,3 +276,30 @@ def test_balanced_ranges_cut_once(spark):
     got = balanced_ranges(counts, "k", 4)
     assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sum(r["n"] for r in got.collect()) == sum(k % 7 + 1 for k in range(1000))
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_rendered_where_they_are_gathered(spark, sf):
+    """Lines are dealt to all tasks before their texts are made, not after."""
+    from foliant.plans import q_extract, q_orders
+
+    for df in (q_extract.invoices(spark, sf), q_extract.statements(spark, sf), q_extract.receipts(spark, sf), q_orders.camt(spark, sf), q_orders.exports(spark, sf)):
+        assert "RepartitionByExpression" in optimized(df)
+
+
+def test_lines_are_read_once(spark):
+    """Neither an order's line nor a transaction's date is taken apart a second time by a filter."""
+    from foliant.operators.extract import statement_lines
+    from foliant.operators.orders import read_orders
+
+    files = spark.createDataFrame([("a.csv", 'Order Number;ASIN;Title;Quantity;Item Price\n1;"B;1";N/A;2;3,50\n\n2;x\n3;B3;T;1;')], "path string, content string")
+    rows = read_orders(files)
+    assert optimized(rows).count("split(") <= 3
+    assert [(r["row"], r["order_number"], r["asin"], r["title"], r["price"], r["vat_rate"]) for r in rows.collect()] == [(1, "1", "B;1", None, "3,50", None), (3, "3", "B3", "T", None, None)]
+    text = "Datum Popis Částka\n5.3.2024 VS 12 -1 234,56\n31.02.2024 VS 13 1,00\n6.3.2024 no amount\n7.3.2024 a 2,00 b -3,00\nCelkem"
+    tx = statement_lines(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"))
+    assert optimized(tx).count("Filter") == 0
+    assert [(r["n"], str(r["date"]), str(r["amount"]), r["vs"]) for r in tx.collect()] == [(1, "2024-03-05", "-1234.56", "12"), (4, "2024-03-07", "-3.00", None)]
