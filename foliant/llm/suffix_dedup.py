@@ -43,6 +43,8 @@ from .simhash import keyed_rows
 MIN_WORDS = 50
 PREFIX = 20
 GRAM = 8
+#: Bytes of windows that are hashed together.
+HASHED = 1 << 18
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -201,10 +203,34 @@ def surroundings(texts: DataFrame, min_words: int, prefix: int, gram: int) -> Da
     return found.select("doc_id", "tkey", F.explode("around").alias("a")).select("a.key", F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", "a.pos", "a.start", "a.words")
 
 
-def common(a: list[bytes], b: list[bytes]) -> int:
-    """How many words the two begin with in common."""
+def common(a: bytes, b: bytes) -> int:
+    """How many bytes the two begin with in common."""
     n = min(len(a), len(b))
-    return n if a[:n] == b[:n] else next(k for k in range(n) if a[k] != b[k])
+    if a[:n] == b[:n]:
+        return n
+    low = 0  # a[:low] == b[:low], a[:n] != b[:n]
+    while n - low > 1:
+        mid = (low + n) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            n = mid
+    return low
+
+
+def common_words(a: bytes, b: bytes) -> int:
+    """How many words the two, words with single blanks between them, begin with in common."""
+    n = common(a, b)
+    whole = (n == len(a) or a[n] == 32) and (n == len(b) or b[n] == 32)
+    return a.count(b" ", 0, n) + (whole and n > 0)
+
+
+def blank_after(words: bytes, n: int) -> int:
+    """Where the blank after the first n words is; -1 for none of them."""
+    at = -1
+    for _ in range(n):
+        at = words.index(b" ", at + 1)
+    return at
 
 
 def extended(pairs: DataFrame, min_words: int) -> DataFrame:
@@ -214,29 +240,45 @@ def extended(pairs: DataFrame, min_words: int) -> DataFrame:
     g): windows from lo to hi are repeated, removed for the candidate and not for the first; with
     hashes h and g, a single window that is still to be compared with others.
     """
+    schema = pa.schema([("tkey", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("removed", pa.bool_()), ("h", pa.int64()), ("g", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rollers = Roller(), Roller(20250311)
+
+        def windows(rest: list[tuple[int, int, bytes, np.ndarray]]) -> pa.RecordBatch:
+            """Windows that no match covers, of (tkey, start, words, their places), hashed together."""
+            before = np.cumsum([0, *(words.count(b" ") + 1 for _, _, words, _ in rest)])
+            at = np.concatenate([own - start + n for (_, start, _, own), n in zip(rest, before[:-1], strict=True)])
+            data, places = b" ".join(words for _, _, words, _ in rest), pa.array(np.concatenate([own for *_, own in rest]), pa.int32())
+            keys = pa.array(np.repeat(np.array([x[0] for x in rest], np.int64), [len(own) for *_, own in rest]))
+            return pa.RecordBatch.from_arrays([keys, places, places, pa.array(np.ones(len(at), bool)), *(pa.array(r.grams(r.words_of(data), min_words, at).view(np.int64)) for r in rollers)], schema=schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roll, other = Roller(), Roller(20250311)
         for b in batches:
-            out, rest = [], []
-            for tkey, pos, start, words, ftkey, fpos, fstart, fwords in zip(*(b[c] for c in ("tkey", "pos", "start", "words", "ftkey", "fpos", "fstart", "fwords")), strict=True):
-                w, f = words.split(b" "), fwords.split(b" ")
-                right = common(w[pos - start :], f[fpos - fstart :])
-                left = common(w[: pos - start][::-1], f[: fpos - fstart][::-1])
+            out, rest, held = set(), [], 0
+            for tkey, pos, start, words, ftkey, fpos, fstart, fwords in zip(*(b.column(c).to_pylist() for c in ("tkey", "pos", "start", "words", "ftkey", "fpos", "fstart", "fwords")), strict=True):
+                cut, fcut = blank_after(words, pos - start), blank_after(fwords, fpos - fstart)
+                right = common_words(words[cut + 1 :], fwords[fcut + 1 :])
+                left = common_words(words[: max(cut, 0)][::-1], fwords[: max(fcut, 0)][::-1])
                 lo, hi = pos - left, pos + right - min_words  # the first and last window within the match
                 if lo <= hi:
-                    out.append((tkey, lo, hi, True))
-                    out.append((ftkey, lo - pos + fpos, hi - pos + fpos, False))
+                    out.add((tkey, lo, hi, True))
+                    out.add((ftkey, lo - pos + fpos, hi - pos + fpos, False))
                 else:
                     lo, hi = pos, pos - 1
-                last = start + len(w) - min_words
+                last = start + words.count(b" ") + 1 - min_words
                 if start < lo or hi < last:
-                    s = np.array([k - start for k in range(start, last + 1) if not lo <= k <= hi])
-                    h, g = (r.grams(r.words_of(words), min_words, s).view(np.int64) for r in (roll, other))
-                    rest.append(pd.DataFrame({"tkey": tkey, "lo": s + start, "hi": s + start, "removed": True, "h": h, "g": g}))
-            yield pd.concat([pd.DataFrame(out, columns=["tkey", "lo", "hi", "removed"]).assign(h=None, g=None), *rest])
-
-    return pairs.mapInPandas(run, "tkey long, lo int, hi int, removed boolean, h long, g long")
+                    rest.append((tkey, start, words, np.array([k for k in range(start, last + 1) if not lo <= k <= hi])))
+                    held += len(words)
+                    if held > HASHED:
+                        yield windows(rest)
+                        rest, held = [], 0
+            if out:
+                columns = [pa.array(c, schema.field(k).type) for k, c in enumerate(zip(*out, strict=True))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())], schema=schema)
+            if rest:
+                yield windows(rest)
+
+    return pairs.select("tkey", "pos", "start", "words", "ftkey", "fpos", "fstart", "fwords").mapInArrow(run, "tkey long, lo int, hi int, removed boolean, h long, g long")
 
 
 def merged(found: DataFrame, min_words: int) -> DataFrame:

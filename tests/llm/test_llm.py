@@ -6,6 +6,7 @@ texts, ties, repeated rows, equal texts, and columns named like the operators' o
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -415,6 +416,16 @@ def test_passages_of_a_larger_corpus(spark):
     check_passages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
+def test_words_in_common_are_those_of_lists():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ([rng.choice(["a", "ab", "b", "bé", "abab"]) for _ in range(rng.randrange(6))] for _ in range(2))
+        b = a[: rng.randrange(len(a) + 1)] + b
+        want = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert suffix_dedup.common_words(" ".join(a).encode(), " ".join(b).encode()) == want
+        assert suffix_dedup.blank_after(" ".join([*a, "z"]).encode(), len(a)) == len(" ".join(a).encode()) if a else -1
+
+
 def test_passages_that_the_first_suffix_lacks(spark):
     p = [f"w{k}" for k in range(70)]
     rows = [(1, " ".join(["a"] * 9 + p[:45] + ["b"] * 9)), (2, " ".join(["c"] * 70 + p[:44] + ["d"] + p[20:])), (3, " ".join([f"e{k}" for k in range(60)] + p)), (4, " ".join(p[3:] + ["F"])), (5, " ".join(p[:62] + p[5:])), (6, " ".join(w.upper() for w in p))]
