@@ -15,8 +15,8 @@ n - 4/5 n + 1 shingles.
 
 Keys that over HOT sets share belong to groups of copies and aren't paired. Their members are
 compared with the key's hub first, the member with most such keys. Pairs which the links found so
-far connect need no link of their own: what hubs link is put into components before other pairs are
-verified, and again before crowded keys are searched for links between components. What leaves that
+far connect need no link of their own: what hubs link is put into components before the pairs of
+other keys are formed, and again before crowded keys are searched for links between components. What leaves that
 join is sifted in it, without loss: one minus the similarity is a metric, so a pair's distances to
 the hub differ by 1/5 at most; and the odd sketches of two sets (a bit for each of ODD_WORDS * 64
 classes of hashes: whether the set has an odd number of them) differ in no more bits than the sets
@@ -52,7 +52,7 @@ MISS = 0.02
 #: Most differing bits of a candidate, in one word and in all: the mean at 4/5 and 4.5 deviations.
 NEAR_WORD, NEAR_ALL = 23, 115
 #: Most sets at one key that are paired.
-HOT = 64
+HOT = 8
 #: Most fingerprints, picked by hash, from which bits are grouped and candidates estimated.
 SAMPLE = 2048
 #: Most shingles of a set that is found by prefix filtering alone; a partner at 4/5 has 5/4 as many.
@@ -273,8 +273,6 @@ def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT, miss: float =
     two = shared.where("m = 2").where(near_at(F.col("key"), F.col("a.f0"), F.col("b.f0"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     met = staged(keyed.join(shared.where("m > 2").select("key", "m"), "key"), "met")
     few, crowd = met.where(F.col("m") <= hot).drop("m"), met.where(F.col("m") > hot).drop("m")
-    plain = ordered(two.unionByName(pairs_at(few, few).where("u > v").select("u", "v")))
-    plain = staged(near(plain, some), "pairs")
 
     # Hubs of crowded keys: the member with most of them, which lies in the middle of its copies.
     often = crowd.groupBy("node").agg(F.count("*").alias("h"))
@@ -282,13 +280,18 @@ def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT, miss: float =
     hubs = crowd.groupBy("key").agg(F.max(F.struct("h", "node")).alias("hub")).select("key", F.col("hub.node").alias("v"))
     crowd = crowd.select("key", "node", "f0").join(hubs, "key")
     to_hub = crowd.where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    ends = [plain.select(F.col(x).alias("node")) for x in "uv"] + [crowd.select("node")]
-    sets = staged(whole_sets(texts, nodes, ends[0].unionByName(ends[1]).unionByName(ends[2])), "shingle-sets")
+    sets = staged(whole_sets(texts, nodes, crowd.select("node")), "shingle-sets")
     to_hub = staged(verified(to_hub, sets), "to-hub")
     linked = to_hub.where(LINKED).select("u", "v")
-    # Pairs of one component are connected already; in a large group that is most of them.
+    # Pairs of one component are connected already; in a large group that is most of them, so they aren't formed.
     roots = connected_components(linked).select("node", "root")
-    linked = linked.unionByName(staged(verified(parted(plain, roots), sets).where(LINKED).select("u", "v"), "found"))
+    few = with_root(few, "node", roots).withColumnRenamed("root_node", "root")
+    plain = parted(two, roots).unionByName(pairs_at(few, few).where("u > v and root_u <> root_v").select("u", "v"))
+    plain = staged(near(ordered(plain), some), "pairs")
+    known = sets.select("node")
+    ends = plain.select(F.col("u").alias("node")).unionByName(plain.select(F.col("v").alias("node")))
+    sets = sets.unionByName(staged(whole_sets(texts, nodes, ends.join(known, "node", "left_anti")), "shingle-sets"))
+    linked = linked.unionByName(staged(verified(plain, sets).where(LINKED).select("u", "v"), "found"))
     roots = connected_components(linked).select("node", "root")
     away = to_hub.select(F.col("u").alias("node"), "v", (1 - F.col("both") / (F.col("n_u") + F.col("n_v") - F.col("both"))).alias("far"))
     placed = with_root(with_root(crowd.join(away, ["node", "v"]), "node", roots), "v", roots)

@@ -416,6 +416,21 @@ def test_passages_of_a_larger_corpus(spark):
     check_passages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
+def test_near_copies_of_one_group_are_not_all_paired(spark, monkeypatch):
+    rng, made = random.Random(5), {}
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(150):
+        own = list(base)
+        for _ in range(3):
+            own[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    staged = near_copies.staged
+    monkeypatch.setattr(near_copies, "staged", lambda df, name: made.setdefault(name, staged(df, name)) if name == "pairs" else staged(df, name))
+    assert [r["doc_id"] for r in near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    assert made["pairs"].count() < 300
+
+
 def test_words_in_common_are_those_of_lists():
     rng = random.Random(3)
     for _ in range(3000):
