@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, staged, with_values
+from .common import BLANKS, STEP, staged, with_values
 from .simhash import keyed_rows
 
 MIN_WORDS = 50
@@ -174,11 +174,11 @@ def candidates(suffixes: DataFrame) -> DataFrame:
 
 
 def surroundings(texts: DataFrame, min_words: int, prefix: int, gram: int) -> DataFrame:
-    """(key, no_id, doc_id, tkey, pos, start, words) of the candidates.
+    """(key, first, tkey, pos, start, words) of the candidates.
 
     start is where the first window with its minimiser at the candidate begins, words the words
-    from there to the end of the last such window, in lower case. texts: doc_id, tkey, text, at (the
-    candidates' key and pos), one row for each distinct text.
+    from there to the end of the last such window, in lower case. texts: tkey, text, at (the
+    candidates' key, pos and whether they come first of their prefix), one row for each distinct text.
     """
 
     def start() -> Callable[[list], list[pa.Array]]:
@@ -193,14 +193,14 @@ def surroundings(texts: DataFrame, min_words: int, prefix: int, gram: int) -> Da
                 # Minimisers never move back, so a candidate's windows are neighbours.
                 places = np.array([y["pos"] for y in x["at"]])
                 firsts, ends = np.searchsorted(anchor, places, "left"), np.searchsorted(anchor, places, "right")
-                found.append([{"key": y["key"], "pos": y["pos"], "start": one, "words": b" ".join(lower[start[one] : end[two + min_words - 2]].split())} for y, one, two in zip(x["at"], firsts.tolist(), ends.tolist(), strict=True) if one < two])
-            return [pa.array(found, pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("words", pa.binary())])))]
+                found.append([{"key": y["key"], "first": y["first"], "pos": y["pos"], "start": one, "words": b" ".join(lower[start[one] : end[two + min_words - 2]].split())} for y, one, two in zip(x["at"], firsts.tolist(), ends.tolist(), strict=True) if one < two])
+            return [pa.array(found, pa.list_(pa.struct([("key", pa.int64()), ("first", pa.bool_()), ("pos", pa.int32()), ("start", pa.int32()), ("words", pa.binary())])))]
 
         return make
 
-    given = texts.select("doc_id", "tkey", F.struct("text", "at").alias("given"))
-    found = with_values(given, ["doc_id", "tkey"], start, "around array<struct<key: bigint, pos: int, start: int, words: binary>>", "given")
-    return found.select("doc_id", "tkey", F.explode("around").alias("a")).select("a.key", F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", "a.pos", "a.start", "a.words")
+    given = texts.select("tkey", F.struct("text", "at").alias("given"))
+    found = with_values(given, ["tkey"], start, "around array<struct<key: bigint, first: boolean, pos: int, start: int, words: binary>>", "given")
+    return found.select("tkey", F.explode("around").alias("a")).select("a.key", "a.first", "tkey", "a.pos", "a.start", "a.words")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -284,29 +284,45 @@ def extended(pairs: DataFrame, min_words: int) -> DataFrame:
 def merged(found: DataFrame, min_words: int) -> DataFrame:
     """(tkey, start_word, n_words, removed): runs of overlapping windows; found has tkey, lo, hi, removed, each once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    row_bits = 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
-            for tkey, removed, at in zip(b["tkey"], b["removed"], b["at"], strict=True):
-                lo, hi = np.array(sorted((x["lo"], x["hi"]) for x in at)).T
-                reach = np.maximum.accumulate(hi)
+            for at in range(0, b.num_rows, STEP):
+                some = b.slice(at, STEP)
+                spans = some.column("at")
+                row = np.repeat(np.arange(len(spans), dtype=np.int64), spans.value_lengths().to_numpy())
+                # Texts follow each other, each in a range of its own, so that one pass serves all.
+                lo, hi = ((row << row_bits) + spans.flatten().field(c).to_numpy() for c in ("lo", "hi"))
+                order = np.argsort(lo)
+                lo, reach = lo[order], np.maximum.accumulate(hi[order])
                 new = np.flatnonzero(lo[1:] - reach[:-1] > min_words)
                 start, end = lo[np.insert(new + 1, 0, 0)], reach[np.append(new, len(lo) - 1)] + min_words
-                parts.append(pd.DataFrame({"tkey": tkey, "start_word": start, "n_words": end - start, "removed": removed}))
-            if parts:
-                yield pd.concat(parts)
+                texts = some.select(["tkey", "removed"]).take(pa.array(start >> row_bits))
+                yield pa.RecordBatch.from_arrays([texts.column("tkey"), pa.array(start & ((1 << row_bits) - 1), pa.int32()), pa.array(end - start, pa.int32()), texts.column("removed")], names=["tkey", "start_word", "n_words", "removed"])
 
     by_text = found.groupBy("tkey", "removed").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
-    return by_text.mapInPandas(run, "tkey long, start_word int, n_words int, removed boolean")
+    return by_text.select("tkey", "removed", "at").mapInArrow(run, "tkey long, start_word int, n_words int, removed boolean")
+
+
+def first_marked(found: DataFrame, of_text: DataFrame) -> DataFrame:
+    """found (key, tkey, pos) with first: whether the row comes first of its key; keys of one row go.
+
+    of_text has tkey and doc_id. No words are needed for this, so they are shuffled once only, to be compared.
+    """
+    found = staged(found, "candidates")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", "pos")
+    first = found.join(of_text.select("tkey", "doc_id"), "tkey").groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1")
+    first = first.select("key", F.col("f.tkey").alias("ftkey"), F.col("f.pos").alias("fpos"))
+    return found.join(first, "key").select("key", "tkey", "pos", F.expr("tkey = ftkey and pos = fpos").alias("first"))
 
 
-def repeated_windows(around: DataFrame, min_words: int) -> DataFrame:
-    """(tkey, lo, hi, removed), distinct, of the candidates around."""
+def repeated_windows(around: DataFrame, of_text: DataFrame, min_words: int) -> DataFrame:
+    """(tkey, lo, hi, removed), distinct, of the candidates around; of_text has tkey and doc_id."""
     # Rows of a prefix meet its first one; both sides lie in files, so that a common prefix can be split.
-    first = around.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("no_id", "doc_id", "tkey", "pos", "start", "words")).alias("f")).where("n > 1")
-    first = staged(first.select("key", *[F.col(f"f.{c}").alias(f"f{c}") for c in ("no_id", "doc_id", "tkey", "pos", "start", "words")]), "first-suffixes")
-    pairs = around.join(first, "key").where((F.col("tkey") != F.col("ftkey")) | (F.col("pos") != F.col("fpos")))
-    texts = around.groupBy("tkey").agg(F.first("no_id").alias("no_id"), F.first("doc_id").alias("doc_id"))
+    first = around.where("first").select("key", *[F.col(c).alias(f"f{c}") for c in ("tkey", "pos", "start", "words")])
+    pairs = around.where("not first").join(first, "key")
+    texts = of_text.select("tkey", F.col("doc_id").isNull().alias("no_id"), "doc_id")
     found = staged(extended(pairs, min_words), "extended")
     whole = found.where("h is null").select("tkey", "lo", "hi", "removed").distinct()
     rest = found.where("h is not null").join(texts, "tkey").select("h", "g", "no_id", "doc_id", "tkey", F.col("lo").alias("s"))
@@ -327,14 +343,15 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX,
     own = rows.where("key is null")
     of_text = own.groupBy("tkey").agg(F.min_by(F.struct("doc_id", "rkey", "check"), order).alias("f"), (F.min(order) != F.max(order)).alias("copied"), F.max("pos").alias("n_words"))
     of_text = staged(of_text.select("tkey", "f.*", "copied", "n_words"), "texts")
-    at = candidates(rows.where("key is not null").select("key", "tkey", "pos")).distinct().groupBy("tkey").agg(F.collect_list(F.struct("key", "pos")).alias("at"))
+    found = first_marked(candidates(rows.where("key is not null").select("key", "tkey", "pos")).distinct(), of_text)
+    at = found.groupBy("tkey").agg(F.collect_list(F.struct("key", "pos", "first")).alias("at"))
     # One row for each candidate text: its first document's.
     wanted = of_text.join(at, "tkey").select("tkey", F.col("rkey").alias("rkey"), "at")
-    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("rkey")).join(wanted, "rkey").dropDuplicates(["tkey"])
+    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("rkey")).join(wanted, "rkey").dropDuplicates(["tkey"])
     around = staged(surroundings(texts, min_words, prefix, gram), "surroundings")
     # A text with copies repeats as a whole; where it has windows removed, those stay removed.
     whole = of_text.where(F.col("copied") & (F.col("n_words") >= min_words))
-    spans = merged(repeated_windows(around, min_words), min_words).join(of_text.select("tkey", "doc_id", "rkey", "copied"), "tkey")
+    spans = merged(repeated_windows(around, of_text, min_words), min_words).join(of_text.select("tkey", "doc_id", "rkey", "copied"), "tkey")
     firsts = spans.where("removed or not copied").select("doc_id", "rkey", "start_word", "n_words", "removed")
     firsts = firsts.unionByName(whole.select("doc_id", "rkey", F.lit(0).alias("start_word"), "n_words", F.lit(False).alias("removed")))
     copies = own.select("tkey", F.col("doc_id").alias("own_id"), F.col("rkey").alias("own_key"), F.col("check").alias("own_check")).distinct()

@@ -416,6 +416,19 @@ def test_passages_of_a_larger_corpus(spark):
     check_passages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
+def test_words_of_candidates_are_written_once(docs, monkeypatch):
+    made, staged = [], suffix_dedup.staged
+
+    def seen(df, name):
+        out = staged(df, name)
+        made.append((name, "words" in df.columns or "fwords" in df.columns))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "staged", seen)
+    suffix_dedup.passages(docs)
+    assert [name for name, words in made if words] == ["surroundings"]
+
+
 def test_near_copies_of_one_group_are_not_all_paired(spark, monkeypatch):
     rng, made = random.Random(5), {}
     base = [f"w{k}" for k in range(300)]
