@@ -278,23 +278,24 @@ def copy_links(texts: DataFrame, nodes: DataFrame, hot: int = HOT, miss: float =
     often = crowd.groupBy("node").agg(F.count("*").alias("h"))
     crowd = staged(crowd.join(often, "node"), "crowd")
     hubs = crowd.groupBy("key").agg(F.max(F.struct("h", "node")).alias("hub")).select("key", F.col("hub.node").alias("v"))
-    crowd = crowd.select("key", "node", "f0").join(hubs, "key")
-    to_hub = crowd.where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    to_hub = crowd.join(hubs, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     sets = staged(whole_sets(texts, nodes, crowd.select("node")), "shingle-sets")
     to_hub = staged(verified(to_hub, sets), "to-hub")
     linked = to_hub.where(LINKED).select("u", "v")
     # Pairs of one component are connected already; in a large group that is most of them, so they aren't formed.
     roots = connected_components(linked).select("node", "root")
     few = with_root(few, "node", roots).withColumnRenamed("root_node", "root")
-    plain = parted(two, roots).unionByName(pairs_at(few, few).where("u > v and root_u <> root_v").select("u", "v"))
+    # Pairs that share many keys look up their roots once.
+    plain = parted(ordered(two).distinct(), roots).unionByName(pairs_at(few, few).where("u > v and root_u <> root_v").select("u", "v"))
     plain = staged(near(ordered(plain), some), "pairs")
     known = sets.select("node")
     ends = plain.select(F.col("u").alias("node")).unionByName(plain.select(F.col("v").alias("node")))
     sets = sets.unionByName(staged(whole_sets(texts, nodes, ends.join(known, "node", "left_anti")), "shingle-sets"))
     linked = linked.unionByName(staged(verified(plain, sets).where(LINKED).select("u", "v"), "found"))
     roots = connected_components(linked).select("node", "root")
+    # Roots are looked up for each hub's key and for each member's hub, not for each of its keys.
     away = to_hub.select(F.col("u").alias("node"), "v", (1 - F.col("both") / (F.col("n_u") + F.col("n_v") - F.col("both"))).alias("far"))
-    placed = with_root(with_root(crowd.join(away, ["node", "v"]), "node", roots), "v", roots)
+    placed = crowd.select("key", "node").join(with_root(hubs, "v", roots), "key").join(with_root(away, "node", roots), ["node", "v"])
     placed = placed.select("key", "node", "far", F.col("root_node").alias("root"), (F.col("root_node") == F.col("root_v")).alias("inside"))
     placed = placed.join(sets.select("node", "n", *ODD), "node")
     outside = placed.where("not inside")

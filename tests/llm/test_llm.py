@@ -444,6 +444,19 @@ def test_near_copies_of_one_group_are_not_all_paired(spark, monkeypatch):
     assert made["pairs"].count() < 300
 
 
+def test_pairs_of_many_keys_look_up_their_roots_once(spark, monkeypatch):
+    rng, made = random.Random(6), []
+    rows = []
+    for k in range(60):
+        text = [f"w{k}x{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text[:-1], "z"]))]
+    parted = near_copies.parted
+    monkeypatch.setattr(near_copies, "parted", lambda pairs, roots: made.append(pairs.collect()) or parted(pairs, roots))
+    kept = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 120, 2))
+    assert len(made[0]) == len(set(made[0])) >= 60
+
+
 def test_words_in_common_are_those_of_lists():
     rng = random.Random(3)
     for _ in range(3000):
