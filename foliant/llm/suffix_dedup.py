@@ -313,7 +313,8 @@ def first_marked(found: DataFrame, of_text: DataFrame) -> DataFrame:
     found = staged(found, "candidates")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey", "pos")
     first = found.join(of_text.select("tkey", "doc_id"), "tkey").groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1")
-    first = first.select("key", F.col("f.tkey").alias("ftkey"), F.col("f.pos").alias("fpos"))
+    # Both sides lie in files, so that a common prefix can be split.
+    first = staged(first.select("key", F.col("f.tkey").alias("ftkey"), F.col("f.pos").alias("fpos")), "first-suffixes")
     return found.join(first, "key").select("key", "tkey", "pos", F.expr("tkey = ftkey and pos = fpos").alias("first"))
 
 
