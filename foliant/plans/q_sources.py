@@ -54,7 +54,7 @@ def _(s, d):
 
 @query("c14_text_model")
 def _(s, d):
-    labeled = texts(s, d).select("doc_id", "text", F.col("lang").alias("label"))
+    labeled = spread(texts(s, d).select("doc_id", "text", F.col("lang").alias("label")), "doc_id")
     return learn.predict_text(learn.train_text_model(labeled), labeled).select("doc_id", "label", "confidence")
 
 

@@ -205,6 +205,33 @@ def test_text_model_learns(spark):
     assert learn.train_text_model(labeled.limit(5)) is None
 
 
+def test_text_model_is_that_of_the_library(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import CountVectorizer, IDF, StringIndexer
+
+    words = ["Amount", "due,", "beach", "sun_sea", "été", "č2", "a", "x"]
+    rows = [(k, " ".join(words[(k * j + j) % 8] for j in range(k % 7)), "abc"[k * k % 3]) for k in range(60)]
+    labeled = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    model = learn.train_text_model(labeled)
+    terms = model.stages[:3]
+    old = Pipeline(stages=[*terms, CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=5000, minDF=2.0), IDF(inputCol="counts", outputCol="tfidf"), StringIndexer(inputCol="label", outputCol="label_index", handleInvalid="keep"), NaiveBayes(featuresCol="tfidf", labelCol="label_index", smoothing=0.1)]).fit(labeled)
+    assert set(model.stages[3].vocabulary) == set(old.stages[3].vocabulary) and model.stages[5].labels == old.stages[5].labels
+    got, want = ({r["doc_id"]: r for r in learn.predict_text(m, labeled).collect()} for m in (model, old))
+    assert all(got[k]["label"] == want[k]["label"] and abs(got[k]["confidence"] - want[k]["confidence"]) < 1e-9 for k in want) and len(got) == 60
+    few = learn.train_text_model(labeled, features=3).stages[3].vocabulary
+    assert few == learn.train_text_model(labeled.repartition(7), features=3).stages[3].vocabulary  # ties by term, not by partitions
+
+
+def test_text_model_counts_no_pair_that_cannot_be_a_feature(spark):
+    texts = [f"often seen word{k} rare{k} rare{k} once{k}" for k in range(30)]
+    labeled = spark.createDataFrame([(k, t, "ab"[k % 2]) for k, t in enumerate(texts)], "doc_id long, text string, label string")
+    counted = learn.term_counts(labeled, frozenset(["often", "seen"]), pairs=True).where("term is not null")
+    assert {(r["label"], r["term"], r["n"], r["df"]) for r in counted.collect()} == {("a", "often seen", 15, 15), ("b", "often seen", 15, 15)}
+    assert learn.train_text_model(labeled, features=3).stages[3].vocabulary == ["often", "often seen", "seen"]
+    assert learn.train_text_model(labeled, features=2).stages[3].vocabulary == ["often", "often seen"]
+
+
 def test_sequence_similarity(spark):
     pairs = spark.createDataFrame([("abcd", "abcd"), ("abcd", "wxyz"), (None, "")], "a string, b string")
     assert [r["similarity"] for r in X.sequence_similarity(pairs, "a", "b").collect()] == [1.0, 0.0, 1.0]
