@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,23 +183,30 @@ class StaleClaims(StatefulProcessor):
         self.claim = handle.getValueState("claim", "worker string, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        b = pd.concat([b[["ts", "worker", "status"]] for b in rows]).dropna(subset=["ts"]).sort_values(["ts", "worker", "status"])
-        held = self.claim.get() if self.claim.exists() else None
-        out = []
-        for at, worker, status in zip(b["ts"].astype("datetime64[ms]").astype("int64").tolist(), b["worker"], b["status"], strict=True):
+        known = held = self.claim.get()
+        seen, out = [], []
+        for b in rows:
+            at = b["ts"].to_numpy("datetime64[us]")
+            seen += [x for x, lost in zip(zip(at.astype("int64").tolist(), b["worker"].tolist(), b["status"].tolist(), strict=True), np.isnat(at).tolist(), strict=True) if not lost]
+        for micros, worker, status in sorted(seen, key=lambda x: (x[0], x[1] is None, x[1] or "", x[2] is None, x[2] or "")):
+            at = micros // 1000
             if held and at < held[1]:
                 continue  # out of order: what is known of the item is newer
             if held and at - held[1] >= self.millis:
                 out.append((key[0], *held))
             held = None if status == "done" else (worker, at)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if held is None:
-            self.claim.clear()
-        else:
+        # An item has a timer if it has a claim: that claim's. Each call to the state is a message to the JVM.
+        before, after = (x and x[1] for x in (known, held))
+        if known is not None and before != after:
+            self.handle.deleteTimer(before + self.millis)
+        if held is not None:
             self.claim.update(held)
-            self.handle.registerTimer(held[1] + self.millis)
-        yield self.frame(out)
+            if before != after:
+                self.handle.registerTimer(after + self.millis)
+        elif known is not None:
+            self.claim.clear()
+        if out:
+            yield self.frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = [(key[0], *self.claim.get())] if self.claim.exists() else []

@@ -1,5 +1,6 @@
 """Streams with availableNow give what the batch gives."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from foliant.streaming import jobs
@@ -131,6 +132,38 @@ def test_stale_claims_between_rows_of_a_batch(spark, tmp_path):
     assert [(r["item"], r["worker"]) for r in got] == [("i", "w1")]
 
 
+def test_stale_claims_ask_the_state_little(spark):
+    calls = []
+
+    class Store:
+        value, timers = None, {60_000 + 600_000}
+        get = lambda self: calls.append("get") or self.value
+        exists = lambda self: calls.append("exists") or self.value is not None
+        update = lambda self, v: calls.append("update") or setattr(self, "value", v)
+        clear = lambda self: calls.append("clear") or setattr(self, "value", None)
+        getValueState = lambda self, *_: self
+        listTimers = lambda self: calls.append("list") or iter(self.timers)
+        registerTimer = lambda self, at: calls.append("register") or setattr(self, "timers", {*self.timers, at})
+        deleteTimer = lambda self, at: calls.append("delete") or setattr(self, "timers", self.timers - {at})
+
+    def heard(store, rows):
+        calls.clear()
+        claims = jobs.StaleClaims()
+        claims.init(store)
+        b = pd.DataFrame(rows, columns=["ts", "worker", "status"])
+        b["ts"] = pd.to_datetime(b["ts"])
+        return [tuple(r) for out in claims.handleInputRows(("i",), iter([b]), None) for r in out.itertuples(index=False)]
+
+    new = Store()
+    new.timers = set()
+    assert heard(new, [("1970-01-01 00:01:00.000900", "b", "claimed"), ("1970-01-01 00:01:00.000100", "c", "done"), (None, "d", "done")]) == []
+    assert new.value == ("b", 60_000) and new.timers == {660_000}  # the later by microseconds is the last
+    assert len(calls) == 3 and "list" not in calls
+    assert heard(new, [("1970-01-01 00:21:00", "e", "claimed")]) == [("i", "b", 60_000)]
+    assert new.value == ("e", 1_260_000) and new.timers == {1_860_000}
+    assert heard(new, [("1970-01-01 00:22:00", "e", "done")]) == [] and new.value is None and not new.timers
+
+
 def test_statistics_of_each_batch(spark, tmp_path):
     rows, seen = spark.range(10), {}
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
