@@ -151,7 +151,7 @@ READERS = {"MT940": mt940_transactions, "CAMT053": camt_transactions, "ABO": abo
 
 def read_transactions(files: DataFrame) -> DataFrame:
     """Transactions of files of all formats; each reader gets the files of its own."""
-    kinds = once(files.withColumn("format", detect_format(F.col("content"))))  # read by five
+    kinds = once(files.withColumn("format", detect_format(F.col("content"))), "format")  # each reader opens its own folder
     parts = [f(kinds.where(F.col("format") == k)).select(*TX).withColumn("format", F.lit(k)) for k, f in READERS.items()]
     out = parts[0]
     for p in parts[1:]:

@@ -17,49 +17,69 @@ NUMBERED = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_
 AMOUNT = "(round(l_extendedprice, 2) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END)::DECIMAL(18,2)"
 
 
-def rendered(s, d, line: str, head: str, foot: str = "", where: str = "true"):
+#: Of each format the line of an order's line, and what stands before and after a file's lines.
+FORMS = {
+    "MT940": (
+        f"concat(':61:', date_format(l_shipdate, 'yyMMdd'), if(l_returnflag = 'R', 'D', 'C'), {CENTS} div 100, ',', lpad({CENTS} % 100, 2, '0'), 'NTRF\\n:86:Platba VS:', l_partkey, '\\n KS:0308 19-123456/0800')",
+        "concat(':20:ST', l_orderkey, '\\n:25:0800/123\\n:60F:C240101CZK1000,00\\n')",
+        "'\\n:62F:C240131CZK2000,50\\n'",
+    ),
+    "CAMT053": (
+        f"""concat('<Ntry><Amt Ccy="EUR">', {CENTS} div 100, '.', lpad({CENTS} % 100, 2, '0'), '</Amt><CdtDbtInd>', if(l_returnflag = 'R', 'DBIT', 'CRDT'), '</CdtDbtInd><BookgDt><Dt>', date_format(l_shipdate, 'yyyy-MM-dd'), '</Dt></BookgDt><AddtlNtryInf>VS ', l_partkey, '</AddtlNtryInf></Ntry>')""",
+        """concat('<?xml version="1.0"?><Document xmlns="urn:iso:std:iso:20022:tech:xsd:camt.053.001.02"><BkToCstmrStmt><Stmt><Id>', l_orderkey, '</Id>')""",
+        "'</Stmt></BkToCstmrStmt></Document>'",
+    ),
+    "ABO": (
+        f"concat('075', lpad('123456', 16, '0'), '0800', lpad('', 25, '0'), lpad({CENTS}, 12, '0'), if(l_returnflag = 'R', '1', '2'), lpad(l_partkey, 10, '0'), '0308', lpad('', 10, '0'), date_format(l_shipdate, 'yyMMdd'))",
+        "concat('074', lpad('123456', 16, '0'), '0800', '001', '240131\\n')",
+        "'\\n'",
+    ),
+    "CSV": (
+        f"concat(date_format(l_shipdate, 'dd.MM.yyyy'), ';', {SIGN}, {CENTS} div 100, ',', lpad({CENTS} % 100, 2, '0'), ';', l_partkey, ';\"text ', l_linenumber, '\"')",
+        "if(l_orderkey % 2 = 0, 'Datum;Částka;VS;Popis\\n', 'Buchungstag;Betrag;VS;Verwendungszweck\\n')",
+        "'\\n'",
+    ),
+    "FINSTA": (
+        f"concat('<FINSTA05><S61_DATUM>', date_format(l_shipdate, 'dd.MM.yyyy'), '</S61_DATUM><S61_CASTKA>', {CENTS} div 100, ',', lpad({CENTS} % 100, 2, '0'), '</S61_CASTKA><S61_CD_INDIK>', if(l_returnflag = 'R', 'D', 'C'), '</S61_CD_INDIK><PART_ACCNO>123</PART_ACCNO><PART_BANK_ID>0800</PART_BANK_ID><S86_VARSYMOUR>', l_partkey, '</S86_VARSYMOUR></FINSTA05>')",
+        "'<FINSTA><FINSTA03><S28_CISLO_VYPISU>1</S28_CISLO_VYPISU>'",
+        "'</FINSTA03></FINSTA>'",
+    ),
+}
+NAMES = list(FORMS)
+
+
+def rendered(s, d, line: str, head: str, foot: str, where: str = "true"):
     """(path, content): a file for each order with a line for each of its lines, rendered where they are gathered: lines are few bytes, texts much work."""
     rows = spread(table(s, d, "lineitem").where(where), "l_orderkey").selectExpr("l_orderkey", f"{KEY} AS k", f"{line} AS line")
     body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    return body.select(F.col("l_orderkey").cast("string").alias("path"), F.concat(F.expr(head), "body", F.lit(foot)).alias("content"))
+    return body.select(F.col("l_orderkey").cast("string").alias("path"), F.concat(F.expr(head), "body", F.expr(foot)).alias("content"))
 
 
-def mt940(s, d, where="true"):
-    line = f"concat(':61:', date_format(l_shipdate, 'yyMMdd'), if(l_returnflag = 'R', 'D', 'C'), {CENTS} div 100, ',', lpad({CENTS} % 100, 2, '0'), 'NTRF\\n:86:Platba VS:', l_partkey, '\\n KS:0308 19-123456/0800')"
-    return rendered(s, d, line, "concat(':20:ST', l_orderkey, '\\n:25:0800/123\\n:60F:C240101CZK1000,00\\n')", "\n:62F:C240131CZK2000,50\n", where)
+def mt940(s, d):
+    return rendered(s, d, *FORMS["MT940"])
 
 
-def camt(s, d, where="true"):
-    line = f"""concat('<Ntry><Amt Ccy="EUR">', {CENTS} div 100, '.', lpad({CENTS} % 100, 2, '0'), '</Amt><CdtDbtInd>', if(l_returnflag = 'R', 'DBIT', 'CRDT'), '</CdtDbtInd><BookgDt><Dt>', date_format(l_shipdate, 'yyyy-MM-dd'), '</Dt></BookgDt><AddtlNtryInf>VS ', l_partkey, '</AddtlNtryInf></Ntry>')"""
-    head = """concat('<?xml version="1.0"?><Document xmlns="urn:iso:std:iso:20022:tech:xsd:camt.053.001.02"><BkToCstmrStmt><Stmt><Id>', l_orderkey, '</Id>')"""
-    return rendered(s, d, line, head, "</Stmt></BkToCstmrStmt></Document>", where)
+def camt(s, d):
+    return rendered(s, d, *FORMS["CAMT053"])
 
 
-def abo(s, d, where="true"):
-    line = f"concat('075', lpad('123456', 16, '0'), '0800', lpad('', 25, '0'), lpad({CENTS}, 12, '0'), if(l_returnflag = 'R', '1', '2'), lpad(l_partkey, 10, '0'), '0308', lpad('', 10, '0'), date_format(l_shipdate, 'yyMMdd'))"
-    return rendered(s, d, line, "concat('074', lpad('123456', 16, '0'), '0800', '001', '240131\\n')", "\n", where)
+def abo(s, d):
+    return rendered(s, d, *FORMS["ABO"])
 
 
-def csv(s, d, where="true"):
-    line = f"concat(date_format(l_shipdate, 'dd.MM.yyyy'), ';', {SIGN}, {CENTS} div 100, ',', lpad({CENTS} % 100, 2, '0'), ';', l_partkey, ';\"text ', l_linenumber, '\"')"
-    return rendered(s, d, line, "if(l_orderkey % 2 = 0, 'Datum;Částka;VS;Popis\\n', 'Buchungstag;Betrag;VS;Verwendungszweck\\n')", "\n", where)
+def csv(s, d):
+    return rendered(s, d, *FORMS["CSV"])
 
 
-def finsta(s, d, where="true"):
-    line = f"concat('<FINSTA05><S61_DATUM>', date_format(l_shipdate, 'dd.MM.yyyy'), '</S61_DATUM><S61_CASTKA>', {CENTS} div 100, ',', lpad({CENTS} % 100, 2, '0'), '</S61_CASTKA><S61_CD_INDIK>', if(l_returnflag = 'R', 'D', 'C'), '</S61_CD_INDIK><PART_ACCNO>123</PART_ACCNO><PART_BANK_ID>0800</PART_BANK_ID><S86_VARSYMOUR>', l_partkey, '</S86_VARSYMOUR></FINSTA05>')"
-    return rendered(s, d, line, "'<FINSTA><FINSTA03><S28_CISLO_VYPISU>1</S28_CISLO_VYPISU>'", "</FINSTA03></FINSTA>", where)
-
-
-ALL = {0: mt940, 1: camt, 2: abo, 3: csv, 4: finsta}
-NAMES = ["MT940", "CAMT053", "ABO", "CSV", "FINSTA"]
+def finsta(s, d):
+    return rendered(s, d, *FORMS["FINSTA"])
 
 
 def mixed(s, d):
-    out = None
-    for k, f in ALL.items():
-        part = f(s, d, f"l_orderkey % 6 = {k}")
-        out = part if out is None else out.unionByName(part)
-    return out.unionByName(table(s, d, "orders").where("o_orderkey % 6 = 5").selectExpr("cast(o_orderkey as string) AS path", "concat('note ', o_orderkey) AS content"))
+    """Files of all formats, which the order's key decides, and notes, which have none; lines are read and dealt once."""
+    parts = ["CASE l_orderkey % 6 " + " ".join(f"WHEN {k} THEN {form[part]}" for k, form in enumerate(FORMS.values())) + " END" for part in range(3)]
+    notes = table(s, d, "orders").where("o_orderkey % 6 = 5").selectExpr("cast(o_orderkey as string) AS path", "concat('note ', o_orderkey) AS content")
+    return rendered(s, d, *parts, where="l_orderkey % 6 BETWEEN 0 AND 4").unionByName(notes)
 
 
 TX_SQL = f"SELECT l_orderkey::VARCHAR AS path, {NUMBERED} AS n, l_shipdate::DATE AS date, {AMOUNT} AS amount, l_partkey::VARCHAR AS variable_symbol FROM lineitem"

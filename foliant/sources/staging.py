@@ -18,14 +18,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/foliant-{uuid.uuid4().hex}"
 
 
-def once(df: DataFrame) -> DataFrame:
+def once(df: DataFrame, *folders: str) -> DataFrame:
     """df as Parquet in the shared folder: read however often, computed once, whatever executors are lost.
 
     Runs when it is called, so an operator that stages costs its work where it is built. The folder is the
-    session's: it goes with spark.checkpoint.dir, or, if that is unset, with the temporary folder.
+    session's: it goes with spark.checkpoint.dir, or, if that is unset, with the temporary folder. With
+    folders, columns of few values that come last in df, a reader of one value opens that value's files only.
     """
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(folders) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

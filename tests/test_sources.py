@@ -92,3 +92,20 @@ def test_messages_of_orders_in_many_tasks(spark):
     from foliant.plans.q_sources import mails
 
     assert mails(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+
+
+def test_statement_readers_open_their_own_files_only(spark):
+    from foliant.operators import statements as B
+
+    files = spark.createDataFrame([("a", "074\n075" + "0" * 16 + "0800" + "0" * 25 + "000000012345" + "2" + "0" * 24 + "240131"), ("b", "Datum;Částka\n01.02.2024;-5,00"), ("c", "note")], "path string, content string")
+    tx = B.read_transactions(files)
+    assert {(r["path"], r["format"], str(r["amount"])) for r in tx.collect()} == {("a", "ABO", "123.45"), ("b", "CSV", "-5.00")}
+    plan = tx._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(format") == 5
+
+
+def test_mixed_statements_read_lines_once(spark, sf):
+    from foliant.plans.q_orders import mixed
+
+    plan = mixed(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice#") and plan.count("Relation [l_orderkey") == 1
