@@ -1,9 +1,13 @@
 """Literal fixtures for operators whose cases the corpus doesn't hold."""
 
+import itertools
+import os
 import random
 from datetime import date
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +161,96 @@ def test_near_duplicates_of_all_lengths_are_those_of_all_pairs(spark, hot):
     assert len(want) > 50 and sorted((r["doc_id"], r["duplicate_of"]) for r in D.near_duplicates(docs, hot=hot).collect()) == want
 
 
+def staged_bytes(monkeypatch):
+    """Sizes of what the operators of D write to the shared folder, as they go."""
+    from foliant.sources.staging import once
+
+    sizes = []
+
+    def counted(df, *folders):
+        out = once(df, *folders)
+        sizes.append(sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(D, "once", counted)
+    return sizes
+
+
+def test_cascade_writes_hashes_and_heads_not_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrst ", k=50_000)) for _ in range(60)]
+    texts += [texts[3], texts[4][:40_000], texts[5][:400] + "!" + texts[5][400:], "", "", None]
+    docs = spark.createDataFrame([(k, t, None if k == 64 else f"h{t}"[:99]) for k, t in enumerate(texts)], "doc_id long, text string, file_hash string")
+    sizes = staged_bytes(monkeypatch)
+    found = {r["doc_id"]: (r["reason"], r["matched"]) for r in D.dedup_cascade(docs).collect()}
+    assert found == {60: ("file_hash", 3), 61: ("file_hash", 4), 62: ("file_hash", 5)}
+    found = {r["doc_id"]: (r["reason"], r["matched"]) for r in D.dedup_cascade(docs.withColumn("file_hash", F.md5("text"))).collect()}
+    assert found == {60: ("file_hash", 3), 61: ("text_hash", 4), 62: ("similarity", 5), 64: ("file_hash", 63)}
+    assert sum(sizes) < 60 * 50_000 / 4
+
+
+def test_keys_of_one_head_are_not_written(spark, monkeypatch):
+    rng = random.Random(6)
+    heads = ["".join(rng.choices("abcdefghijklmnopqrst ", k=1000)) for _ in range(1000)]
+    heads.append(heads[17][:500] + "?" + heads[17][501:])
+    docs = spark.createDataFrame(list(enumerate(heads)), "doc_id long, text string")
+    sizes = staged_bytes(monkeypatch)
+    assert [(r["doc_id"], r["duplicate_of"]) for r in D.near_duplicates(docs).collect()] == [(1000, 17)]
+    assert sum(sizes) < 2_000_000  # heads once, 0.9 MB, sketches and few keys
+    keys = D._shared_keys(docs.selectExpr("doc_id AS first_id", "text AS head"), 0.95, 1000)
+    assert {r["first_id"] for r in keys.collect()} == {17, 1000}
+
+
+@pytest.mark.parametrize("most", [1, 512])
+def test_keys_that_meet_are_those_of_all_pairs(monkeypatch, most):
+    monkeypatch.setattr(D, "ENUMERATED", most)
+    monkeypatch.setattr(D, "PAIRS_AT_ONCE", 7)
+    rng = random.Random(9)
+    edits = np.array([D.most_edits(n, 0.95) for n in range(1001)], np.int32)
+    rows = [(f"d{i:03}", rng.choice([300, 310, 400]), [(k, rng.randrange(250), rng.random() < 0.4) for k in sorted(rng.sample(range(12), 4))]) for i in rng.sample(range(60), 60)]
+    flat = [x for r in rows for x in r[2]]
+    at = np.array([x[1] for x in flat], np.int32)
+    head, key, _, _, asked, h, _ = D._met(pa.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int32), np.array([4] * 60, np.int32), np.array([x[0] for x in flat], np.int32), at, at, np.array([x[2] for x in flat]), edits)
+    got = {(rows[i][0], k): rows[j][0] for i, k, a, j in zip(head, key, asked, h, strict=True) if a}
+    left = {(rows[i][0], int(k)) for i, k in zip(head, key, strict=True)}
+    want = {}
+    for v, n, keys in rows:
+        for k, place, looked_up in keys:
+            for u, m, others in rows:
+                e = max(edits[n], edits[m])
+                if looked_up and u < v and abs(n - m) <= e and any(x == k and abs(p - place) <= e for x, p, _ in others):
+                    want.setdefault((v, k), []).append(u)
+    assert want and all((v, k) in got and got[v, k] <= min(us) and {(u, k) for u in us} <= left for (v, k), us in want.items())
+    if most > 1:
+        assert got == {x: min(us) for x, us in want.items()}
+
+
+def test_chosen_windows_cost_least():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        span, wanted, spare = int(rng.integers(1, 5)), rng.integers(1, 4, 4), rng.integers(0, 5, 4)
+        starts = wanted * span + spare - span + 1
+        cost = np.full((4, starts.max()), np.inf, np.float32)
+        for b in range(4):
+            cost[b, : starts[b]] = rng.integers(1, 6, starts[b])
+        for b, row in enumerate(D._rarest(cost, span, wanted, spare)):
+            got = row[row >= 0]
+            ways = [x for x in itertools.combinations(range(starts[b]), int(wanted[b])) if all(y - z >= span for z, y in zip(x, x[1:], strict=False))]
+            assert tuple(got) in ways and cost[b, got].sum() == min(cost[b, list(x)].sum() for x in ways)
+
+
+def test_sketches_differ_by_two_grams_an_edit():
+    rng = random.Random(10)
+    for _ in range(100):
+        a = "".join(rng.choices("ab ", k=rng.randrange(60)))
+        b, edits = list(a), rng.randrange(6)
+        for _ in range(edits):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "c", "d"])
+        x, y = D._sketches([a, "".join(b)])
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= 2 * D.SKETCH_GRAM * edits
+
+
 def test_beginnings_in_common_are_not_looked_up(spark):
     rng = random.Random(8)
     lead = "".join(rng.choices("abcdefghijklmnopqrst ", k=120))
