@@ -36,6 +36,11 @@ def all_found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit("(?iu)" + pattern), F.lit(group))
 
 
+def last_line(text: Column) -> Column:
+    """What follows the last line feed, or all; a pattern anchored at the end tries each place of each line before it."""
+    return F.substring_index(text, "\n", -1)
+
+
 def cells(line: Column, sep: Column) -> Column:
     """Cells of a line of a CSV file; separators within quotes divide nothing, doubled quotes stand for one."""
     outside = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'

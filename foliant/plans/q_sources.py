@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.functions.values import last_line
 from foliant.operators import extensions as X
 from foliant.operators import learn
 from foliant.operators import statements as B
@@ -135,7 +136,7 @@ def _(s, d):
     single = F.encode(F.translate(whole, S.CP1250, S.LATIN), "ISO-8859-1")
     k = F.col("path").cast("long") % 3
     files = mixed(s, d).select("path", F.when(k == 0, whole.cast("binary")).when(k == 1, F.encode(whole, "UTF-16")).otherwise(single).alias("content"))
-    return S.decode_texts(files).select("path", B.detect_format(F.col("content")).alias("format"), F.regexp_extract("content", "([^\n]*)$", 1).alias("remark"), "encoding")
+    return S.decode_texts(files).select("path", B.detect_format(F.col("content")).alias("format"), last_line(F.col("content")).alias("remark"), "encoding")
 
 
 @query("s9_catalog_tables", WITH + "SELECT 'documents' AS name, count(*) AS n FROM archive UNION ALL SELECT 'correspondents', count(DISTINCT sender) FROM archive UNION ALL SELECT 'types', count(DISTINCT document_type) FROM archive")

@@ -109,3 +109,14 @@ def test_mixed_statements_read_lines_once(spark, sf):
 
     plan = mixed(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_extendedprice#") and plan.count("Relation [l_orderkey") == 1
+
+
+def test_last_lines_need_no_search(spark, sf):
+    from foliant import plans
+    from foliant.functions.values import last_line
+
+    texts = ["a" * 2_000_000 + "\nend", "one line", "a\nb\n", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", last_line(F.col("text")).alias("line"))
+    assert [r["line"] for r in rows.orderBy("n").collect()] == ["end", "one line", "", "", None]
+    plan = plans.QUERIES["s7_read_statements"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan
