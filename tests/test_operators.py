@@ -251,6 +251,40 @@ def test_sketches_differ_by_two_grams_an_edit():
         assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= 2 * D.SKETCH_GRAM * edits
 
 
+@pytest.mark.parametrize("most", [0, 1, 2, 5, 300])
+def test_edit_distances_are_exact_up_to_the_most(spark, most):
+    rng = random.Random(most)
+    heads = ["".join(rng.choices("abč", k=rng.randrange(30))) for _ in range(30)]
+    lengths = np.array([len(h) for h in heads])
+    codes = np.full((30, lengths.max() + most + 1), 9, np.uint8)
+    for k, h in enumerate(heads):
+        codes[k, : len(h)] = ["abč".index(c) for c in h]
+    u, v = (x.ravel() for x in np.mgrid[0:30, 0:30])
+    pairs = spark.createDataFrame([(heads[i], heads[j]) for i, j in zip(u, v, strict=True)], "x string, y string")
+    want = [min(r["d"], most + 1) for r in pairs.select(F.levenshtein("x", "y").alias("d")).collect()]
+    assert D.edit_distances(codes, lengths, u, v, most).tolist() == want
+
+
+def test_heads_of_many_pairs_are_not_written_with_each(spark, monkeypatch):
+    rng = random.Random(11)
+    base = "".join(rng.choices("abcdefghijklmnopqrst ", k=1000))
+    heads = [base]
+    for _ in range(150):  # not similar to each other nor to base, but with most grams in common
+        own = list(base)
+        for at in rng.sample(range(1000), 55):
+            own[at] = rng.choice("XYZ")
+        heads.append("".join(own))
+    docs = spark.createDataFrame(list(enumerate(heads)), "first_id long, head string")
+    pairs = [(a, b) for b in range(1, 151) for a in range(b)]
+    met = D._edits(spark.createDataFrame(pairs, "u long, v long"), docs, 0.95)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "head_u" not in plan and "levenshtein" not in plan
+    got = met.collect()
+    assert len(got) == len(pairs) and {r["edits"] for r in got} == {51} and {r["longest"] for r in got} == {1000}
+    firsts = docs.unionByName(spark.createDataFrame([(200, heads[9][1:] + "!")], "first_id long, head string"))
+    assert [tuple(r) for r in D._closest(spark.createDataFrame([*pairs, (3, 200), (9, 200)], "u long, v long"), firsts, 0.95).collect()] == [(200, 9, 0.998)]
+
+
 def test_beginnings_in_common_are_not_looked_up(spark):
     rng = random.Random(8)
     lead = "".join(rng.choices("abcdefghijklmnopqrst ", k=120))
